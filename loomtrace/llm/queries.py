@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import golomb_dedup, shard_tree, simhash_grid, source_mix, url_sweep
+from loomtrace.llm import chroma_media, golomb_dedup, language_spans, piece_match, shard_tree, simhash_grid, source_mix, subword_quality, token_files, url_sweep
 from loomtrace.llm.common import documents
 
 #: Rules of the url query: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+#: The tokenizer files' names in the public vocabularies that executors have.
+PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_match.digest(documents(spark, sf_dir), vocabulary(PIECE_MODEL))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golomb_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -29,6 +43,23 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_sweep.judge(pages, rules).drop("url")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokenize(spark, documents(spark, sf_dir), vocabulary(WORD_MODEL))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return chroma_media.search(chroma_media.vector_fingerprints(vectors, "embedding", "vec_id"), "vec_id")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_spans.identify(documents(spark, sf_dir), spans=False)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = source_mix.plan_mix(documents(spark, sf_dir))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -39,7 +70,14 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_simhash_near_dedup, op4_url_filters, op9_source_mix, op10_shard_tree)}
+    ops = (op1_sentencepiece, op2_exact_dedup, op3_simhash_near_dedup, op4_url_filters, op5_token_files, op6_quality_classifier, op7_media_fingerprints, op8_language_id, op9_source_mix, op10_shard_tree)
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 _OP2 = """
