@@ -34,8 +34,9 @@ from loomtrace.llm.components import components
 #: Largest number of differing bits of a link; words in a shingle.
 LIMIT = 4
 WORDS = 4
-#: Whole blocks on which two linked vectors agree at least.
-FIXED = 3
+#: Whole blocks on which two linked vectors agree at least, and the number of
+#: fingerprints up to which each choice keeps cells small. Any choice is exact.
+FIXED = {3: 50_000_000, 4: 2_000_000_000, 5: 1 << 62}
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 14
@@ -82,7 +83,7 @@ def embedding(fp: Column) -> Column:
     return F.shiftleft(odd.bitwiseAND(even), 1).bitwiseOR(odd.bitwiseOR(even))
 
 
-def block_masks(limit: int = LIMIT, fixed: int = FIXED) -> list[int]:
+def block_masks(limit: int = LIMIT, fixed: int = 3) -> list[int]:
     """A mask, as a signed long, for each choice of ``fixed`` of the blocks."""
     blocks = [sum(3 << 2 * int(s) for s in part) for part in np.array_split(np.arange(32), limit + fixed)]
     return [m - (1 << 64) if (m := sum(chosen)) >> 63 else m for chosen in combinations(blocks, fixed)]
@@ -100,13 +101,18 @@ def _near(a: str, b: str, limit: int) -> Column:
     return bound & (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= limit)
 
 
-def near_links(prints: DataFrame, limit: int = LIMIT, fixed: int = FIXED) -> DataFrame:
+def near_links(prints: DataFrame, limit: int = LIMIT, fixed: int | None = None) -> DataFrame:
     """(node, root): components of the distinct fingerprints in ``prints(fp)`` that have a link."""
+    if fixed is None:
+        n = prints.count()
+        fixed = next(k for k, most in FIXED.items() if n <= most)
     masks = block_masks(limit, fixed)
     w = Window.partitionBy("cell").orderBy("fp")
     star = _cells(prints, masks).select("fp", F.first("fp").over(w).alias("head"), F.lag("fp").over(w).alias("prev"))
-    star = star.where("prev is not null").select("fp", F.explode(F.array("head", "prev")).alias("other"))
-    first = written(components(star.where(_near("fp", "other", limit)).select(F.col("fp").alias("a"), F.col("other").alias("b"))), "stars")
+    # Most who share a cell are far apart, so distances are tested before rows are made.
+    pairs = F.array(*(F.when(_near("fp", other, limit), F.col(other)) for other in ("head", "prev")))
+    star = star.where("prev is not null").where(_near("fp", "head", limit) | _near("fp", "prev", limit)).select(F.col("fp").alias("a"), F.explode(F.array_compact(pairs)).alias("b"))
+    first = written(components(star), "stars")
     labelled = prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     cells = _cells(written(labelled, "labels"), masks)
     a = cells.select("cell", F.col("fp").alias("fp_a"), F.col("root").alias("a"))
