@@ -104,6 +104,23 @@ select b.owner_id as model, b.name as output, row_number() over (partition by b.
        case when b.k % 23 = 0 then null else a.owner_id end as leaf_owner, case when b.k % 23 = 0 then null else a.name end as leaf_column,
        case e.confidence when 'exact' then 'column' when 'parsed' then 'expression' else 'star' end as kind, b.k as k
 from e_feeds e join e_columns a on a.node_id = e.f join e_columns b on b.node_id = e.t""",
+    "e_entities": """
+select node_id as uid, 'model' as kind, name, db, schema_name, name as tbl, k % 7 = 6 as is_ephemeral, cast(k as bigint) as ordinal, package, materialization, 'models/' || name || '.sql' as path, 'tier' || (k % 3) as tag,
+       case when k % 5 = 4 then ' ' when k % 6 = 5 then null else 'select 1' end as compiled from e_models
+union all select node_id, 'source', name, db, schema_name, name, false, cast(1000 + k as bigint), 'shop', null, 'models/raw.yml', null, null from e_sources
+union all select 'source.shop.dup.' || name, 'source', name, lower(db), schema_name, upper(name), false, cast(2000 + k as bigint), 'shop', null, 'models/dup.yml', null, null from e_models where k % 8 = 3""",
+    "e_catalog": """
+select owner_id as uid, upper(name) as col, coalesce(data_type, 'VARIANT') as dtype, coalesce(k, 0) as ordinal from e_columns where coalesce(k, 1) % 5 <> 2 and owner_id not like '%4s'""",
+    "e_docs": """
+select owner_id as uid, case when k % 9 = 0 then 'C_' || k when k % 14 = 2 then 'Extra' || k else name end as col, 'doc ' || name as description, coalesce(k, 0) as ordinal from e_columns where coalesce(k, 0) % 2 = 0""",
+    "e_pj": """
+select b.owner_id as model, b.name as output, b.k as ordinal, case e.confidence when 'exact' then 'column' when 'parsed' then 'expression' else 'star' end as kind, e.confidence = 'inferred' as is_star, b.k % 23 = 0 as failed,
+       case when b.k % 23 = 0 then null when b.k % 29 = 0 then 'EXT' else o.schema_name end as leaf_schema, case when b.k % 23 = 0 then null when b.k % 29 = 0 then 'elsewhere' when b.k % 3 = 0 then upper(o.name) else o.name end as leaf_table,
+       case when b.k % 23 = 0 then null when b.k % 31 = 0 then '*' else a.name end as leaf_column, e.f as leaf_id
+from e_feeds e join e_columns a on a.node_id = e.f join e_columns b on b.node_id = e.t join e_nodes o on o.node_id = a.owner_id""",
+    "e_declared": """
+select 'model' as src, k as ordinal, node_id as model, 'e' || k || '_id' as col, case when k % 6 = 0 then '' when k % 4 = 1 then 'S' || ((k + 1) % 5) || '.' || 'none' when k % 4 = 2 then name else case (k + 5) % 25 % 4 when 0 then 'stg_' when 1 then 'int_' when 2 then 'fct_' else 'dim_' end || 'e' || ((k + 5) % 25) || 's' end as target,
+       case when k % 3 = 0 then null else 'e' || ((k + 5) % 25) || '_id' end as field from e_models""",
     "e_staged": """
 select event_id as seq, cast(user_id as string) || '.' || event_type as id, user_id, event_type, ts, value,
        case when event_id % 3 = 0 then 'many_to_one' else 'one_to_one' end as cardinality, 'text ' || event_id as body from events""",
