@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, so lineage is cut and a lost executor costs no rounds.
+    """``df`` as a table in the shared folder, so lineage is cut and a lost executor costs no rounds.
 
     The folder is ``spark.checkpoint.dir``; only where the session has none, as in
     tests, a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_rounds: int | None = None) -> DataFrame:

@@ -121,6 +121,28 @@ from e_feeds e join e_columns a on a.node_id = e.f join e_columns b on b.node_id
     "e_declared": """
 select 'model' as src, k as ordinal, node_id as model, 'e' || k || '_id' as col, case when k % 6 = 0 then '' when k % 4 = 1 then 'S' || ((k + 1) % 5) || '.' || 'none' when k % 4 = 2 then name else case (k + 5) % 25 % 4 when 0 then 'stg_' when 1 then 'int_' when 2 then 'fct_' else 'dim_' end || 'e' || ((k + 5) % 25) || 's' end as target,
        case when k % 3 = 0 then null else 'e' || ((k + 5) % 25) || '_id' end as field from e_models""",
+    "e_slots": """
+select k.card_id, k.query_type, max(case when clause = 'fields' then field_id end) as a, max(case when clause = 'breakout' then field_id end) as b, max(case when clause = 'aggregation' then field_id end) as g,
+       max(case when clause = 'filter' then field_id end) as w, max(case when clause = 'order-by' then field_id end) as o, max(k.source_card_id) as source_card_id
+from e_cards k left join e_consumed u on u.card_id = k.card_id group by k.card_id, k.query_type""",
+    "e_cardq": """
+select card_id, query_type, case
+  when query_type = 'native' then '{"type":"native","native":{"query":"select 1"}}'
+  when card_id % 11 = 0 then '{}'
+  when card_id % 5 = 0 then '{"lib/type":"mbql/query","stages":[{' || coalesce('"source-card":' || source_card_id, '"source-table":' || (card_id % 30)) || ',"fields":[["field",{"lib/uuid":"u"},' || coalesce(a, 1) || ']],"filters":[["=",{},["field",{"source-field":' || (card_id % 50) || '},' || coalesce(w, 2) || '],1]]},{"breakout":[["field",{"base-type":"type/Text"},"c_' || (card_id % 90) || '"]],"joins":[{"alias":"J","conditions":[["=",{},["field",{},' || coalesce(b, 3) || '],["field",{"join-alias":"J"},' || coalesce(o, 4) || ']]]}]}]}'
+  else '{"type":"query","query":{"source-table":' || coalesce('"card__' || source_card_id || '"', cast(card_id % 30 as string)) || ',"fields":[["field",' || coalesce(a, 1) || ',null]],"filter":["and",["=",["field",' || coalesce(w, 2) || ',{"source-field":' || (card_id % 50) || '}],1],[">",["field","c_' || (card_id % 90) || '",{"base-type":"type/Integer"}],2]],"aggregation":[["count"],["sum",["field",' || coalesce(g, 5) || ',null]],["metric",' || (card_id % 40) || ']],"order-by":[["asc",["field",' || coalesce(o, 99999) || ',null]]],"joins":[{"alias":"J1","source-table":3,"condition":["=",["field",' || coalesce(b, 3) || ',null],["field",7,{"join-alias":"J1"}]]}]'
+    || case when card_id % 4 = 0 then ',"source-query":{"source-table":' || (card_id % 25) || ',"filter":["=",["field",' || coalesce(a, 1) || ',null],3]}' else '' end || '}}' end as dataset_query
+from e_slots""",
+    "e_tables": "select distinct k as table_id, name as table_name, schema_name, 1 as db_id from e_models union all select 100 + k, name, 'OTHER', 1 from e_models where k % 6 = 0",
+    "e_collections": """
+select c as collection_id, case when c % 7 = 6 then 'Home ' || c else 'Team ' || c end as name, case when c < 5 then '/' when c < 12 then '/' || (c % 5) || '/' else '/' || (c % 5) || '/' || (5 + c % 7) || '/' || case when c = 19 then '999/' else '' end end as location, c % 7 = 6 as personal
+from (select distinct collection_id as c from e_cards) x""",
+    "e_native": """
+select card_id, 'select a.c_' || card_id || ' from ' || case card_id % 3 when 0 then 'S1.' || 'stg_e' || (card_id % 25) || 's' when 1 then 'fct_e' || (card_id % 25) || 's a' else 'nowhere' end || ' join {{#' || (card_id % 900) || '-top-cards}} q on true where {{region}} [[and {{since}} > 1]] and {{snippet: part ' || (card_id % 4) || '}} and x = {{n}} and {{#' || (card_id % 77) || '}} is null' as sql from e_cards where query_type = 'native'""",
+    "e_tags": """
+select card_id, 'region' as tag, 'dimension' as kind, card_id % 3000 as field_id, cast(null as bigint) as ref_card from e_cards where query_type = 'native' union all select card_id, 'since', 'date', null, null from e_cards where query_type = 'native'
+union all select card_id, 'n', 'number', null, null from e_cards where query_type = 'native' union all select card_id, 'pick', 'card', null, card_id % 60 from e_cards where query_type = 'native' and card_id % 2 = 0""",
+    "e_snippets": "select r_regionkey as snippet_id, 'part ' || r_regionkey as name, 'p' || r_regionkey || ' = 1' || case when r_regionkey < 3 then ' and {{snippet: part ' || (r_regionkey + 1) || '}}' when r_regionkey = 3 then ' and {{snippet: missing}}' else '' end as content from region",
     "e_staged": """
 select event_id as seq, cast(user_id as string) || '.' || event_type as id, user_id, event_type, ts, value,
        case when event_id % 3 = 0 then 'many_to_one' else 'one_to_one' end as cardinality, 'text ' || event_id as body from events""",
