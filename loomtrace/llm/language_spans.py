@@ -47,7 +47,7 @@ SCRIPTS = {
 _OTHER = len(SCRIPTS)
 _BITS = 16
 _CHARS = 1 << 20
-_CELLS = 16 << 20
+_CELLS = 8 << 20
 _NEVER = np.float32(-1e6)
 
 

@@ -28,9 +28,14 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Characters of one index, segments that a worker remembers, cells of the table of pairs.
-_INDEXED = 1 << 19
-_REMEMBER = 600_000
-_PAIR_BITS = 21
+#: Workers outlive their tasks, so what they remember counts against every later task.
+_INDEXED = 1 << 18
+_REMEMBER = 200_000
+#: Length up to which segments are kept when the rest is forgotten: short ones come again.
+_KEPT = 8
+#: Texts that are encoded at once.
+_ROWS = 250
+_PAIR_BITS = 20
 _START, _NONE = -1, -2
 _DEEP = 16
 
@@ -219,7 +224,9 @@ class Pieces:
                 stop += 1
             split = [self.segment.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at:stop]]
             if len(self.known) > _REMEMBER:
-                self.known.clear()
+                self.known = {k: v for k, v in self.known.items() if len(k) <= _KEPT}
+                if len(self.known) > _REMEMBER // 2:
+                    self.known = {}
             new = list({s for parts in split for s in parts if s not in self.known})
             begin = size = 0
             for k, s in enumerate(new):
@@ -244,21 +251,32 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "piece_ids", check: str | None = None) -> DataFrame:
     """``docs`` with the ids (array of int) of each whole text; a column of that name is replaced.
 
-    Null and empty texts have no ids. ``model`` is the path of a BPE model with an
+    Null and empty texts have no ids. With ``check``, a column of that name says
+    whether the ids decode to the text. ``model`` is the path of a BPE model with an
     identity normaliser and a dummy prefix, readable on every executor.
     """
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,same:boolean>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pieces(model)
         for batch in batches:
-            found = pieces(model).encode([t or "" for t in batch.to_pylist()])
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-
-    return docs.withColumn(out, ids(F.col(text_col)))
+            parts = [pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())]))]
+            for at in range(0, len(batch), _ROWS):
+                texts = [t or "" for t in batch.slice(at, _ROWS).to_pylist()]
+                found = known.encode(texts)
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                same = [known.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(found, texts)] if check else [None] * len(texts)
+                parts.append(pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "same"]))
+            yield pa.concat_arrays(parts)
+
+    coded = docs.select(F.struct("*").alias("doc"), ids(F.col(text_col)).alias("coded"))
+    new = {out: F.col("coded.ids")} | ({check: F.col("coded.same")} if check else {})
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in new]
+    return coded.select(*kept, *(c.alias(name) for name, c in new.items()))
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -283,10 +301,9 @@ def digest(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, texts = pieces(model), [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
+            known, rows = pieces(model), []
+            for at in range(0, len(batch), _ROWS):
+                part = [t or "" for t in batch.column(1).slice(at, _ROWS).to_pylist()]
                 for raw, text in zip(known.encode(part), part):
                     back = known.decode(np.frombuffer(raw, np.int32).tolist())
                     rows.append((len(raw) // 4, zlib.crc32(raw), zlib.crc32(back.encode()), back == text))
