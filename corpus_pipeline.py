@@ -6,7 +6,6 @@ Each stage gets what the one before it kept, as a written table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomtrace.llm import golomb_dedup, piece_match, simhash_grid, source_mix, subword_quality
 from loomtrace.llm.common import documents, written
@@ -38,9 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, and whether these decode to the text."""
-    path = vocabulary(PIECE_MODEL)
-    decoded = piece_match.decode(piece_match.encode(docs, path), path)
-    return decoded.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    return piece_match.encode(docs, vocabulary(PIECE_MODEL), check="round_trip")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("source_mix", mixed), ("sentencepiece", encoded)]
