@@ -54,27 +54,23 @@ def _turned(edges: DataFrame, direction: str) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "down", edge_types: list[str] | None = None, max_depth: int = REACH_DEPTH) -> DataFrame:
     """(start, node_id, depth, confidence): least hops, and the best over paths of the weakest hop.
 
-    One closure for each rank: what is reached over hops of at least that rank. A
-    cycle back to the start reports the start.
+    A round extends only what was reached for the first time, or over a stronger
+    path than before, so all ranks are closed in one loop. A cycle back to the start reports the start.
     """
     turned = _turned(edges, direction)
     if edge_types is not None:
         turned = turned.where(F.col("edge_type").isin(edge_types))
-    hops = settled(turned.groupBy("f", "t").agg(F.max(rank(F.col("confidence"))).alias("r")).repartition("f"))
+    hops = settled(turned.groupBy("f", "t").agg(F.max(rank(F.col("confidence"))).alias("hr")).repartition("f"))
     first = starts.select(F.col("node_id").alias("start")).distinct()
-    ranks = [x[0] for x in hops.select("r").distinct().orderBy("r").collect()]  # at most five
-    out = None
-    for r in ranks:
-        strong = hops.where(F.col("r") >= r)
-
-        def step(frontier: DataFrame, depth: int, strong=strong) -> DataFrame:
-            return frontier.join(strong, F.col("node") == F.col("f")).select("start", F.col("t").alias("node")).distinct().withColumn("depth", F.lit(depth + 1))
-
-        seed = first.join(strong, F.col("start") == F.col("f")).select("start", F.col("t").alias("node")).distinct().withColumn("depth", F.lit(1))
-        level = spread(seed, step, ["start", "node"], max_depth - 1).withColumn("r", F.lit(r))
-        out = level if out is None else out.union(level)
-    if out is None:
-        return first.select("start", F.col("start").alias("node_id"), F.lit(0).alias("depth"), F.lit("").alias("confidence")).limit(0)
+    frontier = settled(first.join(hops, F.col("start") == F.col("f")).select("start", F.col("t").alias("node"), F.lit(1).alias("depth"), F.col("hr").alias("r")))
+    out = frontier
+    for depth in range(2, max_depth + 1):
+        ahead = frontier.join(hops, F.col("node") == F.col("f")).groupBy("start", F.col("t").alias("node")).agg(F.lit(depth).alias("depth"), F.max(F.least("r", "hr")).alias("r"))
+        best = out.groupBy("start", "node").agg(F.max("r").alias("best"))
+        frontier = settled(ahead.join(best, ["start", "node"], "left").where("best is null or r > best").select("start", "node", "depth", "r"))
+        if frontier.isEmpty():
+            break
+        out = out.union(frontier)
     return out.groupBy("start", F.col("node").alias("node_id")).agg(F.min("depth").alias("depth"), word(F.max("r")).alias("confidence"))
 
 
