@@ -33,7 +33,10 @@ SEQUENCE = 2_048
 #: Sequences of a record batch, documents of a file (about), words that a worker remembers.
 BATCH = 64
 FILE_DOCS = 100_000
-_REMEMBER = 600_000
+#: Workers outlive their tasks, so what they remember counts against every later task.
+_REMEMBER = 900_000
+#: Length up to which words are kept when the rest is forgotten: short ones come again.
+_KEPT = 9
 #: Punctuation that a tokenizer of this kind always cuts from the letters before it.
 _MARKS = b".,!?;:|#%*$&"
 
@@ -53,10 +56,8 @@ class WordEncoder:
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Encodes new words: lower-cased and without marks at the end, as far as that changes no id."""
-        if len(self.known) > _REMEMBER:
-            self.known.clear()
         cut = {}
         for word in words:
             low = word if b"<|" in word else word.lower()
@@ -79,9 +80,13 @@ class WordEncoder:
         """Little-endian ids of each text."""
         out, known = [], self.known
         for at in range(0, len(texts), 500):
+            if len(known) > _REMEMBER:
+                known = self.known = {k: v for k, v in known.items() if len(k) <= _KEPT}
+                if len(known) > _REMEMBER // 2:
+                    known = self.known = {}
             split = [t.split() for t in texts[at : at + 500]]
             if new := {w for words in split for w in words if w not in known}:
-                self.learn(list({w for words in split for w in words}) if len(known) > _REMEMBER else list(new))
+                self.learn(new)
             out += [b"".join([known[w] for w in words]) for words in split]
         return out
 
