@@ -9,7 +9,7 @@ text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -46,7 +46,7 @@ SCRIPTS = {
 }
 _OTHER = len(SCRIPTS)
 _BITS = 16
-_CHARS = 1 << 20
+_CHARS = 1 << 19
 _CELLS = 8 << 20
 _NEVER = np.float32(-1e6)
 
@@ -117,8 +117,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     begins, sizes = first[:-1][order], sizes[order]
     most = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(most), side="left")
-    labels = np.empty(len(scores), np.int32)
-    came = np.empty(len(scores), np.int32)  # the best label before each word
+    labels = np.empty(len(scores), np.int16)
+    came = np.empty(len(scores), np.int16)  # the best label before each word
     stays = np.empty(scores.shape, bool)
     total = np.zeros((len(sizes), scores.shape[1]), np.float32)
     for t in range(most):
@@ -130,7 +130,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
         came[rows] = best
         stays[rows] = stay = now >= jump[:, None]
         total[:n] = np.where(stay, now, jump[:, None]) + scores[rows]
-    state = total.argmax(1).astype(np.int32)
+    state = total.argmax(1).astype(np.int16)
     for t in range(most - 1, -1, -1):
         n = active[t]
         rows = begins[:n] + t
@@ -155,38 +155,48 @@ class Model:
         allowed = self.uses | ~self.uses.any(1, keepdims=True)
         return np.where(allowed[found.scripts], out, _NEVER)
 
-    def label(self, texts: list[str], penalty: float, spans: bool) -> list[tuple]:
-        """Language, share of letters and spans (language, start, length) of each text."""
-        parts, scores, at, held, size = [], [], 0, [], 0
-        for i, text in enumerate(texts):
+    def label(self, texts: Iterable[str], penalty: float, spans: bool) -> list[tuple]:
+        """Language, share of letters and spans (language, start, length) of each text.
+
+        n-grams live for some texts at a time; word scores for as many texts as fit
+        the cells, which then advance together.
+        """
+        out, scored, held, size, cells = [], [], [], 0, 0
+
+        def score() -> int:
+            found = words(held)
+            scored.append((self.word_scores(found), np.diff(found.first), found.starts.astype(np.int32), found.lengths.astype(np.int32), found.heads[:-1]))
+            held.clear()
+            return scored[-1][0].size
+
+        for text in texts:
             held.append(text)
             size += len(text)
-            if size >= _CHARS or i == len(texts) - 1:
-                found = words(held)
-                parts.append(found)
-                scores.append(self.word_scores(found))
-                held, size = [], 0
+            if size >= _CHARS:
+                cells, size = cells + score(), 0
+            if cells >= _CELLS:
+                out += self._labelled(scored, penalty, spans)
+                cells = 0
+        if held:
+            score()
+        return out + self._labelled(scored, penalty, spans)
+
+    def _labelled(self, scored: list, penalty: float, spans: bool) -> list[tuple]:
+        if not scored:
+            return []
+        scores, sizes, starts, lengths, heads = (np.concatenate(x) for x in zip(*scored))
+        scored.clear()
+        first = np.concatenate([[0], sizes.cumsum()])
+        labels = viterbi(scores, first, penalty)
+        sums = np.stack([np.diff(np.concatenate([[0], np.cumsum(np.where(labels == k, lengths, 0), dtype=np.int64)])[first]) for k in range(len(self.languages))], 1)
         out = []
-        while at < len(parts):
-            stop, cells = at, 0
-            while stop < len(parts) and (stop == at or cells + scores[stop].size <= _CELLS):
-                cells += scores[stop].size
-                stop += 1
-            first = np.concatenate([[0], *(np.diff(p.first) for p in parts[at:stop])]).cumsum()
-            labels = viterbi(np.concatenate(scores[at:stop]), first, penalty)
-            lengths = np.concatenate([p.lengths for p in parts[at:stop]])
-            weight = np.stack([np.concatenate([[0], np.cumsum(np.where(labels == k, lengths, 0))]) for k in range(len(self.languages))], 1)
-            sums = weight[first[1:]] - weight[first[:-1]]
-            heads = np.concatenate([p.heads[:-1] for p in parts[at:stop]])
-            starts = np.concatenate([p.starts for p in parts[at:stop]])
-            for d, row in enumerate(sums):
-                if not row.sum():
-                    out.append(("und", 0.0, []))
-                    continue
-                best = int(row.argmax())
-                mine = slice(first[d], first[d + 1])
-                out.append((self.languages[best], float(row[best] / row.sum()), self._spans(labels[mine], starts[mine] - heads[d] - 1, lengths[mine]) if spans else []))
-            at = stop
+        for d, row in enumerate(sums):
+            if not row.sum():
+                out.append(("und", 0.0, []))
+                continue
+            best = int(row.argmax())
+            mine = slice(first[d], first[d + 1])
+            out.append((self.languages[best], float(row[best] / row.sum()), self._spans(labels[mine], starts[mine] - heads[d] - 1, lengths[mine]) if spans else []))
         return out
 
     def _spans(self, labels: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[dict]:
@@ -238,7 +248,8 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", penalty
     def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("length", pa.int32())])))])
         for batch in texts:
-            said = model.label([t or "" for t in batch.to_pylist()], penalty, spans) if model.languages else [("und", 0.0, [])] * len(batch)
+            texts = (t or "" for at in range(0, len(batch), 250) for t in batch.slice(at, 250).to_pylist())
+            said = model.label(texts, penalty, spans) if model.languages else [("und", 0.0, [])] * len(batch)
             yield pa.array([{"lang": x, "score": s, "spans": p} for x, s, p in said], kind)
 
     return docs.withColumn(out, label(F.col(text_col)))
