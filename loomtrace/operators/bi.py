@@ -12,7 +12,7 @@ from loomtrace.plans.closure import settled, spread
 
 #: The literal that stands for a template tag of each kind, and the deepest nesting of snippets.
 LITERALS = {"number": "1", "boolean": "TRUE", "date": "'1970-01-01'", "temporal-unit": "'day'", "dimension": "1 = 1"}
-DEFAULT_LITERAL = "'stitch'"
+DEFAULT_LITERAL = "'tag'"
 SNIPPET_DEPTH = 3
 
 
