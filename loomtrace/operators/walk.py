@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.text import rank, word
 from loomtrace.operators.graph import flow_edges
-from loomtrace.plans.closure import relax, settled, spread
+from loomtrace.plans.closure import relax, settled, settled_rows, spread
 
 #: Hops of an impact walk, and of reach.
 MAX_DEPTH, REACH_DEPTH = 20, 30
@@ -67,8 +67,8 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "down", edge_typ
     for depth in range(2, max_depth + 1):
         ahead = frontier.join(hops, F.col("node") == F.col("f")).groupBy("start", F.col("t").alias("node")).agg(F.lit(depth).alias("depth"), F.max(F.least("r", "hr")).alias("r"))
         best = out.groupBy("start", "node").agg(F.max("r").alias("best"))
-        frontier = settled(ahead.join(best, ["start", "node"], "left").where("best is null or r > best").select("start", "node", "depth", "r"))
-        if frontier.isEmpty():
+        frontier, rows = settled_rows(ahead.join(best, ["start", "node"], "left").where("best is null or r > best").select("start", "node", "depth", "r"))
+        if not rows:
             break
         out = out.union(frontier)
     return out.groupBy("start", F.col("node").alias("node_id")).agg(F.min("depth").alias("depth"), word(F.max("r")).alias("confidence"))

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +26,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """As :func:`settled`, with the number of rows, counted while they are written."""
+    seen = Observation()
+    out = settled(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
 def spread(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_rounds: int | None = None) -> DataFrame:
     """All rows reached from ``seed`` by ``step``, each ``key`` once, at its first round.
 
@@ -36,8 +44,8 @@ def spread(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: li
     rounds, seen, done = [frontier], frontier.select(key), 0
     while max_rounds is None or done < max_rounds:
         done += 1
-        frontier = settled(step(frontier, done).join(seen, key, "left_anti").select(seed.columns))
-        if frontier.isEmpty():
+        frontier, rows = settled_rows(step(frontier, done).join(seen, key, "left_anti").select(seed.columns))
+        if not rows:
             break
         rounds.append(frontier)
         seen = seen.union(frontier.select(key))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtrace.plans.closure import settled
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: Views in the order in which they build on each other.
@@ -150,7 +152,11 @@ select event_id as seq, cast(user_id as string) || '.' || event_type as id, user
 select event_id as sha, lag(event_id) over (partition by user_id order by event_id) as first_parent, event_type = 'purchase' as stored, user_id from events""",
 }
 
+#: Views from which several others read.
+KEPT = ("e_columns", "e_feeds", "e_flow")
+
 _NAME = re.compile(r"\be_\w+\b")
+_SOURCE = re.compile(rf"\b(?:e_\w+|{'|'.join(TABLES)})\b")
 
 
 def with_views(body: str) -> str:
@@ -170,18 +176,36 @@ def with_views(body: str) -> str:
 
 
 class Estate:
-    """The views of one folder of tables as DataFrames: ``estate.edges`` is view ``e_edges``."""
+    """The views of one folder of tables as DataFrames: ``estate.edges`` is view ``e_edges``.
+
+    Only what is asked for is defined. Views in ``KEPT``, on which many others
+    build, are written once, so plans above them start from files.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        for table in TABLES:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-        for name, text in VIEWS.items():
-            spark.sql(text).createOrReplaceTempView(name)
+        self._ready: dict[str, DataFrame] = {}
+
+    def _define(self, text: str) -> None:
+        for name in dict.fromkeys(_SOURCE.findall(text)):
+            if name in self._ready or (name not in VIEWS and name not in TABLES):
+                continue
+            if name in TABLES:
+                found = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            else:
+                self._define(VIEWS[name])
+                found = self.spark.sql(VIEWS[name])
+            self._ready[name] = settled(found) if name in KEPT else found
+            self._ready[name].createOrReplaceTempView(name)
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.table(f"e_{name}" if f"e_{name}" in VIEWS else name)
+        if name.startswith("_"):
+            raise AttributeError(name)
+        view = f"e_{name}" if f"e_{name}" in VIEWS else name
+        self._define(view)
+        return self._ready[view]
 
     def sql(self, text: str) -> DataFrame:
         """A projection of the views that stands in for an input table."""
+        self._define(text)
         return self.spark.sql(text)
