@@ -181,7 +181,7 @@ def column_origin(pointers: DataFrame) -> DataFrame:
         ahead = s.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("done").alias("end"))
         return s.join(ahead, "at", "left").select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("next")).alias("at"), F.when(F.col("done"), F.col("hops")).otherwise(F.least(F.col("hops") + F.coalesce("more", F.lit(0)), F.lit(limit + 1))).alias("hops"), (F.col("done") | F.coalesce("end", F.lit(False))).alias("done"))
 
-    ended = relax(state, step, lambda s: s.agg(F.count_if("done"), F.count("at"), F.sum("hops")).first(), max_rounds=max(2, limit.bit_length() + 1))
+    ended = relax(state, step, F.struct(F.count_if("done"), F.count("at"), F.sum("hops")), max_rounds=max(2, limit.bit_length() + 1))
     return ended.select("id", F.when(F.col("done"), F.col("at")).alias("origin"), F.when(F.col("done"), F.col("hops")).alias("hops"))
 
 

@@ -98,7 +98,7 @@ def resolve_baseline(commits: DataFrame, most: int = ANCESTORS) -> DataFrame:
             "sha", F.when(done, F.col("at")).otherwise(F.col("next")).alias("at"), F.when(done, F.col("distance")).otherwise(F.col("distance") + F.col("more")).alias("distance"), F.when(done, F.col("found")).otherwise(F.coalesce("end", F.lit(False))).alias("found")
         )
 
-    state = relax(start, step, lambda s: s.agg(F.count_if("found"), F.count("at"), F.sum("distance")).first(), max_rounds=most.bit_length() + 1)
+    state = relax(start, step, F.struct(F.count_if("found"), F.count("at"), F.sum("distance")), max_rounds=most.bit_length() + 1)
     return state.where((F.col("found")) & (F.col("distance") <= most)).select("sha", F.col("at").alias("baseline"), "distance")
 
 

@@ -20,7 +20,12 @@ def downstream(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth:
     by hop; it begins with the start. A start itself is not reported, nor a node that
     ``nodes`` lacks, though the walk goes through it; a start that ``nodes`` lacks has no rows.
     """
-    walk = walked(nodes, edges, starts, max_depth).withColumnRenamed("path", "taken")
+    return reported(walked(nodes, edges, starts, max_depth), nodes)
+
+
+def reported(walk: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of :func:`downstream` from those of :func:`walked`."""
+    walk = walk.withColumnRenamed("path", "taken")
     types = nodes.select(F.col("node_id").alias("node"), "node_type")
     pick = lambda odd: F.transform(F.sequence(F.lit(1), F.col("depth")), lambda i: F.element_at("taken", i * 2 - odd))
     return walk.where("depth > 0").join(types, "node").select("start", F.col("node").alias("node_id"), "node_type", "depth", F.concat(F.array("start"), pick(1)).alias("path"), pick(0).alias("edge_types"))
@@ -110,7 +115,7 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         pushed = s.join(hops, F.col("node_id") == F.col("f")).groupBy(F.col("t").alias("node_id")).agg((F.max("layer") + 1).alias("up"))
         return s.join(pushed, "node_id", "left").select("node_id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"))
 
-    return relax(state, step, lambda s: s.agg(F.sum("layer")).first()[0], max_rounds=nodes.count())
+    return relax(state, step, F.sum("layer"), max_rounds=nodes.count())
 
 
 def _entity(nodes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,11 +26,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled_rows(df: DataFrame) -> tuple[DataFrame, int]:
-    """As :func:`settled`, with the number of rows, counted while they are written."""
+def settled_with(df: DataFrame, digest: Column) -> tuple[DataFrame, object]:
+    """As :func:`settled`, with an aggregate of the rows, taken while they are written."""
     seen = Observation()
-    out = settled(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return out, seen.get["rows"]
+    out = settled(df.observe(seen, digest.alias("digest")))
+    return out, seen.get["digest"]
+
+
+def settled_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """As :func:`settled`, with the number of rows."""
+    return settled_with(df, F.count(F.lit(1)))
 
 
 def spread(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_rounds: int | None = None) -> DataFrame:
@@ -55,13 +60,11 @@ def spread(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: li
     return out
 
 
-def relax(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame], object], max_rounds: int) -> DataFrame:
-    """``state`` after ``step`` upon ``step``, until the digest that ``changed`` reads from it stays."""
-    state = settled(state)
-    before = changed(state)
+def relax(state: DataFrame, step: Callable[[DataFrame], DataFrame], digest: Column, max_rounds: int) -> DataFrame:
+    """``state`` after ``step`` upon ``step``, until the aggregate ``digest`` of it stays."""
+    state, before = settled_with(state, digest)
     for _ in range(max_rounds):
-        state = settled(step(state))
-        after = changed(state)
+        state, after = settled_with(step(state), digest)
         if after == before:
             break
         before = after

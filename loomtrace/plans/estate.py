@@ -153,7 +153,7 @@ select event_id as sha, lag(event_id) over (partition by user_id order by event_
 }
 
 #: Views from which several others read.
-KEPT = ("e_columns", "e_feeds", "e_flow")
+KEPT = ("e_columns", "e_feeds", "e_flow", "e_nodes")
 
 _NAME = re.compile(r"\be_\w+\b")
 _SOURCE = re.compile(rf"\b(?:e_\w+|{'|'.join(TABLES)})\b")
