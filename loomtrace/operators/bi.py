@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import joined
-from loomtrace.plans.closure import settled, spread
+from loomtrace.plans.closure import settled, settled_rows, spread
 
 #: The literal that stands for a template tag of each kind, and the deepest nesting of snippets.
 LITERALS = {"number": "1", "boolean": "TRUE", "date": "'1970-01-01'", "temporal-unit": "'day'", "dimension": "1 = 1"}
 DEFAULT_LITERAL = "'tag'"
 SNIPPET_DEPTH = 3
+#: Keys under which a query holds the queries that it reads.
+READS = ("query", "source-query", "stages", "joins")
 
 
 def bi_field_nodes(fields: DataFrame, schemas: list[str] | None = None) -> DataFrame:
@@ -56,6 +58,11 @@ def _exploded(level: DataFrame) -> DataFrame:
     return level.sparkSession.sql("select t.card_id, t.path, e.pos, e.key, e.value as v from {level} t, lateral variant_explode(t.v) e", level=level)
 
 
+def _step() -> Column:
+    """What an exploded item adds to its path: its key, or its place among stages."""
+    return F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).when(F.col("path").endswith(".stages"), F.concat(F.lit("#"), F.col("pos").cast("string"))).otherwise(F.lit(""))
+
+
 def walk_query(cards: DataFrame) -> DataFrame:
     """(card_id, label, kind, target, source_field, join_alias) of every field and metric reference.
 
@@ -67,9 +74,8 @@ def walk_query(cards: DataFrame) -> DataFrame:
     found = []
     while True:
         items = _exploded(level)
-        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).when(F.col("path").endswith(".stages"), F.concat(F.lit("#"), F.col("pos").cast("string"))).otherwise(F.lit(""))
         kind = F.schema_of_variant("v")
-        nested = settled(items.select("card_id", F.concat("path", step).alias("path"), "v").where(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        nested = settled(items.select("card_id", F.concat("path", _step()).alias("path"), "v").where(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
         if nested.isEmpty():
             break
         head = F.try_variant_get("v", "$[0]", "string")
@@ -97,22 +103,40 @@ def implicit_join_refs(refs: DataFrame) -> DataFrame:
     return plain.unionByName(plain.where("source_field is not null").withColumns({"target": F.col("source_field"), "implicit_join": F.lit(True)}))
 
 
+def query_sources(cards: DataFrame) -> DataFrame:
+    """(card_id, path, table_id, source_card): what each query in a card reads, through all source queries, stages and joins.
+
+    One explode for each level of nesting, which enters only the keys that hold
+    queries. A source card wins over a table, and ``card__N`` is a card.
+    """
+    level = cards.select("card_id", F.lit("").alias("path"), F.try_parse_json("dataset_query").alias("v")).where("v is not null")
+    found = []
+    while True:
+        items = _exploded(level).where(F.col("key").isNull() | F.col("key").isin(*READS))
+        level, rows = settled_rows(items.select("card_id", F.concat("path", _step()).alias("path"), "v").where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
+        if not rows:
+            break
+        found.append(level.where(F.schema_of_variant("v").startswith("OBJECT")))
+    if not found:
+        return cards.select("card_id", F.lit("").alias("path"), *(F.lit(None).cast("bigint").alias(c) for c in ("table_id", "source_card"))).limit(0)
+    source = F.try_variant_get("v", "$['source-table']", "string")
+    card = F.coalesce(F.try_variant_get("v", "$['source-card']", "bigint"), F.regexp_extract(source, r"^card__(\d+)$", 1).try_cast("bigint"))
+    return reduce(DataFrame.union, found).select("card_id", "path", F.when(card.isNull(), source.try_cast("bigint")).alias("table_id"), card.alias("source_card"))
+
+
 def upstream_cards(cards: DataFrame, refs: DataFrame) -> DataFrame:
-    """(card_id, upstream): cards named as source table, source card, join source or metric."""
-    v = F.try_parse_json("dataset_query")
-    paths = ["$.query['source-table']", "$.query['source-query']['source-table']", "$.query.joins[0]['source-table']", "$.stages[0]['source-card']", "$.stages[0].joins[0].stages[0]['source-card']"]
-    texts = F.array(*(F.concat(F.lit("card__"), F.try_variant_get(v, p, "string")) if p.endswith("['source-card']") else F.try_variant_get(v, p, "string") for p in paths))
-    named = cards.select("card_id", F.explode(texts).alias("s")).select("card_id", F.regexp_extract("s", r"^card__(\d+)$", 1).try_cast("bigint").alias("upstream"))
+    """(card_id, upstream): cards named as source table, source card, join source or metric, however deep."""
+    named = query_sources(cards).select("card_id", F.col("source_card").alias("upstream"))
     metric = refs.where("kind = 'metric'").select("card_id", F.col("target").try_cast("bigint"))
     return named.union(metric).where("upstream is not null").distinct()
 
 
 def source_context(cards: DataFrame) -> DataFrame:
-    """(card_id, table_id, source_card): what the innermost query reads."""
-    v = F.try_parse_json("dataset_query")
-    source = F.coalesce(F.try_variant_get(v, "$.query['source-query']['source-table']", "string"), F.try_variant_get(v, "$.query['source-table']", "string"), F.try_variant_get(v, "$.stages[0]['source-table']", "string"))
-    card = F.coalesce(F.regexp_extract(source, r"^card__(\d+)$", 1).try_cast("bigint"), F.try_variant_get(v, "$.stages[0]['source-card']", "bigint"))
-    return cards.select("card_id", source.try_cast("bigint").alias("table_id"), card.alias("source_card"))
+    """(card_id, table_id, source_card): what the innermost query reads: the deepest source query, or the first stage."""
+    rows = query_sources(cards).where(F.col("path").rlike(r"^(\.query(\.source-query)*|\.stages#\d+)$"))
+    stage = F.regexp_extract("path", r"#(\d+)$", 1).try_cast("int")
+    inner = rows.groupBy("card_id").agg(F.max_by(F.struct("table_id", "source_card"), F.struct(stage.isNotNull(), F.coalesce(-stage, F.length("path")))).alias("s"))
+    return cards.select("card_id").join(inner, "card_id", "left").select("card_id", "s.table_id", "s.source_card")
 
 
 def resolve_refs_by_id(refs: DataFrame, fields: DataFrame) -> DataFrame:
