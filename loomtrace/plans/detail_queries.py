@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from loomtrace.operators import detail, walk
 from loomtrace.plans.estate import Estate
-from loomtrace.plans.graph_queries import _ROLL, _SOME, _reach_sql
+from loomtrace.plans.graph_queries import _EVERY, _ROLL, _SOME, _reach_sql
 from loomtrace.plans.project_queries import _REASONS, _traces
 from loomtrace.plans.suite import Suite
 
@@ -26,6 +26,13 @@ def _(e: Estate) -> DataFrame:
     return detail.column_detail(e.nodes, e.edges, e.sql(_SOME))
 
 
+@suite("l1_column_detail_all")
+def _(e: Estate) -> DataFrame:
+    return detail.column_detail(e.nodes, e.edges, e.sql(_EVERY))
+
+
+#: All objects of the BI side.
+_BI_ALL = "select node_id from e_nodes where node_type in ('mb_field', 'mb_card', 'mb_dashboard')"
 _OBJ = "select node_id from e_cards where card_id % 301 = 7 union all select node_id from e_fields where field_id % 211 = 3 union all select 'mb_card::' || (-k) from e_sources"
 _BI = f"""{_reach_sql(_OBJ, 't', 'f')}, s as (select start, count(*) filter (n.node_type = 'column') as columns, count(distinct n.owner_id) filter (n.node_type = 'column') as models,
       max({{rank}}) filter (n.node_type = 'column') as r, count(*) filter (n.node_type = 'mb_field') as fields, count(*) filter (n.node_type = 'mb_field' and n.node_id not in (select t from e_binds)) as unbound from reached a join e_nodes n on n.node_id = a.node_id group by start),
@@ -39,6 +46,11 @@ def _(e: Estate) -> DataFrame:
     return detail.bi_detail(e.nodes, e.edges, e.sql(_OBJ))
 
 
+@suite("l2_bi_detail_all")
+def _(e: Estate) -> DataFrame:
+    return detail.bi_detail(e.nodes, e.edges, e.sql(_BI_ALL))
+
+
 @suite(
     "l3_chain_gap",
     f"""with recursive {_BI} select b.start, case when columns > 0 then null when n.node_type = 'mb_field' then 'field-unbound' when unbound > 0 then 'fields-unbound' when n.node_type = 'mb_dashboard' then 'dashboard-unresolved' when k.query_type = 'native' then 'native-unresolved' else 'query-unresolved' end as gap
@@ -48,6 +60,11 @@ def _(e: Estate) -> DataFrame:
     return detail.chain_gap(detail.bi_detail(e.nodes, e.edges, e.sql(_OBJ)), e.nodes, e.cards)
 
 
+@suite("l3_chain_gap_all")
+def _(e: Estate) -> DataFrame:
+    return detail.chain_gap(detail.bi_detail(e.nodes, e.edges, e.sql(_BI_ALL)), e.nodes, e.cards)
+
+
 _MOD = "select node_id from e_models where k % 9 = 2"
 _OWN = f"select node_id from e_columns where owner_id in ({_MOD})"
 
@@ -63,6 +80,11 @@ def _(e: Estate) -> DataFrame:
     return detail.model_detail(e.nodes, e.edges, e.sql(_MOD))
 
 
+@suite("l4_model_detail_all")
+def _(e: Estate) -> DataFrame:
+    return detail.model_detail(e.nodes, e.edges, e.sql("select node_id from e_models"))
+
+
 @suite("l5_relationships_touching", "select f as node_id, 'out' as direction, t as other, confidence = 'validated' as validated from e_relates union all select t, 'in', f, confidence = 'validated' from e_relates")
 def _(e: Estate) -> DataFrame:
     return detail.relationships_touching(e.relates, e.columns)
@@ -162,6 +184,11 @@ def _(e: Estate) -> DataFrame:
     return detail.model_star(_pairs(e), e.sql(_STAGED), limit=2)
 
 
+@suite("l15_model_star_all")
+def _(e: Estate) -> DataFrame:
+    return detail.model_star(_pairs(e), e.sql(_STAGED))
+
+
 @suite(
     "l16_starting_points",
     f"""{_ROLL.replace('with en', 'with en', 1)}, a as (select 'model' as kind, f as node_id, count(distinct t) as n from rolled where f like 'model%' and t like 'mb_card%' group by f union all select 'dashboard', t, count(distinct f) from rolled where f like 'mb_card%' and t like 'mb_dash%' group by t)

@@ -13,6 +13,9 @@ suite = Suite()
 
 #: Point queries of the traversals.
 _SOME = "select node_id from e_columns where k % 97 = 5"
+#: Starts of the whole jobs (``_all``), for which the recursive SQL twins are too slow.
+_EVERY = "select node_id from e_columns"
+_BOARDS_ALL = "select distinct dash_id as node_id from e_dashcards"
 _CONSUMERS = "select node_id from e_nodes where node_type in ('mb_card', 'mb_dashboard')"
 
 
@@ -150,6 +153,11 @@ def _(e: Estate) -> DataFrame:
     return walk.truncated(walk.walked(e.nodes, e.edges, e.sql(_SOME), 2), e.edges, 2)
 
 
+@suite("g2_truncated_all")
+def _(e: Estate) -> DataFrame:
+    return walk.truncated(walk.walked(e.nodes, e.edges, e.sql(_EVERY)), e.edges, walk.MAX_DEPTH)
+
+
 _RANK = "case confidence when 'exact' then 5 when 'validated' then 4 when 'parsed' then 3 when 'declared' then 3 when 'inferred' then 2 else 1 end"
 _WORD = "case {0} when 5 then 'exact' when 4 then 'validated' when 3 then 'parsed' when 2 then 'inferred' else 'fuzzy' end"
 
@@ -166,16 +174,31 @@ def _(e: Estate) -> DataFrame:
     return walk.reach(e.edges, e.sql(_SOME), "down")
 
 
+@suite("g3_reach_down_all")
+def _(e: Estate) -> DataFrame:
+    return walk.reach(e.edges, e.sql(_EVERY), "down")
+
+
 @suite("g3_reach_up", f"with recursive {_reach_sql("select distinct dash_id as node_id from e_dashcards where dash_id like '%1'", 't', 'f')} select * from reached")
 def _(e: Estate) -> DataFrame:
     return walk.reach(e.edges, e.sql("select distinct dash_id as node_id from e_dashcards where dash_id like '%1'"), "up")
 
 
+@suite("g3_reach_up_all")
+def _(e: Estate) -> DataFrame:
+    return walk.reach(e.edges, e.sql(_BOARDS_ALL), "up")
+
+
 @suite("g4_reached_of_type", f"with recursive {_reach_sql(_SOME)} select r.*, n.name from reached r join e_nodes n on n.node_id = r.node_id where n.node_type = 'mb_dashboard'")
 def _(e: Estate) -> DataFrame:
     return walk.reached_of_type(walk.reach(e.edges, e.sql(_SOME)), e.nodes, "mb_dashboard")
 
 
+@suite("g4_reached_of_type_all")
+def _(e: Estate) -> DataFrame:
+    return walk.reached_of_type(walk.reach(e.edges, e.sql(_EVERY)), e.nodes, "mb_dashboard")
+
+
 _LIVE = f"""live as (select node_id from ({_CONSUMERS}) union select b.f from live l join (select f, t from e_flow union all select owner_id, node_id from e_columns) b on b.t = l.node_id)"""
 
 
@@ -198,6 +221,11 @@ def _(e: Estate) -> DataFrame:
     return walk.lineage_subgraph(e.edges, e.sql(_ONE))[1]
 
 
+@suite("g6_lineage_subgraph_all")
+def _(e: Estate) -> DataFrame:
+    return walk.lineage_subgraph(e.edges, e.sql(_EVERY))[1]
+
+
 @suite(
     "g7_layers",
     "with recursive l as (select node_id, 0 as layer from e_columns union select e.t, l.layer + 1 from l join e_feeds e on e.f = l.node_id) select node_id, max(layer) as layer from l group by node_id",
@@ -328,6 +356,11 @@ def _(e: Estate) -> DataFrame:
     return impact.blast_radius(e.nodes, e.edges, e.sql(_SOME))
 
 
+@suite("h8_blast_radius_all")
+def _(e: Estate) -> DataFrame:
+    return impact.blast_radius(e.nodes, e.edges, e.sql(_EVERY))
+
+
 _QUERIES = """select node_id as query from e_columns where k % 40 = 0 union all select ' ' || upper(name) || ' ' from e_columns where k % 30 = 1
     union all select m.name || '.' || c.name from e_columns c join e_models m on m.node_id = c.owner_id where c.k % 20 = 2 union all select lower(m.schema_name) || '.' || m.name || '.' || c.name from e_columns c join e_models m on m.node_id = c.owner_id where c.k % 20 = 3
     union all select 'e' || k || '_id' from e_models union all select upper(name) from e_models union all select node_id || '.none' from e_models union all select 'zz' || k from e_sources union all select '  ' from region"""
