@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ LAYERS = r"^(viz_|stg_|int_|fct_|dim_|mart_|bdg_|base_|agg_|rpt_)+"
 NAMING = 0.5
 #: The lowest ratio of a fuzzy hit, and what a database mapping needs to be sure.
 FUZZY, SURE, LEAD = 0.6, 0.9, 0.15
+#: Texts that are searched behind name and id, and how a hit in each is called.
+TEXTS = {"description": "description", "title": "properties.title", "collection_name": "properties.collection_name", "tags": "properties.tags"}
 
 
 def implicit_join_pairs(uses: DataFrame, fields: DataFrame, binds: DataFrame, columns: DataFrame, models: DataFrame) -> DataFrame:
@@ -86,20 +90,32 @@ def fuzzy_score(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def searchable(nodes: DataFrame, collections: DataFrame, tags: DataFrame) -> DataFrame:
+    """Nodes with their ``title`` (null where they have none), the name of their collection and their tags as one text."""
+    named = collections.select("collection_id", F.col("name").alias("collection_name"))
+    tagged = tags.where("tag is not null").groupBy("node_id").agg(F.array_join(F.sort_array(F.collect_set("tag")), " ").alias("tags"))
+    titled = nodes if "title" in nodes.columns else nodes.withColumn("title", F.lit(None).cast("string"))
+    return titled.join(named, "collection_id", "left").join(tagged, "node_id", "left")
+
+
 def search(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query, node_id, node_type, name, tier, field, score, place): the best hits of each query.
 
-    Tiers: the name itself, its beginning, a word's beginning, a part of name, id or
-    description, a similar name. Queries are few and stated, so they go to every executor.
+    ``nodes`` are those of :func:`searchable`. Tiers: the name itself, its beginning,
+    a word's beginning, a part of name, id, description, title, collection or tags
+    (the first of these is the field), a similar name. Queries are few and stated, so they go to every executor.
     """
     q = F.broadcast(queries.select("query", F.lower(F.trim("query")).alias("q")).where("q <> ''").distinct())
-    n = nodes.select("node_id", "node_type", "name", F.lower("name").alias("low"), F.lower(F.substring_index(F.substring_index("node_id", "::", -1), ".", -1)).alias("tail"), F.lower("description").alias("text"))
+    n = nodes.select("node_id", "node_type", "name", F.lower("name").alias("low"), F.lower(F.substring_index(F.substring_index("node_id", "::", -1), ".", -1)).alias("tail"), *(F.lower(c).alias(f"in_{c}") for c in TEXTS))
     word = F.expr("low rlike concat('(?s)(^|[^\\\\p{L}\\\\p{N}])\\\\Q', q, '\\\\E')")
     has = lambda c: F.coalesce(F.col(c).contains(F.col("q")), F.lit(False))
+    parts = ["low", "tail", *(f"in_{c}" for c in TEXTS)]
     ratio = fuzzy_score(F.col("q"), F.col("low"))
     hits = n.join(q).withColumn("ratio", ratio)
-    tier = F.when(F.col("low") == F.col("q"), 5).when(F.col("low").startswith(F.col("q")), 4).when(word, 3).when(has("low") | has("tail") | has("text"), 2).when(F.col("ratio") >= FUZZY, 1)
-    field = F.when((F.col("tier") != 2) | has("low"), "name").when(has("tail"), "node_id").otherwise("description")
+    tier = F.when(F.col("low") == F.col("q"), 5).when(F.col("low").startswith(F.col("q")), 4).when(word, 3).when(reduce(Column.__or__, map(has, parts)), 2).when(F.col("ratio") >= FUZZY, 1)
+    field = F.when((F.col("tier") != 2) | has("low"), "name").when(has("tail"), "node_id")
+    for c, label in TEXTS.items():
+        field = field.when(has(f"in_{c}"), label)
     score = F.when(F.col("tier") > 1, F.col("tier").cast("double")).otherwise(F.round("ratio", 3))
     rows = hits.withColumn("tier", tier).where("tier is not null").withColumns({"field": field, "score": score})
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("tier"), F.desc("score"), "low", "node_id"))

@@ -98,7 +98,8 @@ _HITS = f"""q as (select distinct query, lower(trim(query)) as q from ({_Q}) whe
 
 
 def _hits(e: Estate) -> DataFrame:
-    return suggest.search(e.nodes, e.sql(_Q))
+    tags = e.sql("select uid as node_id, tag from e_entities")
+    return suggest.search(suggest.searchable(e.nodes, e.collections, tags), e.sql(_Q))
 
 
 @suite("k1_search", f"with {_HITS} select * from hits")
