@@ -147,11 +147,21 @@ def resolve_refs_by_id(refs: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.select("card_id", "label", "target", "field_id", "source_field", "join_alias", status.alias("status"))
 
 
-def resolve_refs_by_name(refs: DataFrame, context: DataFrame, fields: DataFrame, joins: DataFrame, consumed: DataFrame) -> DataFrame:
+def result_fields(cards: DataFrame) -> DataFrame:
+    """(source_card, name, field_id): columns of a card's ``result_metadata`` that stand for a field, each as often as it is there."""
+    level = cards.select("card_id", F.lit("").alias("path"), F.try_parse_json("result_metadata").alias("v")).where(F.schema_of_variant("v").startswith("ARRAY"))
+    at = lambda i: F.try_variant_get("v", f"$.field_ref[{i}]", "variant")
+    target = F.when(F.schema_of_variant(at(1)).startswith("OBJECT"), at(2)).otherwise(at(1))
+    rows = _exploded(level).where(F.try_variant_get("v", "$.field_ref[0]", "string") == "field").where(F.schema_of_variant(target) == "BIGINT")
+    return rows.select(F.col("card_id").alias("source_card"), F.try_variant_get("v", "$.name", "string").alias("name"), F.try_variant_get(target, "$", "bigint").alias("field_id"))
+
+
+def resolve_refs_by_name(refs: DataFrame, context: DataFrame, fields: DataFrame, joins: DataFrame, consumed: DataFrame, results: DataFrame) -> DataFrame:
     """(card_id, label, target, field_id, confidence) of references by name; field_id is null where none or several answer.
 
     In order: the table of the join alias, which is final; the source table; the
-    unique field of that name among what the upstream card consumes, which is only parsed. An alias
+    columns of that very name in the upstream card's ``results`` (see :func:`result_fields`),
+    final if there are any; the unique field of that name among what the upstream card consumes, which is only parsed. An alias
     without a table makes the rest parsed.
     """
     named = fields.groupBy("table_id", F.lower("column_name").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("field_id").alias("f"))
@@ -160,9 +170,12 @@ def resolve_refs_by_name(refs: DataFrame, context: DataFrame, fields: DataFrame,
     rows = rows.join(one.toDF("alias_table", "low", "by_alias"), ["alias_table", "low"], "left").join(one.toDF("table_id", "low", "by_table"), ["table_id", "low"], "left")
     upstream = consumed.join(fields.select("field_id", F.lower("column_name").alias("low")), "field_id").groupBy(F.col("card_id").alias("source_card"), "low").agg(F.count_distinct("field_id").alias("n"), F.min("field_id").alias("by_card")).where("n = 1").drop("n")
     rows = rows.join(upstream, ["source_card", "low"], "left")
+    known = fields.select("field_id", F.lit(True).alias("known")).distinct()
+    shown = results.join(known, "field_id", "left").groupBy("source_card", F.col("name").alias("target")).agg(F.when((F.count(F.lit(1)) == 1) & F.bool_or("known"), F.min("field_id")).alias("by_result"), F.lit(True).alias("shown"))
+    rows = rows.join(shown, ["source_card", "target"], "left")
     final = F.col("mapped") & F.col("alias_table").isNotNull()
-    field = F.when(final, F.col("by_alias")).otherwise(F.coalesce("by_table", "by_card"))
-    sure = F.when(final, F.lit(True)).otherwise(F.col("by_table").isNotNull() & F.col("join_alias").isNull())
+    field = F.when(final, F.col("by_alias")).otherwise(F.coalesce("by_table", F.when(F.col("shown"), F.col("by_result")).otherwise(F.col("by_card"))))
+    sure = F.when(final, F.lit(True)).otherwise((F.col("by_table").isNotNull() | F.col("shown").isNotNull()) & F.col("join_alias").isNull())
     return rows.select("card_id", "label", "target", field.alias("field_id"), F.when(field.isNotNull(), F.when(sure, "exact").otherwise("parsed")).alias("confidence"))
 
 

@@ -115,7 +115,8 @@ _FT = "select f.field_id, f.column_name, t.table_id from e_fields f join e_table
     select card_id, label, target, field_id, case when field_id is not null then case when fin or (fb is not null and join_alias is null) then 'exact' else 'parsed' end end as confidence from y""",
 )
 def _(e: Estate) -> DataFrame:
-    return bi.resolve_refs_by_name(e.sql(_NAMED), e.sql(_CTX), e.sql(_FT), e.sql(_JOINS), e.consumed.select("card_id", "field_id").distinct())
+    results = bi.result_fields(e.cardq.select("card_id", F.lit(None).cast("string").alias("result_metadata")))  # the tables hold none
+    return bi.resolve_refs_by_name(e.sql(_NAMED), e.sql(_CTX), e.sql(_FT), e.sql(_JOINS), e.consumed.select("card_id", "field_id").distinct(), results)
 
 
 @suite("c13_consumption", "select card_id, field_id, string_agg(distinct clause, ', ' order by clause) as clauses, bool_or(implicit_join) as implicit_join from e_consumed group by card_id, field_id")

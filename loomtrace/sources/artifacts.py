@@ -19,7 +19,7 @@ _DASHCARD = "struct<id:bigint,card_id:bigint,parameter_mappings:string>"
 #: Parts of a BI snapshot: file name pattern and schema. A list may be wrapped in ``data``.
 BI = {
     "tables": ("database_metadata_*.json", f"id bigint, name string, tables array<struct<id:bigint,name:string,schema:string,fields:array<{_FIELD}>>>"),
-    "cards": ("cards*.json", "id bigint, name string, description string, collection_id bigint, archived boolean, display string, updated_at string, creator struct<id:bigint,common_name:string,email:string>, dataset_query string"),
+    "cards": ("cards*.json", "id bigint, name string, description string, collection_id bigint, archived boolean, display string, updated_at string, creator struct<id:bigint,common_name:string,email:string>, dataset_query string, result_metadata string"),
     "dashboards": ("dashboard_*.json", f"id bigint, name string, collection_id bigint, archived boolean, dashcards array<{_DASHCARD}>, ordered_cards array<{_DASHCARD}>"),
     "collections": ("collections.json", "id bigint, name string, location string, personal_owner_id bigint"),
     "snippets": ("snippets.json", "id bigint, name string, content string"),
@@ -70,7 +70,7 @@ def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
 def read_bi_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``tables``, ``fields``, ``cards``, ``dashboards``, ``dashcards``, ``collections`` and ``snippets`` of a snapshot folder.
 
-    Entries without an id are passed over. ``dataset_query`` stays text, to be parsed by the operators.
+    Entries without an id are passed over. ``dataset_query`` and ``result_metadata`` stay text, to be parsed by the operators.
     """
     parts = {}
     for name, (pattern, schema) in BI.items():

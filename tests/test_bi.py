@@ -3,6 +3,7 @@
 import json
 
 from loomtrace.operators import bi
+from loomtrace.sources import artifacts
 
 
 def cards(spark, queries):
@@ -39,3 +40,25 @@ def test_context_is_the_innermost_query(spark):
 def test_no_card_reads_anything(spark):
     assert bi.upstream_cards(cards(spark, {1: {}}), spark.createDataFrame([], "card_id long, kind string, target string")).count() == 0
     assert [tuple(r) for r in bi.source_context(cards(spark, {1: {}})).collect()] == [(1, None, None)]
+
+
+def test_result_metadata_resolves_names_before_the_guess(spark, tmp_path):
+    def column(name, *ref):
+        return {"name": name, "field_ref": list(ref)}
+
+    shown = [column("total", "field", 1, None), column("late", "field", {"base-type": "x"}, 2), column("twice", "field", 1, None), column("twice", "field", 2, None), column("gone", "field", 99, None), column("sum", "aggregation", 0), column("text", "field", "total", None)]
+    (tmp_path / "cards.json").write_text(json.dumps([{"id": 50, "name": "up", "dataset_query": {}, "result_metadata": shown}]))
+    for name in ("collections", "snippets", "database_metadata_1", "dashboard_1"):
+        (tmp_path / f"{name}.json").write_text("{}")
+    read = artifacts.read_bi_snapshot(spark, str(tmp_path))["cards"].withColumnRenamed("id", "card_id")
+    results = bi.result_fields(read)
+    names = ["total", "late", "twice", "gone", "sum", "text", "Total", "plain"]
+    refs = spark.createDataFrame([(1, "filter", n, a) for n in names for a in (None, "J")], "card_id long, label string, target string, join_alias string")
+    context = spark.createDataFrame([(1, None, 50)], "card_id long, table_id long, source_card long")
+    fields = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "total", 1), (4, "twice", 1), (5, "gone", 1), (6, "sum", 1), (7, "plain", 1)], "field_id long, column_name string, table_id long")
+    joins = spark.createDataFrame([], "card_id long, alias string, table_id long")
+    consumed = spark.createDataFrame([(50, i) for i in range(1, 8)], "card_id long, field_id long")
+    got = {(r.target, r.field_id, r.confidence) for r in bi.resolve_refs_by_name(refs.where("join_alias is null"), context, fields, joins, consumed, results).collect()}
+    assert got == {("total", 1, "exact"), ("late", 2, "exact"), ("twice", None, None), ("gone", None, None), ("sum", 6, "parsed"), ("text", None, None), ("Total", 3, "parsed"), ("plain", 7, "parsed")}
+    aliased = {(r.target, r.field_id, r.confidence) for r in bi.resolve_refs_by_name(refs.where("join_alias = 'J' and target = 'total'"), context, fields, joins, consumed, results).collect()}
+    assert aliased == {("total", 1, "parsed")}
