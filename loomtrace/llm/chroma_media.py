@@ -3,8 +3,8 @@
 A recording (WAV, PCM of 16 bits) becomes frames of twelve pitch-class energies.
 Sixteen box filters, read from an integral image of the frames, are quantised to
 two bits each and packed into one integer for each frame. Two recordings align
-where most equal integers agree on one offset; the share of differing bits over
-the overlap then decides.
+at an offset on which enough equal integers agree, if the share of differing bits
+over the overlap is small; of several such offsets the one with most integers counts.
 
 Equal fingerprints form one class, so copies are searched once. Queries are a
 stated set; they meet all classes in blocks of a fixed size, so what is sent to
@@ -160,7 +160,7 @@ def vector_fingerprints(vectors: DataFrame, vector_col: str, id_col: str) -> Dat
 
 
 def _aligned(names: list[int], lists: list[np.ndarray], rest: int):
-    """Matches of batches of classes against a block of queries."""
+    """Matches of batches of classes against a block of queries: for each pair the offset with most votes that passes."""
     flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
     query = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     place = np.concatenate([np.arange(len(x)) for x in lists]) if lists else np.empty(0, np.int64)
@@ -181,15 +181,17 @@ def _aligned(names: list[int], lists: list[np.ndarray], rest: int):
         keep = counts >= VOTES
         votes, counts = votes[keep], counts[keep]
         pair, shift = votes // (2 * wide), votes % (2 * wide) - wide
-        best = np.lexsort((shift, -counts, pair))
-        best = best[np.diff(pair[best], prepend=-1) != 0]
-        for p, s in zip(pair[best].tolist(), shift[best].tolist()):
+        ranked, done = np.lexsort((shift, -counts, pair)), -1
+        for p, s in zip(pair[ranked].tolist(), shift[ranked].tolist()):
+            if p == done:
+                continue
             theirs, own = lists[p % len(names)], rows[p // len(names)]
             low, high = max(0, s), min(len(own), len(theirs) + s)
             if high - low < OVERLAP:
                 continue
             wrong = int(np.bitwise_count(own[low:high].view(np.uint32) ^ theirs[low - s : high - s].view(np.uint32)).sum())
             if wrong <= ERRORS * 32 * (high - low):
+                done = p
                 yield names[p % len(names)], ids[p // len(names)], s, high - low, wrong / (32 * (high - low))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
