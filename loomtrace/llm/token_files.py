@@ -60,7 +60,7 @@ class WordEncoder:
         """Encodes new words: lower-cased and without marks at the end, as far as that changes no id."""
         cut = {}
         for word in words:
-            low = word if b"<|" in word else word.lower()
+            low = word.lower() if word.isascii() and b"<|" not in word else word  # a capital before a combining mark may compose otherwise
             core = low.rstrip(_MARKS)
             marks = low[len(core) :]
             cut[word] = (core, marks) if marks and core.decode()[-1:].isalpha() else (low,)
