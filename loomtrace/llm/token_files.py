@@ -14,6 +14,8 @@ executors share.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,6 +24,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +40,37 @@ FILE_DOCS = 100_000
 _REMEMBER = 900_000
 #: Length up to which words are kept when the rest is forgotten: short ones come again.
 _KEPT = 9
-#: Punctuation that a tokenizer of this kind always cuts from the letters before it.
-_MARKS = b".,!?;:|#%*$&"
+#: Bytes of text that are encoded at once.
+_BYTES = 4 << 20
+#: Fixed value: the pattern by which tokenizers of this kind part letters, digits and marks.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word of Latin letters with marks behind it: the pattern above gives the letters and the marks.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#%*$&]*)").fullmatch
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer folds case, drops white space and parts words as :data:`_PARTS` says.
+
+    Then the ids of a text are those of its words, and a word of plain letters has
+    the ids that the model alone gives to its lower-case letters.
+    """
+    spec = json.loads(tokenizer.to_str())
+    normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        normal == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in cut] == ["Split", "ByteLevel"]
+        and cut[0]["pattern"] == {"Regex": _PARTS} and cut[0]["behavior"] == "Removed" and cut[0]["invert"]
+        and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+        and not any(c.isspace() or c.isalpha() for x in spec["added_tokens"] for c in (x["content"][0], x["content"][-1]))
+    )
 
 
 class WordEncoder:
-    """Encodes texts by their words, each distinct word once.
+    """Encodes texts; with a tokenizer of the kind :func:`by_words` each distinct word once.
 
-    White space always ends a word, so a text's ids are those of its words. Words
-    go to the tokenizer many at a time in one text, and the offsets of the tokens
-    part them again. It suits tokenizers that fold case and drop white space.
+    Any other tokenizer gets every text whole.
     """
 
     def __init__(self, path: str):
@@ -54,41 +78,60 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encodes new words: lower-cased and without marks at the end, as far as that changes no id."""
-        cut = {}
+        self.by_words = by_words(self.tokenizer)
+        self.known: dict[str, bytes] = {}
+        if self.by_words:
+            signs = [chr(c) for c in range(33, 256) if _PLAIN(chr(c)) or _PLAIN("a" + chr(c))]
+            part = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.signs = {ord(c): part(c)[0][0] for c in signs}
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of lower-case Latin letters, or of a run of marks, by the model alone."""
+        if (found := self.known.get(text)) is None:
+            ids = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.signs) if not text.isascii() else text)]
+            found = self.known[text] = np.array(ids, self.dtype).tobytes()
+        return found
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words; those of other signs go to the tokenizer many at a time, and offsets part them again."""
+        known, plain, odd = self.known, self._plain, []
         for word in words:
-            low = word.lower() if word.isascii() and b"<|" not in word else word  # a capital before a combining mark may compose otherwise
-            core = low.rstrip(_MARKS)
-            marks = low[len(core) :]
-            cut[word] = (core, marks) if marks and core.decode()[-1:].isalpha() else (low,)
-        todo = sorted({x for parts in cut.values() for x in parts if x not in self.known})
-        for at in range(0, len(todo), 2_000):
-            part = todo[at : at + 2_000]
-            encoded = self.tokenizer.encode(" ".join(w.decode() for w in part), add_special_tokens=False)
-            ids = np.array(encoded.ids, self.dtype)
-            places = np.array([x[0] for x in encoded.offsets])
-            ends = np.cumsum([len(w.decode()) + 1 for w in part])
-            for w, x in zip(part, np.split(ids, np.searchsorted(places, ends[:-1]))):
-                self.known[w] = x.tobytes()
-        for word, parts in cut.items():
-            self.known[word] = b"".join([self.known[x] for x in parts])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        out, known = [], self.known
-        for at in range(0, len(texts), 500):
-            if len(known) > _REMEMBER:
-                known = self.known = {k: v for k, v in known.items() if len(k) <= _KEPT}
-                if len(known) > _REMEMBER // 2:
-                    known = self.known = {}
-            split = [t.split() for t in texts[at : at + 500]]
-            if new := {w for words in split for w in words if w not in known}:
-                self.learn(new)
-            out += [b"".join([known[w] for w in words]) for words in split]
-        return out
+            if found := _PLAIN(word):
+                letters, marks = found.groups()
+                ids = plain(letters.lower())
+                known[word] = ids + plain(marks) if marks else ids
+            else:
+                odd.append(word)
+        for at in range(0, len(odd), 2_000):
+            part = odd[at : at + 2_000]
+            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw, size = np.array(encoded.ids, self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            ends = np.cumsum([len(w) + 1 for w in part])
+            cuts = [0, *np.searchsorted([x[0] for x in encoded.offsets], ends).tolist()]
+            known |= {w: raw[a * size : z * size] for w, a, z in zip(part, cuts, cuts[1:])}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``texts`` (strings without nulls) laid end to end, and how many each text has."""
+        if not self.by_words:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], self.dtype), np.array([len(ids) for ids in found], np.int64)
+        if len(self.known) > _REMEMBER:
+            self.known = {k: v for k, v in self.known.items() if len(k) <= _KEPT}
+            if len(self.known) > _REMEMBER // 2:
+                self.known = {}
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, where = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.known
+        if new := [w for w in words if w not in known]:
+            self.learn(new)
+        found = [known[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.dtype).itemsize
+        begins, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), self.dtype)
+        sizes = sizes[where]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(begins[where] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        return ids, np.diff(np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
 
 @cache
@@ -129,10 +172,11 @@ class SequenceFile:
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.held, self.ends, self.size = [], [], 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents laid end to end; ``ends`` are the places of their last ids."""
         self.held.append(ids)
+        self.ends.append(ends + self.size)
         self.size += len(ids)
-        self.ends.append(self.size - 1)
         if self.size >= BATCH * self.length:
             self._flush(False)
 
@@ -140,7 +184,7 @@ class SequenceFile:
         ids = np.concatenate(self.held) if self.held else np.empty(0, self.dtype)
         step = BATCH * self.length
         whole = len(ids) if last else len(ids) // step * step
-        ends = np.array(self.ends, np.int64)
+        ends = np.concatenate(self.ends) if self.ends else np.empty(0, np.int64)
         for at in range(0, whole, step):
             part = ids[at : min(at + step, whole)]
             rows = -(-len(part) // self.length)
@@ -148,11 +192,11 @@ class SequenceFile:
             full[: len(part)] = part
             real = np.arange(len(full)) < len(part)
             mark = np.zeros(len(full), bool)
-            mark[ends[(ends >= at) & (ends < at + len(part))] - at] = True
+            mark[ends[np.searchsorted(ends, at) : np.searchsorted(ends, at + len(part))] - at] = True
             values = pa.FixedSizeListArray.from_arrays(pa.array(full), self.length)
             self.writer.write_batch(pa.RecordBatch.from_arrays([values, _mask(real, self.length), _mask(mark, self.length)], schema=self.schema))
         self.held, self.size = [ids[whole:]], len(ids) - whole
-        self.ends = (ends[ends >= whole] - whole).tolist()
+        self.ends = [ends[ends >= whole] - whole]
 
     def close(self) -> None:
         self._flush(True)
@@ -164,24 +208,34 @@ class SequenceFile:
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about ``_BYTES``, one text at least."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _BYTES, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def _write(folder: str, path: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = TaskContext.get().partitionId(), encoder(path)
         name = f"part-{part:06d}"
-        end = np.array([end_id], enc.dtype)
         tokens, docs, start, index = None, 0, 0, []
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            starts, sizes = [], []
-            for raw in enc.encode(texts):
+            sizes = [np.empty(0, np.int64)]
+            for texts in _pieces(batch.column("text")):
                 tokens = tokens or SequenceFile(folder, f"{name}.arrow", enc.dtype, length)
-                ids = np.concatenate([np.frombuffer(raw, enc.dtype), end])
-                tokens.add(ids)
-                starts.append(start)
-                sizes.append(len(ids))
-                start += len(ids)
+                ids, counts = enc.encode(texts)
+                stops = np.cumsum(counts)
+                tokens.add(np.insert(ids, stops, end_id), stops + np.arange(len(stops)))
+                sizes.append(counts + 1)
+            sizes = np.concatenate(sizes)
+            starts = start + np.cumsum(sizes) - sizes
+            start += int(sizes.sum())
             index.append(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=_INDEX))
-            docs += len(texts)
+            docs += len(sizes)
         if tokens:
             tokens.close()
             _save(folder, f"{name}.index.arrow", _INDEX, iter(index))
@@ -195,8 +249,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     Documents stand in ascending order of their ids, null ids first, equal ids in
     the order of a hash of their texts; start counts the ids of all files before. A null or
-    empty text has the end id alone. An empty table writes no file. Other columns
-    of ``docs`` are not written.
+    empty text has the end id alone. A text may be longer than any sequence or
+    batch: it runs on in the next. Repeated rows are written each. An empty table
+    writes no file. Other columns of ``docs`` are not written, whatever their names.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -218,13 +273,10 @@ def sequences(folder: str, name: str) -> pa.RecordBatchReader:
     return pa.ipc.open_file(source)
 
 
-def sequence(folder: str, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of real tokens of sequence ``k`` of a file; the ids are a view."""
+def sequence(folder: str, name: str, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Ids, mask of real tokens and mask of document ends of sequence ``k`` of a file, all views of it."""
     batch = sequences(folder, name).get_batch(k // BATCH)
-    ids = batch.column("ids")
-    length, row = ids.type.list_size, k % BATCH
-    real = batch.column("real").flatten().slice(row * length, length)
-    return ids.flatten().to_numpy()[row * length : (row + 1) * length], real.to_numpy(zero_copy_only=False)
+    return tuple(batch.column(c)[k % BATCH].values for c in ("ids", "real", "ends"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,19 +284,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             files, base = place(row["folder"])
             index = pa.ipc.open_file(files.open_input_file(f"{base}/{row['name']}.index.arrow")).read_all()
-            found, reader, left, k = [], sequences(row["folder"], row["name"]), b"", 0
-            sums = []
+            found, sums, count, crc = [], [], 0, 0  # the last two: of the document that goes on in the next batch
+            reader = sequences(row["folder"], row["name"])
             for b in range(reader.num_record_batches):
                 got = reader.get_batch(b)
                 real = got.column("real").flatten().to_numpy(zero_copy_only=False)
                 ids = got.column("ids").flatten().to_numpy()[real].astype("<u4")
                 stops = np.flatnonzero(got.column("ends").flatten().to_numpy(zero_copy_only=False)[real]) + 1
-                at = 0
+                raw, at = ids.view(np.uint8), 0
                 for stop in stops.tolist():
-                    sums.append(zlib.crc32(ids[at:stop].tobytes(), zlib.crc32(left)) if left else zlib.crc32(ids[at:stop].tobytes()))
-                    found.append(stop - at + len(left) // 4)
-                    left, at = b"", stop
-                left += ids[at:].tobytes()
+                    sums.append(zlib.crc32(raw[4 * at : 4 * stop], crc))
+                    found.append(stop - at + count)
+                    at, count, crc = stop, 0, 0
+                count, crc = count + len(ids) - at, zlib.crc32(raw[4 * at :], crc)
             starts = np.cumsum(found) - found if found else np.empty(0, np.int64)
             if found != index["n_tokens"].to_pylist() or starts.tolist() != index["start"].to_pylist():
                 raise ValueError(f"index and ids of {row['name']} do not agree")
@@ -259,7 +311,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     whose index does not agree with its masks raises an error.
     """
     parts = max(1, files.count())
-    return files.repartition(parts, "part").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionById(parts, F.col("part")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, **options) -> DataFrame:

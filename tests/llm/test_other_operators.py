@@ -5,7 +5,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomtrace.llm import chroma_media, language_spans, piece_match, queries, shard_tree, source_mix, subword_quality, token_files, url_sweep
 
@@ -37,11 +39,26 @@ def test_piece_columns(spark):
     assert piece_match.digest(table.limit(0), PIECES).count() == 0
 
 
+def encoded(encoder, texts):
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    return [ids[z - n : z].tolist() for n, z in zip(counts, ends)]
+
+
 def test_words_equal_the_tokenizer(spark, sf):
-    encoder = token_files.WordEncoder(WORDS)
     texts = HARD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
-    for text, raw in zip(texts, encoder.encode([t.encode() for t in texts])):
-        assert np.frombuffer(raw, np.uint16).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    for path, parted in ((WORDS, True), (public_tokenizers.path("byte_bpe_50k.json"), False)):
+        encoder = token_files.WordEncoder(path)
+        assert encoder.by_words == parted
+        for text, ids in zip(texts, encoded(encoder, texts)):
+            assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_forgotten_are_learned_again(monkeypatch):
+    monkeypatch.setattr(token_files, "_REMEMBER", 3)
+    encoder = token_files.WordEncoder(WORDS)
+    for text in ["One two, three's <|endoftext|>end 42 ÉTÉ.", "two One étÉ?! ''s'", "", " ", "One"] * 2:
+        assert encoded(encoder, [text, text]) == [encoder.tokenizer.encode(text, add_special_tokens=False).ids] * 2
 
 
 def test_token_files_round_trip(spark, tmp_path, monkeypatch):
@@ -49,7 +66,8 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    texts = [*HARD, None, "a # b", "long " * 500]
+    texts = [*HARD, None, "a # b", "long " * 500, "Word" * 400_000]
+    monkeypatch.setattr(token_files, "_BYTES", 1_000)
     table = docs(spark, [(100 - i, t, "s", "1", "d") for i, t in enumerate(texts)])
     files = token_files.write_tokens(table, WORDS, folder=str(tmp_path), length=16).cache()
     got = sorted(token_files.read_documents(files).collect(), key=lambda r: r.doc_id)
@@ -59,8 +77,11 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     first = files.orderBy("part").first()
-    ids, real = token_files.sequence(first.folder, first.name, 0)
-    assert len(ids) == 16 and not ids.flags.owndata and real.any()
+    ids, real, ends = token_files.sequence(first.folder, first.name, 0)
+    assert len(ids) == len(ends) == 16 and real.true_count and not ids.to_numpy(zero_copy_only=True).flags.owndata
+    twice = table.where("doc_id > 90").withColumn("start", F.lit("mine"))
+    again = token_files.tokenize(spark, twice.union(twice), WORDS)
+    assert again.count() == 2 * twice.count() and again.select("doc_id", "n_tokens", "ids_crc32").distinct().count() == twice.count()
     assert token_files.read_documents(token_files.write_tokens(table.limit(0), WORDS)).count() == 0
 
 
