@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import written
+from loomtrace.llm.common import discard, join_groups, new_folder, salt_of, written
+
+#: Links from which on a hub's neighbours are dealt over salts; fewer fit one task.
+MANY = 1_000_000
+
+
+def _with_least(rows: DataFrame, key: str, least: DataFrame, n: int) -> DataFrame:
+    if n < MANY:
+        return rows.join(least, key)
+    return join_groups(rows, written(least, "least"), [key], "degree", 2 * n, salt_of(*rows.columns))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,23 +22,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours on its smallest neighbour,
     then its smaller ones. Rounds grow with the logarithm of the number of
-    nodes; each is written, so plans stay short and survive lost executors. Null
-    ends and loops link nothing.
+    nodes; each is written, so plans stay short and survive lost executors, and
+    the one before is deleted. Null ends and loops link nothing.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
-    before = None
+    spark, folder = links.sparkSession, new_folder(links.sparkSession, "links")
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links", folder)
+    before, n = None, edges.count()
     while True:
         # Large star: larger neighbours of u go to the smallest of u and its neighbours.
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo"), F.col("hi")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = _with_least(both, "u", least, n).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: u and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = _with_least(large, "hi", least, n)
         small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(small.select("hi", F.col("m"))).where("hi <> lo").distinct()
-        edges = written(small, "links")
+        held, folder = folder, new_folder(spark, "links")
+        edges = written(small, "links", folder)
+        discard(spark, held)
         after = edges.agg(F.count(F.lit(1)), F.count_distinct("lo"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if after == before:
             break
-        before = after
+        before, n = after, after[0]
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())

@@ -4,8 +4,10 @@
    hashes, as Golomb-Rice coded gaps, to the owners of the hash ranges.
 2. An owner decodes what it got and answers every sender with a bitmap: one bit
    for each hash sent, set if the hash occurs more than once.
-3. Only rows whose bit is set are suspects. Their whole texts are grouped by
-   value, which is the verification byte by byte; map-side combining leaves at
+3. Only rows whose bit is set are suspects. Few suspect hashes are broadcast;
+   beyond that every task reads the answers to its own partition from a file, so
+   rows without company are never shuffled. The suspects' whole texts are grouped
+   by value, which is the verification byte by byte; map-side combining leaves at
    most one row for each text and task, however many copies there are.
 
 The universe of hashes is about 1,000 times the number of rows, so a hash costs
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import every_salt, key_filter, salt_of, small_enough, written
+from loomtrace.llm.common import join_groups, salt_of, small_enough, told, written
 
 #: Hashes of one owner, and hashes that a partition codes at once.
 OWNER_HASHES = 4_000_000
@@ -104,72 +106,82 @@ def _answer(blobs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"owner": blobs.owner, "sender": blobs.sender, "answer": answers})
 
 
-def _flagged(span: int):
+def _decoded(span: int):
+    """Each sender's hashes with the answers to them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.empty(0, np.uint64)]
             for r in batch.to_pylist():
                 values = rice_decode(r["n"], r["width"], r["unary"], r["rest"]) + np.uint64(r["owner"] * span)
-                out.append(values[_flags(r["answer"], r["n"])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64))], ["fp"])
+                part = np.full(len(values), r["sender"] >> 20, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(values.astype(np.int64)), pa.array(_flags(r["answer"], r["n"]))], ["part", "key", "verdict"])
 
     return run
 
 
-def suspects(docs: DataFrame, text: Column, bits: int) -> DataFrame:
-    """The distinct fingerprints (``fp``) that more than one row may share."""
-    n = docs.count()
+def answers(docs: DataFrame, text: Column, bits: int, n: int) -> DataFrame:
+    """(part, key, verdict): the hashes of each partition and whether more than one row may share them."""
     owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(n / OWNER_HASHES))
     owners = min(owners, 1 << bits)
     blobs = written(docs.select(fingerprint(text, bits).alias("fp")).mapInArrow(_send(bits, owners), _BLOBS), "golomb")
-    answers = blobs.groupBy("owner").applyInPandas(_answer, "owner int, sender long, answer binary")
+    replies = blobs.groupBy("owner").applyInPandas(_answer, "owner int, sender long, answer binary")
     span = -(-(1 << bits) // owners)
-    return blobs.join(answers, ["owner", "sender"]).mapInArrow(_flagged(span), "fp long").distinct()
+    return blobs.join(replies, ["owner", "sender"]).mapInArrow(_decoded(span), "part int, key long, verdict boolean")
 
 
-def _parts(docs: DataFrame, text_col: str, id_col: str, normalise) -> tuple[DataFrame, DataFrame, Column]:
-    """Rows that no other equals, and the suspects with their group's keeper.
+def _parts(docs: DataFrame, text_col: str, id_col: str, normalise) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Rows that no other equals, the suspects, the groups of these, and the number of all rows.
 
-    Both hold the columns of ``docs`` in a struct ``doc``, so no name can clash.
+    Rows hold the columns of ``docs`` in a struct ``doc``, so no name can clash,
+    and the hash ``sha`` of the text.
     """
     docs = docs.select(F.struct("*").alias("doc"))
     text = F.coalesce(normalise(F.col("doc").getField(text_col)), F.lit(""))
-    bits = min(60, ceil(log2(max(2, docs.count()))) + 10)
-    found = written(suspects(docs, text, bits), "suspects")
-    small = small_enough(found, 16)
+    n = docs.count()
+    bits = min(60, ceil(log2(max(2, n))) + 10)
+    found = answers(docs, text, bits, n)
+    shared = written(found.where("verdict").select(F.col("key").alias("fp")).distinct(), "suspects")
     marked = docs.withColumn("fp", fingerprint(text, bits))
-    alone = key_filter(marked, found, ["fp"], "left_anti", small).select("doc")
+    if small_enough(shared, 16):
+        alone = marked.join(F.broadcast(shared), "fp", "left_anti")
+        rows = marked.join(F.broadcast(shared), "fp", "left_semi")
+    else:
+        # Written once, so that a row is on one side whatever way it is read again.
+        marked = written(told(marked, F.col("fp"), found, n, "suspect"), "marked")
+        open_ = marked.where("suspect is null")
+        alone = marked.where("not suspect").select("doc", "fp").union(open_.join(shared, "fp", "left_anti").select("doc", "fp"))
+        rows = marked.where("suspect").select("doc", "fp").union(open_.join(shared, "fp", "left_semi").select("doc", "fp"))
     # The row number is fixed by writing; it tells repeated rows apart.
-    rows = key_filter(marked, found, ["fp"], "left_semi", small)
-    rows = written(rows.select("doc", F.monotonically_increasing_id().alias("row")), "copies").withColumns({"text": text, "id": F.col("doc").getField(id_col)})
-    order = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
-    groups = (
-        rows.groupBy("text")
-        .agg(F.max("id").alias("keep"), F.max_by("row", order).alias("keep_row"), F.count(F.lit(1)).alias("size"))
-        .select(F.sha2("text", 256).alias("sha"), F.length("text").alias("len"), "keep", "keep_row", "size", every_salt().alias("salt"))
-    )
-    rows = rows.withColumns({"sha": F.sha2("text", 256), "len": F.length("text"), "salt": salt_of(F.col("row"))}).drop("text", "id")
-    return alone, rows.join(groups, ["sha", "len", "salt"]), text
+    sha = F.sha2(text, 256).alias("sha")
+    rows = written(rows.select("doc", F.monotonically_increasing_id().alias("row"), sha, F.length(text).alias("len")), "copies")
+    id_ = F.col("doc").getField(id_col)
+    order = F.coalesce(id_.cast("long"), F.lit(-(1 << 63)))
+    groups = rows.groupBy(text.alias("text")).agg(F.first("sha").alias("sha"), F.first("len").alias("len"), F.max(id_).alias("keep"), F.max_by("row", order).alias("keep_row"), F.count(F.lit(1)).alias("size")).drop("text")
+    groups = written(groups, "groups")
+    return alone.select("doc", sha), rows, groups, n
 
 
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", normalise=lambda c: c) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal if identical after ``normalise`` (default: no change); null
-    counts as empty, and empty texts are copies of each other. Of equal texts the
-    row with the largest id stays; a null id is smaller than all, and of rows
-    that also share the id exactly one stays. No row is dropped here; other
+    Texts are equal if identical after ``normalise`` (default: no change), however
+    long; null counts as empty, and empty texts are copies of each other. Of equal
+    texts the row with the largest id stays; a null id is smaller than all, and of
+    rows that also share the id exactly one stays. No row is dropped here; other
     columns of ``docs`` are ignored, whatever their names. An empty table gives
     an empty result.
     """
-    alone, copies, text = _parts(docs.select(id_col, text_col), text_col, id_col, normalise)
+    alone, rows, groups, n = _parts(docs.select(id_col, text_col), text_col, id_col, normalise)
+    copies = join_groups(rows, groups, ["sha", "len"], "size", n, salt_of(F.col("row")))
     id_ = F.col("doc").getField(id_col)
-    one = alone.select(id_.alias(id_col), id_.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2(text, 256).alias("text_sha256"))
+    one = alone.select(id_.alias(id_col), id_.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     more = copies.select(id_.alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
     return one.union(more)
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", normalise=lambda c: c) -> DataFrame:
     """``docs`` with one row for each distinct text and all columns; see :func:`exact_groups`."""
-    alone, copies, _ = _parts(docs, text_col, id_col, normalise)
-    return alone.select("doc.*").union(copies.where("row = keep_row").select("doc.*"))
+    alone, rows, groups, _ = _parts(docs, text_col, id_col, normalise)
+    stay = groups.select(F.col("keep_row").alias("row"))
+    stay = F.broadcast(stay) if small_enough(groups, 8) else stay
+    return alone.select("doc.*").union(rows.join(stay, "row", "left_semi").select("doc.*"))

@@ -82,9 +82,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP2 = """
 with d as (select doc_id, coalesce(text, '') as t from documents),
-g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
-select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.t) as text_sha256
-from d join g on d.t = g.t
+g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t),
+r as (select doc_id, t, row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept from d)
+select r.doc_id, g.keep_id, g.group_size, r.kept, sha256(r.t) as text_sha256
+from r join g on r.t = g.t
 """
 
 _OP4 = f"""

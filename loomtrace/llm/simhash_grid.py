@@ -12,31 +12,38 @@ blocks, so they meet in the cell of one choice of ``fixed`` blocks. In a cell
 the lower bound is tested first, then the fingerprints themselves.
 
 Dense groups of near copies do not give all their pairs: every member is first
-linked to the smallest fingerprint of its cell, the groups found so are labelled,
-and a second pass joins only members that still carry different labels. No link
-that could join two groups is lost.
+tested with three heads of its cell, the groups found so are labelled, and a
+second pass joins only members of cells with several labels. A cell that is still
+too full is cut further, by the coordinates that it does not fix: two near
+vectors agree on whole blocks of these as well. No link that could join two
+groups is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomtrace.llm.common import every_salt, key_filter, salt_of, small_enough, text_or_empty, written
+from loomtrace.llm.common import join_groups, salt_of, small_enough, text_or_empty, told, written
 from loomtrace.llm.components import components
 
 #: Largest number of differing bits of a link; words in a shingle.
 LIMIT = 4
 WORDS = 4
-#: Whole blocks on which two linked vectors agree at least, and the number of
-#: fingerprints up to which each choice keeps cells small. Any choice is exact.
-FIXED = {3: 50_000_000, 4: 2_000_000_000, 5: 1 << 62}
+#: Two-bit segments of a fingerprint.
+SEGMENTS = 32
+#: Chance that two unrelated fingerprints have one segment's bit count in common.
+AGREE = 0.375
+#: Members of a cell up to which all its pairs are tested, and blocks fixed at a further cut.
+FULL, FURTHER = 1_000, 2
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 14
@@ -63,18 +70,24 @@ def simhash(text: bytes, words: int = WORDS) -> int:
 
 
 def _fingerprints(words: int):
+    """Replaces the last column, a text, by its fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
             prints = np.fromiter((simhash(x.as_py(), words) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
     return run
 
 
+def _printed(rows: DataFrame, words: int) -> DataFrame:
+    return rows.mapInArrow(_fingerprints(words), T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
     """(id, fp) for each row; null texts count as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col)).mapInArrow(_fingerprints(words), "id long, fp long")
+    return _printed(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col)), words)
 
 
 def embedding(fp: Column) -> Column:
@@ -83,16 +96,34 @@ def embedding(fp: Column) -> Column:
     return F.shiftleft(odd.bitwiseAND(even), 1).bitwiseOR(odd.bitwiseOR(even))
 
 
-def block_masks(limit: int = LIMIT, fixed: int = 3) -> list[int]:
-    """A mask, as a signed long, for each choice of ``fixed`` of the blocks."""
-    blocks = [sum(3 << 2 * int(s) for s in part) for part in np.array_split(np.arange(32), limit + fixed)]
-    return [m - (1 << 64) if (m := sum(chosen)) >> 63 else m for chosen in combinations(blocks, fixed)]
+def blocks_fixed(n: int, limit: int = LIMIT) -> int:
+    """How many whole blocks a cell fixes, so that ``n`` fingerprints cost least: cells and chance meetings in them."""
+
+    def cost(fixed: int) -> float:
+        return comb(limit + fixed, fixed) * (1 + n * AGREE ** (SEGMENTS * fixed / (limit + fixed)))
+
+    return min(range(1, 9), key=cost)
+
+
+def block_masks(limit: int = LIMIT, fixed: int = 3, segments: tuple[int, ...] = tuple(range(SEGMENTS))) -> list[tuple[int, tuple[int, ...]]]:
+    """For each choice of ``fixed`` of ``limit + fixed`` blocks of ``segments``: a mask, as a signed long, and the segments left over."""
+    blocks = [tuple(map(int, part)) for part in np.array_split(np.array(segments), limit + fixed)]
+    out = []
+    for chosen in combinations(blocks, fixed):
+        held = {s for block in chosen for s in block}
+        mask = sum(3 << 2 * s for s in held)
+        out.append((mask - (1 << 64) if mask >> 63 else mask, tuple(s for s in segments if s not in held)))
+    return out
+
+
+def _vector() -> Column:
+    return embedding(F.col("fp"))
 
 
 def _cells(prints: DataFrame, masks: list[int]) -> DataFrame:
-    vector = embedding(F.col("fp"))
-    keys = F.array(*(F.xxhash64(F.lit(k), vector.bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
-    return prints.withColumn("cell", F.explode(keys))
+    """One row for each cell of a fingerprint, with the number ``k`` of the choice of blocks."""
+    keys = F.array(*(F.xxhash64(F.lit(k), _vector().bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
+    return prints.select("*", F.posexplode(keys).alias("k", "cell"))
 
 
 def _near(a: str, b: str, limit: int) -> Column:
@@ -101,46 +132,78 @@ def _near(a: str, b: str, limit: int) -> Column:
     return bound & (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= limit)
 
 
+def _pairs(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) between different labels that share a cell."""
+    a = left.select("cell", F.col("fp").alias("fp_a"), F.col("root").alias("a"))
+    b = right.select("cell", F.col("fp").alias("fp_b"), F.col("root").alias("b"))
+    order = F.col("a") < F.col("b") if left is right else F.col("a") != F.col("b")
+    return a.join(b, (a.cell == b.cell) & order & _near("fp_a", "fp_b", limit)).select("a", "b").distinct()
+
+
+def _first(cells: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) of every fingerprint with the heads of its cells: the least, the greatest and one by chance."""
+    heads = cells.groupBy("cell").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.min_by("fp", F.xxhash64("fp")).alias("any")).where("least <> most")
+    # Most who share a cell are far apart, so distances are tested before rows are made.
+    linked = (F.when((F.col("fp") != F.col(head)) & _near("fp", head, limit), F.col(head)) for head in ("least", "most", "any"))
+    found = cells.join(heads, "cell").select(F.col("fp").alias("a"), F.array_compact(F.array(*linked)).alias("bs"))
+    return found.where(F.size("bs") > 0).select("a", F.explode("bs").alias("b"))
+
+
+def _second(cells: DataFrame, choices: list[tuple[int, tuple[int, ...]]], limit: int) -> DataFrame:
+    """Links (a, b) between the labels ``root`` of members of one cell.
+
+    Cells of one label need none. A full cell is cut by blocks of the segments
+    that it leaves open, and there only those who differ from the label of one
+    member, taken by chance, meet all others.
+    """
+    mixed = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("cell", "n")
+    open_ = written(cells.join(mixed, "cell"), "cells")
+    few, full = open_.where(F.col("n") <= FULL), open_.where(F.col("n") > FULL)
+    found = _pairs(few, few, limit)
+    if full.isEmpty():
+        return found
+    finer = F.array(*(F.array(*(F.lit(m) for m, _ in block_masks(limit, FURTHER, left))) for _, left in choices))
+    keys = F.transform(F.element_at(finer, F.col("k") + 1), lambda m, j: F.xxhash64(F.col("cell"), j, _vector().bitwiseAND(m)))
+    cut = full.select("fp", "root", F.explode(keys).alias("cell"))
+    mixed = cut.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", F.xxhash64("fp")).alias("taken")).where("r0 <> r1").select("cell", "taken")
+    cut = written(cut.join(mixed, "cell"), "cells")
+    return found.union(_pairs(cut.where("root <> taken"), cut, limit))
+
+
 def near_links(prints: DataFrame, limit: int = LIMIT, fixed: int | None = None) -> DataFrame:
     """(node, root): components of the distinct fingerprints in ``prints(fp)`` that have a link."""
-    if fixed is None:
-        n = prints.count()
-        fixed = next(k for k, most in FIXED.items() if n <= most)
-    masks = block_masks(limit, fixed)
-    w = Window.partitionBy("cell").orderBy("fp")
-    star = _cells(prints, masks).select("fp", F.first("fp").over(w).alias("head"), F.lag("fp").over(w).alias("prev"))
-    # Most who share a cell are far apart, so distances are tested before rows are made.
-    pairs = F.array(*(F.when(_near("fp", other, limit), F.col(other)) for other in ("head", "prev")))
-    star = star.where("prev is not null").where(_near("fp", "head", limit) | _near("fp", "prev", limit)).select(F.col("fp").alias("a"), F.explode(F.array_compact(pairs)).alias("b"))
-    first = written(components(star), "stars")
+    choices = block_masks(limit, fixed or blocks_fixed(prints.count(), limit))
+    masks = [m for m, _ in choices]
+    first = written(components(_first(_cells(prints, masks), limit)), "stars")
     labelled = prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    cells = _cells(written(labelled, "labels"), masks)
-    a = cells.select("cell", F.col("fp").alias("fp_a"), F.col("root").alias("a"))
-    b = cells.select("cell", F.col("fp").alias("fp_b"), F.col("root").alias("b"))
-    joined = a.join(b, (a.cell == b.cell) & (F.col("a") < F.col("b")) & _near("fp_a", "fp_b", limit))
-    second = joined.select("a", "b").distinct()
-    links = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
-    return components(links)
+    second = _second(_cells(written(labelled, "labels"), masks), choices, limit)
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+
+
+def _grouped(rows: DataFrame, limit: int, least: Column) -> tuple[DataFrame, int]:
+    """(fp, n, component_id, group_size) of the fingerprints in ``rows(.., fp)`` with company, and the number of rows."""
+    prints = written(rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    linked = written(near_links(prints.select("fp"), limit), "near")
+    member = written(prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp")), "members")
+    whole = written(member.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("prints")), "whole")
+    total = rows.count()
+    found = join_groups(member, whole, ["root"], "prints", total, salt_of(F.col("fp")))
+    return written(found.select("fp", "n", "root", "component_id", "group_size"), "found"), total
 
 
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """One row for each row of ``docs``: id, fp (long), component_id, group_size.
 
-    Fingerprints link at ``limit`` or fewer differing bits; equal ones always do.
+    Fingerprints, of whole texts however long, link at ``limit`` or fewer differing
+    bits; equal ones always do, so repeated rows are in one group.
     component_id is the smallest id reachable over links, the row's own included;
     null ids are passed over, and a group of null ids only has a null one. Texts
     without words have the fingerprint 0 and are linked like any other. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = written(fingerprints(docs, text_col, id_col, words), "prints")
-    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    linked = written(near_links(prints.select("fp"), limit), "near")
-    member = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
-    member = written(member, "members")
-    whole = member.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    # A hot fingerprint is dealt over salts; only fingerprints with company are repeated for that.
-    found = member.join(whole, "root").select("fp", "component_id", "group_size", every_salt().alias("salt"))
-    out = rows.withColumn("salt", salt_of("id")).join(found, ["fp", "salt"], "left")
+    found, total = _grouped(rows, limit, F.min("id"))
+    out = join_groups(rows, found.select("fp", "n", "component_id", "group_size"), ["fp"], "n", total, salt_of(F.col("id")), "left")
     alone = F.col("group_size").isNull()
     return out.select(F.col("id").alias(id_col), "fp", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
 
@@ -148,18 +211,27 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest id, then the smallest text hash.
 
-    Rows of a group that share id and text count as one row.
+    Rows are told apart by two hashes of id and text, 128 bits together. Rows of a
+    group that share id and text count as one row. A null id comes after all others.
     """
     docs = docs.select(F.struct("*").alias("doc"))
     id_, text = F.col("doc").getField(id_col), F.coalesce(F.col("doc").getField(text_col), F.lit(""))
-    hashed = docs.withColumn("key", F.xxhash64(id_, text))
-    found = near_groups(hashed.select("key", text.alias("text")), "text", "key", words, limit)
-    groups = written(found.where("group_size > 1").select("key", F.col("component_id").alias("group")).distinct(), "groups")
-    small = small_enough(groups, 24)
-    ids = key_filter(hashed.select("key", id_.alias("id")), groups, ["key"], "left_semi", small).distinct()
-    least = groups.join(ids, "key").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
-    stay = written(least.select(F.col("first.key").alias("key")), "stay")
-    alone = key_filter(hashed, groups.select("key"), ["key"], "left_anti", small).select("doc")
-    # Equal keys are the same id and text, so few rows pass through this grouping.
-    kept = key_filter(hashed, stay, ["key"], "left_semi", small).groupBy("key").agg(F.first("doc").alias("doc")).select("doc")
-    return alone.union(kept).select("doc.*")
+    hashed = docs.withColumns({"k1": F.xxhash64(id_, text), "k2": F.xxhash64(F.lit("other"), text, id_)})
+    rows = written(_printed(hashed.select(F.spark_partition_id().alias("part"), "k1", "k2", id_.alias("id"), text.alias("text")), words), "prints")
+    found, total = _grouped(rows, limit, F.min("k1"))
+    member = written(join_groups(rows, found.select("fp", "n", "root"), ["fp"], "n", total, salt_of(F.col("k1"))).select("root", "part", "k1", "k2", "id").distinct(), "company")
+    stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")).select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.lit(True).alias("stays"))
+    keys = written(member.select("k1", "k2").distinct().join(stay, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("stays", F.lit(False)).alias("stays")), "keys")
+    if small_enough(keys, 24):
+        near = hashed.join(F.broadcast(keys), ["k1", "k2"], "left")
+        alone = near.where("stays is null").select("doc")
+    else:
+        # Only rows in company, or in a part that was cut another way, meet the keys in a shuffle.
+        company = member.select("part", "k1", F.lit(True).alias("in")).distinct()
+        told_ = rows.groupBy("part", F.col("k1").alias("key")).agg(F.count_distinct("k2").alias("ways")).join(company.withColumnRenamed("k1", "key"), ["part", "key"], "left")
+        verdicts = told_.where("ways = 1").select("part", "key", F.coalesce("in", F.lit(False)).alias("verdict"))
+        marked = written(told(hashed, F.col("k1"), verdicts, total, "company"), "marked")
+        near = marked.where("company is null or company").join(keys, ["k1", "k2"], "left")
+        alone = marked.where("not company").select("doc").union(near.where("stays is null").select("doc"))
+    # Equal keys are the same id and text.
+    return alone.union(near.where("stays").groupBy("k1", "k2").agg(F.first("doc").alias("doc")).select("doc")).select("doc.*")

@@ -117,6 +117,59 @@ def test_near_copies_edge_rows(spark):
     assert simhash_grid.near_groups(docs.limit(0)).count() == 0 and simhash_grid.drop_near_copies(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("full", [1_000, 5])
+def test_dense_and_hot_cells_lose_no_link(spark, monkeypatch, full):
+    monkeypatch.setattr(simhash_grid, "FULL", full)
+    rng = random.Random(5)
+    prints = {0}
+    for _ in range(300):  # a ball and its neighbours, and others whose vectors agree with it on most segments
+        value = rng.choice(sorted(prints))
+        prints.add(value ^ 1 << rng.randrange(64))
+        prints.add(sum(rng.choice([0, 1, 2, 3]) << 2 * k for k in range(8)) | rng.choice(sorted(prints)) & ~0xFFFF)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    truth = brute(signed)
+    table_ = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for fixed in (1, 3, 4):
+        found = {r.node: r.root for r in simhash_grid.near_links(table_, fixed=fixed).collect()}
+        assert all(found.get(p, p) == truth[p] for p in signed)
+
+
+def test_nothing_but_suspects_moves_beyond_the_broadcast_bound(spark, monkeypatch, tmp_path):
+    from loomtrace.llm import common
+
+    texts = [f"text {i}" for i in range(60)] + ["copy"] * 5 + ["same words here again now"] * 3 + [None, ""]
+    table(spark, texts).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = sorted(map(tuple, golomb_dedup.exact_groups(docs).collect()), key=str), sorted(golomb_dedup.drop_exact_copies(docs).collect()), sorted(simhash_grid.drop_near_copies(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    seen = []
+    real = common.told
+
+    def told(*a):
+        seen.append(real(*a))
+        return seen[-1]
+
+    monkeypatch.setattr(golomb_dedup, "told", told)
+    monkeypatch.setattr(simhash_grid, "told", told)
+    after = sorted(map(tuple, golomb_dedup.exact_groups(docs).collect()), key=str), sorted(golomb_dedup.drop_exact_copies(docs).collect()), sorted(simhash_grid.drop_near_copies(docs).collect())
+    assert after == before and len(seen) == 3
+    for marked in seen:
+        verdict = marked.columns[-1]
+        assert marked.where(f"{verdict} is null").count() == 0
+
+
+def test_a_scan_cut_another_way_is_still_whole(spark, monkeypatch):
+    from loomtrace.llm import common
+
+    texts = [f"text {i}" for i in range(40)] + ["copy"] * 5 + ["x"] * 2
+    docs = table(spark, texts)
+    want = sorted(golomb_dedup.drop_exact_copies(docs).collect()), sorted(simhash_grid.drop_near_copies(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    for module in (golomb_dedup, simhash_grid):
+        monkeypatch.setattr(module, "told", lambda rows, key, verdicts, n, out: common.told(rows, key, verdicts.where("part = 0").withColumn("part", common.F.lit(1)), n, out))
+    assert (sorted(golomb_dedup.drop_exact_copies(docs).collect()), sorted(simhash_grid.drop_near_copies(docs).collect())) == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1050)] + [(5, 5), (None, 3)]
     out = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
