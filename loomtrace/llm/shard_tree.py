@@ -83,8 +83,8 @@ def assign(docs: DataFrame, tree: list[Leaf] | None = None, text_col: str = "tex
     The id and the tree alone decide the shard (a null id counts as an empty
     key), so repeated ids share one. Size is the text's bytes plus 8; a null text
     has none, and the CRC of an empty text. Slots count from 0 in each shard
-    without a gap, in the order of a hash of id and text; whole repeated rows are
-    interchangeable there. grown_shard is the shard in the tree with one more.
+    without a gap, in the order of a hash of id and text, whole texts however long;
+    repeated rows have slots one behind the other. grown_shard is the shard in the tree with one more.
     Other columns are ignored; an empty table gives an empty result.
     """
     tree = tree or layout()
@@ -92,13 +92,17 @@ def assign(docs: DataFrame, tree: list[Leaf] | None = None, text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("_key"))
     rows = with_shard(with_shard(rows, "_key", tree, "shard"), "_key", grown(tree), "grown_shard")
-    rows = written(rows.withColumn("_order", hash52(F.col("_key"), F.lit("/"), F.col("text_crc32").cast("string"))).drop("_key"), "sharded")
+    rows = rows.withColumn("_order", hash52(F.col("_key"), F.lit("/"), F.col("text_crc32").cast("string"))).drop("_key")
+    # Repeated rows become one with a number, so no range of slots is made of them alone.
+    rows = written(rows.groupBy(id_col, "size", "text_crc32", "shard", "grown_shard", "_order").agg(F.count(F.lit(1)).alias("_times")), "sharded")
     subs = max(_SUBS, ceil(rows.count() / len(tree) / SLOT_ROWS))
     rows = rows.withColumn("_sub", F.floor(F.col("_order") / F.lit(float(1 << 52)) * subs).cast("int"))
-    counts = rows.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy("shard", "_sub").agg(F.sum("_times").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_sub")) - F.col("_n")
     starts = written(counts.select("shard", "_sub", before.alias("_before")), "starts")
     starts = F.broadcast(starts) if small_enough(starts, 24) else starts
-    within = F.row_number().over(Window.partitionBy("shard", "_sub").orderBy("_order", id_col, "text_crc32", "size")) - 1
-    slot = (F.col("_before") + F.col("_within")).cast("long")
-    return rows.withColumn("_within", within).join(starts, ["shard", "_sub"]).select(id_col, "size", "text_crc32", "shard", slot.alias("slot"), "grown_shard")
+    upto = Window.partitionBy("shard", "_sub").orderBy("_order", id_col, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_within", F.sum("_times").over(upto) - F.col("_times")).join(starts, ["shard", "_sub"])
+    first = F.col("_before") + F.col("_within")
+    slots = F.explode(F.sequence(first, first + F.col("_times") - 1)).alias("slot")
+    return rows.select(id_col, "size", "text_crc32", "shard", slots, "grown_shard")
