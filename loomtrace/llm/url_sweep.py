@@ -6,7 +6,7 @@ interval of keys, all that begin with its own key, and intervals nest. Urls and
 rules are dealt to ranges of keys, a rule to every range that its interval
 meets, and each range is read once in key order with a stack of the rules whose
 interval holds the present key. Memory is the stack; a hot host is cut into
-several ranges, since the path and a hash of the row take part in the order.
+several ranges, since the path and a number of the row take part in the order.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Urls of one range, and sampled keys for each range bound.
+#: Urls of one range, until there are so many ranges; from then on ranges grow, which the sweep does not mind.
 RANGE_ROWS = 200_000
+RANGES = 10_000
+#: Sampled keys for each range bound, and characters of a key that a bound holds: at most 60 MB in all.
 SAMPLED = 30
+BOUND_CHARS = 200
 _END = "\U0010ffff"
 
 
@@ -87,17 +90,20 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     ``default`` and rule is null. A null url, or one without ``://``, has an
     empty host and path and meets no rule; rules with a null or empty host are
     passed over and a null path counts as empty. Columns of ``pages`` named like
-    the four results are replaced. Repeated rows are judged each; an empty table
-    gives an empty result.
+    the four results are replaced; all others move with their url, so give only
+    those that are needed. Repeated rows are judged each, urls of any length whole;
+    an empty table gives an empty result.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     urls = pages.drop(*{"host", "path", "rule", "verdict"} - {url_col}).select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("key", F.concat(host_key(F.col("host")), "path")).withColumn("salt", F.hex(F.xxhash64("row")) if _hashable(pages.schema) else F.lit(""))
+    urls = urls.withColumn("key", F.concat(host_key(F.col("host")), "path")).withColumn("salt", F.hex(F.monotonically_increasing_id()))
     n = urls.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(n / RANGE_ROWS))
-    low = F.concat("key", F.lit("\x00"), "salt")
-    sample = sorted(x[0] for x in urls.select(low).sample(min(1.0, SAMPLED * parts / max(n, 1)), seed=7).collect())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(RANGES, ceil(n / RANGE_ROWS)))
+    # Equal urls differ in the salt, so a url that is repeated often is cut into several ranges.
+    low = F.concat("key", F.lit("\x00"), F.reverse("salt"))
+    cut = F.when(F.length("key") < BOUND_CHARS, low).otherwise(F.substring("key", 1, BOUND_CHARS))
+    sample = sorted(x[0] for x in urls.select(cut).sample(min(1.0, SAMPLED * parts / max(n, 1)), seed=7).collect())
     bounds = [sample[k * len(sample) // parts] for k in range(1, parts)] if sample else []
     ranges = _ranges(bounds)
     dealt = urls.withColumn("part", ranges(low, low)["first"]).select("part", "key", F.lit(None).cast("string").alias("rule_host"), "row", "host", "path", F.lit(None).cast("string").alias("rule_verdict"))
@@ -109,6 +115,3 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     out = T.StructType([urls.schema["row"], *(T.StructField(x, T.StringType()) for x in ("host", "path", "rule", "verdict"))])
     return both.mapInArrow(_sweep(default), out).select("row.*", "host", "path", "rule", "verdict")
 
-
-def _hashable(schema: T.StructType) -> bool:
-    return not any("map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() for f in schema)
