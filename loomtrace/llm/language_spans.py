@@ -1,7 +1,8 @@
 """Language identification with spans for mixed texts.
 
-Letters fall into scripts by fixed ranges; a word's script narrows the languages
-to those whose learned texts use it. Every word gets a score for each candidate
+Letters fall into scripts by fixed ranges; the script of a word's first letter
+narrows the languages to those whose learned texts use it. A word is a letter with
+the letters and combining marks behind it, so vowel signs stay within their word. Every word gets a score for each candidate
 from its character n-grams, and a Viterbi pass over the words of a text, with a
 penalty for each switch, labels spans. The language with most letters names the
 text.
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -52,8 +54,8 @@ _NEVER = np.float32(-1e6)
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: whether it is a letter, its lower case, its script."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter, a combining mark, its lower case, its script."""
     n = 0x110000
     letter = np.fromiter((not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(n)), bool, n)
     lower = np.arange(n, dtype=np.uint32)
@@ -64,7 +66,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, ranges in enumerate(SCRIPTS.values()):
         for first, last in ranges:
             script[first : last + 1] = k
-    return letter, lower, script
+    mark = np.zeros(n, bool)
+    mark[:0x1E944] = [category(chr(c))[0] == "M" for c in range(0x1E944)]
+    return letter, mark, lower, script
 
 
 def _mix(value: np.ndarray) -> np.ndarray:
@@ -74,7 +78,7 @@ def _mix(value: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of some texts: runs of letters, as positions in the joined code points."""
+    """Words of some texts: runs of letters and their marks, as positions in the joined code points."""
 
     starts: np.ndarray
     lengths: np.ndarray
@@ -89,11 +93,18 @@ class Words:
 
 def words(texts: list[str]) -> Words:
     """n-grams are three letters (a word is bounded by 0) and, once, pairs of letters."""
-    letter, lower, script = _tables()
+    letter, mark, lower, script = _tables()
     joined = "\n" + "\n".join(texts) + "\n"
     flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     heads = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     is_letter = letter[flat]
+    if flat.max() >= 0x300 and (marks := mark[flat]).any():
+        # A run of marks belongs to the letter before it; marks behind no letter are none.
+        runs = np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0) == 1)
+        lengths = np.flatnonzero(np.diff(marks.astype(np.int8), append=0) == -1) + 1 - runs
+        behind = np.repeat(is_letter[np.maximum(runs - 1, 0)], lengths)
+        is_letter = is_letter.copy()
+        is_letter[np.flatnonzero(marks)] = behind
     edge = np.diff(is_letter.astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
     value = np.where(is_letter, lower[flat], 0).astype(np.uint64)
@@ -258,7 +269,8 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", penalty
 def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", penalty: float = SWITCH, sample: int = SAMPLE, spans: bool = True) -> DataFrame:
     """One row for each row of ``docs``: id, held_out, lang_pred, score and, if asked, spans.
 
-    Other columns are ignored; an empty table gives an empty result.
+    Texts are read whole, however long, and repeated rows labelled each. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     model = fit(docs, text_col, lang_col, id_col, sample)
     named = with_language(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model, penalty=penalty, spans=spans)
