@@ -1,6 +1,6 @@
 """A quality classifier on supervised subword embeddings.
 
-Words and character n-grams of whole texts are hashed to buckets with a learned
+Words and character n-grams (three and four characters) of whole texts are hashed to buckets with a learned
 vector each. A document is the mean of its word vectors plus the mean of its
 n-gram vectors, and a softmax over two classes follows. The model is trained by
 stochastic gradient descent in numpy on a bounded sample of labelled rows and is
@@ -17,22 +17,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomtrace.llm.common import written
 from loomtrace.llm.held_out import held_out, sample_by_class
 
-#: Labelled rows of each class that are learned from at most.
+#: Labelled rows of each class that are learned from at most, and what they may hold:
+#: (bucket, share) cells of all rows of a class. A row is left out of the sample where it would pass that.
 SAMPLE = 1_500
+CELLS = 8_000_000
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 _BITS = 17
 _SIZES = (3, 4)
 _CHUNK = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Buckets of a word that repeats the word before it, and one of the seven before that.
-_SAME, _AGAIN = 0, 1
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Word pairs count only by whether both words are the same, at a distance of one and of up to eight:
+#: a learned vector each, in buckets of their own. Text that says one thing again and again has no
+#: telling words or n-grams, so without these its share of right predictions falls (README).
+_SAME, _AGAIN, _BACK = 0, 1, 8
 
 
 def _words(flat: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +49,7 @@ def _words(flat: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     lengths = ends - starts
     inside = ~space
     place = np.arange(len(flat))[inside] - np.repeat(starts, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    powers = np.cumprod(np.full(int(lengths.max()), _PRIME, np.uint64))
     first = np.cumsum(lengths) - lengths
     return starts, np.add.reduceat((flat[inside].astype(np.uint64) + np.uint64(1)) * powers[place], first)
 
@@ -54,21 +59,21 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words and for n-grams: the buckets found, and where each text's begin.
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words and for each size of n-gram: the buckets found, and where each text's begin.
 
-    Bytes are joined with a space before each text and one behind the last.
+    Texts are joined with a space before each and one behind the last. An n-gram
+    may begin or end with a space but has none inside.
     """
-    flat = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    joined = " " + " ".join(texts) + " "
+    flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     heads = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    space = _SPACE[flat]
-    flat = np.where(space, np.uint8(32), flat)
+    space = (flat == 32) | (flat - np.uint32(9) < 5)
     starts, hashes = _words(flat, space)
     at = np.searchsorted(starts, heads)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
-    buckets, owners = [np.maximum(_bucket(hashes), 2)], [owner]
-    seen = np.zeros(len(hashes), bool)
-    for back in range(1, 9):
+    buckets, owners, seen = [np.maximum(_bucket(hashes), 2)], [owner], np.zeros(len(hashes), bool)
+    for back in range(1, _BACK + 1):
         same = np.zeros(len(hashes), bool)
         same[back:] = (hashes[back:] == hashes[:-back]) & (owner[back:] == owner[:-back])
         seen |= same
@@ -80,26 +85,20 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     # Words in text order, then the marks of repetition: sums need the order by owner only.
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    words = np.concatenate(buckets)[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
-    grams, places = [], []
-    wide = flat.astype(np.uint64)
+    out = [(np.concatenate(buckets)[order], np.searchsorted(owner[order], np.arange(len(texts) + 1)))]
+    wide = np.where(space, np.uint32(32), flat).astype(np.uint64)
     for n in _SIZES:
-        count = len(flat) - n + 1
-        if count <= 0:
-            continue
+        count = max(0, len(flat) - n + 1)
         value = np.full(count, n, np.uint64)
         whole = np.ones(count, bool)
         for k in range(n):
-            value = (value << np.uint64(8)) | wide[k : k + count]
+            value = value * _PRIME + wide[k : k + count]
             if 0 < k < n - 1:
                 whole &= ~space[k : k + count]
         where = np.flatnonzero(whole)
-        grams.append(_bucket(value[where]))
-        places.append(where)
-    if not grams:
-        return [words, (np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64))]
-    # Each size is in text order; sums are taken for each and added, so no sort is needed.
-    return [words, *((g, np.searchsorted(w, heads)) for g, w in zip(grams, places))]
+        # The space before the next text ends a text's last n-gram, so none reaches into another text.
+        out.append((_bucket(value[where]), np.searchsorted(where, heads)))
+    return out
 
 
 def _groups(found: list) -> list[list]:
@@ -112,7 +111,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of class 1 for each text; a text without words gets that of the bias."""
         total = np.full(len(texts), self.bias)
         for group in _groups(features(texts)):
@@ -162,41 +161,48 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]], dims: int = 8,
     return Model((table @ (classes[:, 1] - classes[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and the share of each in the document vector."""
+    share = np.zeros(1 << _BITS, np.float32)
+    for group in _groups(features([text])):
+        held = np.concatenate([x for x, _ in group])
+        share += np.bincount(held, minlength=1 << _BITS).astype(np.float32) / max(1, len(held))
+    where = np.flatnonzero(share)
+    return where.astype(np.int32), share[where]
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct buckets of each text with their shares of the document vector."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        buckets, shares = [], []
-        for text in texts:
-            share = np.zeros(1 << _BITS, np.float32)
-            for group in _groups(features([text or b""])):
-                held = np.concatenate([x for x, _ in group])
-                share += np.bincount(held, minlength=1 << _BITS).astype(np.float32) / max(1, len(held))
-            where = np.flatnonzero(share)
-            buckets.append(where.astype(np.int32))
-            shares.append(share[where])
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("total"), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["label", "total", "buckets", "shares"])
+        for k, text in enumerate(batch.column("text")):
+            buckets, share = shares(text.as_py() or "")
+            lists = [pa.array([buckets], pa.list_(pa.int32())), pa.array([share], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("id", "label", "total")), *lists], ["id", "label", "total", "buckets", "shares"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """A model learned from at most ``sample`` labelled rows of each class.
 
     Held-out rows, null ids and labels other than 0 and 1 are not learned from;
-    of several labels of one id the greatest counts.
+    of several labels of one id the greatest counts, of several texts one chosen by
+    a hash. ``CELLS`` bounds what long texts may bring to the driver.
     """
     told = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = sample_by_class(told.where(~held_out(F.col("id"))), "label", "id", sample)
     # The sample is bounded by its parameter, so it may be broadcast.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = texts.select("label", "total", "text").mapInArrow(_sparse, "label int, total long, buckets array<int>, shares array<float>").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    # Of rows that share an id one is learned from, whatever their number.
+    texts = texts.groupBy("id", "label", "total").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    kind = T.StructType([*(texts.schema[c] for c in ("id", "label", "total")), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))])
+    rows = written(texts.mapInArrow(_sparse, kind), "sample")
+    upto = F.sum(F.size("buckets")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    fits = rows.select("id", "label", upto.alias("upto")).where(F.col("upto") <= CELLS)
+    rows = rows.join(F.broadcast(fits.select("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").toArrow()
     totals = dict(zip(rows["label"].to_pylist(), rows["total"].to_pylist()))
     label = rows["label"].to_numpy()
     counts = {k: int((label == k).sum()) for k in totals}
     # Rows weigh so that the classes stand as in all labels, not as in the sample.
     weight = {k: totals[k] / sum(totals.values()) * len(label) / counts[k] for k in totals}
-    lists = [(np.asarray(b.values), np.asarray(s.values), int(k), float(weight[k])) for b, s, k in zip(rows["buckets"], rows["shares"], label)]
-    lists.sort(key=lambda r: (len(r[0]), r[0].tolist()[:50], r[2]))  # the same whatever order rows came in
-    return train(lists)
+    return train([(np.asarray(b.values), np.asarray(s.values), int(k), float(weight[k])) for b, s, k in zip(rows["buckets"], rows["shares"], label)])
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -208,9 +214,9 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            values, held, size, scores = batch.cast(pa.binary()), [], 0, []
-            for x in values:
-                held.append(x.as_py() or b"")
+            held, size, scores = [], 0, []
+            for x in batch:
+                held.append(x.as_py() or "")
                 size += len(held[-1])
                 if size > _CHUNK:
                     scores.append(model.scores(held))
@@ -226,7 +232,9 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     """One row for each row of ``docs``: id, held_out, score, predicted.
 
     predicted is 1 from ``threshold`` on. Without any label every score is 0.5.
-    Other columns are ignored; an empty table gives an empty result.
+    Texts are read whole, however long; null and empty ones are scored like texts
+    without any feature; repeated rows are scored each. Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     model = fit(docs, labels, text_col, id_col, label_col, sample)
     scored = with_scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
@@ -234,7 +242,7 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows that score under ``threshold``."""
+    """``docs`` without the rows that score under ``threshold``, all columns kept as they are; see :func:`classify`."""
     model = fit(docs, labels, text_col, id_col, label_col, sample)
     packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
     return with_scores(packed, model).where(F.col("score") >= threshold).select("doc.*")
