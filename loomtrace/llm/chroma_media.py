@@ -3,12 +3,13 @@
 A recording (WAV, PCM of 16 bits) becomes frames of twelve pitch-class energies.
 Sixteen box filters, read from an integral image of the frames, are quantised to
 two bits each and packed into one integer for each frame. Two recordings align
-at an offset on which enough equal integers agree, if the share of differing bits
-over the overlap is small; of several such offsets the one with most integers counts.
+at an offset to which enough integers vote that are equal but for one bit, if the
+share of differing bits over the overlap is small; of several such offsets the one
+with most votes counts.
 
 Equal fingerprints form one class, so copies are searched once. Queries are a
-stated set; they meet all classes in blocks of a fixed size, so what is sent to
-the executors at once does not grow with the data.
+stated set; they meet all classes in blocks of a fixed number of integers, so what
+is sent to the executors at once does not grow with the data.
 """
 
 from __future__ import annotations
@@ -16,24 +17,26 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import every_salt, salt_of, written
+from loomtrace.llm.common import join_groups, salt_of, written
 
 #: Seconds of a frame and between frames; lowest and highest pitch in Hz.
 FRAME, HOP = 0.256, 0.064
 LOW, HIGH = 110.0, 3520.0
 #: Frames that the widest filter covers.
 SPAN = 16
-#: An alignment has so many equal integers at its offset, overlap and share of differing bits.
-VOTES, OVERLAP, ERRORS = 5, 16, 0.15
-#: Queries of a block, and classes matched at once.
-BLOCK, ROWS = 512, 200
+#: An alignment has so many votes at its offset, overlap and share of differing bits.
+VOTES, OVERLAP, ERRORS = 2, 16, 0.15
+#: Integers of a block of queries, classes looked up at once, votes counted at once.
+BLOCK, ROWS, HITS = 2_000_000, 100, 2_000_000
+#: What turns an integer into itself and into those that differ in one bit.
+FLIPS = np.concatenate([[0], 1 << np.arange(32, dtype=np.int64)]).astype(np.uint32).view(np.int32)
 #: A query is a row whose id this divides.
 EVERY = 100
 
@@ -118,8 +121,12 @@ def silence() -> int:
 
 
 def melody(vector: list[float], key: int, rate: int = 8_000, note: int = 1_024) -> bytes:
-    """A recording that a vector decides: a note for each pair of values, behind a rest set by the key."""
-    values = np.resize(np.nan_to_num(np.asarray(vector or [0.0], np.float64)), 64).reshape(-1, 2)
+    """A recording that a vector decides: a note for each pair of values, behind a rest set by the key.
+
+    Short vectors are played again until there are 64 values.
+    """
+    values = np.nan_to_num(np.asarray([0.0 if x is None else x for x in vector or [0.0]], np.float64))
+    values = np.resize(values, max(64, len(values) + len(values) % 2)).reshape(-1, 2)
     spread = max(float(np.abs(values).max()), 1e-9)
     pitch = np.floor((values[:, 0] / spread + 1) * 11.99)
     hertz = 2 * LOW * 2 ** (pitch / 12)
@@ -159,40 +166,72 @@ def vector_fingerprints(vectors: DataFrame, vector_col: str, id_col: str) -> Dat
     return rows.mapInArrow(_coded(lambda vector, i: melody(vector, i or 0)), _KEYED)
 
 
+def _votes(hits: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key, over pieces of both."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for more, times in hits:
+        keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, times]), len(keys)).astype(np.int64)
+    return keys, counts
+
+
 def _aligned(names: list[int], lists: list[np.ndarray], rest: int):
     """Matches of batches of classes against a block of queries: for each pair the offset with most votes that passes."""
     flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-    query = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    place = np.concatenate([np.arange(len(x)) for x in lists]) if lists else np.empty(0, np.int64)
+    query = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists]) if lists else np.empty(0, np.int32)
     order = np.argsort(flat, kind="stable")
     order = order[flat[order] != rest]
     flat, query, place = flat[order], query[order], place[order]
+    longest = max(map(len, lists), default=0)
+
+    def pieces(row: np.ndarray, at: np.ndarray, first: np.ndarray, times: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of (class, query, offset), and how often each is voted for, so many votes at a time."""
+        upto, begin = np.cumsum(times), 0
+        while begin < len(times):
+            stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, "right")))
+            n = times[begin:stop]
+            hit = np.arange(n.sum()) + np.repeat(first[begin:stop] - (np.cumsum(n) - n), n)
+            offset = np.repeat(at[begin:stop], n) - place[hit]
+            keys = (np.repeat(row[begin:stop], n) * len(names) + query[hit]) * (2 * wide) + offset + wide
+            yield np.unique(keys, return_counts=True)
+            begin = stop
 
     def match(ids: list[int], rows: list[np.ndarray]) -> Iterator[tuple]:
         mine = np.concatenate(rows)
-        row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-        at = np.concatenate([np.arange(len(x)) for x in rows])
-        first, last = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
-        times = last - first
-        hit = np.arange(times.sum()) + np.repeat(first - (np.cumsum(times) - times), times)
-        offset = np.repeat(at, times) - place[hit]
-        wide = int(np.abs(offset).max(initial=0)) + 1
-        votes, counts = np.unique((np.repeat(row, times) * len(names) + query[hit]) * (2 * wide) + offset + wide, return_counts=True)
-        keep = counts >= VOTES
-        votes, counts = votes[keep], counts[keep]
-        pair, shift = votes // (2 * wide), votes % (2 * wide) - wide
-        ranked, done = np.lexsort((shift, -counts, pair)), -1
-        for p, s in zip(pair[ranked].tolist(), shift[ranked].tolist()):
-            if p == done:
-                continue
-            theirs, own = lists[p % len(names)], rows[p // len(names)]
-            low, high = max(0, s), min(len(own), len(theirs) + s)
-            if high - low < OVERLAP:
-                continue
-            wrong = int(np.bitwise_count(own[low:high].view(np.uint32) ^ theirs[low - s : high - s].view(np.uint32)).sum())
-            if wrong <= ERRORS * 32 * (high - low):
-                done = p
-                yield names[p % len(names)], ids[p // len(names)], s, high - low, wrong / (32 * (high - low))
+        if not len(flat) or not len(mine):
+            return
+        probes = (mine[:, None] ^ FLIPS).ravel()
+        first = np.searchsorted(flat, probes)
+        found = np.flatnonzero(flat[np.minimum(first, len(flat) - 1)] == probes)
+        first = first[found]
+        times = np.searchsorted(flat, probes[found], "right") - first
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[found // len(FLIPS)]
+        at = np.concatenate([np.arange(len(x)) for x in rows])[found // len(FLIPS)]
+        wide = max(longest, *map(len, rows)) + 1
+        # Classes one after the other, several at once while their votes are few.
+        total = np.cumsum(np.bincount(row, times, len(rows)))
+        begin = 0
+        while begin < len(rows):
+            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + HITS, "right")))
+            part = slice(*np.searchsorted(row, (begin, stop)))
+            votes, counts = _votes(pieces(row[part], at[part], first[part], times[part], wide))
+            begin = stop
+            keep = counts >= VOTES
+            votes, counts = votes[keep], counts[keep]
+            pair, shift = votes // (2 * wide), votes % (2 * wide) - wide
+            ranked, done = np.lexsort((shift, -counts, pair)), -1
+            for p, s in zip(pair[ranked].tolist(), shift[ranked].tolist()):
+                if p == done:
+                    continue
+                theirs, own = lists[p % len(names)], rows[p // len(names)]
+                low, high = max(0, s), min(len(own), len(theirs) + s)
+                if high - low < OVERLAP:
+                    continue
+                wrong = int(np.bitwise_count(own[low:high].view(np.uint32) ^ theirs[low - s : high - s].view(np.uint32)).sum())
+                if wrong <= ERRORS * 32 * (high - low):
+                    done = p
+                    yield names[p % len(names)], ids[p // len(names)], s, high - low, wrong / (32 * (high - low))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
@@ -221,23 +260,22 @@ def align(distinct: DataFrame) -> DataFrame:
     spark, rest = distinct.sparkSession, silence()
     queries = distinct.where("asked and size(codes) > 0").select("class", "codes").orderBy("class")
     kind = "query long, class long, offset int, overlap int, error double"
-    out, block = [], []
+    out, names, lists, size = [], [], [], 0
 
     def passed() -> None:
-        names, lists = [r[0] for r in block], [np.array(r[1], np.int32) for r in block]
-        out.append(written(distinct.where("size(codes) > 0").select("class", "codes").mapInArrow(_aligned(names, lists, rest), kind).where("query <> class"), "aligned"))
-        block.clear()
+        out.append(written(distinct.where("size(codes) > 0").select("class", "codes").mapInArrow(_aligned(list(names), list(lists), rest), kind).where("query <> class"), "aligned"))
+        names.clear(), lists.clear()
 
-    for row in queries.toLocalIterator():  # one partition at a time, and one block held
-        block.append(row)
-        if len(block) == BLOCK:
+    for name, held in queries.toLocalIterator():  # one partition at a time, and one block held
+        if lists and size + len(held) > BLOCK:
             passed()
-    if block or not out:
+            size = 0
+        names.append(name)
+        lists.append(np.array(held, np.int32))
+        size += len(held)
+    if lists or not out:
         passed()
-    found = out[0]
-    for more in out[1:]:
-        found = found.union(more)
-    return found
+    return reduce(DataFrame.union, out)
 
 
 def search(prints: DataFrame, id_col: str) -> DataFrame:
@@ -247,14 +285,16 @@ def search(prints: DataFrame, id_col: str) -> DataFrame:
     classes that align with the row's class, itself left out; the best has the
     smallest share of differing bits, then the longest overlap, then the smallest
     id, and is null if there is none. Rows without codes share a class and match
-    nothing; null ids are never queries.
+    nothing; null ids are never queries. Repeated rows and ids have a row each,
+    recordings of any length are read whole, other columns are ignored, and an
+    empty table gives an empty result.
     """
-    rows = written(prints.withColumn("key", F.xxhash64("codes")), "codes")
+    rows = written(prints.select("id", "codes", F.xxhash64("codes").alias("key")), "codes")
     distinct = written(classes(rows), "classes")
     matches = align(distinct)
     best = matches.groupBy("class").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("error", (-F.col("overlap")).alias("o"), "query", "offset")).alias("b"))
-    named = distinct.join(best, "class", "left").select("codes", F.xxhash64("codes").alias("key"), "class", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "b")
-    joined = rows.withColumn("salt", salt_of(F.col("id"))).join(named.withColumn("salt", every_salt()).withColumnRenamed("codes", "held"), ["key", "salt"]).where(F.col("codes") == F.col("held"))
+    named = distinct.join(best, "class", "left").select("codes", F.xxhash64("codes").alias("key"), "class", "size", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "b")
+    joined = join_groups(rows, written(named, "named"), ["key", "codes"], "size", rows.count(), salt_of(F.col("id")))
     text = F.to_json(F.col("codes"))
     return joined.select(
         F.col("id").alias(id_col), F.size("codes").alias("n_codes"), F.crc32(text.cast("binary")).alias("codes_crc32"), F.col("class").alias("class_id"), "n_matches",
