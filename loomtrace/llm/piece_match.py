@@ -11,7 +11,8 @@ exactly one piece, and a sequence of pieces is an encoding if and only if each
 neighbouring pair is one (no merge crosses the border between the two). So an edge
 is taken if its piece can follow the piece that the prefix before it ends in, and
 of all edges with one end exactly one is. Characters that are in no piece are
-edges of their own and become bytes.
+edges of their own and become bytes. Texts without spaces, of any length, are cut
+where no piece of the vocabulary holds the two characters at the border.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ _KEPT = 8
 _ROWS = 250
 _PAIR_BITS = 20
 _START, _NONE = -1, -2
-_DEEP = 16
+#: Characters beyond which a segment is cut at every border that no piece covers, and
+#: beyond which what is left is relaxed by itself, edge by edge, not with the others.
+_CUT, _LONG = 256, 2_048
 
 
 class Pieces:
@@ -55,8 +58,8 @@ class Pieces:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)]
         self.score = {t: model.get_score(i) for i, t in enumerate(self.texts) if not special[i]}
         whole = [i for i, t in enumerate(self.texts) if not special[i] and self._alone(t)]
-        if max(len(self.texts[i]) for i in whole) > _DEEP:
-            raise ValueError(f"pieces of more than {_DEEP} characters are not supported")
+        # Suffixes are compared as deep as the longest piece, four characters at a time.
+        self.deep = -(-max((len(self.texts[i]) for i in whole), default=1) // 4) * 4
         chars = sorted({c for i in whole for c in self.texts[i]})
         self.code = np.full(0x110000, len(chars) + 1, np.uint16)
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -64,12 +67,13 @@ class Pieces:
         self.ids = np.array(whole)
         self.length = np.ones(n + 1, np.int64)
         self.length[self.ids] = [len(self.texts[i]) for i in whole]
-        codes = np.zeros((len(whole), _DEEP), np.uint16)
+        codes = np.zeros((len(whole), self.deep), np.uint16)
         for row, i in enumerate(whole):
             codes[row, : len(self.texts[i])] = self.code[[ord(c) for c in self.texts[i]]]
         self.low = self._packed(codes)
         self.high = self._packed(np.where(codes == 0, np.uint16(0xFFFF), codes))
         self.no_piece = n
+        self.pairs = np.unique([self.code[ord(a)] * np.int64(1 << 16) + self.code[ord(b)] for t in self.score for a, b in zip(t, t[1:])] or [np.int64(0)])
         marks_first = all(MARK not in self.texts[i].lstrip(MARK) for i in whole)
         barrier = "\n" not in chars
         self.segment = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n") if marks_first and barrier else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if marks_first else "(?s).+")
@@ -85,10 +89,9 @@ class Pieces:
             return bytes([int(text[3:5], 16)])
         return " ⁇ ".encode() if model.is_unknown(i) else text.replace(MARK, " ").encode()
 
-    @staticmethod
-    def _packed(codes: np.ndarray) -> list[np.ndarray]:
+    def _packed(self, codes: np.ndarray) -> list[np.ndarray]:
         wide = codes.astype(np.uint64)
-        return [wide[:, k] << np.uint64(48) | wide[:, k + 1] << np.uint64(32) | wide[:, k + 2] << np.uint64(16) | wide[:, k + 3] for k in range(0, _DEEP, 4)]
+        return [wide[:, k] << np.uint64(48) | wide[:, k + 1] << np.uint64(32) | wide[:, k + 2] << np.uint64(16) | wide[:, k + 3] for k in range(0, self.deep, 4)]
 
     def _alone(self, text: str) -> bool:
         """Whether merging the characters of a piece gives the piece."""
@@ -143,11 +146,10 @@ class Pieces:
 
     def edges(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and piece of every occurrence of a piece in ``flat`` (codes, 0 between segments)."""
-        wide = np.concatenate([flat, np.zeros(_DEEP, np.uint16)]).astype(np.uint64)
+        wide = np.concatenate([flat, np.zeros(self.deep, np.uint16)]).astype(np.uint64)
         four = wide[:-3] << np.uint64(48) | wide[1:-2] << np.uint64(32) | wide[2:-1] << np.uint64(16) | wide[3:]
         n = len(flat)
-        words = [four[k : k + n] for k in range(0, _DEEP - 3, 4)]
-        words.append(np.concatenate([four, np.zeros(_DEEP, np.uint64)])[12 : 12 + n]) if len(words) < 4 else None
+        words = [four[k : k + n] for k in range(0, self.deep, 4)]
         suffixes = np.lexsort(words[::-1])
         keys = [w[suffixes] for w in words]
         first, last = self._found(keys, self.low, False), self._found(keys, self.high, True)
@@ -167,11 +169,16 @@ class Pieces:
         unknown = np.flatnonzero(flat == self.other)
         start, piece = np.concatenate([start, unknown]), np.concatenate([piece, np.full(len(unknown), self.no_piece)])
         end = start + self.length[piece]
+        last = np.full(len(flat) + 1, _NONE, np.int64)
+        last[begins] = _START
+        long = np.flatnonzero(sizes > _LONG)
+        if len(long):
+            inside = np.isin(np.repeat(np.arange(len(sizes)), sizes + 1)[start], long)
+            self._relax(start[inside], piece[inside], end[inside], last)
+            start, piece, end = start[~inside], piece[~inside], end[~inside]
         depth = end - np.repeat(begins, sizes + 1)[start]
         order = np.argsort(depth.astype(np.uint16) if depth.max(initial=0) < 1 << 16 else depth, kind="stable")
         start, piece, end, depth = start[order], piece[order], end[order], depth[order]
-        last = np.full(len(flat) + 1, _NONE, np.int64)
-        last[begins] = _START
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(depth)) + 1, [len(depth)]])
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             before, now = last[start[a:z]], piece[a:z]
@@ -182,10 +189,50 @@ class Pieces:
             last[end[a:z][good]] = now[good]
         self._walk(segments, points, last, begins, sizes)
 
+    def _relax(self, start: np.ndarray, piece: np.ndarray, end: np.ndarray, last: np.ndarray) -> None:
+        """Relaxes the edges of long segments one by one, in the order of their ends."""
+        order, held, found = np.argsort(end, kind="stable"), {}, {}
+        for a, p, z in zip(start[order].tolist(), piece[order].tolist(), end[order].tolist()):
+            before = found.get(a)
+            if before is None:
+                before = found[a] = int(last[a])
+            if before == _NONE:
+                continue
+            if before not in (_START, self.no_piece) and p != self.no_piece:
+                fits = held.get((before, p))
+                if fits is None:
+                    fits = held[before, p] = self._merged(self.texts[before] + self.texts[p], len(self.texts[before]))
+                if not fits:
+                    continue
+            last[z] = found[z] = p
+
+    def cut(self, segment: str) -> list[str]:
+        """A long segment in parts, at borders that no piece covers; characters in no piece stay together."""
+        codes = self.code[np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        keys = codes[:-1] * (1 << 16) + codes[1:]
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        cuts = np.flatnonzero((self.pairs[at] != keys) & ~((codes[:-1] == self.other) & (codes[1:] == self.other))) + 1
+        return [segment[a:z] for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(segment)])]
+
+    def split(self, text: str) -> list[str]:
+        """The segments of a text; a merge never crosses the border between two."""
+        parts = self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
+        if len(text) > _CUT and max(map(len, parts)) > _CUT:
+            return [x for p in parts for x in (self.cut(p) if len(p) > _CUT else (p,))]
+        return parts
+
     def _walk(self, segments, points, last, begins, sizes) -> None:
         """Follows the taken edges back from each segment's end."""
-        rows, at = np.arange(len(segments)), begins + sizes
+        short = np.flatnonzero(sizes <= _LONG)
+        rows, at = short, (begins + sizes)[short]
         found = []
+        for row in np.flatnonzero(sizes > _LONG).tolist():
+            place, first, taken = int(begins[row] + sizes[row]), int(begins[row]), []
+            while place > first:
+                taken.append((int(last[place]), place))
+                place -= int(self.length[taken[-1][0]])
+            # From the first piece to the last, as the rounds below once they are turned round.
+            found += [(np.full(len(taken), row), *np.array(taken[::-1], np.int64).T)]
         while len(rows):
             piece = last[at]
             found.append((rows, piece, at))
@@ -222,7 +269,7 @@ class Pieces:
             while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 8 * _INDEXED):
                 size += len(texts[stop])
                 stop += 1
-            split = [self.segment.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at:stop]]
+            split = [self.split(t) for t in texts[at:stop]]
             if len(self.known) > _REMEMBER:
                 self.known = {k: v for k, v in self.known.items() if len(k) <= _KEPT}
                 if len(self.known) > _REMEMBER // 2:
@@ -254,7 +301,9 @@ def pieces(path: str) -> Pieces:
 def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "piece_ids", check: str | None = None) -> DataFrame:
     """``docs`` with the ids (array of int) of each whole text; a column of that name is replaced.
 
-    Null and empty texts have no ids. With ``check``, a column of that name says
+    Null and empty texts have no ids; texts are encoded whole, however long, and
+    repeated rows each; all other columns stay as they are, whatever their names, and an
+    empty table gives an empty result. With ``check``, a column of that name says
     whether the ids decode to the text. ``model`` is the path of a BPE model with an
     identity normaliser and a dummy prefix, readable on every executor.
     """
@@ -280,7 +329,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "piec
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the text of each list of ids; a null list has a null text."""
+    """``docs`` with the text of each list of ids; a null list has a null text, an empty one an empty text."""
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -296,7 +345,10 @@ def digest(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
     """One row for each row of ``docs``: id, n_ids, ids_crc32, decoded_crc32, round_trip.
 
     CRCs are of the ids as little-endian signed 32-bit integers and of the decoded
-    text in UTF-8. Ids stay within a batch, so memory is that of a batch.
+    text in UTF-8. Ids stay within a batch, so memory is that of a batch. A null
+    text counts as empty.
+    Repeated rows have a row each; other columns are ignored; an empty table gives
+    an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
