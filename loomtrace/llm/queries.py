@@ -61,7 +61,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = source_mix.plan_mix(documents(spark, sf_dir))
+    planned = source_mix.digest(documents(spark, sf_dir))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

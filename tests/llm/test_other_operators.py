@@ -29,6 +29,44 @@ def test_pieces_equal_the_library(spark, sf):
         assert ids == library.encode(text) and own.decode(ids) == library.decode(ids)
 
 
+def test_long_pieces_and_unbroken_texts(monkeypatch):
+    import base64
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(1)
+    texts = [base64.b64encode(rng.randbytes(60_000)).decode(), "a" * 20_000, "the" * 3_000, "日本語" * 2_000 + "é" * 700, "".join(rng.choice("etaoin") for _ in range(30_000))]
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_match.Pieces(PIECES)
+    for text in texts:
+        assert np.frombuffer(own.encode([text])[0], np.int32).tolist() == library.encode(text)
+
+    held = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), *"▁ab", "ab", "abab", "abababab", "ab" * 8, "ab" * 16, "▁ab"]
+
+    class Model:  # a vocabulary with a piece of 32 characters
+        def __init__(self, model_file):
+            pass
+
+        get_piece_size, unk_id = lambda self: len(held), lambda self: 0
+        id_to_piece, piece_to_id = lambda self, i: held[i], lambda self, t: held.index(t)
+        is_control = is_unused = lambda self, i: False
+        is_unknown, is_byte = lambda self, i: i == 0, lambda self, i: 0 < i < 257
+        get_score = lambda self, i: -float(i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    small = piece_match.Pieces("")
+
+    def merged(text):
+        symbols = list("▁" + text.replace(" ", "▁"))
+        while pairs := [(-small.score[x + y], k) for k, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in small.score]:
+            k = min(pairs)[1]
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        return [held.index(x) for x in symbols]
+
+    for text in ("ab" * 16, "ab" * 37 + "a", "ab ab" * 3, "b" + "ab" * 20):
+        assert np.frombuffer(small.encode([text])[0], np.int32).tolist() == merged(text)
+
+
 def test_piece_columns(spark):
     table = docs(spark, [(i, t, "s", "1", "d") for i, t in enumerate([*HARD, None])])
     out = piece_match.decode(piece_match.encode(table, PIECES), PIECES).collect()
@@ -122,6 +160,72 @@ def test_quality_learns_and_takes_any_text(spark):
     assert {r.score for r in subword_quality.classify(table, labels.limit(0)).collect()} == {0.5}
 
 
+def buckets_by_hand(text):
+    """Words, marks of repetition, and n-grams of three and four characters, as the module describes them."""
+    prime = int(subword_quality._PRIME)
+    low = (1 << 64) - 1
+    found = [w for w in "".join(" " if c in " \t\n\r\x0b\x0c" else c for c in text).split(" ") if w]
+    hashed = lambda points: sum((ord(c) + 1) * pow(prime, k + 1, 1 << 64) for k, c in enumerate(points)) & low
+    bucket = lambda h: int(subword_quality._bucket(np.array([h], np.uint64))[0])
+    words = [max(2, bucket(hashed(w))) for w in found]
+    words += [0 for a, b in zip(found, found[1:]) if a == b] + [1 for k, w in enumerate(found) if w in found[max(0, k - 8) : k]]
+    line = " " + "".join(" " if c in " \t\n\r\x0b\x0c" else c for c in text) + " "
+    grams = []
+    for n in (3, 4):
+        for k in range(len(line) - n + 1):
+            part = line[k : k + n]
+            if " " not in part[1:-1]:
+                value = n
+                for c in part:
+                    value = (value * prime + ord(c)) & low
+                grams.append(bucket(value))
+    return Counter(words), Counter(grams)
+
+
+def test_quality_scores_by_hand():
+    texts = ["", " ", "one one two\tone", "ein Mädchen läuft 日本語", "x", "a b c d e f g h a i a"]
+    weights = np.random.default_rng(2).normal(size=1 << subword_quality._BITS).astype(np.float32)
+    model = subword_quality.Model(weights, 0.3)
+    for text, got in zip(texts, model.scores(texts)):
+        total = 0.3 + sum(sum(weights[b] * n for b, n in group.items()) / max(1, sum(group.values())) for group in buckets_by_hand(text))
+        assert got == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-4)
+        where, share = subword_quality.shares(text)
+        want = Counter()
+        for group in buckets_by_hand(text):
+            for b, n in group.items():
+                want[b] += n / sum(group.values())
+        assert dict(zip(where.tolist(), share.tolist())) == pytest.approx(dict(want), rel=1e-5)
+
+
+def test_one_step_of_training_follows_the_gradient():
+    rows = [(np.array([3, 9]), np.array([0.5, 0.5], np.float32), 1, 1.0)]
+    less = lambda m: m.weights[3] + m.weights[9] + 2 * m.bias
+    before, after = subword_quality.train(rows, epochs=1, rate=0.0), subword_quality.train(rows, epochs=1, rate=0.5)
+    assert less(after) > less(before)
+    rng = np.random.default_rng(6)
+    table, classes = rng.uniform(-0.1, 0.1, (1 << subword_quality._BITS, 8)).astype(np.float32), None
+    classes = rng.uniform(-0.1, 0.1, (8, 2)).astype(np.float32)
+    hidden = (table[3] + table[9]) / 2
+    chance = np.exp(hidden @ classes) / np.exp(hidden @ classes).sum()
+    wrong = chance - np.array([0.0, 1.0])
+    moved = table.copy()
+    for b in (3, 9):
+        moved[b] -= 0.5 * 0.5 * (classes @ wrong) / 4
+    new = classes - 0.05 * np.outer(hidden, wrong)
+    want = moved @ (new[:, 1] - new[:, 0])
+    assert after.weights[[3, 9, 11]] == pytest.approx(want[[3, 9, 11]], rel=1e-3, abs=1e-6)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(subword_quality, "CELLS", 40)
+    rows = [(i, f"good{i} words here" if i % 2 else "bad " * 5, "s", "1", "d") for i in range(60)] + [(1, "other text of the same id", "s", "1", "d")] * 50
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(subword_quality, "train", lambda rows: seen.extend(rows) or subword_quality.Model(np.zeros(1 << subword_quality._BITS, np.float32), 0.0))
+    subword_quality.fit(docs(spark, rows), labels)
+    assert 2 <= len(seen) < 20 and all(sum(len(b) for b, _, k, _ in seen if k == c) <= 40 for c in (0, 1))
+
+
 def test_quality_held_out(spark):
     out = queries.op6_quality_classifier(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert np.mean([r.predicted == r.quality for r in out]) > 0.9
@@ -153,6 +257,36 @@ def test_viterbi_by_enumeration(seed):
         assert tuple(labels[a:z]) == max(product(range(3), repeat=int(z - a)), key=value)
 
 
+def test_word_scores_by_counting():
+    import pandas as pd
+
+    texts = {"a": ["Das Haus", "ein हिन्दी Wort"], "b": ["the house", "a word, e\u0301te\u0301"]}
+    counts, slots = {}, (1 << language_spans._BITS) + language_spans._OTHER + 1
+    for lang, held in texts.items():
+        counts[lang] = np.zeros(slots)
+        for part in language_spans._count(iter([pd.DataFrame({"lang": lang, "text": held})])):
+            counts[lang][part["slot"]] += part["n"]
+
+    def by_hand(word):  # the n-grams of one word: three characters with bounds, and pairs that end in each
+        points = [0, *(ord(c.lower()) if c.isalpha() else ord(c) for c in word), 0]
+        threes = [language_spans._mix(np.array([(a << 42) | (b << 21) | c], np.uint64))[0] for a, b, c in zip(points, points[1:], points[2:])]
+        pairs = [language_spans._mix(np.array([(a << 21) | b | 1 << 63], np.uint64))[0] for a, b in zip(points, points[1:-1])]
+        return threes + pairs
+
+    grams = {x: counts[x][: 1 << language_spans._BITS] for x in texts}
+    for lang, held in texts.items():
+        want = Counter(g for t in held for w in t.replace(",", "").split() for g in by_hand([*w][0] + "".join([*w][1:])))
+        assert {k: int(n) for k, n in enumerate(grams[lang]) if n} == dict(want)
+    table = np.stack([np.log((g + 0.5) / (g.sum() + 0.5 * len(g))) for g in grams.values()], 1).astype(np.float32)
+    model = language_spans.Model(["a", "b"], table, np.ones((language_spans._OTHER + 1, 2), bool))
+    found = language_spans.words(["Haus हिन्दी", "", "\u0301 12", "word"])
+    assert found.first.tolist() == [0, 2, 2, 2, 3]
+    for word, row in zip(["Haus", "हिन्दी", "word"], model.word_scores(found)):
+        assert row == pytest.approx([sum(table[g, k] for g in by_hand(word)) for k in range(2)], rel=1e-4)
+    (lang, score, spans), = model.label(["the house " * 20_000 + "das haus " * 5_000], 12.0, True)
+    assert lang == "b" and len(spans) == 2 and spans[0]["length"] == len("the house " * 20_000) - 1 and 0.7 < score < 0.9
+
+
 def test_mix_reaches_its_targets(spark):
     rows = [(i, "w " * (1 + i % 40), "big" if i % 3 else None, "9", "d") for i in range(3_000)] + [(5_000 + i, "a b c", "tiny", "9", "d") for i in range(20)] + [(6_000, None, "none", "9", "d"), (6_001, "", "none", "9", "d")]
     out = source_mix.plan_mix(docs(spark, rows)).collect()
@@ -176,13 +310,19 @@ def test_mix_reaches_its_targets(spark):
     want |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
     for s in size:
         assert target[s] == pytest.approx(want[s]) and taken[s] == pytest.approx(want[s], rel=0.1, abs=1)
-    mixed = source_mix.mix(docs(spark, rows))
-    assert mixed.columns == ["doc_id", "text", "source", "size", "doc"] and mixed.count() == sum(r.copies for r in out)
+    clash = docs(spark, rows).select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in ("target", "copies", "source_size", "id", "_salt", "none", "named", "n")))
+    mixed = source_mix.mix(clash)
+    times = {r.doc_id: r.copies for r in out}
+    assert mixed.columns == clash.columns and Counter(mixed.collect()) == Counter({r: times[r.doc_id] for r in clash.collect() if times[r.doc_id]})
+    narrow = source_mix.digest(clash)
+    assert Counter(map(tuple, narrow.collect())) == Counter((r.doc_id, r["size"], r.source_size, r.target, r.copies) for r in out)
+    kept = source_mix.plan_mix(clash)
+    assert kept.columns == [c for c in clash.columns if c not in source_mix.RESULTS] + list(source_mix.RESULTS)
     assert source_mix.plan_mix(docs(spark, rows).limit(0)).count() == 0
 
 
 def test_shards_are_even_gapless_and_grow_into_the_new_one(spark):
-    rows = [(i, "é" * (i % 5), "s", "1", "d") for i in range(4_000)] + [(7, "again", "s", "1", "d"), (None, None, None, None, None)]
+    rows = [(i, "é" * (i % 5), "s", "1", "d") for i in range(4_000)] + [(7, "again", "s", "1", "d"), (None, None, None, None, None)] + [(11, "same", "s", "1", "d")] * 700
     out = shard_tree.assign(docs(spark, rows)).collect()
     held = {}
     for r in out:
@@ -225,17 +365,55 @@ def test_audio_of_bad_bytes(spark):
     assert out[1] == out[2] == [] and len(out[3]) > 30
 
 
-def test_alignment_by_brute_force():
+def aligned(queries_, rows, rest=-1):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], ["class", "codes"])
+    return [r for b in chroma_media._aligned(list(range(len(queries_))), queries_, rest)(iter([batch])) for r in b.to_pylist()]
+
+
+def least_error(own, theirs):
+    """(error, offset, overlap) of the best of all offsets that pass, by trying each."""
+    out = None
+    for s in range(-len(theirs) + chroma_media.OVERLAP, len(own) - chroma_media.OVERLAP + 1):
+        low, high = max(0, s), min(len(own), len(theirs) + s)
+        error = np.bitwise_count(own[low:high].view(np.uint32) ^ theirs[low - s : high - s].view(np.uint32)).sum() / (32 * (high - low))
+        if high - low >= chroma_media.OVERLAP and error <= chroma_media.ERRORS and (out is None or error < out[0]):
+            out = error, s, high - low
+    return out
+
+
+@pytest.mark.parametrize("hits", [2_000_000, 3])
+def test_alignment_by_brute_force(monkeypatch, hits):
+    monkeypatch.setattr(chroma_media, "HITS", hits)
     rng = np.random.default_rng(4)
     lists = [rng.integers(0, 1 << 20, 40).astype(np.int32) for _ in range(5)]
     rows = [np.concatenate([rng.integers(0, 1 << 20, s).astype(np.int32), lists[s % 5]]) for s in range(8)]
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], ["class", "codes"])
-    found = [r for b in chroma_media._aligned(list(range(5)), lists, -1)(iter([batch])) for r in b.to_pylist()]
+    found = aligned(lists, rows)
     assert {(r["query"], r["class"], r["offset"]) for r in found} == {(s % 5, s, s) for s in range(8)} and all(r["error"] == 0 for r in found)
 
 
+def test_recall_of_changed_recordings(sf):
+    """Noise, shifts that are no whole frame, other speed and cut recordings, against all offsets by brute force."""
+    rng = np.random.default_rng(0)
+    rate, found, there = 8_000, 0, 0
+    noise = lambda s, db: s + rng.normal(size=len(s)) * np.sqrt((s**2).mean()) * 10 ** (-db / 20)
+    speed = lambda s, f: np.interp(np.arange(0, len(s) - 1, f), np.arange(len(s)), s)
+    changes = [lambda s: noise(s, 20), lambda s: noise(s, 5), lambda s: np.concatenate([np.zeros(1_792), s]), lambda s: speed(s, 1.01), lambda s: s[len(s) // 3 :], lambda s: 0.3 * s]
+    for k in range(20):
+        signal, _ = chroma_media.samples(chroma_media.melody(rng.normal(size=64 + 3 * k).tolist(), k))
+        query = chroma_media.codes(signal, rate)
+        rows = [chroma_media.codes(f(signal).astype(np.float32), rate) for f in changes]
+        want = {i for i, r in enumerate(rows) if least_error(r, query)}
+        got = {r["class"]: r for r in aligned([query], rows, chroma_media.silence())}
+        assert set(got) <= want and all(r["error"] <= chroma_media.ERRORS and r["overlap"] >= chroma_media.OVERLAP for r in got.values())
+        found, there = found + len(got), there + len(want)
+    assert there > 100 and found / there >= 0.9
+
+
+def test_vectors_are_played_whole():
+    values = np.random.default_rng(1).normal(size=101).tolist()
+    assert chroma_media.melody(values, 0) != chroma_media.melody([*values[:100], 9.0], 0) and chroma_media.melody(values[:64], 0) != chroma_media.melody(values, 0)
+
+
 def test_pipeline_keeps_columns(spark, sf):
     import corpus_pipeline
 
@@ -243,3 +421,29 @@ def test_pipeline_keeps_columns(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == [*documents.columns, "piece_ids", "round_trip"] and 0 < out.count() < 3 * documents.count()
     assert out.where("not round_trip").count() == 0 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_edge_rows(spark, tmp_path, sf):
+    """Null, empty, repeated and very long rows, and columns named like those that stages use."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(400_000)) + "x" * 1_000_000
+    rows = [(i, f"plain text number {i} about rivers, hills and the weather of day {i}", "en", "a" if i % 3 else None, i, f"c{i}", f"s{i}", f"f{i}") for i in range(80)]
+    rows += [(100, None, None, None, None, None, None, None), (101, "", "en", "a", 0, "c", "s", "f"), (102, " \n", "en", "b", 2, "c", "s", "f"), (103, long, "en", "b", 2, "c", "s", "f")] + [rows[5]] * 4 + [(None, rows[6][1], "en", "a", 1, "c", "s", "f")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies string, size string, fp string")
+    labels = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*table.columns, "piece_ids", "round_trip"]
+    got = out.collect()
+    known = {r.doc_id: r for r in table.where("doc_id is not null").distinct().collect()}
+    texts = {r.text or "" for r in got}
+    assert long in texts and all(r.doc_id is None or tuple(r)[:8] == tuple(known[r.doc_id]) for r in got)
+    assert all(r.round_trip and bool(r.piece_ids) == bool(r.text) for r in got)
+    # One of rows 6 and the null id stays, of row 5 one, of the texts without words one: each at most three times.
+    assert max(Counter(r.text for r in got).values()) <= 3 and len({r.doc_id for r in got if not (r.text or "").strip()}) == 1
+    empty = f"{tmp_path}/empty"
+    table.limit(0).write.parquet(f"{empty}/documents.parquet")
+    labels.limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
