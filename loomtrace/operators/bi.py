@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import joined
 from loomtrace.plans.closure import settled, settled_rows, spread
 
 #: The literal that stands for a template tag of each kind, and the deepest nesting of snippets.
-LITERALS = {"number": "1", "boolean": "TRUE", "date": "'1970-01-01'", "temporal-unit": "'day'", "dimension": "1 = 1"}
+LITERALS = {"number": "1", "boolean": "TRUE", "date": "'1970-01-01'", "datetime": "'1970-01-01'", "temporal-unit": "'day'", "dimension": "1 = 1"}
 DEFAULT_LITERAL = "'tag'"
+CARD_PLACEHOLDER = "(select 1)"
 SNIPPET_DEPTH = 3
 #: Keys under which a query holds the queries that it reads.
 READS = ("query", "source-query", "stages", "joins")
@@ -192,32 +193,58 @@ def native_template_tags(native: DataFrame) -> DataFrame:
     return tags.select("card_id", "tag", kind.alias("kind"))
 
 
+def _tokens(sql: Column) -> Column:
+    """The distinct ``{{ .. }}`` of a text."""
+    return F.array_distinct(F.regexp_extract_all(sql, F.lit(r"(\{\{[^{}]*\}\})"), 1))
+
+
+def _inner(token: Column) -> Column:
+    return F.trim(F.regexp_replace(token, r"^\{\{\s*|\s*\}\}$", ""))
+
+
+def _filled(sql: Column, held: Column) -> Column:
+    """``sql`` with each ``token`` of ``held`` replaced by its ``text``."""
+    none = F.array().cast("array<struct<token:string,text:string>>")
+    return F.aggregate(F.coalesce(held, none), sql, lambda s, t: F.replace(s, t["token"], t["text"]))
+
+
 def substitute_tags(native: DataFrame, tags: DataFrame) -> DataFrame:
-    """(card_id, sql) with a neutral literal for every tag; card references read a placeholder query."""
-    literal = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LITERALS.items() for x in kv)), F.col("kind")), F.lit(DEFAULT_LITERAL))
-    held = tags.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("tag", literal.alias("text")))).alias("tags"))
-    rows = native.join(held, "card_id", "left")
-    plain = F.regexp_replace("sql", r"\[\[|\]\]", " ")
-    filled = F.aggregate(F.coalesce("tags", F.array().cast("array<struct<tag:string,text:string>>")), plain, lambda s, t: F.replace(s, F.concat(F.lit("{{"), t["tag"], F.lit("}}")), t["text"]))
-    cards = F.regexp_replace(filled, r"\{\{\s*#[^{}]*\}\}", "(select 1)")
-    return rows.select("card_id", F.regexp_replace(cards, r"\{\{[^{}]*\}\}", DEFAULT_LITERAL).alias("sql"))
-
-
-def inline_snippets(native: DataFrame, snippets: DataFrame) -> DataFrame:
-    """(card_id, sql, missing): snippets put in place by folded name, nested ones up to the depth; unknown or deeper ones become nothing and are counted."""
-    names = snippets.groupBy(F.lower("name").alias("name")).agg(F.min_by("content", "snippet_id").alias("content"))
-    book = names.agg(F.map_from_entries(F.collect_list(F.struct("name", "content"))).alias("book"))
-    rows = native.join(F.broadcast(book))
-    pattern = r"\{\{\s*snippet:\s*([^{}]+?)\s*\}\}"
-    text, missing = F.col("sql"), F.lit(0)
-    for _ in range(SNIPPET_DEPTH):
-        wanted = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\{\{\s*snippet:[^{}]+\}\})"), 1))
-        name = lambda t: F.lower(F.regexp_extract(t, pattern, 1))
-        gone = F.size(F.filter(wanted, lambda t: F.element_at("book", name(t)).isNull()))
-        rows = rows.withColumns({"sql": F.aggregate(wanted, text, lambda s, t: F.replace(s, t, F.coalesce(F.element_at("book", name(t)), F.lit("")))), "missing": missing + gone})
-        text, missing = F.col("sql"), F.col("missing")
-    left = F.regexp_count("sql", F.lit(r"\{\{\s*snippet:"))
-    return rows.select("card_id", F.regexp_replace("sql", r"\{\{\s*snippet:[^{}]*\}\}", "").alias("sql"), (F.col("missing") + left).cast("bigint").alias("missing"))
+    """(card_id, sql) with a neutral literal for every tag; what stands in ``[[ ]]`` stays.
+
+    White space inside the braces does not count. ``#id`` and tags of kind card read
+    a placeholder query; a tag without a kind is a text.
+    """
+    literal = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in {**LITERALS, "card": CARD_PLACEHOLDER}.items() for x in kv)), F.col("kind")), F.lit(DEFAULT_LITERAL))
+    said = tags.groupBy("card_id", F.trim("tag").alias("inner")).agg(F.min("kind").alias("kind")).select("card_id", "inner", literal.alias("text"))
+    rows = native.select("card_id", F.regexp_replace("sql", r"(?s)\[\[(.*?)\]\]", "$1").alias("sql"))
+    asked = rows.select("card_id", F.explode(_tokens(F.col("sql"))).alias("token")).withColumn("inner", _inner(F.col("token"))).join(said, ["card_id", "inner"], "left")
+    text = F.when(F.col("inner").rlike(r"^#\s*\d+"), F.lit(CARD_PLACEHOLDER)).otherwise(F.coalesce("text", F.lit(DEFAULT_LITERAL)))
+    held = asked.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("token", text.alias("text")))).alias("held"))
+    return rows.join(held, "card_id", "left").select("card_id", _filled(F.col("sql"), F.col("held")).alias("sql"))
+
+
+def inline_snippets(native: DataFrame, snippets: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """(card_id, sql, missing): snippets put in place by folded name, else by id, nested ones up to the depth.
+
+    A snippet is named by ``{{snippet: name}}`` or by a tag of kind snippet in
+    ``tags(card_id, tag, kind, snippet_name, snippet_id)``. Unknown or deeper ones
+    become nothing and are counted, a distinct one once a level. One row a card.
+    """
+    by_name = snippets.groupBy(F.lower("name").alias("low")).agg(F.min_by("content", "snippet_id").alias("named"))
+    by_id = snippets.groupBy("snippet_id").agg(F.min("content").alias("numbered"))
+    if tags is None:
+        tags = native.select("card_id", *(F.lit(None).cast(kind).alias(c) for c, kind in (("tag", "string"), ("kind", "string"), ("snippet_name", "string"), ("snippet_id", "bigint")))).limit(0)
+    said = tags.where("kind = 'snippet'").groupBy("card_id", F.trim("tag").alias("inner")).agg(F.min("snippet_name").alias("snippet_name"), F.min("snippet_id").alias("snippet_id"), F.lit(True).alias("typed"))
+    rows = native.select("card_id", "sql", F.lit(0).cast("bigint").alias("missing"))
+    for depth in range(SNIPPET_DEPTH + 1):
+        asked = rows.select("card_id", F.explode(_tokens(F.col("sql"))).alias("token")).withColumn("inner", _inner(F.col("token"))).join(said, ["card_id", "inner"], "left")
+        called = F.regexp_extract("inner", r"(?i)^snippet:\s*(.*)$", 1)
+        asked = asked.where(F.col("typed") | F.col("inner").rlike("(?i)^snippet:")).withColumn("low", F.lower(F.when(F.col("inner").rlike("(?i)^snippet:"), called).otherwise(F.coalesce("snippet_name", F.lit("")))))
+        found = asked.join(by_name, "low", "left").join(by_id, "snippet_id", "left")
+        content = F.coalesce("named", "numbered") if depth < SNIPPET_DEPTH else F.lit(None).cast("string")
+        held = found.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("token", F.coalesce(content, F.lit("")).alias("text")))).alias("held"), F.count_if(content.isNull()).alias("gone"))
+        rows = rows.join(held, "card_id", "left").select("card_id", _filled(F.col("sql"), F.col("held")).alias("sql"), (F.col("missing") + F.coalesce("gone", F.lit(0))).alias("missing"))
+    return rows
 
 
 def dimension_tag_fields(tags: DataFrame, fields: DataFrame) -> DataFrame:

@@ -15,24 +15,24 @@ def _squash(c: Column) -> Column:
 
 def _tables(relations: DataFrame, db_map: DataFrame) -> DataFrame:
     """Relations under their BI database's name; the first relation of a key wins."""
-    held = relations.join(F.broadcast(db_map), F.lower("db") == F.lower("dbt_db")).select("uid", F.lower("bi_db").alias("b"), F.lower("schema_name").alias("s"), F.lower("tbl").alias("t"), "ordinal", F.col("schema_name").alias("rel_schema"), F.col("tbl").alias("rel_table"))
+    held = relations.join(db_map.select("bi_db", "dbt_db").distinct(), F.lower("db") == F.lower("dbt_db")).select("uid", F.lower("bi_db").alias("b"), F.lower("schema_name").alias("s"), F.lower("tbl").alias("t"), "ordinal", F.col("schema_name").alias("rel_schema"), F.col("tbl").alias("rel_table"))
     return held.withColumn("_k", F.row_number().over(Window.partitionBy("b", "s", "t").orderBy("ordinal", "uid"))).where("_k = 1").drop("_k")
 
 
-def field_relations(fields: DataFrame, relations: DataFrame, db_map: DataFrame, prefixes: list[str]) -> DataFrame:
+def field_relations(fields: DataFrame, relations: DataFrame, db_map: DataFrame) -> DataFrame:
     """Fields with the relation that their table stands for and the prefix that had to be stripped, if any.
 
-    A plain match of the table wins; else the project's table is a prefix and the BI table's name.
+    ``db_map(bi_db, dbt_db, prefix)`` names the project's database behind a BI database,
+    and the prefix, if any, that its tables bear in the project only. A plain match of
+    the table wins; else the project's table is that prefix and the BI table's name.
     """
     keyed = fields.withColumns({"b": F.lower("bi_db"), "s": F.lower("schema_name"), "t": F.lower("table_name")})
     tables = _tables(relations, db_map)
     plain = keyed.join(tables, ["b", "s", "t"]).withColumn("prefix", F.lit(None).cast("string"))
     left = keyed.join(tables, ["b", "s", "t"], "left_anti")
-    marks = F.explode(F.array(*map(F.lit, prefixes))) if prefixes else F.lit(None).cast("string")
-    tried = left.withColumn("prefix", marks).withColumn("t", F.concat(F.lower("prefix"), "t"))
-    found = tried.join(tables, ["b", "s", "t"])
-    first = found.withColumn("_k", F.row_number().over(Window.partitionBy("field_id").orderBy("prefix"))).where("_k = 1").drop("_k")
-    return plain.unionByName(first.select(plain.columns))
+    marks = db_map.where("prefix <> ''").groupBy(F.lower("bi_db").alias("b")).agg(F.min("prefix").alias("prefix"))
+    tried = left.join(marks, "b").withColumn("t", F.concat(F.lower("prefix"), "t"))
+    return plain.unionByName(tried.join(tables, ["b", "s", "t"]).select(plain.columns))
 
 
 def bind_exact(matched: DataFrame, columns: DataFrame) -> DataFrame:

@@ -134,17 +134,21 @@ def foreign_relations(projections: DataFrame, relations: DataFrame) -> DataFrame
 
 
 def trace_reasons(projections: DataFrame, relations: DataFrame, fallback: DataFrame) -> DataFrame:
-    """(model, output, reason) of every output; null where lineage was found."""
-    foreign = foreign_relations(projections, relations)
+    """(model, output, reason) of every output; null where lineage was found.
+
+    Where the walk failed: an output that the query names (``is_explicit``) is a limit
+    of the walk, else it came by a star of the query, else the query does not have it.
+    """
+    foreign = foreign_relations(projections, relations).join(projections.groupBy("model").agg(F.bool_or("is_star").alias("any_star")), "model")
     saved = fallback.select(F.col("t").alias("id"), F.lit(True).alias("saved")).distinct()
     flags = _leaves(projections, relations).groupBy("model", "output").agg(
-        F.bool_or("failed").alias("failed"), F.bool_or("is_star").alias("star"), F.bool_or(F.col("leaf_owner").isNotNull() & (F.col("leaf_column") != "*")).alias("found"),
+        F.bool_or("failed").alias("failed"), F.bool_or("is_explicit").alias("named"), F.bool_or("is_star").alias("star"), F.bool_or(F.col("leaf_owner").isNotNull() & (F.col("leaf_column") != "*")).alias("found"),
         F.bool_or(F.col("leaf_schema").isNotNull() & F.col("leaf_owner").isNull()).alias("outside"), F.bool_or(F.col("leaf_column") == "*").alias("placeholder")
     )
     rows = flags.withColumn("id", F.concat("model", F.lit("::"), F.lower("output"))).join(saved, "id", "left").join(foreign, "model")
     reason = (
         F.when(F.coalesce("found", F.lit(False)) | F.col("saved"), None)
-        .when(F.col("failed"), F.when(F.col("star"), F.lit("star_not_expandable")).otherwise(F.lit("lineage_failed")))
+        .when(F.col("failed"), F.when(F.col("named"), F.lit("lineage_failed")).when(F.col("any_star"), F.lit("star_not_expandable")).otherwise(F.lit("column_not_in_sql")))
         .when(F.col("star"), F.lit("star_not_expandable"))
         .when(F.col("outside"), F.lit("upstream_not_in_project"))
         .when(F.col("placeholder"), F.when(F.col("foreign"), F.lit("upstream_not_in_project")).otherwise(F.lit("upstream_not_in_schema_map")))
@@ -154,8 +158,9 @@ def trace_reasons(projections: DataFrame, relations: DataFrame, fallback: DataFr
 
 
 def untraceable_models(models: DataFrame, specs: DataFrame) -> DataFrame:
-    """(model, output, reason) for columns of models without compiled SQL."""
-    return models.where(F.trim(F.coalesce("compiled", F.lit(""))) == "").select("uid").join(specs, "uid").select(F.col("uid").alias("model"), F.col("col").alias("output"), F.lit("no_compiled_code").alias("reason"))
+    """(model, output, reason) for columns of models without compiled SQL, or with SQL that was not ``parsed``."""
+    reason = F.when(F.trim(F.coalesce("compiled", F.lit(""))) == "", "no_compiled_code").when(~F.col("parsed"), "unparseable_sql")
+    return models.select("uid", reason.alias("reason")).where("reason is not null").join(specs, "uid").select(F.col("uid").alias("model"), F.col("col").alias("output"), "reason")
 
 
 def defined_as(projections: DataFrame, expressions: DataFrame) -> DataFrame:

@@ -120,10 +120,16 @@ def erd_for_scope(members: DataFrame, pairs: DataFrame, suggestions: DataFrame)
     return inside.union(outside).union(rel).union(shown).union(hidden)
 
 
+def related_models(pairs: DataFrame, focus: DataFrame) -> DataFrame:
+    """(focus, model): each model itself and those at the other end of any pair ``(a, b)`` that is drawn: declared, staged or suggested."""
+    both = pairs.select(F.col("a").alias("focus"), F.col("b").alias("model")).union(pairs.select("b", "a"))
+    mine = focus.select(F.col("node_id").alias("focus"))
+    return both.join(mine, "focus", "left_semi").union(mine.select("focus", "focus")).distinct()
+
+
 def focus_erd(pairs: DataFrame, focus: DataFrame) -> DataFrame:
     """(focus, a, b): for each model, the relationships among it and its direct neighbours."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    near = focus.select(F.col("node_id").alias("focus")).join(both, F.col("focus") == F.col("a")).select("focus", F.col("b").alias("m")).union(focus.select(F.col("node_id"), "node_id")).distinct()
+    near = related_models(pairs, focus)
     return pairs.select("a", "b").distinct().join(near.toDF("focus", "a"), "a").join(near.toDF("focus", "b"), ["focus", "b"]).select("focus", "a", "b")
 
 
@@ -141,14 +147,21 @@ def resolve_staged(entries: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def model_star(pairs: DataFrame, staged: DataFrame, limit: int = STAR) -> DataFrame:
-    """(model, neighbour, joins, validated, declared, hidden): each model's neighbours by number of joins; a declared pair wins over a staged one."""
-    all_ = pairs.select("f", "t", "a", "b", "validated", F.lit(True).alias("declared")).union(staged.select("f", "t", "a", "b", F.lit(False), F.lit(False)))
-    first = all_.groupBy("f", "t", "a", "b").agg(F.bool_or("validated").alias("validated"), F.bool_or("declared").alias("declared"))
-    both = first.select(F.col("a").alias("model"), F.col("b").alias("neighbour"), "validated", "declared").union(first.select("b", "a", "validated", "declared")).where("model <> neighbour")
-    sums = both.groupBy("model", "neighbour").agg(F.count(F.lit(1)).alias("joins"), F.bool_or("validated").alias("validated"), F.bool_or("declared").alias("declared"))
+    """(model, neighbour, joins, outgoing, incoming, validated, declared, hidden): each model's neighbours by number of joins.
+
+    A join is a pair of own and other column, whatever its direction; of several a
+    declared one wins over a staged one, then the first by its ends. ``outgoing``
+    joins start at the model.
+    """
+    all_ = pairs.select("f", "t", "a", "b", "validated", F.lit(True).alias("declared")).union(staged.select("f", "t", "a", "b", F.lit(False), F.lit(False))).where("a <> b")
+    out = all_.select(F.col("a").alias("model"), F.col("b").alias("neighbour"), F.col("f").alias("own"), F.col("t").alias("other"), F.lit(True).alias("out"), "validated", "declared")
+    both = out.union(all_.select("b", "a", "t", "f", F.lit(False), "validated", "declared"))
+    first = F.min(F.struct((~F.col("declared")).alias("late"), (~F.col("out")).alias("in"), (~F.col("validated")).alias("open"))).alias("x")
+    one = both.groupBy("model", "neighbour", "own", "other").agg(first)
+    sums = one.groupBy("model", "neighbour").agg(F.count(F.lit(1)).alias("joins"), F.count_if(~F.col("x.in")).alias("outgoing"), F.count_if("x.in").alias("incoming"), F.bool_or(~F.col("x.open")).alias("validated"), F.bool_or(~F.col("x.late")).alias("declared"))
     w = Window.partitionBy("model")
     ranked = sums.withColumns({"k": F.row_number().over(w.orderBy(F.desc("joins"), "neighbour")), "all": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("k") <= limit).select("model", "neighbour", "joins", "validated", "declared", F.greatest(F.col("all") - limit, F.lit(0)).alias("hidden"))
+    return ranked.where(F.col("k") <= limit).select("model", "neighbour", "joins", "outgoing", "incoming", "validated", "declared", F.greatest(F.col("all") - limit, F.lit(0)).alias("hidden"))
 
 
 def starting_points(rolled: DataFrame, nodes: DataFrame, limit: int = STARTS) -> DataFrame:

@@ -38,6 +38,11 @@ def read_staged(relationships: DataFrame, dropped: DataFrame) -> DataFrame:
     return drop_staged(stage_relationships(relationships), dropped)
 
 
+def read_dismissed(log: DataFrame) -> DataFrame:
+    """The ids of dismissed suggestions, each once; nulls are none. Order them where they are shown."""
+    return log.where("id is not null").select("id").distinct()
+
+
 def validate_staged(entries: DataFrame, models: DataFrame, columns: DataFrame) -> DataFrame:
     """``entries`` with the first reason why each is invalid, or null."""
     names = models.groupBy(F.lower("name").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("uid"))

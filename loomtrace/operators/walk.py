@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.text import rank, word
 from loomtrace.operators.graph import flow_edges
-from loomtrace.plans.closure import relax, settled, settled_rows, spread
+from loomtrace.plans.closure import discard, joined_rounds, new_folder, settled, settled_rows, spread
 
 #: Hops of an impact walk, and of reach.
 MAX_DEPTH, REACH_DEPTH = 20, 30
@@ -107,15 +107,32 @@ def lineage_subgraph(edges: DataFrame, node: DataFrame) -> tuple[DataFrame, Data
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, layer): the longest path from a node without inputs; on cycles it stops at the number of nodes."""
-    hops = settled(edges.where("f <> t").select("f", "t").distinct())
-    state = nodes.select("node_id", F.lit(0).alias("layer"))
+    """(node_id, layer): the longest path from a node without inputs.
 
-    def step(s: DataFrame) -> DataFrame:
-        pushed = s.join(hops, F.col("node_id") == F.col("f")).groupBy(F.col("t").alias("node_id")).agg((F.max("layer") + 1).alias("up"))
-        return s.join(pushed, "node_id", "left").select("node_id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"))
-
-    return relax(state, step, F.sum("layer"), max_rounds=nodes.count())
+    Nodes are peeled: each round takes those all of whose inputs are gone, and ends
+    when there is none, so rounds are as many as layers. Nodes on a cycle, or behind
+    one, are never taken; they stand one layer behind the last input that was, or in 0.
+    """
+    spark = nodes.sparkSession
+    ids = nodes.select("node_id").distinct()
+    hops = edges.where("f <> t").select("f", "t").distinct()
+    hops = settled(hops.join(ids.toDF("f"), "f", "left_semi").join(ids.toDF("t"), "t", "left_semi").repartition("f"))
+    folder = new_folder(spark, "open")
+    inputs = hops.groupBy(F.col("t").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    state = settled(ids.join(inputs, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).alias("least")), folder=folder)
+    done, depth = [], 0
+    while True:
+        taken, rows = settled_rows(state.where("n = 0").select("node_id", F.lit(depth).alias("layer")))
+        if not rows:
+            break
+        done.append(taken)
+        depth += 1
+        less = taken.join(hops, F.col("node_id") == F.col("f")).groupBy("t").agg(F.count(F.lit(1)).alias("m")).select(F.col("t").alias("node_id"), "m")
+        held, folder = folder, new_folder(spark, "open")
+        left = state.where("n > 0").join(less, "node_id", "left")
+        state = settled(left.select("node_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.when(F.col("m") > 0, F.lit(depth)).otherwise(F.col("least")).alias("least")), folder=folder)
+        discard(spark, held)
+    return joined_rounds([*done, state.select("node_id", F.col("least").alias("layer"))])
 
 
 def _entity(nodes: DataFrame) -> DataFrame:
@@ -177,6 +194,6 @@ def card_dependencies(cards: DataFrame) -> DataFrame:
 
 
 def card_depth(cards: DataFrame, deps: DataFrame) -> DataFrame:
-    """(card_id, depth): the longest chain of upstream cards; a cycle stops at the number of cards."""
+    """(card_id, depth): the longest chain of upstream cards; see :func:`layers` for cycles."""
     found = layers(cards.select(F.col("card_id").alias("node_id")), deps.select(F.col("upstream").alias("f"), F.col("card_id").alias("t")))
     return found.select(F.col("node_id").alias("card_id"), F.col("layer").alias("depth"))

@@ -134,7 +134,7 @@ def _(e: Estate) -> DataFrame:
 
 @suite(
     "c15_substitute_tags",
-    """select card_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(sql, '[[', ' '), ']]', ' '), '{{region}}', '1 = 1'), '{{since}}', '''1970-01-01'''), '{{n}}', '1'), '\\{\\{\\s*#[^{}]*\\}\\}', '(select 1)', 'g'), '\\{\\{[^{}]*\\}\\}', '''tag''', 'g') as sql from e_native""",
+    """select card_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(sql, '[[', ''), ']]', ''), '{{region}}', '1 = 1'), '{{ since }}', '''1970-01-01'''), '{{n}}', '1'), '{{ pick}}', case when card_id % 2 = 0 then '(select 1)' else '''tag''' end), '\\{\\{\\s*#[^{}]*\\}\\}', '(select 1)', 'g'), '\\{\\{[^{}]*\\}\\}', '''tag''', 'g') as sql from e_native""",
 )
 def _(e: Estate) -> DataFrame:
     return bi.substitute_tags(e.native, e.tags)

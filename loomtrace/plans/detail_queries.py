@@ -108,6 +108,7 @@ def _(e: Estate) -> DataFrame:
 
 
 _TAGGED = "select node_id, schema_name, package, case when k % 4 <> 3 then 'tier' || (k % 3) when k = 3 then 'staging' end as tag from e_models"
+_STAGED = "select a.node_id as f, b.node_id as t, a.owner_id as a, b.owner_id as b from e_columns a join e_columns b on a.name = b.name and a.k is null and a.owner_id < b.owner_id and a.owner_id like 'model%'"
 _PAIRS = "mp as (select r.f, r.t, a.owner_id as a, b.owner_id as b, r.confidence = 'validated' as validated from e_relates r join e_columns a on a.node_id = r.f join e_columns b on b.node_id = r.t)"
 _SCOPES = f"""{_PAIRS}, sm as (select 'schema' as kind, schema_name as scope, node_id from ({_TAGGED}) union all select 'tag', tag, node_id from ({_TAGGED}) where tag is not null),
     sr as (select kind, scope, count(distinct (f, t)) as n from (select distinct s.kind, s.scope, f, t from mp join sm s on s.node_id = mp.a or s.node_id = mp.b) group by 1, 2),
@@ -157,6 +158,14 @@ def _(e: Estate) -> DataFrame:
     return detail.focus_erd(_pairs(e), e.models)
 
 
+@suite(
+    "l12_related_models",
+    f"with {_PAIRS}, dr as (select a, b from mp union select a, b from ({_STAGED})) select node_id as focus, node_id as model from e_models union select a, b from dr where a in (select node_id from e_models) union select b, a from dr where b in (select node_id from e_models)",
+)
+def _(e: Estate) -> DataFrame:
+    return detail.related_models(_pairs(e).select("a", "b").union(e.sql(_STAGED).select("a", "b")), e.models)
+
+
 @suite("l13_erd_counts", f"with {_ERD} select part, count(*) as n from erd group by part")
 def _(e: Estate) -> DataFrame:
     return detail.erd_counts(_erd(e))
@@ -171,17 +180,19 @@ def _(e: Estate) -> DataFrame:
     return detail.resolve_staged(e.sql(_NAMES), e.sql(_OWNERS))
 
 
-_STAGED = "select a.node_id as f, b.node_id as t, a.owner_id as a, b.owner_id as b from e_columns a join e_columns b on a.name = b.name and a.k is null and a.owner_id < b.owner_id and a.owner_id like 'model%'"
 
 
 @suite(
     "l15_model_star",
-    f"""with {_PAIRS}, al as (select f, t, a, b, bool_or(v) as v, bool_or(d) as d from (select f, t, a, b, validated as v, true as d from mp union all select f, t, a, b, false, false from ({_STAGED})) group by all), bo as (select a as model, b as neighbour, v, d from al union all select b, a, v, d from al),
-    s as (select model, neighbour, count(*) as joins, bool_or(v) as validated, bool_or(d) as declared from bo where model <> neighbour group by 1, 2), r as (select *, row_number() over (partition by model order by joins desc, neighbour) as k, count(*) over (partition by model) as n from s)
-    select model, neighbour, joins, validated, declared, greatest(n - 2, 0) as hidden from r where k <= 2""",
+    f"""with {_PAIRS}, al as (select f, t, a, b, validated as v, true as d from mp where a <> b union all select f, t, a, b, false, false from ({_STAGED}) where a <> b),
+    bo as (select a as model, b as neighbour, f as own, t as other, true as o, v, d from al union all select b, a, t, f, false, v, d from al),
+    fi as (select * from bo qualify row_number() over (partition by model, neighbour, own, other order by d desc, o desc, v desc) = 1),
+    s as (select model, neighbour, count(*) as joins, count(*) filter (o) as outgoing, count(*) filter (not o) as incoming, bool_or(v) as validated, bool_or(d) as declared from fi group by 1, 2),
+    r as (select *, row_number() over (partition by model order by joins desc, neighbour) as k, count(*) over (partition by model) as n from s)
+    select model, neighbour, joins, outgoing, incoming, validated, declared, greatest(n - 10, 0) as hidden from r where k <= 10""",
 )
 def _(e: Estate) -> DataFrame:
-    return detail.model_star(_pairs(e), e.sql(_STAGED), limit=2)
+    return detail.model_star(_pairs(e), e.sql(_STAGED))
 
 
 @suite("l15_model_star_all")

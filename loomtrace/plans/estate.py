@@ -116,7 +116,7 @@ select owner_id as uid, upper(name) as col, coalesce(data_type, 'VARIANT') as dt
     "e_docs": """
 select owner_id as uid, case when k % 9 = 0 then 'C_' || k when k % 14 = 2 then 'Extra' || k else name end as col, 'doc ' || name as description, coalesce(k, 0) as ordinal from e_columns where coalesce(k, 0) % 2 = 0""",
     "e_pj": """
-select b.owner_id as model, b.name as output, b.k as ordinal, case e.confidence when 'exact' then 'column' when 'parsed' then 'expression' else 'star' end as kind, e.confidence = 'inferred' as is_star, b.k % 23 = 0 as failed,
+select b.owner_id as model, b.name as output, b.k as ordinal, case e.confidence when 'exact' then 'column' when 'parsed' then 'expression' else 'star' end as kind, e.confidence = 'inferred' as is_star, b.k % 23 = 0 as failed, b.k % 46 = 0 as is_explicit,
        case when b.k % 23 = 0 then null when b.k % 29 = 0 then 'EXT' else o.schema_name end as leaf_schema, case when b.k % 23 = 0 then null when b.k % 29 = 0 then 'elsewhere' when b.k % 3 = 0 then upper(o.name) else o.name end as leaf_table,
        case when b.k % 23 = 0 then null when b.k % 31 = 0 then '*' else a.name end as leaf_column, e.f as leaf_id
 from e_feeds e join e_columns a on a.node_id = e.f join e_columns b on b.node_id = e.t join e_nodes o on o.node_id = a.owner_id""",
@@ -140,7 +140,7 @@ from e_slots""",
 select c as collection_id, case when c % 7 = 6 then 'Home ' || c else 'Team ' || c end as name, case when c < 5 then '/' when c < 12 then '/' || (c % 5) || '/' else '/' || (c % 5) || '/' || (5 + c % 7) || '/' || case when c = 19 then '999/' else '' end end as location, c % 7 = 6 as personal
 from (select distinct collection_id as c from e_cards) x""",
     "e_native": """
-select card_id, 'select a.c_' || card_id || ' from ' || case card_id % 3 when 0 then 'S1.' || 'stg_e' || (card_id % 25) || 's' when 1 then 'fct_e' || (card_id % 25) || 's a' else 'nowhere' end || ' join {{#' || (card_id % 900) || '-top-cards}} q on true where {{region}} [[and {{since}} > 1]] and {{snippet: part ' || (card_id % 4) || '}} and x = {{n}} and {{#' || (card_id % 77) || '}} is null' as sql from e_cards where query_type = 'native'""",
+select card_id, 'select a.c_' || card_id || ' from ' || case card_id % 3 when 0 then 'S1.' || 'stg_e' || (card_id % 25) || 's' when 1 then 'fct_e' || (card_id % 25) || 's a' else 'nowhere' end || ' join {{#' || (card_id % 900) || '-top-cards}} q on true where {{region}} [[and {{ since }} > 1]] and {{ pick}} = 2 and {{snippet: part ' || (card_id % 4) || '}} and x = {{n}} and {{#' || (card_id % 77) || '}} is null' as sql from e_cards where query_type = 'native'""",
     "e_tags": """
 select card_id, 'region' as tag, 'dimension' as kind, card_id % 3000 as field_id, cast(null as bigint) as ref_card from e_cards where query_type = 'native' union all select card_id, 'since', 'date', null, null from e_cards where query_type = 'native'
 union all select card_id, 'n', 'number', null, null from e_cards where query_type = 'native' union all select card_id, 'pick', 'card', null, card_id % 60 from e_cards where query_type = 'native' and card_id % 2 = 0""",

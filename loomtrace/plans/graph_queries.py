@@ -402,7 +402,13 @@ def _(e: Estate) -> DataFrame:
     return impact.impact_gate(graph.diff_columns(e.base, e.cand))
 
 
-@suite("h12_split_messages")
+@suite(
+    "h12_split_messages",
+    """with recursive ln as (select collection_id, row_number() over (partition by collection_id order by card_id) as k, name as line from e_cards),
+    pk as (select collection_id, k, 0 as chunk, length(line) as size from ln where k = 1 union all
+      select l.collection_id, l.k, case when p.size + 1 + length(l.line) <= 2900 then p.chunk else p.chunk + 1 end, case when p.size + 1 + length(l.line) <= 2900 then p.size + 1 + length(l.line) else length(l.line) end from pk p join ln l on l.collection_id = p.collection_id and l.k = p.k + 1)
+    select p.collection_id, p.chunk, string_agg(l.line, chr(10) order by l.k) as text from pk p join ln l on l.collection_id = p.collection_id and l.k = p.k group by p.collection_id, p.chunk""",
+)
 def _(e: Estate) -> DataFrame:
     lines = e.sql("select collection_id, card_id as line_no, name as line from e_cards")
     return impact.split_messages(lines, "collection_id")

@@ -72,9 +72,9 @@ def _(e: Estate) -> DataFrame:
 _REL = "rel as (select lower(db) as db, lower(schema_name) as schema_name, lower(tbl) as tbl, arg_max(uid, ordinal) as uid from e_entities where not is_ephemeral group by all)"
 _LEAVES = f"{_REL}, lv as (select p.*, r.uid as leaf_owner from e_pj p left join rel r on r.schema_name = lower(p.leaf_schema) and r.tbl = lower(p.leaf_table))"
 _FALL = f"fb as (select distinct s.uid || '::' || s.col as f, p.model || '::' || s.col as t, 'feeds' as edge_type, 'inferred' as confidence from (select distinct model, lower(output) as col from e_pj where failed and is_star) p join (select distinct model, upstream from ({_DEPS})) d on d.model = p.model join specs s on s.uid = d.upstream and s.col = p.col)"
-_REASONS = f"""{_SPECS}, {_LEAVES}, {_FALL}, fo as (select model, coalesce(bool_or(leaf_schema is not null and leaf_owner is null), false) as is_foreign from lv group by model),
-    fl as (select model, output, bool_or(failed) as failed, bool_or(is_star) as star, bool_or(leaf_owner is not null and leaf_column <> '*') as found, bool_or(leaf_schema is not null and leaf_owner is null) as outside, bool_or(leaf_column = '*') as ph from lv group by model, output),
-    rs as (select fl.model, output, case when coalesce(found, false) or exists (select 1 from fb where fb.t = fl.model || '::' || lower(output)) then null when failed and not star then 'lineage_failed' when star then 'star_not_expandable'
+_REASONS = f"""{_SPECS}, {_LEAVES}, {_FALL}, fo as (select model, coalesce(bool_or(leaf_schema is not null and leaf_owner is null), false) as is_foreign, bool_or(is_star) as any_star from lv group by model),
+    fl as (select model, output, bool_or(failed) as failed, bool_or(is_explicit) as named, bool_or(is_star) as star, bool_or(leaf_owner is not null and leaf_column <> '*') as found, bool_or(leaf_schema is not null and leaf_owner is null) as outside, bool_or(leaf_column = '*') as ph from lv group by model, output),
+    rs as (select fl.model, output, case when coalesce(found, false) or exists (select 1 from fb where fb.t = fl.model || '::' || lower(output)) then null when failed and named then 'lineage_failed' when failed and not fo.any_star then 'column_not_in_sql' when failed or star then 'star_not_expandable'
       when outside then 'upstream_not_in_project' when ph then case when is_foreign then 'upstream_not_in_project' else 'upstream_not_in_schema_map' end else 'no_upstream_columns' end as reason from fl join fo on fo.model = fl.model)"""
 
 
@@ -149,9 +149,9 @@ def _(e: Estate) -> DataFrame:
     return _traces(e)
 
 
-@suite("b12_untraceable_models", f"with {_SPECS} select s.uid as model, s.col as output, 'no_compiled_code' as reason from specs s join e_entities e on e.uid = s.uid where e.kind = 'model' and trim(coalesce(e.compiled, '')) = ''")
+@suite("b12_untraceable_models", f"with {_SPECS} select s.uid as model, s.col as output, case when trim(coalesce(e.compiled, '')) = '' then 'no_compiled_code' else 'unparseable_sql' end as reason from specs s join e_entities e on e.uid = s.uid where e.kind = 'model' and (trim(coalesce(e.compiled, '')) = '' or e.ordinal % 7 = 1)")
 def _(e: Estate) -> DataFrame:
-    return dbt.untraceable_models(e.sql(_MODELS), _specs(e))
+    return dbt.untraceable_models(e.sql(_MODELS).withColumn("parsed", F.col("ordinal") % 7 != 1), _specs(e))
 
 
 @suite("b13_foreign_relations", f'with {_LEAVES} select model, coalesce(bool_or(leaf_schema is not null and leaf_owner is null), false) as "foreign" from lv group by model')
@@ -303,19 +303,19 @@ def _(e: Estate) -> DataFrame:
 
 
 #: BI tables of which some lack the project's prefix and some lie in another schema spelling.
-_FIELDS = "select node_id as field, field_id, bi_db, case when field_id % 4 = 0 then lower(schema_name) else schema_name end as schema_name, case when field_id % 11 = 0 then substr(table_name, 5) when field_id % 3 = 0 then upper(table_name) else table_name end as table_name, column_name from e_fields"
-_PREFIXES = ["dim_", "fct_", "int_", "stg_"]
+_FIELDS = "select node_id as field, field_id, 'W' || (field_id % 3) as bi_db, case when field_id % 4 = 0 then lower(schema_name) else schema_name end as schema_name, case when field_id % 11 = 0 then substr(table_name, 5) when field_id % 3 = 0 then upper(table_name) else table_name end as table_name, column_name from e_fields"
+#: One project database behind three BI databases, two of them with a prefix.
+_DB_MAP = "select 'w0' as bi_db, 'analytics' as dbt_db, 'stg_' as prefix union all select 'W1', 'Analytics', 'FCT_' union all select 'W2', 'ANALYTICS', cast(null as string)"
 _BOUND = f"""tb as (select uid, lower(schema_name) as s, lower(tbl) as t, schema_name as rs, tbl as rt from e_entities where lower(db) = 'analytics' and kind = 'model' qualify row_number() over (partition by lower(schema_name), lower(tbl) order by ordinal, uid) = 1),
     fd as ({_FIELDS}), pl as (select fd.*, uid, rs, rt, cast(null as varchar) as prefix from fd join tb on tb.s = lower(schema_name) and tb.t = lower(table_name)),
-    px as (select fd.*, uid, rs, rt, x.prefix from fd, (select unnest({_PREFIXES}) as prefix) x join tb on tb.s = lower(schema_name) and tb.t = x.prefix || lower(table_name) where fd.field_id not in (select field_id from pl) qualify row_number() over (partition by field_id order by x.prefix) = 1),
+    px as (select fd.*, uid, rs, rt, x.prefix from fd join ({_DB_MAP}) x on lower(x.bi_db) = lower(fd.bi_db) join tb on tb.s = lower(schema_name) and tb.t = lower(x.prefix) || lower(table_name) where fd.field_id not in (select field_id from pl)),
     mt as (select * from pl union all select * from px), cw as (select *, case when k % 9 = 0 then upper(name) else name end as spelt from e_columns),
     ex as (select c.node_id as col_id, m.field, m.field_id, 'exact' as confidence, m.prefix, (m.schema_name <> m.rs) or (m.prefix is null and m.table_name <> m.rt) or m.column_name <> c.spelt as case_mismatch, m.uid from mt m join cw c on c.owner_id = m.uid and lower(c.name) = lower(m.column_name)),
     fz as (select c.node_id as col_id, m.field, m.field_id, 'fuzzy' as confidence, m.prefix from mt m join cw c on c.owner_id = m.uid and replace(lower(c.name), '_', '') = replace(lower(m.column_name), '_', '') where m.field_id not in (select field_id from ex) qualify count(*) over (partition by m.field_id) = 1)"""
 
 
 def _matched(e: Estate) -> DataFrame:
-    db_map = e.spark.createDataFrame([("Warehouse", "analytics")], "bi_db string, dbt_db string")
-    return bind.field_relations(e.sql(_FIELDS), e.sql(_MODELS), db_map, _PREFIXES)
+    return bind.field_relations(e.sql(_FIELDS), e.sql(_MODELS), e.sql(_DB_MAP))
 
 
 def _known(e: Estate) -> DataFrame:

@@ -18,6 +18,7 @@ _FIELD = "struct<id:bigint,name:string,display_name:string,base_type:string,data
 _DASHCARD = "struct<id:bigint,card_id:bigint,parameter_mappings:string>"
 #: Parts of a BI snapshot: file name pattern and schema. A list may be wrapped in ``data``.
 BI = {
+    "databases": ("databases.json", "id bigint, name string, engine string, is_sample boolean, details struct<db:string>"),
     "tables": ("database_metadata_*.json", f"id bigint, name string, tables array<struct<id:bigint,name:string,schema:string,fields:array<{_FIELD}>>>"),
     "cards": ("cards*.json", "id bigint, name string, description string, collection_id bigint, archived boolean, display string, updated_at string, creator struct<id:bigint,common_name:string,email:string>, dataset_query string, result_metadata string"),
     "dashboards": ("dashboard_*.json", f"id bigint, name string, collection_id bigint, archived boolean, dashcards array<{_DASHCARD}>, ordered_cards array<{_DASHCARD}>"),
@@ -30,6 +31,12 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether any file or folder fits ``path``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return len(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place) or []) > 0
+
+
 def _entries(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.explode(name).alias("uid", "e")).where("e is not null")
 
@@ -68,20 +75,27 @@ def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bi_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``tables``, ``fields``, ``cards``, ``dashboards``, ``dashcards``, ``collections`` and ``snippets`` of a snapshot folder.
+    """``databases``, ``tables``, ``fields``, ``cards``, ``dashboards``, ``dashcards``, ``collections`` and ``snippets`` of a snapshot folder.
 
-    Entries without an id are passed over. ``dataset_query`` and ``result_metadata`` stay text, to be parsed by the operators.
+    Entries without an id are passed over, and a part without a file is empty. ``dataset_query`` and ``result_metadata`` stay text, to be parsed by the operators.
     """
     parts = {}
     for name, (pattern, schema) in BI.items():
+        if not _there(spark, f"{path}/{pattern}"):
+            parts[name] = spark.createDataFrame([], schema)
+            continue
         rows = _json(spark, f"{path}/{pattern}", f"{schema}, data array<struct<{_typed(schema)}>>")
         flat = rows.where("data is not null").select(F.inline("data"))
         parts[name] = rows.drop("data").unionByName(flat).where("id is not null")
-    tables = parts["tables"].select(F.col("name").alias("bi_db"), F.explode("tables").alias("t"))
+    databases = parts["databases"].select(F.col("id").alias("database_id"), F.col("name").alias("bi_db"), "engine", F.coalesce("is_sample", F.lit(False)).alias("is_sample"), F.col("details.db").alias("warehouse_db"))
+    held = parts["tables"].select(F.col("id").alias("database_id"), F.col("name").alias("own"), F.explode("tables").alias("t"))
+    # A table's database goes by the name in the list of databases, else by its own.
+    tables = held.join(databases.select("database_id", "bi_db"), "database_id", "left").select("database_id", F.coalesce("bi_db", "own").alias("bi_db"), "t")
     dashcards = parts["dashboards"].select(F.col("id").alias("dash_id"), F.explode(F.coalesce("dashcards", "ordered_cards")).alias("d"))
     return {
-        "tables": tables.select("bi_db", F.col("t.id").alias("table_id"), F.col("t.name").alias("table_name"), F.col("t.schema").alias("schema_name")),
-        "fields": tables.select("bi_db", F.col("t.id").alias("table_id"), F.col("t.name").alias("table_name"), F.col("t.schema").alias("schema_name"), F.inline("t.fields")),
+        "databases": databases,
+        "tables": tables.select("database_id", "bi_db", F.col("t.id").alias("table_id"), F.col("t.name").alias("table_name"), F.col("t.schema").alias("schema_name")),
+        "fields": tables.select("database_id", "bi_db", F.col("t.id").alias("table_id"), F.col("t.name").alias("table_name"), F.col("t.schema").alias("schema_name"), F.inline("t.fields")),
         "cards": parts["cards"], "dashboards": parts["dashboards"].drop("dashcards", "ordered_cards"), "collections": parts["collections"], "snippets": parts["snippets"],
         "dashcards": dashcards.select("dash_id", F.col("d.id").alias("dashcard_id"), F.col("d.card_id").alias("card_id"), F.col("d.parameter_mappings").alias("mappings")),
     }

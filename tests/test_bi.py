@@ -62,3 +62,14 @@ def test_result_metadata_resolves_names_before_the_guess(spark, tmp_path):
     assert got == {("total", 1, "exact"), ("late", 2, "exact"), ("twice", None, None), ("gone", None, None), ("sum", 6, "parsed"), ("text", None, None), ("Total", 3, "parsed"), ("plain", 7, "parsed")}
     aliased = {(r.target, r.field_id, r.confidence) for r in bi.resolve_refs_by_name(refs.where("join_alias = 'J' and target = 'total'"), context, fields, joins, consumed, results).collect()}
     assert aliased == {("total", 1, "parsed")}
+
+
+def test_tags_and_snippets_of_every_kind(spark):
+    native = spark.createDataFrame([(1, "a {{ n }} [[and {{ when}}]] {{#7-top}} {{ pick }} {{free}}"), (2, "x {{ snippet: Outer }} {{filters}} {{snippet:gone}}"), (3, "plain")], "card_id long, sql string")
+    tags = spark.createDataFrame([(1, "n", "number"), (1, "when", "datetime"), (1, "pick", "card"), (1, "n", "number")], "card_id long, tag string, kind string")
+    out = {r.card_id: r.sql for r in bi.substitute_tags(native, tags).collect()}
+    assert out[1] == f"a 1 and '1970-01-01' {bi.CARD_PLACEHOLDER} {bi.CARD_PLACEHOLDER} {bi.DEFAULT_LITERAL}" and out[3] == "plain"
+    snippets = spark.createDataFrame([(1, "outer", "o {{snippet: MID}}"), (2, "mid", "m {{snippet: low}}"), (3, "low", "l {{snippet: outer}}"), (9, "named", "by id")], "snippet_id long, name string, content string")
+    typed = spark.createDataFrame([(2, "filters", "snippet", "renamed since", 9)], "card_id long, tag string, kind string, snippet_name string, snippet_id long")
+    out = {r.card_id: (r.sql, r.missing) for r in bi.inline_snippets(native, snippets, typed).collect()}
+    assert out[2] == ("x o m l  by id ", 2) and out[3] == ("plain", 0)  # too deep once, unknown once
