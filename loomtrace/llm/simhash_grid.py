@@ -97,12 +97,12 @@ def embedding(fp: Column) -> Column:
 
 
 def blocks_fixed(n: int, limit: int = LIMIT) -> int:
-    """How many whole blocks a cell fixes, so that ``n`` fingerprints cost least: cells and chance meetings in them."""
+    """How many whole blocks a cell fixes, three at least, so that ``n`` fingerprints cost least: cells and chance meetings in them."""
 
     def cost(fixed: int) -> float:
         return comb(limit + fixed, fixed) * (1 + n * AGREE ** (SEGMENTS * fixed / (limit + fixed)))
 
-    return min(range(1, 9), key=cost)
+    return min(range(3, 9), key=cost)
 
 
 def block_masks(limit: int = LIMIT, fixed: int = 3, segments: tuple[int, ...] = tuple(range(SEGMENTS))) -> list[tuple[int, tuple[int, ...]]]:
