@@ -60,6 +60,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     ``HOT_KEYS`` groups can be, so their keys are broadcast.
     """
     hot_from = max(1_000, total // HOT_KEYS)
+    if total < hot_from:
+        return rows.join(groups, on, how)
     hot = F.broadcast(groups.where(F.col(size) >= hot_from).select(*on, F.lit(True).alias("_hot")))
     dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
     every = F.when(F.col(size) >= hot_from, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

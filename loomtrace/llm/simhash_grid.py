@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtrace.llm.common import join_groups, salt_of, small_enough, text_or_empty, told, written
+from loomtrace.llm.common import BROADCAST_BYTES, join_groups, salt_of, small_enough, text_or_empty, told, written
 from loomtrace.llm.components import components
 
 #: Largest number of differing bits of a link; words in a shingle.
@@ -143,30 +143,35 @@ def _pairs(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
 def _first(cells: DataFrame, limit: int) -> DataFrame:
     """Links (a, b) of every fingerprint with the heads of its cells: the least, the greatest and one by chance."""
     heads = cells.groupBy("cell").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.min_by("fp", F.xxhash64("fp")).alias("any")).where("least <> most")
-    # Most who share a cell are far apart, so distances are tested before rows are made.
-    linked = (F.when((F.col("fp") != F.col(head)) & _near("fp", head, limit), F.col(head)) for head in ("least", "most", "any"))
-    found = cells.join(heads, "cell").select(F.col("fp").alias("a"), F.array_compact(F.array(*linked)).alias("bs"))
-    return found.where(F.size("bs") > 0).select("a", F.explode("bs").alias("b"))
+    near = [(F.col("fp") != F.col(head)) & _near("fp", head, limit) for head in ("least", "most", "any")]
+    # Most who share a cell are far apart, so distances are part of the join.
+    found = cells.join(heads.withColumnRenamed("cell", "c"), (F.col("cell") == F.col("c")) & (near[0] | near[1] | near[2]))
+    linked = (F.when(test, F.col(head)) for test, head in zip(near, ("least", "most", "any")))
+    return found.select(F.col("fp").alias("a"), F.explode(F.array_compact(F.array(*linked))).alias("b"))
 
 
 def _second(cells: DataFrame, choices: list[tuple[int, tuple[int, ...]]], limit: int) -> DataFrame:
     """Links (a, b) between the labels ``root`` of members of one cell.
 
-    Cells of one label need none. A full cell is cut by blocks of the segments
-    that it leaves open, and there only those who differ from the label of one
-    member, taken by chance, meet all others.
+    Cells of one label give none. A full cell of several is cut by blocks of the
+    segments that it leaves open, and there only those who differ from the label of
+    one member, taken by chance, meet all others.
     """
-    mixed = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("cell", "n")
-    open_ = written(cells.join(mixed, "cell"), "cells")
-    few, full = open_.where(F.col("n") <= FULL), open_.where(F.col("n") > FULL)
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    full = written(sizes.where(F.col("n") > FULL).select("cell", (F.col("r0") != F.col("r1")).alias("mixed")), "full")
+    several = full.count()
+    if not several:
+        return _pairs(cells, cells, limit)
+    small = several * 16 <= BROADCAST_BYTES
+    few = cells.join(F.broadcast(full) if small else full, "cell", "left_anti")
     found = _pairs(few, few, limit)
-    if full.isEmpty():
-        return found
+    mixed = full.where("mixed").select("cell")
+    rows = cells.join(F.broadcast(mixed) if small else mixed, "cell", "left_semi")
     finer = F.array(*(F.array(*(F.lit(m) for m, _ in block_masks(limit, FURTHER, left))) for _, left in choices))
     keys = F.transform(F.element_at(finer, F.col("k") + 1), lambda m, j: F.xxhash64(F.col("cell"), j, _vector().bitwiseAND(m)))
-    cut = full.select("fp", "root", F.explode(keys).alias("cell"))
-    mixed = cut.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", F.xxhash64("fp")).alias("taken")).where("r0 <> r1").select("cell", "taken")
-    cut = written(cut.join(mixed, "cell"), "cells")
+    cut = written(rows.select("fp", "root", F.explode(keys).alias("cell")), "cells")
+    taken = cut.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", F.xxhash64("fp")).alias("taken")).where("r0 <> r1").select("cell", "taken")
+    cut = written(cut.join(taken, "cell"), "cells")
     return found.union(_pairs(cut.where("root <> taken"), cut, limit))
 
 
