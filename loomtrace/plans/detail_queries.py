@@ -6,49 +6,38 @@ from pyspark.sql import DataFrame
 
 from loomtrace.operators import detail, walk
 from loomtrace.plans.estate import Estate
-from loomtrace.plans.graph_queries import _EVERY, _ROLL, _SOME, _reach_sql
+from loomtrace.plans.graph_queries import _EVERY, _ROLL, _reach_sql
 from loomtrace.plans.project_queries import _REASONS, _traces
 from loomtrace.plans.suite import Suite
 
 suite = Suite()
 
-_UP = _reach_sql(_SOME, "t", "f").replace("ed as", "ed2 as").replace("join ed ", "join ed2 ").replace("rr", "r2").replace("reached2 as", "above as").replace("from rr", "from r2")
+_UP = _reach_sql(_EVERY, "t", "f").replace("ed as", "ed2 as").replace("join ed ", "join ed2 ").replace("rr", "r2").replace("reached2 as", "above as").replace("from rr", "from r2")
 
 
 @suite(
     "l1_column_detail",
-    f"""with recursive {_reach_sql(_SOME)}, {_UP},
+    f"""with recursive {_reach_sql(_EVERY)}, {_UP},
     u as (select start, count(*) filter (n.node_type = 'column') as uc, count(*) filter (n.node_type = 'source') as us from above a join e_nodes n on n.node_id = a.node_id group by start),
     d as (select start, count(*) filter (n.node_type = 'column') as dc, count(distinct n.owner_id) filter (n.node_type = 'column') as dm, count(*) filter (n.node_type = 'mb_field') as fi, count(*) filter (n.node_type = 'mb_card') as ca, count(*) filter (n.node_type = 'mb_dashboard') as da from reached a join e_nodes n on n.node_id = a.node_id group by start)
-    select s.node_id as start, coalesce(uc, 0) as up_columns, coalesce(us, 0) as up_sources, coalesce(dc, 0) as down_columns, coalesce(dm, 0) as down_models, coalesce(fi, 0) as fields, coalesce(ca, 0) as cards, coalesce(da, 0) as dashboards from ({_SOME}) s left join u on u.start = s.node_id left join d on d.start = s.node_id""",
+    select s.node_id as start, coalesce(uc, 0) as up_columns, coalesce(us, 0) as up_sources, coalesce(dc, 0) as down_columns, coalesce(dm, 0) as down_models, coalesce(fi, 0) as fields, coalesce(ca, 0) as cards, coalesce(da, 0) as dashboards from ({_EVERY}) s left join u on u.start = s.node_id left join d on d.start = s.node_id""",
 )
-def _(e: Estate) -> DataFrame:
-    return detail.column_detail(e.nodes, e.edges, e.sql(_SOME))
-
-
-@suite("l1_column_detail_all")
 def _(e: Estate) -> DataFrame:
     return detail.column_detail(e.nodes, e.edges, e.sql(_EVERY))
 
 
 #: All objects of the BI side.
-_BI_ALL = "select node_id from e_nodes where node_type in ('mb_field', 'mb_card', 'mb_dashboard')"
-_OBJ = "select node_id from e_cards where card_id % 301 = 7 union all select node_id from e_fields where field_id % 211 = 3 union all select 'mb_card::' || (-k) from e_sources"
-_BI = f"""{_reach_sql(_OBJ, 't', 'f')}, s as (select start, count(*) filter (n.node_type = 'column') as columns, count(distinct n.owner_id) filter (n.node_type = 'column') as models,
+_OBJECTS = "select node_id from e_nodes where node_type in ('mb_field', 'mb_card', 'mb_dashboard')"
+_BI = f"""{_reach_sql(_OBJECTS, 't', 'f')}, s as (select start, count(*) filter (n.node_type = 'column') as columns, count(distinct n.owner_id) filter (n.node_type = 'column') as models,
       max({{rank}}) filter (n.node_type = 'column') as r, count(*) filter (n.node_type = 'mb_field') as fields, count(*) filter (n.node_type = 'mb_field' and n.node_id not in (select t from e_binds)) as unbound from reached a join e_nodes n on n.node_id = a.node_id group by start),
-    bd as (select o.node_id as start, coalesce(columns, 0) as columns, coalesce(models, 0) as models, case r when 5 then 'exact' when 4 then 'validated' when 3 then 'parsed' when 2 then 'inferred' when 1 then 'fuzzy' end as best, coalesce(fields, 0) as fields, coalesce(unbound, 0) as unbound from ({_OBJ}) o left join s on s.start = o.node_id)""".replace(
+    bd as (select o.node_id as start, coalesce(columns, 0) as columns, coalesce(models, 0) as models, case r when 5 then 'exact' when 4 then 'validated' when 3 then 'parsed' when 2 then 'inferred' when 1 then 'fuzzy' end as best, coalesce(fields, 0) as fields, coalesce(unbound, 0) as unbound from ({_OBJECTS}) o left join s on s.start = o.node_id)""".replace(
     "{rank}", "case a.confidence when 'exact' then 5 when 'validated' then 4 when 'parsed' then 3 when 'inferred' then 2 else 1 end"
 )
 
 
 @suite("l2_bi_detail", f"with recursive {_BI} select * from bd")
 def _(e: Estate) -> DataFrame:
-    return detail.bi_detail(e.nodes, e.edges, e.sql(_OBJ))
-
-
-@suite("l2_bi_detail_all")
-def _(e: Estate) -> DataFrame:
-    return detail.bi_detail(e.nodes, e.edges, e.sql(_BI_ALL))
+    return detail.bi_detail(e.nodes, e.edges, e.sql(_OBJECTS))
 
 
 @suite(
@@ -57,15 +46,10 @@ def _(e: Estate) -> DataFrame:
     from bd b join e_nodes n on n.node_id = b.start left join e_cards k on k.node_id = b.start""",
 )
 def _(e: Estate) -> DataFrame:
-    return detail.chain_gap(detail.bi_detail(e.nodes, e.edges, e.sql(_OBJ)), e.nodes, e.cards)
-
-
-@suite("l3_chain_gap_all")
-def _(e: Estate) -> DataFrame:
-    return detail.chain_gap(detail.bi_detail(e.nodes, e.edges, e.sql(_BI_ALL)), e.nodes, e.cards)
+    return detail.chain_gap(detail.bi_detail(e.nodes, e.edges, e.sql(_OBJECTS)), e.nodes, e.cards)
 
 
-_MOD = "select node_id from e_models where k % 9 = 2"
+_MOD = "select node_id from e_models"
 _OWN = f"select node_id from e_columns where owner_id in ({_MOD})"
 
 
@@ -80,11 +64,6 @@ def _(e: Estate) -> DataFrame:
     return detail.model_detail(e.nodes, e.edges, e.sql(_MOD))
 
 
-@suite("l4_model_detail_all")
-def _(e: Estate) -> DataFrame:
-    return detail.model_detail(e.nodes, e.edges, e.sql("select node_id from e_models"))
-
-
 @suite("l5_relationships_touching", "select f as node_id, 'out' as direction, t as other, confidence = 'validated' as validated from e_relates union all select t, 'in', f, confidence = 'validated' from e_relates")
 def _(e: Estate) -> DataFrame:
     return detail.relationships_touching(e.relates, e.columns)
@@ -195,11 +174,6 @@ def _(e: Estate) -> DataFrame:
     return detail.model_star(_pairs(e), e.sql(_STAGED))
 
 
-@suite("l15_model_star_all")
-def _(e: Estate) -> DataFrame:
-    return detail.model_star(_pairs(e), e.sql(_STAGED))
-
-
 @suite(
     "l16_starting_points",
     f"""{_ROLL.replace('with en', 'with en', 1)}, a as (select 'model' as kind, f as node_id, count(distinct t) as n from rolled where f like 'model%' and t like 'mb_card%' group by f union all select 'dashboard', t, count(distinct f) from rolled where f like 'mb_card%' and t like 'mb_dash%' group by t)

@@ -11,11 +11,9 @@ from loomtrace.plans.suite import Suite
 
 suite = Suite()
 
-#: Point queries of the traversals.
-_SOME = "select node_id from e_columns where k % 97 = 5"
-#: Starts of the whole jobs (``_all``), for which the recursive SQL twins are too slow.
+#: Starts of the traversals.
 _EVERY = "select node_id from e_columns"
-_BOARDS_ALL = "select distinct dash_id as node_id from e_dashcards"
+_BOARD_STARTS = "select distinct dash_id as node_id from e_dashcards"
 _CONSUMERS = "select node_id from e_nodes where node_type in ('mb_card', 'mb_dashboard')"
 
 
@@ -147,13 +145,8 @@ def _(e: Estate) -> DataFrame:
 
 @suite(
     "g2_truncated",
-    f"with recursive {_walk_sql(_SOME, 2)} select start, coalesce(bool_or(depth = 2 and exists (select 1 from e_flow e where e.f = hit.node and not exists (select 1 from hit x where x.start = hit.start and x.node = e.t))), false) as truncated from hit group by start",
+    f"with recursive {_walk_sql(_EVERY)} select start, coalesce(bool_or(depth = 20 and exists (select 1 from e_flow e where e.f = hit.node and not exists (select 1 from hit x where x.start = hit.start and x.node = e.t))), false) as truncated from hit group by start",
 )
-def _(e: Estate) -> DataFrame:
-    return walk.truncated(walk.walked(e.nodes, e.edges, e.sql(_SOME), 2), e.edges, 2)
-
-
-@suite("g2_truncated_all")
 def _(e: Estate) -> DataFrame:
     return walk.truncated(walk.walked(e.nodes, e.edges, e.sql(_EVERY)), e.edges, walk.MAX_DEPTH)
 
@@ -169,32 +162,17 @@ def _reach_sql(starts: str, a: str = "f", b: str = "t", where: str = "true") ->
     reached as (select start, node as node_id, min(depth) as depth, {_WORD.format("max(r)")} as confidence from rr group by start, node)"""
 
 
-@suite("g3_reach_down", f"with recursive {_reach_sql(_SOME)} select * from reached")
-def _(e: Estate) -> DataFrame:
-    return walk.reach(e.edges, e.sql(_SOME), "down")
-
-
-@suite("g3_reach_down_all")
+@suite("g3_reach_down", f"with recursive {_reach_sql(_EVERY)} select * from reached")
 def _(e: Estate) -> DataFrame:
     return walk.reach(e.edges, e.sql(_EVERY), "down")
 
 
-@suite("g3_reach_up", f"with recursive {_reach_sql("select distinct dash_id as node_id from e_dashcards where dash_id like '%1'", 't', 'f')} select * from reached")
-def _(e: Estate) -> DataFrame:
-    return walk.reach(e.edges, e.sql("select distinct dash_id as node_id from e_dashcards where dash_id like '%1'"), "up")
-
-
-@suite("g3_reach_up_all")
-def _(e: Estate) -> DataFrame:
-    return walk.reach(e.edges, e.sql(_BOARDS_ALL), "up")
-
-
-@suite("g4_reached_of_type", f"with recursive {_reach_sql(_SOME)} select r.*, n.name from reached r join e_nodes n on n.node_id = r.node_id where n.node_type = 'mb_dashboard'")
+@suite("g3_reach_up", f"with recursive {_reach_sql(_BOARD_STARTS, 't', 'f')} select * from reached")
 def _(e: Estate) -> DataFrame:
-    return walk.reached_of_type(walk.reach(e.edges, e.sql(_SOME)), e.nodes, "mb_dashboard")
+    return walk.reach(e.edges, e.sql(_BOARD_STARTS), "up")
 
 
-@suite("g4_reached_of_type_all")
+@suite("g4_reached_of_type", f"with recursive {_reach_sql(_EVERY)} select r.*, n.name from reached r join e_nodes n on n.node_id = r.node_id where n.node_type = 'mb_dashboard'")
 def _(e: Estate) -> DataFrame:
     return walk.reached_of_type(walk.reach(e.edges, e.sql(_EVERY)), e.nodes, "mb_dashboard")
 
@@ -207,21 +185,7 @@ def _(e: Estate) -> DataFrame:
     return walk.feeds_a_consumer(e.nodes, e.edges)
 
 
-_ONE = "select node_id from e_columns where k in (12, 75)"
-
-
-@suite(
-    "g6_lineage_subgraph",
-    f"""with recursive dn as (select node_id as start, node_id as node from ({_ONE}) union select d.start, e.t from dn d join e_flow e on e.f = d.node),
-    up as (select node_id as start, node_id as node from ({_ONE}) union select d.start, e.f from up d join e_flow e on e.t = d.node)
-    select distinct x.start, e.f, e.t, e.edge_type from e_flow e join (select * from dn) x on x.node = e.f join dn y on y.start = x.start and y.node = e.t
-    union select distinct x.start, e.f, e.t, e.edge_type from e_flow e join up x on x.node = e.f join up y on y.start = x.start and y.node = e.t""",
-)
-def _(e: Estate) -> DataFrame:
-    return walk.lineage_subgraph(e.edges, e.sql(_ONE))[1]
-
-
-@suite("g6_lineage_subgraph_all")
+@suite("g6_lineage_subgraph")
 def _(e: Estate) -> DataFrame:
     return walk.lineage_subgraph(e.edges, e.sql(_EVERY))[1]
 
@@ -348,15 +312,10 @@ def _(e: Estate) -> DataFrame:
 
 @suite(
     "h8_blast_radius",
-    f"""with recursive {_HIT.replace(_CHANGED, _SOME)}, {_MODELS}
+    f"""with recursive {_HIT.replace(_CHANGED, _EVERY)}, {_MODELS}
     select s.node_id as start, coalesce((select string_agg(model, ', ' order by model) from ms where ms.start = s.node_id), '') as models, count(distinct h.node_id) filter (node_type = 'column') as columns, count(distinct h.node_id) filter (node_type = 'mb_field') as fields,
-      count(distinct h.node_id) filter (node_type = 'mb_card') as cards, count(distinct h.node_id) filter (node_type = 'mb_dashboard') as dashboards, false as truncated from ({_SOME}) s left join hits h on h.start = s.node_id group by s.node_id""",
+      count(distinct h.node_id) filter (node_type = 'mb_card') as cards, count(distinct h.node_id) filter (node_type = 'mb_dashboard') as dashboards, false as truncated from ({_EVERY}) s left join hits h on h.start = s.node_id group by s.node_id""",
 )
-def _(e: Estate) -> DataFrame:
-    return impact.blast_radius(e.nodes, e.edges, e.sql(_SOME))
-
-
-@suite("h8_blast_radius_all")
 def _(e: Estate) -> DataFrame:
     return impact.blast_radius(e.nodes, e.edges, e.sql(_EVERY))
 

@@ -55,10 +55,10 @@ def below(found, s, *kinds):
 
 def test_reach_from_every_column_and_board(small):
     e, _, _, found = small
-    got = {(r.start, r.node_id): (r.depth, RANKS[r.confidence]) for r in RUNS["g3_reach_down_all"](e).collect()}
+    got = {(r.start, r.node_id): (r.depth, RANKS[r.confidence]) for r in RUNS["g3_reach_down"](e).collect()}
     assert got == {p: v for p, v in found.items() if p[0][0] == "c"}
-    assert {(r.start, r.node_id, r.depth) for r in RUNS["g3_reach_up_all"](e).collect()} == {(t, s, d) for (s, t), (d, _) in found.items() if t[0] == "d"}
-    assert {(r.start, r.node_id) for r in RUNS["g4_reached_of_type_all"](e).collect()} == {p for p in found if p[0][0] == "c" and p[1][0] == "d"}
+    assert {(r.start, r.node_id, r.depth) for r in RUNS["g3_reach_up"](e).collect()} == {(t, s, d) for (s, t), (d, _) in found.items() if t[0] == "d"}
+    assert {(r.start, r.node_id) for r in RUNS["g4_reached_of_type"](e).collect()} == {p for p in found if p[0][0] == "c" and p[1][0] == "d"}
 
 
 def test_subgraph_and_radius_of_every_column(small):
@@ -67,31 +67,31 @@ def test_subgraph_and_radius_of_every_column(small):
     for s in columns:
         for side in ({s} | {t for a, t in found if a == s}, {s} | {a for a, t in found if t == s}):
             want |= {(s, f, t, k) for f, t, k, _ in rows if f in side and t in side}
-    assert {tuple(r) for r in RUNS["g6_lineage_subgraph_all"](e).select("start", "f", "t", "edge_type").collect()} == want
+    assert {tuple(r) for r in RUNS["g6_lineage_subgraph"](e).select("start", "f", "t", "edge_type").collect()} == want
     size = lambda s: tuple(len(below(found, s, k)) for k in "cfkd")
-    assert {r.start: (r.columns, r.fields, r.cards, r.dashboards) for r in RUNS["h8_blast_radius_all"](e).collect()} == {s: size(s) for s in columns}
-    assert {r.start: (r.down_columns, r.fields, r.cards, r.dashboards) for r in RUNS["l1_column_detail_all"](e).collect()} == {s: size(s) for s in columns}
+    assert {r.start: (r.columns, r.fields, r.cards, r.dashboards) for r in RUNS["h8_blast_radius"](e).collect()} == {s: size(s) for s in columns}
+    assert {r.start: (r.down_columns, r.fields, r.cards, r.dashboards) for r in RUNS["l1_column_detail"](e).collect()} == {s: size(s) for s in columns}
 
 
 def test_details_of_every_bi_object_and_model(small):
     e, ids, _, found = small
     objects = [i for i in ids if i[0] in "fkd"]
     up = {o: len({a for a, t in found if t == o and a[0] == "c"}) for o in objects}
-    assert {r.start: r.columns for r in RUNS["l2_bi_detail_all"](e).collect()} == up
+    assert {r.start: r.columns for r in RUNS["l2_bi_detail"](e).collect()} == up
     gap = {"f2": "field-unbound", "f3": "field-unbound", "k1": "fields-unbound", "k2": "query-unresolved", "d1": "dashboard-unresolved"}
-    assert {r.start: r.gap for r in RUNS["l3_chain_gap_all"](e).collect()} == {o: gap.get(o) for o in objects}
+    assert {r.start: r.gap for r in RUNS["l3_chain_gap"](e).collect()} == {o: gap.get(o) for o in objects}
     of = lambda m: set().union(*(below(found, c, "k") for c in ids if c[0] == "c" and int(c[1:]) % 2 == int(m[1:])))
-    assert {r.start: (r.downstream, r.cards) for r in RUNS["l4_model_detail_all"](e).collect()} == {"m0": (1, len(of("m0"))), "m1": (0, len(of("m1")))}
+    assert {r.start: (r.downstream, r.cards) for r in RUNS["l4_model_detail"](e).collect()} == {"m0": (1, len(of("m0"))), "m1": (0, len(of("m1")))}
 
 
 def test_truncated_at_the_default_depth(spark):
     e = estate(spark, [f"c{i}" for i in range(22)], [(f"c{i}", f"c{i + 1}", "feeds", "exact") for i in range(21)])
-    assert {r.start: r.truncated for r in RUNS["g2_truncated_all"](e).collect()} == {f"c{i}": i == 0 for i in range(22)}
+    assert {r.start: r.truncated for r in RUNS["g2_truncated"](e).collect()} == {f"c{i}": i == 0 for i in range(22)}
 
 
 def test_star_hides_what_is_beyond_ten(spark):
     columns = spark.createDataFrame([(f"c{i}", f"m{i:02}") for i in range(13)], "node_id string, owner_id string")
     relates = spark.createDataFrame([("c0", f"c{i}", "relates_to", "declared") for i in range(1, 13)], "f string, t string, edge_type string, confidence string")
     none = spark.createDataFrame([], "f string, t string, a string, b string")
-    rows = RUNS["l15_model_star_all"](SimpleNamespace(relates=relates, columns=columns, sql=lambda _: none)).where("model = 'm00'").collect()
+    rows = RUNS["l15_model_star"](SimpleNamespace(relates=relates, columns=columns, sql=lambda _: none)).where("model = 'm00'").collect()
     assert [r.neighbour for r in sorted(rows, key=lambda r: r.neighbour)] == [f"m{i:02}" for i in range(1, 11)] and {r.hidden for r in rows} == {2}
