@@ -21,7 +21,7 @@ groups is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -185,10 +185,15 @@ def near_links(prints: DataFrame, limit: int = LIMIT, fixed: int | None = None)
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
 
 
-def _grouped(rows: DataFrame, limit: int, least: Column) -> tuple[DataFrame, int]:
-    """(fp, n, component_id, group_size) of the fingerprints in ``rows(.., fp)`` with company, and the number of rows."""
-    prints = written(rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    linked = written(near_links(prints.select("fp"), limit), "near")
+def _grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame], least: Column) -> tuple[DataFrame, int]:
+    """(fp, n, component_id, group_size) of the fingerprints in ``rows(.., fp)`` with company, and the number of rows.
+
+    ``links`` takes the distinct ``fp``, with the columns behind it, to (node, root).
+    """
+    wider = rows.columns[rows.columns.index("fp") + 1 :]
+    prints = written(rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in wider)), "distinct")
+    linked = written(links(prints.select("fp", *wider)), "near")
+    prints = prints.drop(*wider)
     member = written(prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp")), "members")
     whole = written(member.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("prints")), "whole")
     total = rows.count()
@@ -207,7 +212,7 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = written(fingerprints(docs, text_col, id_col, words), "prints")
-    found, total = _grouped(rows, limit, F.min("id"))
+    found, total = _grouped(rows, lambda prints: near_links(prints, limit), F.min("id"))
     out = join_groups(rows, found.select("fp", "n", "component_id", "group_size"), ["fp"], "n", total, salt_of(F.col("id")), "left")
     alone = F.col("group_size").isNull()
     return out.select(F.col("id").alias(id_col), "fp", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
@@ -219,11 +224,16 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     Rows are told apart by two hashes of id and text, 128 bits together. Rows of a
     group that share id and text count as one row. A null id comes after all others.
     """
+    return drop_groups(docs, lambda rows: _printed(rows, words), lambda prints: near_links(prints, limit), text_col, id_col)
+
+
+def drop_groups(docs: DataFrame, printed: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the first row of each group that ``links`` makes of the fingerprints of ``printed``."""
     docs = docs.select(F.struct("*").alias("doc"))
     id_, text = F.col("doc").getField(id_col), F.coalesce(F.col("doc").getField(text_col), F.lit(""))
     hashed = docs.withColumns({"k1": F.xxhash64(id_, text), "k2": F.xxhash64(F.lit("other"), text, id_)})
-    rows = written(_printed(hashed.select(F.spark_partition_id().alias("part"), "k1", "k2", id_.alias("id"), text.alias("text")), words), "prints")
-    found, total = _grouped(rows, limit, F.min("k1"))
+    rows = written(printed(hashed.select(F.spark_partition_id().alias("part"), "k1", "k2", id_.alias("id"), text.alias("text"))), "prints")
+    found, total = _grouped(rows, links, F.min("k1"))
     member = written(join_groups(rows, found.select("fp", "n", "root"), ["fp"], "n", total, salt_of(F.col("k1"))).select("root", "part", "k1", "k2", "id").distinct(), "company")
     stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")).select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.lit(True).alias("stays"))
     keys = written(member.select("k1", "k2").distinct().join(stay, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("stays", F.lit(False)).alias("stays")), "keys")
