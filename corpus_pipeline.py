@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import golomb_dedup, piece_match, simhash_grid, source_mix, subword_quality
+from loomtrace.llm import golomb_dedup, piece_match, simhash_wide, source_mix, subword_quality
 from loomtrace.llm.common import documents, written
 from loomtrace.llm.queries import PIECE_MODEL, vocabulary
 
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash_grid.drop_near_copies(docs)
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return simhash_wide.drop_similar(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
