@@ -13,9 +13,10 @@ differ in some 15 % of the bits of a SimHash over them: too many for a grid over
   no more bits than a similarity of 0.8 gives, plus one standard deviation
   (a similarity of 0.775 in the mean).
 
-In a cell each text is first judged against one head. Texts so linked get labels, and a
-second pass judges those of different labels that share a cell. A cell that is too full
-is cut further there, by more of the finder's segments.
+Each cell has a head, the least of its texts. Each text is first judged against the least
+head that is near it, then against those that still have another label, and last
+against all of other labels that share a cell. A cell that is too full is cut further
+there, by more of the finder's segments.
 """
 
 from __future__ import annotations
@@ -140,24 +141,41 @@ def _near(a: Column, b: Column) -> Column:
     return bound & (F.bit_count(a.bitwiseXOR(b)) <= NEAR)
 
 
+def _close(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(JUDGE)), F.lit(0)) <= judged_bits()
+
+
 def _judged(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs (a, b, ..) of nodes whose judges are close."""
     judges = prints.select("fp", "judge")
     for end in ("a", "b"):
         pairs = pairs.join(judges.select(F.col("fp").alias(end), F.col("judge").alias(f"j{end}")), end)
-    apart = sum((F.bit_count(F.col("ja")[i].bitwiseXOR(F.col("jb")[i])) for i in range(JUDGE)), F.lit(0))
-    return pairs.where(apart <= judged_bits()).drop("ja", "jb")
+    return pairs.where(_close(F.col("ja"), F.col("jb"))).drop("ja", "jb")
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, ra, rb) of nodes of different labels that are near in a cell of ``rows(cell, fp, f0, root)``."""
+def _several(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (ra, rb) between the labels of texts that share a cell of ``rows(cell, fp, f0, root)``.
+
+    The judges are part of the join, so texts that share a passage and no more give no rows.
+    """
     taken = rows.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", F.xxhash64("fp")).alias("taken")).where("r0 <> r1").select("cell", "taken")
-    rows = written(rows.join(taken, "cell"), "mixed")
+    rows = written(rows.join(taken, "cell").join(prints.select("fp", "judge"), "fp"), "mixed")
     # Those of the label taken meet only the others.
-    a = rows.where("root <> taken").select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("f0").alias("fa"))
-    b = rows.select("cell", F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("f0").alias("fb"), (F.col("root") == F.col("taken")).alias("base"))
-    met = a.join(b, (a.cell == b.cell) & (F.col("ra") != F.col("rb")) & (F.col("base") | (F.col("a") < F.col("b"))) & _near(F.col("fa"), F.col("fb")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(F.col("a") < F.col("b"), F.col("rb")).otherwise(F.col("ra")).alias("rb"))
+    a = rows.where("root <> taken").select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("f0").alias("fa"), F.col("judge").alias("ja"))
+    b = rows.select("cell", F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("f0").alias("fb"), F.col("judge").alias("jb"), (F.col("root") == F.col("taken")).alias("base"))
+    once = (F.col("ra") != F.col("rb")) & (F.col("base") | (F.col("a") < F.col("b")))
+    met = a.join(b, (a.cell == b.cell) & once & _near(F.col("fa"), F.col("fb")) & _close(F.col("ja"), F.col("jb")))
+    return met.select("ra", "rb").distinct()
+
+
+def _labelled(rows: DataFrame, node: str, label: str, stars: DataFrame) -> DataFrame:
+    """``rows`` with the root of their ``node``, itself if it has no link yet."""
+    return rows.join(stars.withColumnsRenamed({"node": node, "root": label}), node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def _joined(stars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root): the components of ``stars`` joined by links between labels, ``pairs(.., ra, rb)``."""
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -166,18 +184,19 @@ def links(prints: DataFrame) -> DataFrame:
     cell = Window.partitionBy("cell")
     met = _cells(prints, masks).withColumns({"n": F.count(F.lit(1)).over(cell), "head": F.min(F.struct("fp", "f0")).over(cell)}).where("n > 1")
     company = written(met, "company")
-    first = company.where((F.col("fp") != F.col("head.fp")) & _near(F.col("f0"), F.col("head.f0")))
-    stars = written(components(_judged(first.select(F.col("fp").alias("a"), F.col("head.fp").alias("b")).distinct(), prints)), "stars")
-    roots = stars.withColumnRenamed("node", "fp")
-    labelled = written(company.select("cell", "fp", "f0", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "labelled")
+    # The least head that is near links most of a group, so few pairs are left to judge.
+    heads = company.where((F.col("fp") != F.col("head.fp")) & _near(F.col("f0"), F.col("head.f0"))).select(F.col("fp").alias("a"), F.col("head.fp").alias("b"))
+    heads = written(heads.distinct(), "heads")
+    stars = written(components(_judged(heads.groupBy("a").agg(F.min("b").alias("b")), prints)), "stars")
+    left = _labelled(_labelled(heads, "a", "ra", stars), "b", "rb", stars).where("ra <> rb")
+    stars = written(_joined(stars, _judged(left, prints)), "stars")
+    labelled = written(_labelled(company.select("cell", "fp", "f0", "n"), "fp", "root", stars), "labelled")
     few = labelled.where(F.col("n") <= FULL).drop("n")
     rng = np.random.default_rng(CUTS)
     cuts = [_masks(rng.choice(32, CUT, replace=False))[0] for _ in range(CUTS)]
     finer = F.array(*(F.xxhash64("cell", F.lit(k), embedding(F.col("f0")).bitwiseAND(F.lit(m))) for k, m in enumerate(cuts)))
     full = labelled.where(F.col("n") > FULL).select("fp", "f0", "root", F.explode(finer).alias("cell")).select("cell", "fp", "f0", "root")
-    pairs = written(_several(few.select("cell", "fp", "f0", "root").union(full)).distinct(), "pairs")
-    second = _judged(pairs, prints).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+    return _joined(stars, _several(few.select("cell", "fp", "f0", "root").union(full), prints))
 
 
 def drop_similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
