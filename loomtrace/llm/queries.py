@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import chroma_media, golomb_dedup, language_spans, piece_match, shard_tree, simhash_grid, source_mix, subword_quality, token_files, url_sweep
+from loomtrace.llm import chroma_media, golomb_dedup, language_spans, piece_match, shard_tree, simhash_grid, source_mix, subword_quality, token_files, url_sweep, whitening
 from loomtrace.llm.common import documents
 
 #: Rules of the url query: host, path, verdict.
@@ -69,8 +69,12 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.assign(documents(spark, sf_dir)).withColumn("law", F.lit("key"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sentencepiece, op2_exact_dedup, op3_simhash_near_dedup, op4_url_filters, op5_token_files, op6_quality_classifier, op7_media_fingerprints, op8_language_id, op9_source_mix, op10_shard_tree)
+    ops = (op1_sentencepiece, op2_exact_dedup, op3_simhash_near_dedup, op4_url_filters, op5_token_files, op6_quality_classifier, op7_media_fingerprints, op8_language_id, op9_source_mix, op10_shard_tree, op11_embedding_whitening)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
