@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import chroma_media, golomb_dedup, language_spans, piece_match, shard_tree, simhash_grid, source_mix, subword_quality, token_files, url_sweep, whitening
+from loomtrace.llm import brown_lm, chroma_media, collocations, golomb_dedup, language_spans, piece_match, shard_tree, simhash_grid, source_mix, subword_quality, token_files, url_sweep, whitening
 from loomtrace.llm.common import documents
 
 #: Rules of the url query: host, path, verdict.
@@ -73,8 +73,16 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(documents(spark, sf_dir))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sentencepiece, op2_exact_dedup, op3_simhash_near_dedup, op4_url_filters, op5_token_files, op6_quality_classifier, op7_media_fingerprints, op8_language_id, op9_source_mix, op10_shard_tree, op11_embedding_whitening)
+    ops = (op1_sentencepiece, op2_exact_dedup, op3_simhash_near_dedup, op4_url_filters, op5_token_files, op6_quality_classifier, op7_media_fingerprints, op8_language_id, op9_source_mix, op10_shard_tree, op11_embedding_whitening, op12_lm_scoring, op13_phrase_collocations)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -146,9 +154,27 @@ select doc_id, size, text_crc32, 'key' as law, shard::int as shard, (row_number(
 """
 
 
+_OP13 = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+s as (select lang, 1 as k, unnest(ws) as phrase, null as head, null as h2, null as tail, null as t2 from w
+  union all select lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), unnest(ws[:-2]), null, unnest(ws[2:]), null from w
+  union all select lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])), unnest(ws[:-3]),
+    unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])), unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i + 1] || ' ' || ws[i + 2])), unnest(ws[3:]) from w),
+f as (select lang, k, phrase, any_value(head) as head, any_value(h2) as h2, any_value(tail) as tail, any_value(t2) as t2, count(*) as a from s group by lang, k, phrase),
+c as (select f.*, l.a as l, r.a as r, (1000000::hugeint * f.a * f.a // (l.a::hugeint * r.a))::bigint as score, 1 as cut from f join f l on l.lang = f.lang and l.phrase = f.head join f r on r.lang = f.lang and r.phrase = f.tail where f.k > 1 and f.a >= 10
+  union all select f.*, l.a, r.a, (1000000::hugeint * f.a * f.a // (l.a::hugeint * r.a))::bigint, 2 from f join f l on l.lang = f.lang and l.phrase = f.h2 join f r on r.lang = f.lang and r.phrase = f.t2 where f.k = 3 and f.a >= 10),
+b as (select * from c qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+x as (select lang, phrase, max(a) as longer from (select lang, h2 as phrase, a from f where k = 3 and a >= 10 union all select lang, tail, a from f where k = 3 and a >= 10) group by lang, phrase),
+o as (select b.*, row_number() over (partition by b.lang order by score desc, b.a desc, b.phrase) as rank from b left join x on x.lang = b.lang and x.phrase = b.phrase and b.k = 2 where x.longer is null or 100 * x.longer < 50 * b.a)
+select o.lang, o.rank, o.phrase, o.a, o.l, o.r, n.n, o.score from o join n on n.lang = o.lang where o.rank <= 2000
+"""
+
+
 def _score(parent: str, level: str, child: str, weight: str = "n.weight") -> str:
     return f"-ln((('0x' || substr(md5({parent} || '/{level}/' || {child}), 1, 13))::bigint + 0.5) / 4503599627370496.0) / {weight}"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op4_url_filters": _OP4, "op9_source_mix": _OP9, "op10_shard_tree": _op10()}
+    return {"op2_exact_dedup": _OP2, "op4_url_filters": _OP4, "op9_source_mix": _OP9, "op10_shard_tree": _op10(), "op13_phrase_collocations": _OP13}
