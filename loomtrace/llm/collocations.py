@@ -60,13 +60,14 @@ def vocabulary(seen: DataFrame, least: int, budget: int) -> DataFrame:
     found = numbered(seen.where(F.col("c") >= least), F.col("grp"), F.col("word"), out="number")
     # Ranges of numbers are packed apart, so no count passes through one task.
     range_ = F.shiftright("number", 16)
-    light = F.when(F.col("c") <= budget, F.col("c")).otherwise(0)
-    before = F.sum(light).over(Window.partitionBy(range_).orderBy("number"))
-    # A word that would pass the border opens the next group: borders are half a budget apart.
-    packed = F.shiftleft(range_, 32) + F.floor(before / F.lit(max(1, budget // 2)))
-    slots = F.when(F.col("c") > budget, F.ceil(2 * F.col("c") / F.lit(budget))).otherwise(1)
+    half = max(1, budget // 2)
+    heavy = F.col("c") > half
+    # Groups are half a budget of running count; a word that passes the border adds no more than the other half.
+    running = F.sum(F.when(heavy, 0).otherwise(F.col("c"))).over(Window.partitionBy(range_).orderBy("number"))
+    packed = F.shiftleft(range_, 32) + F.floor(running / F.lit(half))
+    slots = F.when(heavy, F.ceil(F.col("c") / F.lit(half))).otherwise(1)
     split = F.lit(1 << 62) + F.shiftleft("number", 24)
-    return found.withColumns({"slots": slots.cast("int"), "base": F.when(F.col("c") > budget, split).otherwise(packed)}).select("grp", "word", "c", "number", "base", "slots")
+    return found.withColumns({"slots": slots.cast("int"), "base": F.when(heavy, split).otherwise(packed)}).select("grp", "word", "c", "number", "base", "slots")
 
 
 def _leaves(first: np.ndarray, rest: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

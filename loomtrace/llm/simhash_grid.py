@@ -227,26 +227,41 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     return drop_groups(docs, lambda rows: _printed(rows, words), lambda prints: near_links(prints, limit), text_col, id_col)
 
 
-def drop_groups(docs: DataFrame, printed: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the first row of each group that ``links`` makes of the fingerprints of ``printed``."""
+def drop_groups(docs: DataFrame, printed: Callable[[DataFrame], DataFrame], links: Callable[..., DataFrame], text_col: str = "text", id_col: str = "doc_id", with_texts: bool = False) -> DataFrame:
+    """``docs`` with the first row of each group that ``links`` makes of the fingerprints of ``printed``.
+
+    ``links`` takes the distinct fingerprints, and ``with_texts`` also a function from some of them to (fp, text).
+    """
     docs = docs.select(F.struct("*").alias("doc"))
     id_, text = F.col("doc").getField(id_col), F.coalesce(F.col("doc").getField(text_col), F.lit(""))
     hashed = docs.withColumns({"k1": F.xxhash64(id_, text), "k2": F.xxhash64(F.lit("other"), text, id_)})
     rows = written(printed(hashed.select(F.spark_partition_id().alias("part"), "k1", "k2", id_.alias("id"), text.alias("text"))), "prints")
-    found, total = _grouped(rows, links, F.min("k1"))
-    member = written(join_groups(rows, found.select("fp", "n", "root"), ["fp"], "n", total, salt_of(F.col("k1"))).select("root", "part", "k1", "k2", "id").distinct(), "company")
-    stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")).select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.lit(True).alias("stays"))
-    keys = written(member.select("k1", "k2").distinct().join(stay, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("stays", F.lit(False)).alias("stays")), "keys")
-    if small_enough(keys, 24):
-        near = hashed.join(F.broadcast(keys), ["k1", "k2"], "left")
-        alone = near.where("stays is null").select("doc")
-    else:
+    total = rows.count()
+
+    def dealt(keys: DataFrame, company: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(near, alone): rows that meet their written ``keys(k1, k2, ..)``, and those that need no shuffle since ``company(part, k1)`` lacks them."""
+        if small_enough(keys, 32):
+            return hashed.join(F.broadcast(keys), ["k1", "k2"], "left"), None
         # Only rows in company, or in a part that was cut another way, meet the keys in a shuffle.
-        company = member.select("part", "k1", F.lit(True).alias("in")).distinct()
-        told_ = rows.groupBy("part", F.col("k1").alias("key")).agg(F.count_distinct("k2").alias("ways")).join(company.withColumnRenamed("k1", "key"), ["part", "key"], "left")
+        told_ = rows.groupBy("part", F.col("k1").alias("key")).agg(F.count_distinct("k2").alias("ways")).join(company.select("part", F.col("k1").alias("key"), F.lit(True).alias("in")).distinct(), ["part", "key"], "left")
         verdicts = told_.where("ways = 1").select("part", "key", F.coalesce("in", F.lit(False)).alias("verdict"))
         marked = written(told(hashed, F.col("k1"), verdicts, total, "company"), "marked")
-        near = marked.where("company is null or company").join(keys, ["k1", "k2"], "left")
-        alone = marked.where("not company").select("doc").union(near.where("stays is null").select("doc"))
+        return marked.where("company is null or company").join(keys, ["k1", "k2"], "left"), marked.where("not company")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        least = rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("k1", "k2", "part")).alias("k"))
+        keys = written(least.select("k.k1", "k.k2", "k.part", "fp"), "asked")
+        near, _ = dealt(keys.drop("part"), keys)
+        # Repeated rows share both keys.
+        return near.where("fp is not null").select("fp", text.alias("text")).dropDuplicates(["fp"])
+
+    found, _ = _grouped(rows, (lambda prints: links(prints, texts)) if with_texts else links, F.min("k1"))
+    member = written(join_groups(rows, found.select("fp", "n", "root"), ["fp"], "n", total, salt_of(F.col("k1"))).select("root", "part", "k1", "k2", "id").distinct(), "company")
+    stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")).select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.lit(True).alias("stays"))
+    keys = written(member.select("k1", "k2").distinct().join(stay, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("stays", F.lit(False)).alias("stays")), "keys")
+    near, apart = dealt(keys, member)
+    alone = near.where("stays is null").select("doc")
+    if apart is not None:
+        alone = apart.select("doc").union(alone)
     # Equal keys are the same id and text.
     return alone.union(near.where("stays").groupBy("k1", "k2").agg(F.first("doc").alias("doc")).select("doc")).select("doc.*")

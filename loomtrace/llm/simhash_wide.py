@@ -8,43 +8,42 @@ differ in some 15 % of the bits of a SimHash over them: too many for a grid over
   cut into 64 two-bit segments whose bit counts are the embedding. The counts of
   ``held`` segments chosen at random make a cell; ``held`` grows with the logarithm
   of the number of texts, so that unrelated ones seldom meet, and there are so many
-  choices that two texts at the edge share a cell with a chance of 1 - ``MISS``;
-* the judge, 1,024 bits over shingles of five words. Two texts link if these differ in
-  no more bits than a similarity of 0.8 gives, plus one standard deviation
-  (a similarity of 0.775 in the mean).
-
-Each cell has a head, the least of its texts. Each text is first judged against the least
-head that is near it, then against those that still have another label, and last
-against all of other labels that share a cell. A cell that is too full is cut further
-there, by more of the finder's segments.
+  choices that two texts at the edge share a cell with a chance of 1 - ``MISS``. In a
+  cell the Manhattan distance is tested, then the finder's bits;
+* the judge, 1,024 bits over shingles of five words, spares most candidates the last test:
+  it lets pass what is within ``MARGIN`` standard deviations of a similarity of 0.8.
+
+What passes is verified: the sets of shingles of both texts are compared in a worker, and
+a link is a similarity of 0.8 or more, never less. Each cell has a head, the least of its
+texts. Each text is first compared with the least head that is near it, then with those
+that still have another label, and last with all of other labels that share a cell,
+however full it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, ceil, log, pi, prod, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtrace.llm.common import written
+from loomtrace.llm.common import join_groups, salt_of, written
 from loomtrace.llm.components import components
-from loomtrace.llm.simhash_grid import AGREE, FULL, drop_groups, embedding
+from loomtrace.llm.simhash_grid import AGREE, drop_groups, embedding
 
 #: Words of a shingle and the similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
 #: Words of the finder's features; 64-bit words of both fingerprints.
 PAIR, FINDER, JUDGE = 2, 2, 16
 #: Chance that two texts at the edge meet in no cell.
-MISS = 0.1
-#: Segments that a cut of a full cell holds, and choices of them.
-CUT, CUTS = 6, 16
-#: Bits of the finder's first word in which linked texts may differ (two deviations over the mean at the edge).
-NEAR = 11
+MISS = 0.02
+#: Standard deviations over the mean of a similarity of 0.8 at which finder and judge still let a pair pass.
+MARGIN = 3
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 13
@@ -76,14 +75,21 @@ def majority(values: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(2 * counts > len(values), bitorder="little").view(np.int64)
 
 
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; none if it has no words."""
+    found = text.translate(_LOWER).split()
+    return features(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)), WORDS) if found else np.zeros(0, np.uint64)
+
+
 def prints_of(text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    """(node, finder, judge) of one whole text; all zero if it has no words. Equal prints have equal nodes."""
+    """(node, finder, judge) of one whole text; all zero if it has no words. Texts of equal shingles have equal nodes."""
     found = text.translate(_LOWER).split()
     if not found:
         return 0, np.zeros(FINDER, np.int64), np.zeros(JUDGE, np.int64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    finder, judge = majority(features(hashes, PAIR), FINDER), majority(features(hashes, WORDS), JUDGE)
-    return int(np.array(xxhash.xxh64_intdigest(finder.tobytes() + judge.tobytes()), np.uint64).view(np.int64)), finder, judge
+    grams = features(hashes, WORDS)
+    finder, judge = majority(features(hashes, PAIR), FINDER), majority(grams, JUDGE)
+    return int(np.array(xxhash.xxh64_intdigest(grams.tobytes()), np.uint64).view(np.int64)), finder, judge
 
 
 _PRINTS = [T.StructField(c, T.LongType()) for c in ("fp", "f0", "f1")] + [T.StructField("judge", T.ArrayType(T.LongType()))]
@@ -110,9 +116,10 @@ def differ(features_lost: int) -> float:
     return acos(2 * alike / (1 + alike)) / pi
 
 
-def judged_bits() -> int:
-    p, bits = differ(WORDS), 64 * JUDGE
-    return int(bits * p + sqrt(bits * p * (1 - p)))
+def edge_bits(features_lost: int, words: int) -> int:
+    """Bits of ``words`` words in which texts at the edge differ, with the margin."""
+    p, bits = differ(features_lost), 64 * words
+    return int(bits * p + MARGIN * sqrt(bits * p * (1 - p)))
 
 
 def choices(n: int) -> list[tuple[int, int]]:
@@ -131,18 +138,20 @@ def _masks(held) -> tuple[int, int]:
 
 
 def _cells(prints: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    ends = prints.select("fp", "f0", embedding(F.col("f0")).alias("e0"), embedding(F.col("f1")).alias("e1"))
+    ends = prints.select("fp", "f0", "f1", embedding(F.col("f0")).alias("e0"), embedding(F.col("f1")).alias("e1"))
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("e0").bitwiseAND(F.lit(a)), F.col("e1").bitwiseAND(F.lit(b))) for k, (a, b) in enumerate(masks)))
-    return ends.select("fp", "f0", F.explode(keys).alias("cell"))
+    return ends.select("fp", "f0", "f1", F.explode(keys).alias("cell"))
 
 
-def _near(a: Column, b: Column) -> Column:
-    bound = F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= NEAR
-    return bound & (F.bit_count(a.bitwiseXOR(b)) <= NEAR)
+def _near(a: list[Column], b: list[Column]) -> Column:
+    """Whether two finders are near: the Manhattan distance of the counts first, a lower bound."""
+    most = edge_bits(PAIR, FINDER)
+    bound = sum((F.bit_count(embedding(x).bitwiseXOR(embedding(y))) for x, y in zip(a, b)), F.lit(0)) <= most
+    return bound & (sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0)) <= most)
 
 
 def _close(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(JUDGE)), F.lit(0)) <= judged_bits()
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(JUDGE)), F.lit(0)) <= edge_bits(WORDS, JUDGE)
 
 
 def _judged(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -153,19 +162,45 @@ def _judged(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return pairs.where(_close(F.col("ja"), F.col("jb"))).drop("ja", "jb")
 
 
+def _grams(rows: DataFrame) -> DataFrame:
+    """(fp, grams) of ``rows(fp, text)``: the distinct hashes of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_py()).view(np.int64) for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
+
+    return rows.select("fp", "text").mapInArrow(run, "fp long, grams array<long>")
+
+
+def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(ra, rb) of the pairs (a, b, ra, rb) of nodes whose shingles are alike; ``texts`` takes nodes (fp) to (fp, text)."""
+    pairs = written(pairs.select("a", "b", "ra", "rb").distinct(), "candidates")
+    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    grams = written(_grams(texts(nodes)), "grams")
+    for end in ("a", "b"):
+        pairs = pairs.join(grams.select(F.col("fp").alias(end), F.col("grams").alias(f"g{end}")), end)
+    both = F.size(F.array_intersect("ga", "gb"))
+    # In whole numbers, so that the edge itself counts.
+    sure = 1_000 * both >= round(1_000 * SIMILARITY) * (F.size("ga") + F.size("gb") - both)
+    return pairs.where(sure).select("ra", "rb").distinct()
+
+
 def _several(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (ra, rb) between the labels of texts that share a cell of ``rows(cell, fp, f0, root)``.
+    """Pairs (a, b, ra, rb) of texts of different labels that share a cell of ``rows(cell, fp, f0, f1, root)`` and are close.
 
     The judges are part of the join, so texts that share a passage and no more give no rows.
     """
-    taken = rows.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", F.xxhash64("fp")).alias("taken")).where("r0 <> r1").select("cell", "taken")
-    rows = written(rows.join(taken, "cell").join(prints.select("fp", "judge"), "fp"), "mixed")
+    taken = rows.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", F.xxhash64("fp")).alias("taken"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("cell", "taken", "n")
+    taken, total = written(taken, "taken"), rows.count()
+    rows = written(join_groups(rows, taken, ["cell"], "n", total, salt_of(F.col("fp"))).join(prints.select("fp", "judge"), "fp"), "mixed")
+    ends = lambda x: [F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("f0").alias(f"f{x}"), F.col("f1").alias(f"h{x}"), F.col("judge").alias(f"j{x}")]
     # Those of the label taken meet only the others.
-    a = rows.where("root <> taken").select("cell", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("f0").alias("fa"), F.col("judge").alias("ja"))
-    b = rows.select("cell", F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("f0").alias("fb"), F.col("judge").alias("jb"), (F.col("root") == F.col("taken")).alias("base"))
+    a = rows.where("root <> taken").select("cell", *ends("a"))
+    b = rows.select("cell", *ends("b"), (F.col("root") == F.col("taken")).alias("base"))
     once = (F.col("ra") != F.col("rb")) & (F.col("base") | (F.col("a") < F.col("b")))
-    met = a.join(b, (a.cell == b.cell) & once & _near(F.col("fa"), F.col("fb")) & _close(F.col("ja"), F.col("jb")))
-    return met.select("ra", "rb").distinct()
+    near = _near([F.col("fa"), F.col("ha")], [F.col("fb"), F.col("hb")])
+    return a.join(b, (a.cell == b.cell) & once & near & _close(F.col("ja"), F.col("jb"))).select("a", "b", "ra", "rb")
 
 
 def _labelled(rows: DataFrame, node: str, label: str, stars: DataFrame) -> DataFrame:
@@ -178,34 +213,33 @@ def _joined(stars: DataFrame, pairs: DataFrame) -> DataFrame:
     return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root): components of the ``prints(fp, f0, f1, judge)`` that have a link; ``fp`` is distinct."""
-    masks = choices(prints.count())
-    cell = Window.partitionBy("cell")
-    met = _cells(prints, masks).withColumns({"n": F.count(F.lit(1)).over(cell), "head": F.min(F.struct("fp", "f0")).over(cell)}).where("n > 1")
-    company = written(met, "company")
+    n = prints.count()
+    masks = choices(n)
+    # Counted before they are dealt, so that a group of copies, all in one cell, passes through no single task.
+    heads = _cells(prints, masks).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "f0", "f1")).alias("head")).where("n > 1")
+    company = written(join_groups(_cells(prints, masks), written(heads, "cells"), ["cell"], "n", n * len(masks), salt_of(F.col("fp"))), "company")
     # The least head that is near links most of a group, so few pairs are left to judge.
-    heads = company.where((F.col("fp") != F.col("head.fp")) & _near(F.col("f0"), F.col("head.f0"))).select(F.col("fp").alias("a"), F.col("head.fp").alias("b"))
-    heads = written(heads.distinct(), "heads")
-    stars = written(components(_judged(heads.groupBy("a").agg(F.min("b").alias("b")), prints)), "stars")
+    met = (F.col("fp") != F.col("head.fp")) & _near([F.col("f0"), F.col("f1")], [F.col("head.f0"), F.col("head.f1")])
+    heads = written(company.where(met).select(F.col("fp").alias("a"), F.col("head.fp").alias("b")).distinct(), "heads")
+    first = _judged(heads.groupBy("a").agg(F.min("b").alias("b")), prints).select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    stars = written(components(_verified(first, texts).toDF("a", "b")), "stars")
     left = _labelled(_labelled(heads, "a", "ra", stars), "b", "rb", stars).where("ra <> rb")
-    stars = written(_joined(stars, _judged(left, prints)), "stars")
-    labelled = written(_labelled(company.select("cell", "fp", "f0", "n"), "fp", "root", stars), "labelled")
-    few = labelled.where(F.col("n") <= FULL).drop("n")
-    rng = np.random.default_rng(CUTS)
-    cuts = [_masks(rng.choice(32, CUT, replace=False))[0] for _ in range(CUTS)]
-    finer = F.array(*(F.xxhash64("cell", F.lit(k), embedding(F.col("f0")).bitwiseAND(F.lit(m))) for k, m in enumerate(cuts)))
-    full = labelled.where(F.col("n") > FULL).select("fp", "f0", "root", F.explode(finer).alias("cell")).select("cell", "fp", "f0", "root")
-    return _joined(stars, _several(few.select("cell", "fp", "f0", "root").union(full), prints))
+    stars = written(_joined(stars, _verified(_judged(left, prints), texts)), "stars")
+    labelled = written(_labelled(company.select("cell", "fp", "f0", "f1"), "fp", "root", stars), "labelled")
+    return _joined(stars, _verified(_several(labelled, prints), texts))
 
 
 def drop_similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group of similar texts: the smallest id, then the smallest text hash.
 
+    Groups are closed over links; a link is a verified similarity of 0.8 or more.
+
     A-Z is lower-cased, words are split at ASCII white space, and whole texts are
     read, however long; repeated shingles count once. A text of fewer than five
     words is one shingle; texts without words, null and empty ones included, are one
     group. Repeated rows, null ids, extra columns and empty tables are treated as in
     :func:`loomtrace.llm.simhash_grid.drop_near_copies`.
     """
-    return drop_groups(docs, printed, links, text_col, id_col)
+    return drop_groups(docs, printed, links, text_col, id_col, with_texts=True)
