@@ -11,13 +11,13 @@ differ in some 15 % of the bits of a SimHash over them: too many for a grid over
   choices that two texts at the edge share a cell with a chance of 1 - ``MISS``. In a
   cell the Manhattan distance is tested, then the finder's bits;
 * the judge, 1,024 bits over shingles of five words, spares most candidates the last test:
-  it lets pass what is within ``MARGIN`` standard deviations of a similarity of 0.8.
+  it lets pass what is within two standard deviations of a similarity of 0.8.
 
 What passes is verified: the sets of shingles of both texts are compared in a worker, and
 a link is a similarity of 0.8 or more, never less. Each cell has a head, the least of its
 texts. Each text is first compared with the least head that is near it, then with those
 that still have another label, and last with all of other labels that share a cell,
-however full it is.
+however full it is; two texts meet in one of their common cells only.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from math import acos, ceil, log, pi, prod, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +41,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: Words of the finder's features; 64-bit words of both fingerprints.
 PAIR, FINDER, JUDGE = 2, 2, 16
 #: Chance that two texts at the edge meet in no cell.
-MISS = 0.02
+MISS = 0.04
 #: Standard deviations over the mean of a similarity of 0.8 at which finder and judge still let a pair pass.
-MARGIN = 3
+MARGINS = {FINDER: 3, JUDGE: 2}
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 13
@@ -119,7 +119,7 @@ def differ(features_lost: int) -> float:
 def edge_bits(features_lost: int, words: int) -> int:
     """Bits of ``words`` words in which texts at the edge differ, with the margin."""
     p, bits = differ(features_lost), 64 * words
-    return int(bits * p + MARGIN * sqrt(bits * p * (1 - p)))
+    return int(bits * p + MARGINS[words] * sqrt(bits * p * (1 - p)))
 
 
 def choices(n: int) -> list[tuple[int, int]]:
@@ -137,10 +137,24 @@ def _masks(held) -> tuple[int, int]:
     return tuple(m - (1 << 64) if m >> 63 else m for m in words)
 
 
+def _vector(name: str) -> Column:
+    return embedding(F.col(name))
+
+
 def _cells(prints: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    ends = prints.select("fp", "f0", "f1", embedding(F.col("f0")).alias("e0"), embedding(F.col("f1")).alias("e1"))
+    """(fp, cell): a row for each cell of a text."""
+    ends = prints.select("fp", _vector("f0").alias("e0"), _vector("f1").alias("e1"))
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("e0").bitwiseAND(F.lit(a)), F.col("e1").bitwiseAND(F.lit(b))) for k, (a, b) in enumerate(masks)))
-    return ends.select("fp", "f0", "f1", F.explode(keys).alias("cell"))
+    return ends.select("fp", F.explode(keys).alias("cell"))
+
+
+def _first_cell(masks: list[tuple[int, int]]) -> Column:
+    """Whether ``cell`` is the least of the cells that the finders (fa, ha) and (fb, hb) have in common."""
+    choices_ = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(masks)))
+    apart = [_vector(x).bitwiseXOR(_vector(y)) for x, y in (("fa", "fb"), ("ha", "hb"))]
+    both = lambda m: (apart[0].bitwiseAND(m["a"]) == 0) & (apart[1].bitwiseAND(m["b"]) == 0)
+    cell = lambda m: F.xxhash64(m["k"], _vector("fa").bitwiseAND(m["a"]), _vector("ha").bitwiseAND(m["b"]))
+    return ~F.exists(choices_, lambda m: both(m) & (cell(m) < F.col("cell")))
 
 
 def _near(a: list[Column], b: list[Column]) -> Column:
@@ -186,21 +200,23 @@ def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> Data
     return pairs.where(sure).select("ra", "rb").distinct()
 
 
-def _several(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs (a, b, ra, rb) of texts of different labels that share a cell of ``rows(cell, fp, f0, f1, root)`` and are close.
+def _several(rows: DataFrame, prints: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """Pairs (a, b, ra, rb) of texts of different labels that share a cell of ``rows(cell, fp, root)`` and are close, each once.
 
     The judges are part of the join, so texts that share a passage and no more give no rows.
     """
     taken = rows.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", F.xxhash64("fp")).alias("taken"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("cell", "taken", "n")
     taken, total = written(taken, "taken"), rows.count()
-    rows = written(join_groups(rows, taken, ["cell"], "n", total, salt_of(F.col("fp"))).join(prints.select("fp", "judge"), "fp"), "mixed")
+    rows = written(join_groups(rows, taken, ["cell"], "n", total, salt_of(F.col("fp"))).join(prints, "fp"), "mixed")
     ends = lambda x: [F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("f0").alias(f"f{x}"), F.col("f1").alias(f"h{x}"), F.col("judge").alias(f"j{x}")]
     # Those of the label taken meet only the others.
     a = rows.where("root <> taken").select("cell", *ends("a"))
-    b = rows.select("cell", *ends("b"), (F.col("root") == F.col("taken")).alias("base"))
+    b = rows.select(F.col("cell").alias("same"), *ends("b"), (F.col("root") == F.col("taken")).alias("base"))
     once = (F.col("ra") != F.col("rb")) & (F.col("base") | (F.col("a") < F.col("b")))
     near = _near([F.col("fa"), F.col("ha")], [F.col("fb"), F.col("hb")])
-    return a.join(b, (a.cell == b.cell) & once & near & _close(F.col("ja"), F.col("jb"))).select("a", "b", "ra", "rb")
+    # Which of two is the base may differ from cell to cell, so the order of a pair may too.
+    met = a.join(b, (F.col("cell") == F.col("same")) & once & near & _close(F.col("ja"), F.col("jb")) & _first_cell(masks))
+    return met.select("a", "b", "ra", "rb")
 
 
 def _labelled(rows: DataFrame, node: str, label: str, stars: DataFrame) -> DataFrame:
@@ -217,18 +233,21 @@ def links(prints: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFra
     """(node, root): components of the ``prints(fp, f0, f1, judge)`` that have a link; ``fp`` is distinct."""
     n = prints.count()
     masks = choices(n)
-    # Counted before they are dealt, so that a group of copies, all in one cell, passes through no single task.
-    heads = _cells(prints, masks).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "f0", "f1")).alias("head")).where("n > 1")
-    company = written(join_groups(_cells(prints, masks), written(heads, "cells"), ["cell"], "n", n * len(masks), salt_of(F.col("fp"))), "company")
+    cell = Window.partitionBy("cell")
+    # Narrow rows: a cell is one task, which sorts pairs of numbers and holds none.
+    met = _cells(prints, masks).withColumns({"n": F.count(F.lit(1)).over(cell), "head": F.min("fp").over(cell)})
+    company = written(met.where("n > 1").select("cell", "fp", "head"), "company")
     # The least head that is near links most of a group, so few pairs are left to judge.
-    met = (F.col("fp") != F.col("head.fp")) & _near([F.col("f0"), F.col("f1")], [F.col("head.f0"), F.col("head.f1")])
-    heads = written(company.where(met).select(F.col("fp").alias("a"), F.col("head.fp").alias("b")).distinct(), "heads")
+    heads = company.where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
+    for end in ("a", "b"):
+        heads = heads.join(prints.select(F.col("fp").alias(end), F.col("f0").alias(f"f{end}"), F.col("f1").alias(f"h{end}")), end)
+    heads = written(heads.where(_near([F.col("fa"), F.col("ha")], [F.col("fb"), F.col("hb")])).select("a", "b"), "heads")
     first = _judged(heads.groupBy("a").agg(F.min("b").alias("b")), prints).select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
     stars = written(components(_verified(first, texts).toDF("a", "b")), "stars")
     left = _labelled(_labelled(heads, "a", "ra", stars), "b", "rb", stars).where("ra <> rb")
     stars = written(_joined(stars, _verified(_judged(left, prints), texts)), "stars")
-    labelled = written(_labelled(company.select("cell", "fp", "f0", "f1"), "fp", "root", stars), "labelled")
-    return _joined(stars, _verified(_several(labelled, prints), texts))
+    labelled = written(_labelled(company.select("cell", "fp"), "fp", "root", stars), "labelled")
+    return _joined(stars, _verified(_several(labelled, prints, masks), texts))
 
 
 def drop_similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
