@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import joined
-from loomtrace.plans.closure import settled, settled_rows, spread
+from loomtrace.operators import packed
+from loomtrace.operators.condense import reached_back
+from loomtrace.plans.closure import settled, settled_rows
+from loomtrace.plans.placed import Hops, small, spread_in_buckets
 
 #: The literal that stands for a template tag of each kind, and the deepest nesting of snippets.
 LITERALS = {"number": "1", "boolean": "TRUE", "date": "'1970-01-01'", "datetime": "'1970-01-01'", "temporal-unit": "'day'", "dimension": "1 = 1"}
@@ -17,6 +20,11 @@ CARD_PLACEHOLDER = "(select 1)"
 SNIPPET_DEPTH = 3
 #: Keys under which a query holds the queries that it reads.
 READS = ("query", "source-query", "stages", "joins")
+#: The order in which the parts of a query are read; its own source comes first, keys of other names last.
+PLACES = {"condition": "05", "conditions": "05", "query": "10", "fields": "11", "breakout": "12", "aggregation": "13", "filter": "14", "filters": "14", "expressions": "15", "order-by": "16", "joins": "50", "stages": "60", "source-query": "60"}
+OWN_SOURCE = "00"
+#: A query's path: its level of nesting, or its stage.
+LEVEL = r"^((?:\.query|\.stages#\d+)(?:(?:\.joins#\d+)?\.source-query|\.joins#\d+\.stages#\d+)*)"
 
 
 def bi_field_nodes(fields: DataFrame, schemas: list[str] | None = None) -> DataFrame:
@@ -33,11 +41,22 @@ def collection_paths(collections: DataFrame) -> DataFrame:
 
 
 def collections_matching(collections: DataFrame, paths: DataFrame, globs: DataFrame) -> DataFrame:
-    """(collection_id, glob): collections whose name or path a glob fits; personal ones also answer to ``Personal``."""
+    """(collection_id, glob): collections whose name or path a glob fits; personal ones also answer to ``Personal``.
+
+    A glob meets only names that begin with its text before the first wildcard, cut to the
+    lengths that occur; those that begin with a wildcard are tried against all.
+    """
     rx = F.concat(F.lit("(?is)^"), F.replace(F.replace(F.regexp_replace("glob", r"([.+^$(){}|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
     called = F.array_compact(F.array("name", "path", F.when(F.col("personal"), F.lit("Personal"))))
     rows = collections.join(paths, "collection_id").select("collection_id", F.explode(called).alias("called"))
-    return rows.join(F.broadcast(globs.withColumn("rx", rx)), F.expr("called rlike rx")).select("collection_id", "glob").distinct()
+    globs = settled(globs.select("glob", rx.alias("rx"), F.lower(F.regexp_extract("glob", r"(?s)^([^*?]*)", 1)).alias("anchor")).distinct())
+    held = globs.where("anchor <> ''").select(F.length("anchor").alias("n")).distinct()
+    lengths = held.agg(F.coalesce(F.sort_array(F.collect_set("n")), F.array().cast("array<int>")).alias("lengths"))
+    begun = rows.crossJoin(F.broadcast(lengths)).select("collection_id", "called", F.explode(F.transform("lengths", lambda n: F.lower(F.substring("called", F.lit(1), n)))).alias("anchor")).distinct()
+    anchored = begun.join(globs.where("anchor <> ''"), "anchor")
+    free = rows.crossJoin(small(globs.where("anchor = ''").drop("anchor")))
+    both = anchored.select("collection_id", "called", "glob", "rx").union(free.select("collection_id", "called", "glob", "rx"))
+    return both.where(F.expr("called rlike rx")).select("collection_id", "glob").distinct()
 
 
 def scope_cards(cards: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -55,28 +74,37 @@ def query_kind(cards: DataFrame) -> DataFrame:
     return cards.select("card_id", kind.alias("kind"))
 
 
+def _started(cards: DataFrame, column: str = "dataset_query") -> DataFrame:
+    return cards.select("card_id", F.lit("").alias("path"), F.lit("").alias("ord"), F.try_parse_json(column).alias("v")).where("v is not null")
+
+
 def _exploded(level: DataFrame) -> DataFrame:
-    return level.sparkSession.sql("select t.card_id, t.path, e.pos, e.key, e.value as v from {level} t, lateral variant_explode(t.v) e", level=level)
+    return level.sparkSession.sql("select t.card_id, t.path, t.ord, e.pos, e.key, e.value as v from {level} t, lateral variant_explode(t.v) e", level=level)
 
 
-def _step() -> Column:
-    """What an exploded item adds to its path: its key, or its place among stages."""
-    return F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).when(F.col("path").endswith(".stages"), F.concat(F.lit("#"), F.col("pos").cast("string"))).otherwise(F.lit(""))
+def _stepped(items: DataFrame) -> DataFrame:
+    """Exploded items with their path, by keys and the places of stages and joins, and their place in reading order."""
+    placed = F.col("path").endswith(".stages") | F.col("path").endswith(".joins")
+    step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).when(placed, F.concat(F.lit("#"), F.col("pos").cast("string"))).otherwise(F.lit(""))
+    known = F.element_at(F.create_map(*(F.lit(x) for kv in PLACES.items() for x in kv)), F.col("key"))
+    place = F.when(F.col("key").isNotNull(), F.coalesce(known, F.concat(F.lit("90"), "key", F.lit(".")))).otherwise(F.lpad(F.col("pos").cast("string"), 6, "0"))
+    return items.select("card_id", F.concat("path", step).alias("path"), F.concat("ord", place).alias("ord"), "v")
 
 
 def walk_query(cards: DataFrame) -> DataFrame:
-    """(card_id, label, kind, target, source_field, join_alias) of every field and metric reference.
+    """(card_id, label, level, ord, kind, target, source_field, join_alias) of every field and metric reference.
 
     One explode for each level of nesting; a reference is not entered. The label is
-    the clause with its levels in front, in the singular. Both argument orders of a
+    the clause with its levels in front, in the singular; ``level`` is the path of the
+    query, nested query or stage that it stands in, and ``ord`` its place in reading order
+    (keys of objects other than queries are read by name). Both argument orders of a
     reference are read: an object in second place holds the options.
     """
-    level = cards.select("card_id", F.lit("").alias("path"), F.try_parse_json("dataset_query").alias("v")).where("v is not null")
+    level = _started(cards)
     found = []
     while True:
-        items = _exploded(level)
         kind = F.schema_of_variant("v")
-        nested = settled(items.select("card_id", F.concat("path", _step()).alias("path"), "v").where(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        nested = settled(_stepped(_exploded(level)).where(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
         if nested.isEmpty():
             break
         head = F.try_variant_get("v", "$[0]", "string")
@@ -84,7 +112,7 @@ def walk_query(cards: DataFrame) -> DataFrame:
         found.append(nested.where(is_ref))
         level = nested.where(~F.coalesce(is_ref, F.lit(False)))
     if not found:
-        return cards.select("card_id", *(F.lit("").alias(c) for c in ("label", "kind", "target", "source_field", "join_alias"))).limit(0)
+        return cards.select("card_id", *(F.lit("").alias(c) for c in ("label", "level", "ord", "kind", "target", "source_field", "join_alias"))).limit(0)
     return normalise_refs(reduce(DataFrame.union, found))
 
 
@@ -93,9 +121,9 @@ def normalise_refs(refs: DataFrame) -> DataFrame:
     late = F.schema_of_variant(F.try_variant_get("v", "$[1]", "variant")).startswith("OBJECT")
     pick = lambda a, b: F.when(late, F.try_variant_get("v", a, "string")).otherwise(F.try_variant_get("v", b, "string"))
     label = F.col("path")
-    for pattern, text in ((r"^\.query\.", ""), (r"^\.stages#(\d+)\.", "stage$1."), ("filters", "filter"), ("conditions", "condition"), (r"(source-query\.)+", "source-query.")):
+    for pattern, text in ((r"\.joins#\d+", ".joins"), (r"\.joins\.stages#0\.", ".joins.source-query."), (r"\.joins\.stages#(\d+)\.", ".joins.source-query.stage$1."), (r"^\.(?:query|stages#0)\.", ""), (r"^\.stages#(\d+)\.", "stage$1."), ("filters", "filter"), ("conditions", "condition")):
         label = F.regexp_replace(label, pattern, text)
-    return refs.select("card_id", label.alias("label"), F.try_variant_get("v", "$[0]", "string").alias("kind"), pick("$[2]", "$[1]").alias("target"), pick("$[1]['source-field']", "$[2]['source-field']").alias("source_field"), pick("$[1]['join-alias']", "$[2]['join-alias']").alias("join_alias"))
+    return refs.select("card_id", label.alias("label"), F.regexp_extract("path", LEVEL, 1).alias("level"), "ord", F.try_variant_get("v", "$[0]", "string").alias("kind"), pick("$[2]", "$[1]").alias("target"), pick("$[1]['source-field']", "$[2]['source-field']").alias("source_field"), pick("$[1]['join-alias']", "$[2]['join-alias']").alias("join_alias"))
 
 
 def implicit_join_refs(refs: DataFrame) -> DataFrame:
@@ -104,32 +132,53 @@ def implicit_join_refs(refs: DataFrame) -> DataFrame:
     return plain.unionByName(plain.where("source_field is not null").withColumns({"target": F.col("source_field"), "implicit_join": F.lit(True)}))
 
 
-def query_sources(cards: DataFrame) -> DataFrame:
-    """(card_id, path, table_id, source_card): what each query in a card reads, through all source queries, stages and joins.
+def query_objects(cards: DataFrame) -> DataFrame:
+    """(card_id, path, ord, v) of every query, stage and join in a card, as a written table.
 
-    One explode for each level of nesting, which enters only the keys that hold
-    queries. A source card wins over a table, and ``card__N`` is a card.
+    One explode for each level of nesting, which enters only the keys that hold queries.
     """
-    level = cards.select("card_id", F.lit("").alias("path"), F.try_parse_json("dataset_query").alias("v")).where("v is not null")
-    found = []
+    level, found = _started(cards), []
     while True:
         items = _exploded(level).where(F.col("key").isNull() | F.col("key").isin(*READS))
-        level, rows = settled_rows(items.select("card_id", F.concat("path", _step()).alias("path"), "v").where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
+        level, rows = settled_rows(_stepped(items).where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
         if not rows:
             break
         found.append(level.where(F.schema_of_variant("v").startswith("OBJECT")))
-    if not found:
-        return cards.select("card_id", F.lit("").alias("path"), *(F.lit(None).cast("bigint").alias(c) for c in ("table_id", "source_card"))).limit(0)
-    source = F.try_variant_get("v", "$['source-table']", "string")
-    card = F.coalesce(F.try_variant_get("v", "$['source-card']", "bigint"), F.regexp_extract(source, r"^card__(\d+)$", 1).try_cast("bigint"))
-    return reduce(DataFrame.union, found).select("card_id", "path", F.when(card.isNull(), source.try_cast("bigint")).alias("table_id"), card.alias("source_card"))
+    return reduce(DataFrame.union, found) if found else level
+
+
+def _source(v: str | Column = "v") -> tuple[Column, Column]:
+    """(table, card) that an object reads; a source card wins over a table, and ``card__N`` is a card."""
+    source = F.try_variant_get(v, "$['source-table']", "string")
+    card = F.coalesce(F.try_variant_get(v, "$['source-card']", "bigint"), F.regexp_extract(source, r"^card__(\d+)$", 1).try_cast("bigint"))
+    return F.when(card.isNull(), source.try_cast("bigint")), card
+
+
+def query_sources(cards: DataFrame) -> DataFrame:
+    """(card_id, path, ord, table_id, source_card): what each query in a card reads, through all source queries, stages and joins."""
+    table, card = _source()
+    return query_objects(cards).select("card_id", "path", F.concat("ord", F.lit(OWN_SOURCE)).alias("ord"), table.alias("table_id"), card.alias("source_card"))
+
+
+def join_scopes(cards: DataFrame) -> DataFrame:
+    """(card_id, level, alias, table_id): what each alias means in the query, nested query or stage whose join it is.
+
+    Of several joins with one alias in a level the first counts. ``table_id`` is null
+    for an alias of a card or of a query. A join of stages reads what its first stage reads.
+    """
+    joins = query_objects(cards).where(F.col("path").rlike(r"\.joins#\d+$")).where(F.schema_of_variant(F.try_variant_get("v", "$.alias", "variant")) == "STRING")
+    staged = F.try_variant_get("v", "$.stages[0]", "variant")
+    plain, inner = _source()[0], _source(staged)[0]
+    table = F.when(F.col("path").startswith(".stages"), inner).otherwise(plain)
+    rows = joins.select("card_id", F.regexp_extract("path", LEVEL, 1).alias("level"), F.try_variant_get("v", "$.alias", "string").alias("alias"), "ord", table.alias("table_id"))
+    return rows.groupBy("card_id", "level", "alias").agg(F.min_by(F.struct("table_id"), "ord").alias("first")).select("card_id", "level", "alias", "first.table_id")
 
 
 def upstream_cards(cards: DataFrame, refs: DataFrame) -> DataFrame:
-    """(card_id, upstream): cards named as source table, source card, join source or metric, however deep."""
-    named = query_sources(cards).select("card_id", F.col("source_card").alias("upstream"))
-    metric = refs.where("kind = 'metric'").select("card_id", F.col("target").try_cast("bigint"))
-    return named.union(metric).where("upstream is not null").distinct()
+    """(card_id, upstream, ord): cards named as source table, source card, join source or metric, however deep, each at the first place that names it."""
+    named = query_sources(cards).select("card_id", F.col("source_card").alias("upstream"), "ord")
+    metric = refs.where("kind = 'metric'").select("card_id", F.col("target").try_cast("bigint"), "ord")
+    return named.union(metric).where("upstream is not null").groupBy("card_id", "upstream").agg(F.min("ord").alias("ord"))
 
 
 def source_context(cards: DataFrame) -> DataFrame:
@@ -150,7 +199,7 @@ def resolve_refs_by_id(refs: DataFrame, fields: DataFrame) -> DataFrame:
 
 def result_fields(cards: DataFrame) -> DataFrame:
     """(source_card, name, field_id): columns of a card's ``result_metadata`` that stand for a field, each as often as it is there."""
-    level = cards.select("card_id", F.lit("").alias("path"), F.try_parse_json("result_metadata").alias("v")).where(F.schema_of_variant("v").startswith("ARRAY"))
+    level = _started(cards, "result_metadata").where(F.schema_of_variant("v").startswith("ARRAY"))
     at = lambda i: F.try_variant_get("v", f"$.field_ref[{i}]", "variant")
     target = F.when(F.schema_of_variant(at(1)).startswith("OBJECT"), at(2)).otherwise(at(1))
     rows = _exploded(level).where(F.try_variant_get("v", "$.field_ref[0]", "string") == "field").where(F.schema_of_variant(target) == "BIGINT")
@@ -160,6 +209,8 @@ def result_fields(cards: DataFrame) -> DataFrame:
 def resolve_refs_by_name(refs: DataFrame, context: DataFrame, fields: DataFrame, joins: DataFrame, consumed: DataFrame, results: DataFrame) -> DataFrame:
     """(card_id, label, target, field_id, confidence) of references by name; field_id is null where none or several answer.
 
+    ``joins`` are those of :func:`join_scopes`: an alias is looked up in the reference's own
+    level, so another level may mean another table by it, and a reference gives one row.
     In order: the table of the join alias, which is final; the source table; the
     columns of that very name in the upstream card's ``results`` (see :func:`result_fields`),
     final if there are any; the unique field of that name among what the upstream card consumes, which is only parsed. An alias
@@ -167,7 +218,8 @@ def resolve_refs_by_name(refs: DataFrame, context: DataFrame, fields: DataFrame,
     """
     named = fields.groupBy("table_id", F.lower("column_name").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("field_id").alias("f"))
     one = named.where("n = 1").drop("n")
-    rows = refs.withColumn("low", F.lower("target")).join(joins.select("card_id", F.col("alias").alias("join_alias"), F.col("table_id").alias("alias_table"), F.lit(True).alias("mapped")), ["card_id", "join_alias"], "left").join(context, "card_id", "left")
+    scopes = joins.select("card_id", "level", F.col("alias").alias("join_alias"), F.col("table_id").alias("alias_table"), F.lit(True).alias("mapped"))
+    rows = refs.withColumn("low", F.lower("target")).join(scopes, ["card_id", "level", "join_alias"], "left").join(context, "card_id", "left")
     rows = rows.join(one.toDF("alias_table", "low", "by_alias"), ["alias_table", "low"], "left").join(one.toDF("table_id", "low", "by_table"), ["table_id", "low"], "left")
     upstream = consumed.join(fields.select("field_id", F.lower("column_name").alias("low")), "field_id").groupBy(F.col("card_id").alias("source_card"), "low").agg(F.count_distinct("field_id").alias("n"), F.min("field_id").alias("by_card")).where("n = 1").drop("n")
     rows = rows.join(upstream, ["source_card", "low"], "left")
@@ -281,38 +333,63 @@ def native_column_refs(parsed: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def parsed_sources(deps: DataFrame, native: DataFrame) -> DataFrame:
-    """Ids of native cards and of all cards that read them, however far."""
-    reads = settled(deps.select(F.col("upstream").alias("u"), "card_id").distinct())
-    step = lambda frontier, _: frontier.withColumnRenamed("card_id", "u").join(reads, "u").select("card_id").distinct()
-    return spread(native.select("card_id").distinct(), step, ["card_id"])
+    """(card_id): native cards and all cards that read them, however far; straight lines of cards are taken at once."""
+    reads = settled(deps.where("card_id <> upstream").select(F.col("card_id").alias("f"), F.col("upstream").alias("t")).distinct())
+
+    def closure(left: DataFrame, seeds: DataFrame) -> DataFrame:
+        back = Hops(left.select(F.col("t").alias("f"), F.col("f").alias("t")))
+        step = lambda frontier, _: back.follow(frontier, "node").select(F.col("t").alias("node")).distinct()
+        return spread_in_buckets(seeds, step, ["node"], back.buckets)
 
+    return reached_back(reads, native.select(F.col("card_id").alias("node")).distinct(), closure).select(F.col("node").alias("card_id"))
 
-def card_ancestors(deps: DataFrame) -> DataFrame:
-    """(card_id, ancestor): all cards that a card reads, however far; cycles end."""
-    hops = settled(deps.select("card_id", "upstream").distinct())
-    seed = hops.select("card_id", F.col("upstream").alias("ancestor"))
-    step = lambda frontier, _: frontier.join(hops.toDF("ancestor", "next"), "ancestor").select("card_id", F.col("next").alias("ancestor")).distinct()
-    return spread(seed, step, ["card_id", "ancestor"])
+
+def _field_words(deps: DataFrame, consumed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(own, inherited, numbers): fields as bits of words at each card, (node, kind, block, w): its own, and those of all cards it reads; cycles end."""
+    seeds = consumed.select(F.col("card_id").alias("node"), F.lit("").alias("kind"), F.col("field_id").alias("label")).distinct()
+    numbers = packed.numbered_labels(seeds)
+    own = settled(packed.seeded(seeds, numbers, ["w"]))
+    hops = Hops(deps.select(F.col("upstream").alias("f"), F.col("card_id").alias("t")).distinct())
+    rounds, _ = packed.walk(hops, own, ["w"])
+    met = reduce(DataFrame.union, [r.select(*packed.KEY, "w") for r in rounds]) if rounds else own.limit(0)
+    return own, settled(met.groupBy(packed.KEY).agg(F.bit_or("w").alias("w"))), numbers
 
 
 def transitive_fields(deps: DataFrame, consumed: DataFrame) -> DataFrame:
     """(card_id, field_id): fields that a card inherits from the cards it reads."""
-    up = card_ancestors(deps)
-    return up.join(consumed.select(F.col("card_id").alias("ancestor"), "field_id").distinct(), "ancestor").select("card_id", "field_id").distinct()
+    _, met, numbers = _field_words(deps, consumed)
+    return packed.unpacked(met, numbers, ["w"]).select(F.col("node").alias("card_id"), F.col("label").alias("field_id"))
 
 
 def consumed_by_edges(direct: DataFrame, deps: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(f, t, confidence, via): direct edges, then one for each inherited field, through the first upstream card that gives it."""
-    own = direct.select("card_id", "field_id", "confidence").distinct()
-    reach = transitive_fields(deps, direct).select("card_id", "field_id").union(own.select("card_id", "field_id")).distinct()
-    weak = parsed.select(F.col("card_id").alias("upstream"), F.lit(True).alias("weak"))
-    through = deps.join(reach.withColumnRenamed("card_id", "upstream"), "upstream").join(own, ["card_id", "field_id"], "left_anti").where("card_id <> upstream").join(weak, "upstream", "left")
-    first = through.groupBy("card_id", "field_id").agg(F.min(F.struct("upstream", F.coalesce("weak", F.lit(False)).alias("weak"))).alias("u"))
-    mine = own.groupBy("card_id", "field_id").agg(F.min("confidence").alias("confidence"), F.lit(None).cast("bigint").alias("via"))
-    rows = mine.union(first.select("card_id", "field_id", F.when(F.col("u.weak"), "parsed").otherwise("exact"), F.col("u.upstream")))
+    """(f, t, confidence, via): direct edges, then one for each inherited field, through the first upstream card that gives it.
+
+    ``deps(card_id, upstream, ord)``: the first is by ``ord``, the order in which the query names its cards.
+    """
+    own, met, numbers = _field_words(deps, direct)
+    whole = own.union(met).groupBy(packed.KEY).agg(F.bit_or("w").alias("w"))
+    named = deps.where("card_id <> upstream").groupBy("card_id", "upstream").agg(F.min("ord").alias("ord"))
+    given = named.join(whole.withColumnRenamed("node", "upstream"), "upstream").withColumnRenamed("card_id", "node")
+    given = given.join(own.withColumnRenamed("w", "mine"), packed.KEY, "left").withColumn("w", packed.without("w", "mine"))
+    # What cards named earlier give is taken off.
+    w = Window.partitionBy(packed.KEY).orderBy("ord", "upstream").rowsBetween(Window.unboundedPreceding, -1)
+    first = given.withColumn("before", F.bit_or("w").over(w)).withColumn("w", packed.without("w", "before")).where("w <> 0")
+    weak = parsed.select(F.col("card_id").alias("upstream"), F.lit("parsed").alias("weak")).distinct()
+    through = packed.unpacked(first, numbers, ["w"], "upstream").join(weak, "upstream", "left")
+    rows = direct.groupBy("card_id", "field_id").agg(F.min("confidence").alias("confidence"), F.lit(None).cast("bigint").alias("via"))
+    rows = rows.union(through.select(F.col("node").alias("card_id"), F.col("label").alias("field_id"), F.coalesce("weak", F.lit("exact")), "upstream"))
     return rows.select(F.concat(F.lit("mb_field::"), "field_id").alias("f"), F.concat(F.lit("mb_card::"), "card_id").alias("t"), "confidence", "via")
 
 
+def upstream_problems(deps: DataFrame, cards: DataFrame, walked: DataFrame) -> DataFrame:
+    """(card_id, ref, reason): cards that a query names but that give nothing: unknown or out of scope, or without a query to walk."""
+    known = cards.select(F.col("card_id").alias("upstream"), F.lit(True).alias("known")).distinct()
+    open_ = walked.select(F.col("card_id").alias("upstream"), F.lit(True).alias("walked")).distinct()
+    rows = deps.select("card_id", "upstream").distinct().join(known, "upstream", "left").join(open_, "upstream", "left").where("walked is null")
+    reason = F.when(F.col("known"), "card without a query to walk").otherwise("card missing or out of scope")
+    return rows.select("card_id", F.concat(F.lit("card__"), "upstream").alias("ref"), reason.alias("reason"))
+
+
 def card_nodes(cards: DataFrame, users: DataFrame, paths: DataFrame) -> DataFrame:
     """Card rows with their creator's common name, else email, else id, and the path of their collection."""
     return cards.join(users, "creator", "left").join(paths, "collection_id", "left").select("node_id", "name", F.coalesce("common_name", "email", "creator").alias("creator"), F.col("path").alias("collection_path"), "query_type", "archived")

@@ -71,12 +71,16 @@ def binding_case_norm(exact: DataFrame) -> DataFrame:
 
 
 def type_waterfall(columns: DataFrame, bindings: DataFrame, fields: DataFrame, inferred: DataFrame) -> DataFrame:
-    """(node_id, data_type, source): the column's own type, else that of the first exactly bound field with one, else an inferred one."""
+    """(node_id, data_type, source, unknown_type_reason): the column's own type, else that of the first exactly bound field with one, else an inferred one.
+
+    The reason why a type is unknown stays only where none is found; columns without that property have none.
+    """
     typed = fields.select(F.col("node_id").alias("field"), F.coalesce(F.when(F.trim("database_type") != "", F.col("database_type")), "base_type").alias("t")).where("t is not null")
     bound = bindings.where("confidence = 'exact'").join(typed, "field").groupBy(F.col("col_id").alias("node_id")).agg(F.min_by("t", "field").alias("bound"))
     rows = columns.join(bound, "node_id", "left").join(inferred.select("node_id", F.col("data_type").alias("guess")), "node_id", "left")
     source = F.when(F.col("data_type").isNotNull(), "catalog").when(F.col("bound").isNotNull(), "metabase").when(F.col("guess").isNotNull(), "inferred")
-    return rows.select("node_id", F.coalesce("data_type", "bound", "guess").alias("data_type"), source.alias("source"))
+    why = F.col("unknown_type_reason") if "unknown_type_reason" in columns.columns else F.lit(None).cast("string")
+    return rows.select("node_id", F.coalesce("data_type", "bound", "guess").alias("data_type"), source.alias("source"), F.when(source.isNull(), why).alias("unknown_type_reason"))
 
 
 def type_source_counts(typed: DataFrame) -> DataFrame:

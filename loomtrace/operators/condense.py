@@ -114,7 +114,6 @@ def strong_groups(hops: DataFrame) -> DataFrame:
         found.append(reached.select("node", F.col("colour").alias("root")))
         gone = reached.select("node")
         hops_left = live.join(gone.toDF("f"), "f", "left_anti").join(gone.toDF("t"), "t", "left_anti")
-    # A root that only its own colour reaches, but that lies on no cycle, cannot be: trimming left each an input and an output.
     if not found:
         return hops.select(F.col("f").alias("node"), F.col("f").alias("root")).limit(0)
     groups = joined_rounds(found)
@@ -149,26 +148,30 @@ def peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined_rounds(done) if done else nodes.select("node", zero.alias("layer")).limit(0)
 
 
-def longest_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def longest_layers(nodes: DataFrame, edges: DataFrame, cycles: bool = True) -> DataFrame:
     """(node_id, layer) of all ``nodes(node_id)``: the longest way from a node without inputs, in groups.
 
     Nodes that reach each other share a layer, and over every edge between two groups the
-    layer rises. A chain of n nodes takes log2(n) rounds; what branches takes one for
-    each step of its longest way.
+    layer rises; without ``cycles`` these, and what lies behind them, have none. A
+    chain of n nodes takes log2(n) rounds; what branches takes one for each step of its longest way.
     """
     hops = simple_hops(nodes, edges)
     cut = chains(hops)
-    roots = strong_groups(cut.edges)
-    between = _rooted(_rooted(cut.edges, roots, "f"), roots, "t").where("f <> t").groupBy("f", "t").agg(F.max("hops").alias("hops"))
+    if cycles:
+        roots = strong_groups(cut.edges)
+        between = _rooted(_rooted(cut.edges, roots, "f"), roots, "t").where("f <> t").groupBy("f", "t").agg(F.max("hops").alias("hops"))
+    else:
+        # A loop is an input that is never gone.
+        roots, between = cut.edges.select(F.col("f").alias("node"), F.col("t").alias("root")).limit(0), cut.edges
     outer = nodes.select(F.col("node_id").alias("node")).distinct().join(cut.inner.select("node").union(cut.rings.select("node")), "node", "left_anti")
     layers = settled(peeled(_rooted(outer, roots, "node").distinct(), settled(between)))
     level: Column = F.col("layer")
-    plain = outer.withColumn("at", F.col("node"))
-    plain = _rooted(plain, roots, "at").join(layers.toDF("at", "layer"), "at").select("node", level)
+    how = "inner" if cycles else "left"
+    plain = _rooted(outer.withColumn("at", F.col("node")), roots, "at").join(layers.toDF("at", "layer"), "at", how).select("node", level)
     # A run between two nodes of one group is part of it; any other lies behind its head.
-    inner = _rooted(_rooted(cut.inner, roots, "head"), roots, "tail").join(layers.toDF("head", "layer"), "head")
+    inner = _rooted(_rooted(cut.inner, roots, "head"), roots, "tail").join(layers.toDF("head", "layer"), "head", how)
     inner = inner.select("node", F.when(F.col("head") == F.col("tail"), level).otherwise(level + F.col("place")).alias("layer"))
-    rings = cut.rings.select("node", F.lit(0).cast("long").alias("layer"))
+    rings = cut.rings.select("node", F.lit(0 if cycles else None).cast("long").alias("layer"))
     return plain.union(inner).union(rings).select(F.col("node").alias("node_id"), F.col("layer").cast("int").alias("layer"))
 
 

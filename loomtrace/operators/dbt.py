@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.functions.numbering import numbered
 from loomtrace.functions.text import last_segment
+from loomtrace.operators.condense import longest_layers
 from loomtrace.operators.graph import EDGE_KEY
-from loomtrace.plans.closure import relax, settled
+from loomtrace.plans.closure import relax
 
 #: Characters of a defining expression that are kept.
 SHOWN = 240
@@ -191,23 +193,10 @@ def column_origin(pointers: DataFrame) -> DataFrame:
 
 
 def model_levels(models: DataFrame, depends_on: DataFrame) -> DataFrame:
-    """(uid, level, place): upstream-first order, ties by id; members of cycles come last with no level."""
-    deps = settled(depends_on.select("model", "upstream").distinct().join(models.select(F.col("uid").alias("upstream")), "upstream", "left_semi"))
-    blocked = deps.select(F.col("model").alias("uid")).distinct()
-    seed = models.select("uid").distinct().join(blocked, "uid", "left_anti").withColumn("level", F.lit(0))
-    placed = [settled(seed)]
-    while True:
-        done = placed[0]
-        for more in placed[1:]:
-            done = done.union(more)
-        waiting = deps.join(done.select(F.col("uid").alias("upstream")), "upstream", "left_anti").select(F.col("model").alias("uid")).distinct()
-        ready = blocked.join(waiting, "uid", "left_anti").join(done.select("uid"), "uid", "left_anti").withColumn("level", F.lit(len(placed)))
-        ready = settled(ready)
-        if ready.isEmpty():
-            break
-        placed.append(ready)
-    rest = models.select("uid").distinct().join(done.select("uid"), "uid", "left_anti").withColumn("level", F.lit(None).cast("int"))
-    return done.union(rest).withColumn("place", F.row_number().over(Window.orderBy(F.col("level").asc_nulls_last(), "uid")))
+    """(uid, level, place): upstream-first order, ties by id; members of cycles, and what lies behind them, come last with no level."""
+    found = longest_layers(models.select(F.col("uid").alias("node_id")), depends_on.select(F.col("upstream").alias("f"), F.col("model").alias("t")), cycles=False)
+    level = F.col("layer").alias("level")
+    return numbered(found.select(F.col("node_id").alias("uid"), level), F.col("level").asc_nulls_last(), F.col("uid"), out="place")
 
 
 def compiled_counts(models: DataFrame) -> DataFrame:
@@ -273,16 +262,19 @@ def relationship_tests(tests: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def relates_to_edges(declared: DataFrame, tests: DataFrame, columns: DataFrame) -> DataFrame:
-    """(f, t, edge_type, confidence) of declared relationships whose ends exist; a matching test validates, and tests alone count too.
+    """(f, t, edge_type, confidence, source, arity) of declared relationships whose ends exist; a matching test validates, and tests alone count too.
 
-    Of a pair's rows a validated one wins, then the first declared.
+    Where a pair is declared, and with which arity, is what its first declaration by
+    ``ordinal`` says; a pair that only a test names has the source ``test`` and no arity.
     """
     end = lambda m, c: F.concat(m, F.lit("::"), F.lower(c))
-    d = declared.where("to_model is not null").select(end("model", "col").alias("f"), end("to_model", "to_column").alias("t"), F.col("ordinal"), F.lit(False).alias("tested"))
-    t = tests.select(end("model", "col").alias("f"), end("to_model", "to_column").alias("t"), F.lit(0).cast("bigint").alias("ordinal"), F.lit(True).alias("tested"))
+    said = [F.col(c) if c in declared.columns else F.lit(None).cast("string").alias(c) for c in ("source", "arity")]
+    d = declared.where("to_model is not null").select(end("model", "col").alias("f"), end("to_model", "to_column").alias("t"), F.col("ordinal").cast("long").alias("ordinal"), F.lit(False).alias("tested"), *said)
+    t = tests.select(end("model", "col").alias("f"), end("to_model", "to_column").alias("t"), F.lit(0).cast("long"), F.lit(True), F.lit("test"), F.lit(None).cast("string"))
     ids = columns.select("node_id")
     both = d.union(t).join(ids.withColumnRenamed("node_id", "f"), "f", "left_semi").join(ids.withColumnRenamed("node_id", "t"), "t", "left_semi")
-    return both.groupBy("f", "t").agg(F.bool_or("tested").alias("tested")).select("f", "t", F.lit("relates_to").alias("edge_type"), F.when(F.col("tested"), F.lit("validated")).otherwise(F.lit("declared")).alias("confidence"))
+    rows = both.groupBy("f", "t").agg(F.bool_or("tested").alias("tested"), F.min_by(F.struct("source", "arity"), F.struct("tested", "ordinal")).alias("first"))
+    return rows.select("f", "t", F.lit("relates_to").alias("edge_type"), F.when(F.col("tested"), F.lit("validated")).otherwise(F.lit("declared")).alias("confidence"), "first.source", "first.arity")
 
 
 def dangling_relationships(declared: DataFrame, columns: DataFrame) -> DataFrame:

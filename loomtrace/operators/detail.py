@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.functions.text import joined, rank, word
-from loomtrace.operators.walk import reach
+from loomtrace.functions.numbering import numbered
+from loomtrace.functions.text import STEPS, joined, rank, word
+from loomtrace.operators import packed
+from loomtrace.operators.graph import flow_edges
 
 #: Suggestions and neighbours that a view shows.
 SHOWN, STAR, STARTS = 30, 10, 6
@@ -14,25 +16,52 @@ SHOWN, STAR, STARTS = 30, 10, 6
 INTERNAL = "(?i)stag|int|tmp|raw|scratch"
 
 
+def _labels(rows: DataFrame, kind: str, label: str = "node_id") -> DataFrame:
+    return rows.select(F.col("node_id").alias("node"), F.lit(kind).alias("kind"), F.col(label).alias("label")).where("label is not null")
+
+
+def _turned(flow: DataFrame) -> DataFrame:
+    return flow.select(F.col("t").alias("f"), F.col("f").alias("t"))
+
+
+def _answers(starts: DataFrame, parts: list[DataFrame], names: list[str], *more: str) -> DataFrame:
+    """One row for each of ``starts(node_id)``, with zeros for what it lacks."""
+    rows = starts.select(F.col("node_id").alias("node"))
+    for part in parts:
+        rows = rows.join(part, "node", "left")
+    return rows.select(F.col("node").alias("start"), *(F.coalesce(c, F.lit(0)).alias(c) for c in names), *more)
+
+
 def column_detail(nodes: DataFrame, edges: DataFrame, columns: DataFrame) -> DataFrame:
-    """(start, up_columns, up_sources, down_columns, down_models, fields, cards, dashboards) of each of ``columns(node_id)``."""
-    kinds = nodes.select("node_id", "node_type", "owner_id")
-    up = reach(edges, columns, "up").join(kinds, "node_id").groupBy("start").agg(F.count_if(F.col("node_type") == "column").alias("up_columns"), F.count_if(F.col("node_type") == "source").alias("up_sources"))
-    n = lambda kind, name: F.count_if(F.col("node_type") == kind).alias(name)
-    down = reach(edges, columns, "down").join(kinds, "node_id").groupBy("start").agg(n("column", "down_columns"), F.count_distinct(F.when(F.col("node_type") == "column", F.col("owner_id"))).alias("down_models"), n("mb_field", "fields"), n("mb_card", "cards"), n("mb_dashboard", "dashboards"))
-    names = ["up_columns", "up_sources", "down_columns", "down_models", "fields", "cards", "dashboards"]
-    rows = columns.select(F.col("node_id").alias("start")).join(up, "start", "left").join(down, "start", "left")
-    return rows.select("start", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+    """(start, up_columns, up_sources, down_columns, down_models, fields, cards, dashboards, relationships) of each of ``columns(node_id)``.
+
+    What lies above and below is counted for all nodes at once, as bits of words; a
+    relationship counts at either end.
+    """
+    flow, of = flow_edges(edges), lambda kind: nodes.where(F.col("node_type") == kind)
+    up = packed.counts(packed.gathered(flow, _labels(of("column"), "up_columns").union(_labels(of("source"), "up_sources"))), ["up_columns", "up_sources"])
+    kinds = {"fields": "mb_field", "cards": "mb_card", "dashboards": "mb_dashboard"}
+    seeds = _labels(of("column"), "down_columns").union(_labels(of("column"), "down_models", "owner_id"))
+    for name, kind in kinds.items():
+        seeds = seeds.union(_labels(of(kind), name))
+    below = ["down_columns", "down_models", *kinds]
+    down = packed.counts(packed.gathered(_turned(flow), seeds), below)
+    ends = edges.where("edge_type = 'relates_to'").select(F.explode(F.array_distinct(F.array("f", "t"))).alias("node"))
+    touching = ends.groupBy("node").agg(F.count(F.lit(1)).alias("relationships"))
+    return _answers(columns, [up, down, touching], ["up_columns", "up_sources", *below, "relationships"])
 
 
 def bi_detail(nodes: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
-    """(start, columns, models, best, fields, unbound) of BI objects: what they depend on, and fields without a binding."""
-    bound = edges.where("edge_type = 'binds_to'").select(F.col("t").alias("node_id"), F.lit(True).alias("bound")).distinct()
-    rows = reach(edges, objects, "up").join(nodes.select("node_id", "node_type", "owner_id"), "node_id").join(bound, "node_id", "left")
-    column, field = F.col("node_type") == "column", F.col("node_type") == "mb_field"
-    sums = rows.groupBy("start").agg(F.count_if(column).alias("columns"), F.count_distinct(F.when(column, F.col("owner_id"))).alias("models"), word(F.max(F.when(column, rank(F.col("confidence"))))).alias("best"), F.count_if(field).alias("fields"), F.count_if(field & F.col("bound").isNull()).alias("unbound"))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("columns", "models")]
-    return objects.select(F.col("node_id").alias("start")).join(sums, "start", "left").select("start", *zero, "best", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fields", "unbound")))
+    """(start, columns, models, best, fields, unbound) of BI objects: what they depend on, and fields without a binding; counted as in :func:`column_detail`."""
+    flow = flow_edges(edges)
+    column, field = nodes.where("node_type = 'column'"), nodes.where("node_type = 'mb_field'")
+    bound = edges.where("edge_type = 'binds_to'").select(F.col("t").alias("node_id")).distinct()
+    seeds = _labels(column, "columns").union(_labels(column, "models", "owner_id")).union(_labels(field, "fields")).union(_labels(field.join(bound, "node_id", "left_anti"), "unbound"))
+    found = packed.counts(packed.gathered(flow, seeds), ["columns", "models", "fields", "unbound"])
+    ranked = flow.groupBy("f", "t").agg(F.max(rank(F.col("confidence"))).alias("rank"))
+    best = packed.best_rank(ranked, column.select(F.col("node_id").alias("node")), [f"w{r}" for r in STEPS])
+    rows = _answers(objects, [found, best], ["columns", "models", "fields", "unbound"], "best")
+    return rows.select("start", "columns", "models", word(F.col("best")).alias("best"), "fields", "unbound")
 
 
 def chain_gap(details: DataFrame, nodes: DataFrame, query_types: DataFrame) -> DataFrame:
@@ -46,16 +75,18 @@ def chain_gap(details: DataFrame, nodes: DataFrame, query_types: DataFrame) -> D
 
 
 def model_detail(nodes: DataFrame, edges: DataFrame, models: DataFrame) -> DataFrame:
-    """(start, upstream, downstream, cards, dashboards, nearest): models by references, BI objects by the model's own columns."""
-    up = reach(edges, models, "up", ["references"]).groupBy("start").agg(F.count(F.lit(1)).alias("upstream"))
-    down = reach(edges, models, "down", ["references"]).groupBy("start").agg(F.count(F.lit(1)).alias("downstream"))
-    own = nodes.where("node_type = 'column'").select("node_id", "owner_id").join(models.select(F.col("node_id").alias("owner_id")), "owner_id", "left_semi")
-    found = reach(edges, own.select("node_id"), "down").join(nodes.select("node_id", "node_type").where("node_type in ('mb_card', 'mb_dashboard')"), "node_id").join(own.select(F.col("node_id").alias("start"), "owner_id"), "start")
-    bi = found.groupBy(F.col("owner_id").alias("start")).agg(F.count_distinct(F.when(F.col("node_type") == "mb_card", F.col("node_id"))).alias("cards"), F.count_distinct(F.when(F.col("node_type") == "mb_dashboard", F.col("node_id"))).alias("dashboards"), F.min("depth").alias("nearest"))
-    rows = models.select(F.col("node_id").alias("start"))
-    for part in (up, down, bi):
-        rows = rows.join(part, "start", "left")
-    return rows.select("start", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("upstream", "downstream", "cards", "dashboards")), "nearest")
+    """(start, upstream, downstream, cards, dashboards, nearest): models by references, BI objects by the model's own columns; counted as in :func:`column_detail`."""
+    flow = flow_edges(edges)
+    refs = flow.where("edge_type = 'references'")
+    ends = refs.select(F.col("f").alias("node_id")).union(refs.select("t")).distinct()
+    up = packed.counts(packed.gathered(refs, _labels(ends, "upstream")), ["upstream"])
+    down = packed.counts(packed.gathered(_turned(refs), _labels(ends, "downstream")), ["downstream"])
+    seeds = _labels(nodes.where("node_type = 'mb_card'"), "cards").union(_labels(nodes.where("node_type = 'mb_dashboard'"), "dashboards"))
+    own = nodes.where("node_type = 'column'").select(F.col("node_id").alias("node"), "owner_id")
+    met = packed.gathered(_turned(flow), seeds).join(own, "node").drop("node").withColumnRenamed("owner_id", "node")
+    met = met.groupBy(packed.KEY).agg(F.bit_or("w").alias("w"), F.min("near").alias("near"))
+    bi = packed.counts(met, ["cards", "dashboards"]).join(met.groupBy("node").agg(F.min("near").alias("nearest")), "node")
+    return _answers(models, [up, down, bi], ["upstream", "downstream", "cards", "dashboards"], "nearest")
 
 
 def relationships_touching(relates: DataFrame, columns: DataFrame) -> DataFrame:
@@ -78,7 +109,7 @@ def dashboard_groups(cards: DataFrame, dashcards: DataFrame) -> DataFrame:
     """(dash_id, n, place): cards by dashboard, busiest first; those on none come last."""
     on = dashcards.select("card_id", "dash_id").distinct()
     sums = cards.select("card_id").join(on, "card_id", "left").groupBy("dash_id").agg(F.count(F.lit(1)).alias("n"))
-    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.col("dash_id").isNull(), F.desc("n"), "dash_id")))
+    return numbered(sums, F.col("dash_id").isNull(), F.desc("n"), F.col("dash_id"), out="place")
 
 
 def model_pairs(relates: DataFrame, columns: DataFrame) -> DataFrame:
@@ -189,7 +220,7 @@ def coverage_list(ids: DataFrame, nodes: DataFrame) -> DataFrame:
 def untraced_groups(traces: DataFrame, by: str) -> DataFrame:
     """(by, n, columns, place): untraced columns by reason or model, largest first."""
     sums = traces.groupBy(F.coalesce(by, F.lit("unknown")).alias(by)).agg(F.count(F.lit(1)).alias("n"), joined(F.col("output")).alias("columns"))
-    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), by)))
+    return numbered(sums, F.desc("n"), F.col(by), out="place")
 
 
 def manager_of(nodes: DataFrame) -> DataFrame:

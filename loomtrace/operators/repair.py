@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.functions.numbering import numbered
 from loomtrace.functions.text import joined
 from loomtrace.operators.walk import card_depth
 
@@ -132,10 +133,11 @@ def dead_refs(hits: DataFrame) -> DataFrame:
 
 
 def order_plan(plans: DataFrame, cards: DataFrame, deps: DataFrame) -> DataFrame:
-    """Plans of live, known cards with their place: upstream cards first, then by id."""
+    """Plans of live, known cards with their place: upstream cards first, then by id; cards that read each other come together."""
     live = cards.where("not coalesce(archived, false)").select("card_id")
     depth = card_depth(cards, deps)
-    return plans.join(live, "card_id", "left_semi").join(depth, "card_id").withColumn("place", F.row_number().over(Window.orderBy("depth", "card_id")))
+    rows = plans.join(live, "card_id", "left_semi").join(depth, "card_id")
+    return numbered(rows, F.col("depth"), F.col("card_id"), out="place")
 
 
 def reconcile_plan(plan: DataFrame, current: DataFrame, force: bool = False) -> DataFrame:
@@ -158,7 +160,7 @@ def plan_report(plan: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action")).cast("int")
     heads = plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).select(place.alias("p"), F.lit(-1).cast("bigint").alias("card_id"), F.concat("action", F.lit(": "), "n").alias("line"))
     rows = plan.select(place.alias("p"), "card_id", F.concat(F.lit("  #"), "card_id", F.lit(" "), "reason").alias("line"))
-    return heads.union(rows).select(F.row_number().over(Window.orderBy("p", "card_id")).alias("line_no"), "line")
+    return numbered(heads.union(rows), F.col("p"), F.col("card_id"), out="line_no").select("line_no", "line")
 
 
 def write_access_summary(cards: DataFrame) -> DataFrame:

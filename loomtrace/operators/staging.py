@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import joined, short_hash
@@ -52,13 +54,31 @@ def validate_staged(entries: DataFrame, models: DataFrame, columns: DataFrame) -
         rows = rows.withColumn("low", F.lower(f"{end}_model")).join(names, "low", "left").withColumn("col_low", F.lower(f"{end}_column")).join(cols, ["uid", "col_low"], "left")
         rows = rows.withColumnsRenamed({"n": f"{end}_n", "has": f"{end}_has"}).drop("low", "col_low", "uid")
     same = (F.lower("from_model") == F.lower("to_model")) & (F.lower("from_column") == F.lower("to_column"))
+    ends = ("from_model", "from_column", "to_model", "to_column")
+    blank = reduce(Column.__or__, (F.trim(F.coalesce(c, F.lit(""))) == "" for c in ends))
     reason = (
-        F.when(F.col("from_n").isNull() | F.col("to_n").isNull(), "unknown model").when((F.col("from_n") > 1) | (F.col("to_n") > 1), "ambiguous model")
+        F.when(blank, "malformed entry").when(F.col("from_n").isNull() | F.col("to_n").isNull(), "unknown model").when((F.col("from_n") > 1) | (F.col("to_n") > 1), "ambiguous model")
         .when(F.col("from_has").isNull() | F.col("to_has").isNull(), "column not on model").when(~F.coalesce(F.col("cardinality"), F.lit("")).isin(*CARDINALITIES), "bad cardinality").when(same, "identical ends")
     )
     return rows.select(*entries.columns, reason.alias("reason"))
 
 
+def validate_descriptions(entries: DataFrame, models: DataFrame, columns: DataFrame) -> DataFrame:
+    """``entries(id, entity, column, body)`` of staged descriptions with the first reason why each is invalid, or null.
+
+    Blank text comes first, then an unknown or ambiguous entity; without a column the entity itself is described.
+    """
+    names = models.groupBy(F.lower("name").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("uid"))
+    cols = columns.select(F.col("owner_id").alias("uid"), F.lower("name").alias("col_low"), F.lit(True).alias("has")).distinct()
+    rows = entries.withColumn("low", F.lower("entity")).join(names, "low", "left").withColumn("col_low", F.lower("column")).join(cols, ["uid", "col_low"], "left")
+    blank = F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), r"\s", "")) == ""
+    reason = (
+        F.when(F.col("entity").isNull(), "malformed entry").when(blank, "blank text").when(F.col("n").isNull(), "unknown model").when(F.col("n") > 1, "ambiguous model")
+        .when(F.col("column").isNotNull() & F.col("has").isNull(), "column not on model")
+    )
+    return rows.select(*entries.columns, reason.alias("reason"))
+
+
 def route_models(entries: DataFrame, models: DataFrame, prefixes: list[str]) -> DataFrame:
     """``entries`` with the model that a write goes to: without a presentation prefix where such a model exists."""
     low = F.lower("model")

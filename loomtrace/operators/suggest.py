@@ -7,13 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.functions.numbering import numbered
 from loomtrace.functions.text import relationship_id, singular
+from loomtrace.plans.closure import settled
+from loomtrace.plans.placed import small
 
 #: Layer prefixes of model names, and the score of a guess from a name.
 LAYERS = r"^(viz_|stg_|int_|fct_|dim_|mart_|bdg_|base_|agg_|rpt_)+"
 NAMING = 0.5
 #: The lowest ratio of a fuzzy hit, and what a database mapping needs to be sure.
 FUZZY, SURE, LEAD = 0.6, 0.9, 0.15
+#: Characters of a run by which texts are found.
+GRAM = 3
 #: Texts that are searched behind name and id, and how a hit in each is called.
 TEXTS = {"description": "description", "title": "properties.title", "collection_name": "properties.collection_name", "tags": "properties.tags"}
 
@@ -71,8 +76,8 @@ def exclude_pairs(pairs: DataFrame, declared: DataFrame, dismissed: DataFrame) -
 def suggest(pairs: DataFrame) -> DataFrame:
     """The best row of each id with its place: by score, then names."""
     best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "source"))).where("_k = 1").drop("_k")
-    order = [F.desc("score"), *(F.lower(c) for c in ("from_model", "from_column", "to_model", "to_column")), "id"]
-    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    order = [F.desc("score"), *(F.lower(c) for c in ("from_model", "from_column", "to_model", "to_column")), F.col("id")]
+    return numbered(best, *order, out="place")
 
 
 def suggestions_by_source(found: DataFrame) -> DataFrame:
@@ -98,26 +103,79 @@ def searchable(nodes: DataFrame, collections: DataFrame, tags: DataFrame) -> Dat
     return titled.join(named, "collection_id", "left").join(tagged, "node_id", "left")
 
 
+def searchable_alone(nodes: DataFrame) -> DataFrame:
+    """Nodes to search where collections and tags are not at hand."""
+    return nodes.withColumns({c: F.lit(None).cast("string") for c in TEXTS if c not in nodes.columns})
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters."""
+    return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def parts_holding(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, node_id): texts of ``texts(node_id, whole)`` that a query of ``queries(q)`` is a part of, and perhaps others.
+
+    A text is looked at if it holds the query's rarest run of three characters; only
+    queries shorter than that meet all texts.
+    """
+    long = settled(queries.where(F.length("q") >= GRAM).select("q", F.explode(F.array_distinct(_grams(F.col("q"), GRAM))).alias("gram")))
+    posted = settled(texts.select("node_id", F.explode(F.array_distinct(_grams(F.col("whole"), GRAM))).alias("gram")).join(small(long.select("gram").distinct()), "gram", "left_semi"))
+    often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = long.join(often, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    found = posted.join(small(rarest), "gram").select("q", "node_id")
+    short = settled(queries.where(F.length("q") < GRAM))
+    return found.union(small(short).join(texts.select("node_id", "whole"), F.col("whole").contains(F.col("q"))).select("q", "node_id"))
+
+
+def names_like(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, low): names of ``names(low)`` that may be within the ratio of a query, and perhaps others.
+
+    One edit spoils at most two pairs of neighbouring characters, so names within the
+    ratio have more than a fifth of the longer one's pairs in common; ends count as characters.
+    """
+    def pairs(rows: DataFrame, c: str) -> DataFrame:
+        edged = F.concat(F.lit("\x01"), c, F.lit("\x01"))
+        return rows.select(c, F.explode(_grams(edged, 2)).alias("gram")).groupBy(c, "gram").agg(F.count(F.lit(1)).alias(f"n_{c}"))
+
+    mine = settled(pairs(queries, "q"))
+    longest = F.greatest(F.length("q"), F.length("low"))
+    near = F.least(F.length("q"), F.length("low")) >= F.ceil(FUZZY * longest - F.lit(1e-9))
+    met = pairs(names, "low").join(small(mine), "gram").where(near).groupBy("q", "low").agg(F.sum(F.least("n_q", "n_low")).alias("common"))
+    edits = F.floor((1 - FUZZY) * longest + F.lit(1e-9))
+    return met.where(F.col("common") >= longest + 1 - 2 * edits).select("q", "low")
+
+
 def search(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query, node_id, node_type, name, tier, field, score, place): the best hits of each query.
 
     ``nodes`` are those of :func:`searchable`. Tiers: the name itself, its beginning,
     a word's beginning, a part of name, id, description, title, collection or tags
-    (the first of these is the field), a similar name. Queries are few and stated, so they go to every executor.
+    (the first of these is the field), a similar name. Queries meet only the nodes that
+    share their characters; a null or blank query has no hits.
     """
-    q = F.broadcast(queries.select("query", F.lower(F.trim("query")).alias("q")).where("q <> ''").distinct())
+    asked = settled(queries.select("query", F.lower(F.trim("query")).alias("q")).where("q <> ''").distinct())
     n = nodes.select("node_id", "node_type", "name", F.lower("name").alias("low"), F.lower(F.substring_index(F.substring_index("node_id", "::", -1), ".", -1)).alias("tail"), *(F.lower(c).alias(f"in_{c}") for c in TEXTS))
+    n = settled(n)
+    parts = ["low", "tail", *(f"in_{c}" for c in TEXTS)]
+    words = asked.select("q").distinct()
+    # No text holds the mark, so a query never runs over two of them.
+    holding = parts_holding(n.select("node_id", F.concat_ws("\x00", *parts).alias("whole")), words)
+    alike = names_like(n.select("low").where("low is not null").distinct(), words).join(n.select("low", "node_id"), "low").select("q", "node_id")
+    met = holding.union(alike).distinct()
     word = F.expr("low rlike concat('(?s)(^|[^\\\\p{L}\\\\p{N}])\\\\Q', q, '\\\\E')")
     has = lambda c: F.coalesce(F.col(c).contains(F.col("q")), F.lit(False))
-    parts = ["low", "tail", *(f"in_{c}" for c in TEXTS)]
-    ratio = fuzzy_score(F.col("q"), F.col("low"))
-    hits = n.join(q).withColumn("ratio", ratio)
-    tier = F.when(F.col("low") == F.col("q"), 5).when(F.col("low").startswith(F.col("q")), 4).when(word, 3).when(reduce(Column.__or__, map(has, parts)), 2).when(F.col("ratio") >= FUZZY, 1)
+    hits = met.join(n, "node_id").join(small(asked), "q")
+    tier = F.when(F.col("low") == F.col("q"), 5).when(F.col("low").startswith(F.col("q")), 4).when(word, 3).when(reduce(Column.__or__, map(has, parts)), 2)
+    hits = hits.withColumn("tier", tier)
+    # The distance is only taken where no other tier holds.
+    ratio = F.when(F.col("tier").isNull(), fuzzy_score(F.col("q"), F.col("low")))
+    hits = hits.withColumn("ratio", ratio).withColumn("tier", F.when(F.col("tier").isNull() & (F.col("ratio") >= FUZZY), 1).otherwise(F.col("tier")))
     field = F.when((F.col("tier") != 2) | has("low"), "name").when(has("tail"), "node_id")
     for c, label in TEXTS.items():
         field = field.when(has(f"in_{c}"), label)
     score = F.when(F.col("tier") > 1, F.col("tier").cast("double")).otherwise(F.round("ratio", 3))
-    rows = hits.withColumn("tier", tier).where("tier is not null").withColumns({"field": field, "score": score})
+    rows = hits.where("tier is not null").withColumns({"field": field, "score": score})
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("tier"), F.desc("score"), "low", "node_id"))
     return rows.withColumn("place", place).where(F.col("place") <= limit).select("query", "node_id", "node_type", "name", "tier", "field", "score", "place")
 
@@ -165,7 +223,7 @@ def propose_database_mapping(dbt_dbs: DataFrame, bi_dbs: DataFrame) -> DataFrame
     a, b = F.lower("dbt_db"), F.lower("name")
     flat = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
     score = F.when(F.lower("details_db") == a, 1.0).when(b == a, 0.95).when(flat(b) == flat(a), 0.92).otherwise(fuzzy_score(a, b) * 0.85) * F.when(F.col("is_sample"), 0.1).otherwise(1.0)
-    rows = dbt_dbs.join(F.broadcast(bi_dbs)).withColumn("score", F.round(score, 6))
+    rows = dbt_dbs.crossJoin(small(settled(bi_dbs))).withColumn("score", F.round(score, 6))
     w = Window.partitionBy("dbt_db").orderBy(F.desc("score"), "name")
     ranked = rows.withColumns({"k": F.row_number().over(w), "next": F.lead("score").over(w)}).where("k = 1")
     sure = (F.col("score") >= SURE) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= LEAD)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.functions.text import rank, word
+from loomtrace.functions.text import STEPS, rank, word
+from loomtrace.operators import packed
+from loomtrace.operators.condense import chains, longest_layers, reached_back
 from loomtrace.operators.graph import flow_edges
-from loomtrace.plans.closure import discard, joined_rounds, new_folder, settled, settled_rows, spread
+from loomtrace.plans.closure import settled
+from loomtrace.plans.placed import Hops, spread_in_buckets
 
 #: Hops of an impact walk, and of reach.
 MAX_DEPTH, REACH_DEPTH = 20, 30
@@ -33,15 +38,17 @@ def reported(walk: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def walked(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(start, node, depth, path) of the walk itself; a path lists target and edge type of each hop."""
-    hops = settled(flow_edges(edges).select("f", "t", "edge_type").distinct().repartition("f"))
+    hops = Hops(flow_edges(edges).select("f", "t", "edge_type").distinct())
     known = starts.select(F.col("node_id").alias("start")).distinct().join(nodes.select(F.col("node_id").alias("start")), "start", "left_semi")
     seed = known.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:
-        ahead = frontier.join(hops, F.col("node") == F.col("f")).select("start", F.col("t").alias("node"), F.concat("path", F.array("t", "edge_type")).alias("path"))
+        ahead = hops.follow(frontier, "node").select("start", F.col("t").alias("node"), F.concat("path", F.array("t", "edge_type")).alias("path"))
         return ahead.groupBy("start", "node").agg(F.lit(depth).alias("depth"), F.min("path").alias("path"))
 
-    return spread(seed, step, ["start", "node"], max_depth)
+    found = spread_in_buckets(seed, step, ["start", "node"], hops.buckets, max_depth)
+    hops.drop()
+    return found
 
 
 def truncated(walk: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
@@ -51,32 +58,59 @@ def truncated(walk: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     return walk.select("start").distinct().join(missed, "start", "left").select("start", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
+def truncated_starts(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """As :func:`truncated` for a walk from ``starts``, without a row for each start and node."""
+    known = starts.select("node_id").distinct().join(nodes.select("node_id"), "node_id", "left_semi")
+    numbers, seeds = _labelled(known)
+    hops = Hops(flow_edges(edges).select("f", "t").distinct())
+    _, cut = packed.walk(hops, seeds, ["w"], max_depth)
+    rows = known.select(F.col("node_id").alias("start"))
+    if cut is None:
+        return rows.withColumn("truncated", F.lit(False))
+    # What comes back to its own start was seen.
+    own = seeds.select(*packed.KEY, F.col("w").alias("own"))
+    cut = cut.join(own, packed.KEY, "left").select(*packed.KEY, packed.without("w", "own").alias("w"))
+    cut = cut.groupBy("kind", "block").agg(F.bit_or("w").alias("w")).withColumn("node", F.lit(""))
+    missed = packed.unpacked(cut, numbers, ["w"]).select(F.col("label").alias("start"), F.lit(True).alias("truncated"))
+    return rows.join(missed, "start", "left").select("start", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 def _turned(edges: DataFrame, direction: str) -> DataFrame:
     flow = flow_edges(edges)
     return flow if direction == "down" else flow.select(F.col("t").alias("f"), F.col("f").alias("t"), "edge_type", "confidence")
 
 
-def reach(edges: DataFrame, starts: DataFrame, direction: str = "down", edge_types: list[str] | None = None, max_depth: int = REACH_DEPTH) -> DataFrame:
+def _labelled(starts: DataFrame, words: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(numbers, seeds): each of ``starts(node_id)`` as a label at its own node."""
+    rows = starts.select(F.col("node_id").alias("node"), F.lit("").alias("kind"), F.col("node_id").alias("label")).distinct()
+    numbers = packed.numbered_labels(rows)
+    return numbers, settled(packed.seeded(rows, numbers, words or ["w"]))
+
+
+def reach(edges: DataFrame, starts: DataFrame, direction: str = "down", edge_types: list[str] | None = None, max_depth: int | None = REACH_DEPTH) -> DataFrame:
     """(start, node_id, depth, confidence): least hops, and the best over paths of the weakest hop.
 
-    A round extends only what was reached for the first time, or over a stronger
-    path than before, so all ranks are closed in one loop. A cycle back to the start reports the start.
+    Starts walk together as the bits of words, one word for each rank, so a round has a
+    row for a node and 64 starts. A cycle back to the start reports the start. Without
+    ``max_depth`` a walk ends where nothing is left.
     """
     turned = _turned(edges, direction)
     if edge_types is not None:
         turned = turned.where(F.col("edge_type").isin(edge_types))
-    hops = settled(turned.groupBy("f", "t").agg(F.max(rank(F.col("confidence"))).alias("hr")).repartition("f"))
-    first = starts.select(F.col("node_id").alias("start")).distinct()
-    frontier = settled(first.join(hops, F.col("start") == F.col("f")).select("start", F.col("t").alias("node"), F.lit(1).alias("depth"), F.col("hr").alias("r")))
-    out = frontier
-    for depth in range(2, max_depth + 1):
-        ahead = frontier.join(hops, F.col("node") == F.col("f")).groupBy("start", F.col("t").alias("node")).agg(F.lit(depth).alias("depth"), F.max(F.least("r", "hr")).alias("r"))
-        best = out.groupBy("start", "node").agg(F.max("r").alias("best"))
-        frontier, rows = settled_rows(ahead.join(best, ["start", "node"], "left").where("best is null or r > best").select("start", "node", "depth", "r"))
-        if not rows:
-            break
-        out = out.union(frontier)
-    return out.groupBy("start", F.col("node").alias("node_id")).agg(F.min("depth").alias("depth"), word(F.max("r")).alias("confidence"))
+    words = [f"w{r}" for r in STEPS]
+    numbers, seeds = _labelled(starts, words)
+    hops = Hops(turned.groupBy("f", "t").agg(F.max(rank(F.col("confidence"))).alias("rank")))
+    rounds, _ = packed.walk(hops, seeds, words, max_depth)
+    if not rounds:
+        return starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth"), F.lit("").alias("confidence")).limit(0)
+    met = reduce(DataFrame.union, (r.withColumn("depth", F.lit(k)) for k, r in enumerate(rounds, 1)))
+    # A bit of the first word shows in one round, which is its depth.
+    sums = met.groupBy(packed.KEY).agg(*(F.bit_or(w).alias(w) for w in words), F.collect_list(F.struct("depth", F.col("w1").alias("new"))).alias("when"))
+    lit = sums.withColumn("place", F.explode(F.filter(F.sequence(F.lit(0), F.lit(packed.BITS - 1)), lambda p: packed.has(F.col("w1"), p))))
+    depth = F.filter("when", lambda x: packed.has(x["new"], F.col("place")))[0]["depth"]
+    best = sum((packed.has(F.col(w), F.col("place")).cast("int") for w in words), F.lit(0))
+    rows = lit.select("kind", (F.col("block") * packed.BITS + F.col("place")).alias("number"), F.col("node").alias("node_id"), depth.alias("depth"), word(best).alias("confidence"))
+    return rows.join(numbers, ["kind", "number"]).select(F.col("label").alias("start"), "node_id", "depth", "confidence")
 
 
 def reached_of_type(found: DataFrame, nodes: DataFrame, node_type: str) -> DataFrame:
@@ -87,52 +121,54 @@ def reached_of_type(found: DataFrame, nodes: DataFrame, node_type: str) -> DataF
 
 def feeds_a_consumer(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids of all nodes with a flow path to a card or dashboard; an owner lives if one of its columns does, not the reverse."""
-    back = flow_edges(edges).select(F.col("t").alias("f"), F.col("f").alias("t"))
-    owners = nodes.where("owner_id is not null").select(F.col("node_id").alias("f"), F.col("owner_id").alias("t"))
-    hops = settled(back.union(owners).distinct().repartition("f"))
-    seed = nodes.where(F.col("node_type").isin("mb_card", "mb_dashboard")).select("node_id").distinct()
-    step = lambda frontier, _: frontier.join(hops, F.col("node_id") == F.col("f")).select(F.col("t").alias("node_id")).distinct()
-    return spread(seed, step, ["node_id"])
-
-
-def lineage_subgraph(edges: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(start, node_id) and (start, f, t, edge_type): all up or down of a node, and the flow among one side's nodes."""
-    sides = [reach(edges, node, d).select("start", "node_id").union(node.select(F.col("node_id").alias("start"), "node_id")).distinct() for d in ("up", "down")]
-    flow = flow_edges(edges).select("f", "t", "edge_type")
-    within = None
-    for side in sides:
-        part = flow.join(side.select("start", F.col("node_id").alias("f")), "f").join(side.select("start", F.col("node_id").alias("t")), ["start", "t"])
-        within = part if within is None else within.unionByName(part)
-    return sides[0].union(sides[1]).distinct(), within.select("start", "f", "t", "edge_type").distinct()
+    flow = flow_edges(edges).select("f", "t")
+    owned = nodes.where("owner_id is not null").select(F.col("owner_id").alias("f"), F.col("node_id").alias("t"))
+    hops = settled(flow.union(owned).where("f <> t").distinct())
+    seeds = nodes.where(F.col("node_type").isin("mb_card", "mb_dashboard")).select(F.col("node_id").alias("node")).distinct()
 
+    def closure(left: DataFrame, seeds: DataFrame) -> DataFrame:
+        back = Hops(left.select(F.col("t").alias("f"), F.col("f").alias("t")))
+        step = lambda frontier, _: back.follow(frontier, "node").select(F.col("t").alias("node")).distinct()
+        return spread_in_buckets(seeds, step, ["node"], back.buckets)
 
-def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, layer): the longest path from a node without inputs.
+    return reached_back(hops, seeds, closure).select(F.col("node").alias("node_id"))
+
+
+def lineage_subgraph(edges: DataFrame, node: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(start, node_id) and (start, f, t, edge_type): all up or down of a node, and the flow among one side's nodes.
 
-    Nodes are peeled: each round takes those all of whose inputs are gone, and ends
-    when there is none, so rounds are as many as layers. Nodes on a cycle, or behind
-    one, are never taken; they stand one layer behind the last input that was, or in 0.
+    Nodes and edges are found for 64 starts at once and told apart at the end. With a
+    ``max_depth`` the nodes have a column ``truncated``: whether that start's walk was cut off.
     """
-    spark = nodes.sparkSession
-    ids = nodes.select("node_id").distinct()
-    hops = edges.where("f <> t").select("f", "t").distinct()
-    hops = settled(hops.join(ids.toDF("f"), "f", "left_semi").join(ids.toDF("t"), "t", "left_semi").repartition("f"))
-    folder = new_folder(spark, "open")
-    inputs = hops.groupBy(F.col("t").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
-    state = settled(ids.join(inputs, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).alias("least")), folder=folder)
-    done, depth = [], 0
-    while True:
-        taken, rows = settled_rows(state.where("n = 0").select("node_id", F.lit(depth).alias("layer")))
-        if not rows:
-            break
-        done.append(taken)
-        depth += 1
-        less = taken.join(hops, F.col("node_id") == F.col("f")).groupBy("t").agg(F.count(F.lit(1)).alias("m")).select(F.col("t").alias("node_id"), "m")
-        held, folder = folder, new_folder(spark, "open")
-        left = state.where("n > 0").join(less, "node_id", "left")
-        state = settled(left.select("node_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.when(F.col("m") > 0, F.lit(depth)).otherwise(F.col("least")).alias("least")), folder=folder)
-        discard(spark, held)
-    return joined_rounds([*done, state.select("node_id", F.col("least").alias("layer"))])
+    numbers, seeds = _labelled(node)
+    flow = flow_edges(edges).select("f", "t", "edge_type").distinct()
+    sides, cuts = [], []
+    for direction in ("up", "down"):
+        hops = Hops(_turned(edges, direction).select("f", "t").distinct())
+        rounds, cut = packed.walk(hops, seeds, ["w"], max_depth)
+        sides.append(settled(reduce(DataFrame.union, [seeds, *rounds]).groupBy(packed.KEY).agg(F.bit_or("w").alias("w"))))
+        cuts += [cut] if cut is not None else []
+    within = []
+    for side in sides:
+        at = lambda x: side.select(F.col("node").alias(x), "kind", "block", F.col("w").alias(f"w{x}"))  # noqa: E731, B023
+        both = flow.join(at("f"), "f").join(at("t"), ["t", "kind", "block"])
+        within.append(both.select("f", "t", "edge_type", "kind", "block", F.col("wf").bitwiseAND(F.col("wt")).alias("w")).where("w <> 0"))
+    lines = within[0].union(within[1]).groupBy("f", "t", "edge_type", "kind", "block").agg(F.bit_or("w").alias("w")).withColumn("node", F.lit(""))
+    lines = packed.unpacked(lines, numbers, ["w"], "f", "t", "edge_type").select(F.col("label").alias("start"), "f", "t", "edge_type")
+    found = sides[0].union(sides[1]).groupBy(packed.KEY).agg(F.bit_or("w").alias("w"))
+    found = packed.unpacked(found, numbers, ["w"]).select(F.col("label").alias("start"), F.col("node").alias("node_id"))
+    if max_depth is not None:
+        missed = node.select(F.col("node_id").alias("start")).limit(0).withColumn("truncated", F.lit(True))
+        for cut in cuts:
+            row = cut.groupBy("kind", "block").agg(F.bit_or("w").alias("w")).withColumn("node", F.lit(""))
+            missed = missed.union(packed.unpacked(row, numbers, ["w"]).select("label", F.lit(True)))
+        found = found.join(missed.distinct(), "start", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    return found, lines
+
+
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, layer): the longest path from a node without inputs; nodes that reach each other stand in one layer, and it rises over every other edge."""
+    return longest_layers(nodes, edges)
 
 
 def _entity(nodes: DataFrame) -> DataFrame:
@@ -166,34 +202,55 @@ def entity_members(nodes: DataFrame) -> DataFrame:
     return nodes.where("node_type = 'column'").groupBy(F.col("owner_id").alias("entity")).agg(F.count(F.lit(1)).alias("members"))
 
 
-def consumers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, consumer, kind): each card and dashboard strictly below each node.
+def consumer_words(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, numbers): the cards and dashboards strictly below each node as bits, (node, kind, block, w), and their numbers.
 
-    The flow among all nodes is closed first; then a model also answers for its own
-    columns, which its upstream models do not inherit.
+    Runs of nodes with one input and one output are contracted first; all of a run have
+    what its tail has, and the tail itself.
     """
-    kinds = nodes.where(F.col("node_type").isin("mb_card", "mb_dashboard")).select(F.col("node_id").alias("consumer"), F.col("node_type").alias("kind"))
-    back = settled(flow_edges(edges).select(F.col("t").alias("at"), F.col("f").alias("node")).distinct().repartition("at"))
-    seed = kinds.join(back, F.col("consumer") == F.col("at")).select("node", "consumer").distinct()
-    step = lambda frontier, _: frontier.withColumnRenamed("node", "at").join(back, "at").select("node", "consumer").distinct()
-    below = spread(seed, step, ["node", "consumer"])
-    columns = nodes.where("node_type = 'column'").select(F.col("node_id").alias("node"), "owner_id")
-    lifted = below.join(columns, "node").select(F.col("owner_id").alias("node"), "consumer")
-    return below.union(lifted).where("node <> consumer").distinct().join(kinds, "consumer").select(F.col("node").alias("node_id"), "consumer", "kind")
+    seeds = nodes.where(F.col("node_type").isin("mb_card", "mb_dashboard")).select(F.col("node_id").alias("node"), F.col("node_type").alias("kind"), F.col("node_id").alias("label")).distinct()
+    numbers = packed.numbered_labels(seeds)
+    own = settled(packed.seeded(seeds, numbers, ["w"]))
+    loops = flow_edges(edges).select("f", "t").distinct()
+    cut = chains(settled(loops.where("f <> t")), kept=seeds.select("node").union(loops.where("f = t").select("f")).distinct())
+    back = cut.edges.select("f", "t").union(loops.where("f = t")).select(F.col("t").alias("f"), F.col("f").alias("t"))
+    rounds, _ = packed.walk(Hops(back), own, ["w"])
+    met = reduce(DataFrame.union, [r.select(*packed.KEY, "w") for r in rounds]) if rounds else own.limit(0)
+    met = settled(met.groupBy(packed.KEY).agg(F.bit_or("w").alias("w")))
+    behind = met.union(own.select(*packed.KEY, "w")).withColumnRenamed("node", "tail")
+    inner = cut.inner.select("node", "tail").join(behind, "tail").groupBy(packed.KEY).agg(F.bit_or("w").alias("w"))
+    return met.union(inner.select(met.columns)), numbers
 
 
 def consequence_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, cards, dashboards) for every node, zeros included."""
-    held = consumers(nodes, edges).groupBy("node_id").agg(F.count_if(F.col("kind") == "mb_card").alias("cards"), F.count_if(F.col("kind") == "mb_dashboard").alias("dashboards"))
-    return nodes.select("node_id").distinct().join(held, "node_id", "left").select("node_id", F.coalesce("cards", F.lit(0)).alias("cards"), F.coalesce("dashboards", F.lit(0)).alias("dashboards"))
+    """(node_id, cards, dashboards) for every node, zeros included: cards and dashboards strictly below it.
+
+    A model also answers for its own columns, which its upstream models do not inherit.
+    Consumers are bits of words, so there is never a row for a node and a consumer.
+    """
+    words, numbers = consumer_words(nodes, edges)
+    columns = nodes.where("node_type = 'column'").select("node_id", "owner_id")
+    lifted = words.join(columns.withColumnRenamed("node_id", "node"), "node").select(F.col("owner_id").alias("node"), "kind", "block", "w")
+    held = words.union(lifted).where("node is not null").groupBy(packed.KEY).agg(F.bit_or("w").alias("w"))
+    # On a cycle a consumer is below itself, which does not count.
+    itself = numbers.select(F.col("label").alias("node"), "kind", F.floor(F.col("number") / packed.BITS).alias("block"), packed.bits_of(F.col("number")).alias("own"))
+    n = F.bit_count(packed.without("w", "own"))
+    return _by_kind(nodes, held.join(itself, packed.KEY, "left").select("node", "kind", n.cast("long").alias("n")))
+
+
+def _by_kind(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    of = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(name)
+    held = counts.groupBy(F.col("node").alias("node_id")).agg(of("mb_card", "cards"), of("mb_dashboard", "dashboards"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return nodes.select("node_id").distinct().join(held, "node_id", "left").select("node_id", zero("cards"), zero("dashboards"))
 
 
-def card_dependencies(cards: DataFrame) -> DataFrame:
-    """(card_id, upstream): the cards that a card reads."""
-    return cards.where("source_card_id is not null").select("card_id", F.col("source_card_id").alias("upstream")).distinct()
+def card_dependencies(uses: DataFrame) -> DataFrame:
+    """(card_id, upstream): the cards that a card reads, by the ``via`` of what it inherits; sources, joins and metrics alike."""
+    return uses.where("via is not null and via <> card_id").select("card_id", F.col("via").alias("upstream")).distinct()
 
 
 def card_depth(cards: DataFrame, deps: DataFrame) -> DataFrame:
-    """(card_id, depth): the longest chain of upstream cards; see :func:`layers` for cycles."""
+    """(card_id, depth): the longest chain of upstream cards; cards that read each other share a depth, and what reads them lies behind."""
     found = layers(cards.select(F.col("card_id").alias("node_id")), deps.select(F.col("upstream").alias("f"), F.col("card_id").alias("t")))
     return found.select(F.col("node_id").alias("card_id"), F.col("layer").alias("depth"))

@@ -50,8 +50,8 @@ def _(e: Estate) -> DataFrame:
 
 
 _REFS = """t as (select q.card_id, j.fullkey, j.value as v from e_cardq q, json_tree(q.dataset_query::json) j where j.type = 'ARRAY' and j.value->>0 in ('field', 'metric')),
-    refs as (select card_id, v->>0 as kind, json_type(v->1) = 'OBJECT' as late, v, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(fullkey, '"', ''), '^\\$\\.stages\\[(\\d+)\\]\\.', '$.stage\\1.'), '\\[\\d+\\]', '', 'g'), '^\\$\\.query\\.', ''), '^\\$\\.', ''), 'filters', 'filter'), 'conditions', 'condition') as label from t),
-    rf as (select card_id, label, kind, case when late then v->>2 else v->>1 end as target, case when late then v->1->>'source-field' else v->2->>'source-field' end as source_field, case when late then v->1->>'join-alias' else v->2->>'join-alias' end as join_alias from refs)"""
+    refs as (select card_id, replace(regexp_replace(regexp_replace(regexp_extract(replace(fullkey, '"', ''), '^\\$((\\.query|\\.stages\\[\\d+\\])((\\.joins\\[\\d+\\])?\\.source-query|\\.joins\\[\\d+\\]\\.stages\\[\\d+\\])*)', 1), '\\[(\\d+)\\]', '#\\1', 'g'), '^$', ''), '$', '') as lv, v->>0 as kind, json_type(v->1) = 'OBJECT' as late, v, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(fullkey, '"', ''), '^\\$\\.stages\\[0\\]\\.', '$.'), '^\\$\\.stages\\[(\\d+)\\]\\.', '$.stage\\1.'), '\\[\\d+\\]', '', 'g'), '^\\$\\.query\\.', ''), '^\\$\\.', ''), 'filters', 'filter'), 'conditions', 'condition') as label from t),
+    rf as (select card_id, label, kind, case when late then v->>2 else v->>1 end as target, case when late then v->1->>'source-field' else v->2->>'source-field' end as source_field, case when late then v->1->>'join-alias' else v->2->>'join-alias' end as join_alias, lv as level from refs)"""
 
 
 def _refs(e: Estate) -> DataFrame:
@@ -65,7 +65,7 @@ def _(e: Estate) -> DataFrame:
 
 @suite("c7_normalise_ref", f"with {_REFS} select * from rf")
 def _(e: Estate) -> DataFrame:
-    return _refs(e)
+    return _refs(e).drop("ord")
 
 
 @suite("c8_implicit_join_refs", f"with {_REFS} select card_id, label, target, false as implicit_join from rf union all select card_id, label, source_field, true from rf where source_field is not null")
@@ -75,11 +75,11 @@ def _(e: Estate) -> DataFrame:
 
 @suite(
     "c9_upstream_cards",
-    f"""with {_REFS} select distinct card_id, u::bigint as upstream from (select card_id, regexp_extract(dataset_query->'query'->>'source-table', '^card__(\\d+)$', 1) as u from e_cardq union all select card_id, dataset_query->'stages'->0->>'source-card' from e_cardq
-    union all select card_id, target from rf where kind = 'metric') where u <> ''""",
+    f"""with {_REFS} select distinct card_id, u::bigint as upstream from (select q.card_id, regexp_extract(j.value->>'source-table', '^card__(\\d+)$', 1) as u from e_cardq q, json_tree(q.dataset_query::json) j where j.type = 'OBJECT' and json_type(j.value->'source-table') = 'VARCHAR'
+    union all select card_id, dataset_query->'stages'->0->>'source-card' from e_cardq union all select card_id, target from rf where kind = 'metric') where u <> ''""",
 )
 def _(e: Estate) -> DataFrame:
-    return bi.upstream_cards(e.cardq, _refs(e))
+    return bi.upstream_cards(e.cardq, _refs(e)).drop("ord")
 
 
 @suite(
@@ -99,24 +99,34 @@ def _(e: Estate) -> DataFrame:
     return bi.resolve_refs_by_id(_refs(e), e.fields)
 
 
-_NAMED = "select card_id, 'filter' as label, 'c_' || (card_id % 90) as target, case when card_id % 6 = 0 then 'J' || (card_id % 4) end as join_alias from e_cards where card_id % 2 = 0"
 _CTX = "select card_id, case when card_id % 3 <> 1 then card_id % 25 end as table_id, source_card_id as source_card from e_cards"
-_JOINS = "select card_id, 'J' || (card_id % 4) as alias, case when card_id % 4 = 2 then null else (card_id + 7) % 25 end as table_id from e_cards where card_id % 12 <> 0"
 _FT = "select f.field_id, f.column_name, t.table_id from e_fields f join e_tables t on t.table_name = f.table_name and t.schema_name = f.schema_name"
+#: Join aliases by query level; of an alias that two joins of one level bear the first counts.
+_SCOPES = """jn as (select q.card_id, replace(regexp_replace(regexp_extract(replace(j.fullkey, '"', ''), '^\\$((\\.query|\\.stages\\[\\d+\\])((\\.joins\\[\\d+\\])?\\.source-query|\\.joins\\[\\d+\\]\\.stages\\[\\d+\\])*)', 1), '\\[(\\d+)\\]', '#\\1', 'g'), '$', '') as level,
+      j.value->>'alias' as alias, case when j.fullkey like '$.stages%' then j.value->'stages'->0->>'source-table' else j.value->>'source-table' end as source, j.fullkey as place
+      from e_cardq q, json_tree(q.dataset_query::json) j where j.type = 'OBJECT' and regexp_matches(replace(j.fullkey, '"', ''), '\\.joins\\[\\d+\\]$') and j.value->>'alias' is not null),
+    js as (select card_id, level, alias, try_cast(arg_min(coalesce(source, 'none'), place) as bigint) as table_id from jn group by card_id, level, alias)"""
+
+
+@suite("c12_join_scopes", f"with {_SCOPES} select * from js")
+def _(e: Estate) -> DataFrame:
+    return bi.join_scopes(e.cardq)
 
 
 @suite(
     "c12_resolve_refs_by_name",
-    f"""with ft as ({_FT}), one as (select table_id, lower(column_name) as low, min(field_id) as f from ft group by 1, 2 having count(*) = 1),
+    f"""with {_REFS}, {_SCOPES}, ft as ({_FT}), one as (select table_id, lower(column_name) as low, min(field_id) as f from ft group by 1, 2 having count(*) = 1),
     up as (select u.card_id, lower(column_name) as low, min(u.field_id) as f from e_consumed u join e_fields f on f.field_id = u.field_id group by 1, 2 having count(distinct u.field_id) = 1),
-    x as (select n.*, j.table_id as jt, j.card_id is not null and j.table_id is not null as fin, a.f as fa, b.f as fb, c.f as fc from ({_NAMED}) n left join ({_JOINS}) j on j.card_id = n.card_id and j.alias = n.join_alias left join ({_CTX}) k on k.card_id = n.card_id
-      left join one a on a.table_id = j.table_id and a.low = lower(target) left join one b on b.table_id = k.table_id and b.low = lower(target) left join up c on c.card_id = k.source_card and c.low = lower(target)),
+    x as (select n.card_id, n.label, n.target, n.join_alias, j.card_id is not null and j.table_id is not null as fin, a.f as fa, b.f as fb, c.f as fc from rf n left join js j on j.card_id = n.card_id and j.level = n.level and j.alias = n.join_alias left join ({_CTX}) k on k.card_id = n.card_id
+      left join one a on a.table_id = j.table_id and a.low = lower(target) left join one b on b.table_id = k.table_id and b.low = lower(target) left join up c on c.card_id = k.source_card and c.low = lower(target)
+      where n.kind = 'field' and try_cast(n.target as bigint) is null),
     y as (select *, case when fin then fa else coalesce(fb, fc) end as field_id from x)
     select card_id, label, target, field_id, case when field_id is not null then case when fin or (fb is not null and join_alias is null) then 'exact' else 'parsed' end end as confidence from y""",
 )
 def _(e: Estate) -> DataFrame:
     results = bi.result_fields(e.cardq.select("card_id", F.lit(None).cast("string").alias("result_metadata")))  # the tables hold none
-    return bi.resolve_refs_by_name(e.sql(_NAMED), e.sql(_CTX), e.sql(_FT), e.sql(_JOINS), e.consumed.select("card_id", "field_id").distinct(), results)
+    named = _refs(e).where(F.col("kind") == "field").where(F.col("target").try_cast("bigint").isNull())
+    return bi.resolve_refs_by_name(named, e.sql(_CTX), e.sql(_FT), bi.join_scopes(e.cardq), e.consumed.select("card_id", "field_id").distinct(), results)
 
 
 @suite("c13_consumption", "select card_id, field_id, string_agg(distinct clause, ', ' order by clause) as clauses, bool_or(implicit_join) as implicit_join from e_consumed group by card_id, field_id")
@@ -182,9 +192,9 @@ def _(e: Estate) -> DataFrame:
     return bi.native_column_refs(e.sql(_PARSED), e.fields)
 
 
-_DEPS = "select card_id, source_card_id as upstream from e_cards where source_card_id is not null"
+_DEPS = "select card_id, upstream, ord from e_deps"
 _NATIVE = "select card_id from e_cards where query_type = 'native'"
-_CLOSED = f"deps as ({_DEPS}), ps as (select card_id from ({_NATIVE}) union select d.card_id from ps join deps d on d.upstream = ps.card_id), an as (select card_id, upstream as a from deps union select an.card_id, d.upstream from an join deps d on d.card_id = an.a), inh as (select distinct an.card_id, u.field_id from an join e_consumed u on u.card_id = an.a)"
+_CLOSED = f"deps as ({_DEPS}), ps as (select card_id from ({_NATIVE}) union select d.card_id from ps join deps d on d.upstream = ps.card_id), inh as (select d.card_id, u.field_id from deps d join e_consumed u on u.card_id = d.upstream union select d.card_id, i.field_id from inh i join deps d on d.upstream = i.card_id)"
 
 
 @suite("c21_parsed_sources", f"with recursive {_CLOSED} select card_id from ps")
@@ -202,14 +212,28 @@ _DIRECT = "select distinct u.card_id, u.field_id, case when k.query_type = 'nati
 
 @suite(
     "c23_consumed_by_edges",
-    f"""with recursive {_CLOSED}, dr as ({_DIRECT}), rc as (select card_id, field_id from inh union select card_id, field_id from dr)
+    f"""with recursive {_CLOSED}, dr as ({_DIRECT}), rc as (select card_id, field_id from inh union select card_id, field_id from dr),
+    th as (select d.card_id, r.field_id, arg_min(d.upstream, (d.ord, d.upstream)) as via from deps d join rc r on r.card_id = d.upstream where d.card_id <> d.upstream and not exists (select 1 from dr where dr.card_id = d.card_id and dr.field_id = r.field_id) group by d.card_id, r.field_id)
     select 'mb_field::' || field_id as f, 'mb_card::' || card_id as t, confidence, null::bigint as via from dr union all
-    select 'mb_field::' || r.field_id, 'mb_card::' || d.card_id, case when d.upstream in (select card_id from ps) then 'parsed' else 'exact' end, d.upstream from deps d join rc r on r.card_id = d.upstream where d.card_id <> d.upstream and not exists (select 1 from dr where dr.card_id = d.card_id and dr.field_id = r.field_id)""",
+    select 'mb_field::' || field_id, 'mb_card::' || card_id, case when via in (select card_id from ps) then 'parsed' else 'exact' end, via from th""",
 )
 def _(e: Estate) -> DataFrame:
     return bi.consumed_by_edges(e.sql(_DIRECT), e.sql(_DEPS), bi.parsed_sources(e.sql(_DEPS), e.sql(_NATIVE)))
 
 
+_KNOWN = "select card_id from e_cards where not archived"
+_WALKED = "select card_id from e_cardq where not (dataset_query = '{}')"
+
+
+@suite(
+    "c25_upstream_problems",
+    f"""select distinct card_id, 'card__' || upstream as ref, case when upstream in ({_KNOWN}) then 'card without a query to walk' else 'card missing or out of scope' end as reason
+    from e_deps where upstream not in ({_WALKED})""",
+)
+def _(e: Estate) -> DataFrame:
+    return bi.upstream_problems(e.sql(_DEPS), e.sql(_KNOWN), e.sql(_WALKED))
+
+
 _USERS = "select 'user' || n_nationkey as creator, case when n_nationkey % 3 = 0 then n_name end as common_name, case when n_nationkey % 2 = 0 then 'u' || n_nationkey || '@x.org' end as email from nation"
 
 

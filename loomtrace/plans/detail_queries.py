@@ -20,7 +20,7 @@ _UP = _reach_sql(_EVERY, "t", "f").replace("ed as", "ed2 as").replace("join ed "
     f"""with recursive {_reach_sql(_EVERY)}, {_UP},
     u as (select start, count(*) filter (n.node_type = 'column') as uc, count(*) filter (n.node_type = 'source') as us from above a join e_nodes n on n.node_id = a.node_id group by start),
     d as (select start, count(*) filter (n.node_type = 'column') as dc, count(distinct n.owner_id) filter (n.node_type = 'column') as dm, count(*) filter (n.node_type = 'mb_field') as fi, count(*) filter (n.node_type = 'mb_card') as ca, count(*) filter (n.node_type = 'mb_dashboard') as da from reached a join e_nodes n on n.node_id = a.node_id group by start)
-    select s.node_id as start, coalesce(uc, 0) as up_columns, coalesce(us, 0) as up_sources, coalesce(dc, 0) as down_columns, coalesce(dm, 0) as down_models, coalesce(fi, 0) as fields, coalesce(ca, 0) as cards, coalesce(da, 0) as dashboards from ({_EVERY}) s left join u on u.start = s.node_id left join d on d.start = s.node_id""",
+    select s.node_id as start, coalesce(uc, 0) as up_columns, coalesce(us, 0) as up_sources, coalesce(dc, 0) as down_columns, coalesce(dm, 0) as down_models, coalesce(fi, 0) as fields, coalesce(ca, 0) as cards, coalesce(da, 0) as dashboards, (select count(*) from e_relates r where r.f = s.node_id or r.t = s.node_id) as relationships from ({_EVERY}) s left join u on u.start = s.node_id left join d on d.start = s.node_id""",
 )
 def _(e: Estate) -> DataFrame:
     return detail.column_detail(e.nodes, e.edges, e.sql(_EVERY))
@@ -81,7 +81,7 @@ def _(e: Estate) -> DataFrame:
     return detail.layer_groups(walk.reach(e.edges, e.sql(_ROOTS)), e.nodes)
 
 
-@suite("l7_dashboard_groups", "with g as (select dash_id, count(*) as n from e_cards k left join (select distinct card_id, dash_id from e_dashcards) d on d.card_id = k.card_id group by dash_id) select *, cast(row_number() over (order by dash_id is null, n desc, dash_id) as int) as place from g")
+@suite("l7_dashboard_groups", "with g as (select dash_id, count(*) as n from e_cards k left join (select distinct card_id, dash_id from e_dashcards) d on d.card_id = k.card_id group by dash_id) select *, row_number() over (order by dash_id is null, n desc, dash_id) as place from g")
 def _(e: Estate) -> DataFrame:
     return detail.dashboard_groups(e.cards, e.dashcards)
 
@@ -199,12 +199,12 @@ def _(e: Estate) -> DataFrame:
     return detail.coverage_list(e.sql(_LEFT), e.nodes)
 
 
-@suite("l19_untraced_groups_by_reason", f"with {_REASONS}, g as (select coalesce(reason, 'unknown') as reason, count(*) as n, string_agg(distinct output, ', ' order by output) as columns from rs group by 1) select *, cast(row_number() over (order by n desc, reason) as int) as place from g")
+@suite("l19_untraced_groups_by_reason", f"with {_REASONS}, g as (select coalesce(reason, 'unknown') as reason, count(*) as n, string_agg(distinct output, ', ' order by output) as columns from rs group by 1) select *, row_number() over (order by n desc, reason) as place from g")
 def _(e: Estate) -> DataFrame:
     return detail.untraced_groups(_traces(e), "reason")
 
 
-@suite("l19_untraced_groups_by_model", f"with {_REASONS}, g as (select model, count(*) as n, string_agg(distinct output, ', ' order by output) as columns from rs where reason is not null group by 1) select *, cast(row_number() over (order by n desc, model) as int) as place from g")
+@suite("l19_untraced_groups_by_model", f"with {_REASONS}, g as (select model, count(*) as n, string_agg(distinct output, ', ' order by output) as columns from rs where reason is not null group by 1) select *, row_number() over (order by n desc, model) as place from g")
 def _(e: Estate) -> DataFrame:
     return detail.untraced_groups(_traces(e).where("reason is not null"), "model")
 

@@ -132,9 +132,14 @@ select card_id, query_type, case
   when query_type = 'native' then '{"type":"native","native":{"query":"select 1"}}'
   when card_id % 11 = 0 then '{}'
   when card_id % 5 = 0 then '{"lib/type":"mbql/query","stages":[{' || coalesce('"source-card":' || source_card_id, '"source-table":' || (card_id % 30)) || ',"fields":[["field",{"lib/uuid":"u"},' || coalesce(a, 1) || ']],"filters":[["=",{},["field",{"source-field":' || (card_id % 50) || '},' || coalesce(w, 2) || '],1]]},{"breakout":[["field",{"base-type":"type/Text"},"c_' || (card_id % 90) || '"]],"joins":[{"alias":"J","conditions":[["=",{},["field",{},' || coalesce(b, 3) || '],["field",{"join-alias":"J"},' || coalesce(o, 4) || ']]]}]}]}'
-  else '{"type":"query","query":{"source-table":' || coalesce('"card__' || source_card_id || '"', cast(card_id % 30 as string)) || ',"fields":[["field",' || coalesce(a, 1) || ',null]],"filter":["and",["=",["field",' || coalesce(w, 2) || ',{"source-field":' || (card_id % 50) || '}],1],[">",["field","c_' || (card_id % 90) || '",{"base-type":"type/Integer"}],2]],"aggregation":[["count"],["sum",["field",' || coalesce(g, 5) || ',null]],["metric",' || (card_id % 40) || ']],"order-by":[["asc",["field",' || coalesce(o, 99999) || ',null]]],"joins":[{"alias":"J1","source-table":3,"condition":["=",["field",' || coalesce(b, 3) || ',null],["field",7,{"join-alias":"J1"}]]}]'
-    || case when card_id % 4 = 0 then ',"source-query":{"source-table":' || (card_id % 25) || ',"filter":["=",["field",' || coalesce(a, 1) || ',null],3]}' else '' end || '}}' end as dataset_query
+  else '{"type":"query","query":{"source-table":' || coalesce('"card__' || source_card_id || '"', cast(card_id % 30 as string)) || ',"fields":[["field",' || coalesce(a, 1) || ',null]],"filter":["and",["=",["field",' || coalesce(w, 2) || ',{"source-field":' || (card_id % 50) || '}],1],[">",["field","c_' || (card_id % 90) || '",{"base-type":"type/Integer"}],2]],"aggregation":[["count"],["sum",["field",' || coalesce(g, 5) || ',null]],["metric",' || (card_id % 40) || ']],"order-by":[["asc",["field",' || coalesce(o, 99999) || ',null]]],"joins":[{"alias":"J1","source-table":3,"condition":["=",["field",' || coalesce(b, 3) || ',null],["field","c_' || (card_id % 70) || '",{"join-alias":"J1"}]]},{"alias":"J2","source-table":"card__' || (card_id % 60) || '","condition":["=",["field","c_2",{"join-alias":"J2"}],["field",7,{"join-alias":"J1"}]]}]'
+    || case when card_id % 4 = 0 then ',"source-query":{"source-table":' || (card_id % 25) || ',"joins":[{"alias":"J1","source-table":' || (card_id % 11) || ',"condition":["=",["field","c_' || (card_id % 70) || '",{"join-alias":"J1"}],3]}],"filter":["=",["field",' || coalesce(a, 1) || ',null],3]}' else '' end || '}}' end as dataset_query
 from e_slots""",
+    "e_deps": """
+select card_id, source_card_id as upstream, '1' as ord from e_cards where source_card_id is not null
+union all select card_id, card_id % 40, '2' from e_cards where card_id % 5 = 0
+union all select card_id, card_id + 1, '0' from e_cards where card_id % 64 = 1
+union all select card_id, card_id - 1, '3' from e_cards where card_id % 64 = 2""",
     "e_tables": "select distinct k as table_id, name as table_name, schema_name, 1 as db_id from e_models union all select 100 + k, name, 'OTHER', 1 from e_models where k % 6 = 0",
     "e_collections": """
 select c as collection_id, case when c % 7 = 6 then 'Home ' || c else 'Team ' || c end as name, case when c < 5 then '/' when c < 12 then '/' || (c % 5) || '/' else '/' || (c % 5) || '/' || (5 + c % 7) || '/' || case when c = 19 then '999/' else '' end end as location, c % 7 = 6 as personal

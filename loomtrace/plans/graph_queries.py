@@ -23,7 +23,7 @@ def _(e: Estate) -> DataFrame:
     return parts.groupBy("edge_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NEW = "select f, t, edge_type, 'declared' as confidence, row_number() over (order by f, t, confidence) as o from (select * from e_feeds union all select t, f, edge_type, confidence from e_feeds union all select t, f, edge_type, 'parsed' from e_feeds where confidence = 'exact')"
+_NEW = "select f, t, edge_type, 'declared' as confidence, t || '/' || f || '/' || confidence as o from (select * from e_feeds union all select t, f, edge_type, confidence from e_feeds union all select t, f, edge_type, 'parsed' from e_feeds where confidence = 'exact')"
 
 
 @suite(
@@ -148,7 +148,7 @@ def _(e: Estate) -> DataFrame:
     f"with recursive {_walk_sql(_EVERY)} select start, coalesce(bool_or(depth = 20 and exists (select 1 from e_flow e where e.f = hit.node and not exists (select 1 from hit x where x.start = hit.start and x.node = e.t))), false) as truncated from hit group by start",
 )
 def _(e: Estate) -> DataFrame:
-    return walk.truncated(walk.walked(e.nodes, e.edges, e.sql(_EVERY)), e.edges, walk.MAX_DEPTH)
+    return walk.truncated_starts(e.nodes, e.edges, e.sql(_EVERY))
 
 
 _RANK = "case confidence when 'exact' then 5 when 'validated' then 4 when 'parsed' then 3 when 'declared' then 3 when 'inferred' then 2 else 1 end"
@@ -190,12 +190,23 @@ def _(e: Estate) -> DataFrame:
     return walk.lineage_subgraph(e.edges, e.sql(_EVERY))[1]
 
 
-@suite(
-    "g7_layers",
-    "with recursive l as (select node_id, 0 as layer from e_columns union select e.t, l.layer + 1 from l join e_feeds e on e.f = l.node_id) select node_id, max(layer) as layer from l group by node_id",
-)
+def layers_sql(nodes: str, edges: str) -> str:
+    """CTEs that end in ``layered(node_id, layer)``: pairs that reach each other, their groups, and the longest way over these."""
+    return f"""nd as (select distinct node_id from ({nodes})), ed as (select distinct f, t from ({edges}) where f <> t and f in (select node_id from nd) and t in (select node_id from nd)),
+    cl as (select f as a, t as b from ed union select cl.a, ed.t from cl join ed on ed.f = cl.b),
+    rt as (select n.node_id, least(n.node_id, coalesce(min(x.b), n.node_id)) as root from nd n left join (select c.a, c.b from cl c join cl d on d.a = c.b and d.b = c.a) x on x.a = n.node_id group by n.node_id),
+    ce as (select distinct p.root as f, q.root as t from ed join rt p on p.node_id = ed.f join rt q on q.node_id = ed.t where p.root <> q.root),
+    ly as (select distinct root as node, 0 as layer from rt union select ce.t, ly.layer + 1 from ly join ce on ce.f = ly.node),
+    layered as (select rt.node_id, max(layer) as layer from rt join ly on ly.node = rt.root group by rt.node_id)"""
+
+
+#: Feeds with some turned round as well, so that there are cycles, and columns behind them.
+_CYCLIC = "select f, t from e_feeds union all select e.t, e.f from e_feeds e join e_columns c on c.node_id = e.t where c.k % 97 = 5"
+
+
+@suite("g7_layers", f"with recursive {layers_sql('select node_id from e_columns', _CYCLIC)} select * from layered")
 def _(e: Estate) -> DataFrame:
-    return walk.layers(e.columns, e.feeds)
+    return walk.layers(e.columns, e.sql(_CYCLIC))
 
 
 _ROLL = f"""with en as (select node_id, coalesce(owner_id, node_id) as entity, node_type = 'column' as is_column from e_nodes where node_type <> 'mb_field'),
@@ -226,14 +237,19 @@ def _(e: Estate) -> DataFrame:
     return walk.consequence_counts(e.nodes, e.edges)
 
 
-@suite("g11_card_depth", "with recursive d as (select card_id, 0 as depth from e_cards union select c.card_id, d.depth + 1 from d join e_cards c on c.source_card_id = d.card_id) select card_id, max(depth) as depth from d group by card_id")
+#: What cards inherit, as (card_id, via): sources, joins and metrics, some in circles.
+VIA = "select card_id, upstream as via from e_deps union all select card_id, null from e_cards"
+READS = "select upstream as f, card_id as t from e_deps"
+
+
+@suite("g11_card_depth", f"with recursive {layers_sql('select card_id as node_id from e_cards', READS)} select node_id as card_id, layer as depth from layered")
 def _(e: Estate) -> DataFrame:
-    return walk.card_depth(e.cards, walk.card_dependencies(e.cards))
+    return walk.card_depth(e.cards, walk.card_dependencies(e.sql(VIA)))
 
 
-@suite("g11_card_dependencies", "select distinct card_id, source_card_id as upstream from e_cards where source_card_id is not null")
+@suite("g11_card_dependencies", "select distinct card_id, upstream from e_deps where card_id <> upstream")
 def _(e: Estate) -> DataFrame:
-    return walk.card_dependencies(e.cards)
+    return walk.card_dependencies(e.sql(VIA))
 
 
 def _impacted(e: Estate) -> tuple[DataFrame, DataFrame]:
@@ -263,7 +279,10 @@ def _(e: Estate) -> DataFrame:
     return impact.impact_cards(_impacted(e)[1], e.nodes, e.edges)
 
 
-_LOOSE = "select f, t, edge_type, confidence from e_edges union all select 'mb_field::' || (dash_id_n % 40), dash_id, 'consumed_by', 'exact' from (select distinct dash_id, cast(substr(dash_id, 10) as bigint) as dash_id_n from e_dashcards)"
+#: Boards that show a field and no card.
+_ALONE = "select 'mb_dash::x' || (k % 40) as dash_id, 'mb_field::' || k as field from e_columns where k % 13 = 0"
+_LOOSE = f"select f, t, edge_type, confidence from e_edges union all select field, dash_id, 'consumed_by', 'exact' from ({_ALONE})"
+_BOARD_NODES = f"select node_id, node_type, name, owner_id from e_nodes union all select distinct dash_id, 'mb_dashboard', 'Alone ' || dash_id, cast(null as varchar(200)) from ({_ALONE})"
 
 
 @suite(
@@ -271,13 +290,13 @@ _LOOSE = "select f, t, edge_type, confidence from e_edges union all select 'mb_f
     f"""with recursive fl as (select f, t from ({_LOOSE}) where edge_type <> 'relates_to'),
     w as (select node_id as start, node_id as node, 0 as depth from ({_CHANGED}) union select w.start, e.t, w.depth + 1 from w join fl e on e.f = w.node where w.depth < 20),
     {_BOARDS}, hits as (select distinct start, node from w where depth > 0)
-    select distinct h.start, h.node as board, n.name as board_name from hits h join e_nodes n on n.node_id = h.node where n.node_type = 'mb_dashboard'
+    select distinct h.start, h.node as board, n.name as board_name from hits h join ({_BOARD_NODES}) n on n.node_id = h.node where n.node_type = 'mb_dashboard'
       and not exists (select 1 from hits c join bd on bd.card = c.node where c.start = h.start and bd.board = h.node)""",
 )
 def _(e: Estate) -> DataFrame:
-    edges = e.sql(_LOOSE)
-    found = walk.downstream(e.nodes, edges, impact.changed(graph.diff_columns(e.base, e.cand)))
-    return impact.extra_dashboards(found, e.nodes, edges)
+    nodes, edges = e.sql(_BOARD_NODES), e.sql(_LOOSE)
+    found = walk.downstream(nodes, edges, impact.changed(graph.diff_columns(e.base, e.cand)))
+    return impact.extra_dashboards(found, nodes, edges)
 
 
 _REPORT = f"""{_HIT}, {_MODELS}, {_BOARDS}, {_CARDS},
@@ -312,9 +331,16 @@ def _(e: Estate) -> DataFrame:
 
 @suite(
     "h8_blast_radius",
-    f"""with recursive {_HIT.replace(_CHANGED, _EVERY)}, {_MODELS}
-    select s.node_id as start, coalesce((select string_agg(model, ', ' order by model) from ms where ms.start = s.node_id), '') as models, count(distinct h.node_id) filter (node_type = 'column') as columns, count(distinct h.node_id) filter (node_type = 'mb_field') as fields,
-      count(distinct h.node_id) filter (node_type = 'mb_card') as cards, count(distinct h.node_id) filter (node_type = 'mb_dashboard') as dashboards, false as truncated from ({_EVERY}) s left join hits h on h.start = s.node_id group by s.node_id""",
+    f"""with recursive {_HIT.replace(_CHANGED, _EVERY)}, {_MODELS}, {_BOARDS},
+    sh as (select h.start, h.node_id, h.node_type, n.creator, case when h.node_type = 'column' then o.name || '.' || n.name else n.name end as label from hits h join e_nodes n on n.node_id = h.node_id left join e_nodes o on o.node_id = n.owner_id where h.start <> h.node_id),
+    bo as (select card as node_id, string_agg(distinct board_name, ', ' order by board_name) as boards from bd group by card),
+    cd as (select start, string_agg(split_part(sh.node_id, '::', 2) || ' ' || label || coalesce(' [' || boards || ']', '') || coalesce(' by ' || creator, ''), ', ' order by split_part(sh.node_id, '::', 2)::bigint) as cards from sh left join bo on bo.node_id = sh.node_id where node_type = 'mb_card' group by start),
+    li as (select start, string_agg(label, ', ' order by label, node_id) filter (node_type = 'column') as columns, string_agg(label, ', ' order by label, node_id) filter (node_type = 'mb_field') as fields, string_agg(label, ', ' order by label, node_id) filter (node_type = 'mb_dashboard') as dashboards,
+      count(*) filter (node_type = 'column') as n_columns, count(*) filter (node_type = 'mb_field') as n_fields, count(*) filter (node_type = 'mb_card') as n_cards, count(*) filter (node_type = 'mb_dashboard') as n_dashboards from sh group by start),
+    mo as (select start, string_agg(model, ', ' order by model) as models from ms group by start)
+    select s.node_id as start, coalesce(models, '') as models, coalesce(columns, '') as columns, coalesce(fields, '') as fields, coalesce(cards, '') as cards, coalesce(dashboards, '') as dashboards,
+      coalesce(n_columns, 0) as n_columns, coalesce(n_fields, 0) as n_fields, coalesce(n_cards, 0) as n_cards, coalesce(n_dashboards, 0) as n_dashboards, false as truncated
+    from ({_EVERY}) s left join li on li.start = s.node_id left join cd on cd.start = s.node_id left join mo on mo.start = s.node_id""",
 )
 def _(e: Estate) -> DataFrame:
     return impact.blast_radius(e.nodes, e.edges, e.sql(_EVERY))
@@ -341,6 +367,14 @@ def _(e: Estate) -> DataFrame:
     return impact.resolve_column_refs(e.sql(_QUERIES), e.nodes)
 
 
+_ASKED = "select node_id || '.none' as query from e_models union all select 'e' || k || '_idx' from e_models union all select name from e_models where k < 9 union all select 'zz' || k from e_sources union all select name || '.c_1x' from e_models where k % 6 = 1"
+
+
+@suite("h9_column_suggestions")
+def _(e: Estate) -> DataFrame:
+    return impact.column_suggestions(impact.resolve_column_refs(e.sql(_ASKED), e.nodes), e.nodes)
+
+
 @suite(
     "h10_report_text",
     f"""with recursive {_REPORT}, ls as (select start, list_filter(['**' || label || '**' || case when change = 'removed' then ' removed' else ' type changed: ' || coalesce(old_type, 'unknown') || ' -> ' || coalesce(new_type, 'unknown') end,
@@ -363,13 +397,13 @@ def _(e: Estate) -> DataFrame:
 
 @suite(
     "h12_split_messages",
-    """with recursive ln as (select collection_id, row_number() over (partition by collection_id order by card_id) as k, name as line from e_cards),
-    pk as (select collection_id, k, 0 as chunk, length(line) as size from ln where k = 1 union all
-      select l.collection_id, l.k, case when p.size + 1 + length(l.line) <= 2900 then p.chunk else p.chunk + 1 end, case when p.size + 1 + length(l.line) <= 2900 then p.size + 1 + length(l.line) else length(l.line) end from pk p join ln l on l.collection_id = p.collection_id and l.k = p.k + 1)
-    select p.collection_id, p.chunk, string_agg(l.line, chr(10) order by l.k) as text from pk p join ln l on l.collection_id = p.collection_id and l.k = p.k group by p.collection_id, p.chunk""",
+    """with recursive ln as (select case when collection_id % 5 <> 3 then collection_id end as collection_id, row_number() over (partition by case when collection_id % 5 <> 3 then collection_id end order by card_id) as k, name as line from e_cards),
+    pk as (select collection_id, k, 0 as chunk, length(line) + 1 as size from ln where k = 1 union all
+      select l.collection_id, l.k, case when p.size + 1 + length(l.line) <= 2900 then p.chunk else p.chunk + 1 end, case when p.size + 1 + length(l.line) <= 2900 then p.size + 1 + length(l.line) else length(l.line) + 1 end from pk p join ln l on l.collection_id is not distinct from p.collection_id and l.k = p.k + 1)
+    select p.collection_id, p.chunk, string_agg(l.line, chr(10) order by l.k) as text from pk p join ln l on l.collection_id is not distinct from p.collection_id and l.k = p.k group by p.collection_id, p.chunk""",
 )
 def _(e: Estate) -> DataFrame:
-    lines = e.sql("select collection_id, card_id as line_no, name as line from e_cards")
+    lines = e.sql("select case when collection_id % 5 <> 3 then collection_id end as collection_id, card_id as line_no, name as line from e_cards")
     return impact.split_messages(lines, "collection_id")
 
 

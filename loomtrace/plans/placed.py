@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.plans.closure import FOLD, discard, new_folder, settled_rows
+from loomtrace.plans.closure import FOLD, discard, joined_rounds, new_folder, settled_rows
 
 #: Rows of a bucket, about, and edges out of one node from which on they lie in several buckets.
 BUCKET_ROWS, HUB = 2_000_000, 500_000
@@ -20,6 +21,11 @@ def buckets_for(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has no more than ``rows`` rows, by a count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Placed:
     """A table in the shared folder, bucketed and sorted by ``keys``. ``drop`` deletes it."""
 
@@ -51,22 +57,19 @@ class Hops:
         self.hubs, several = settled_rows(degrees.select("f", slots.alias("slots"))) if self.rows > hub else (None, 0)
         if not several:
             self.hubs = None
-        slot: Column = F.lit(0)
-        if self.hubs is not None:
-            hubs = F.broadcast(self.hubs) if several <= BROADCAST_ROWS else self.hubs
-            hops = hops.join(hubs, "f", "left")
-            slot = F.when(F.col("slots").isNull(), 0).otherwise(F.pmod(F.xxhash64("t"), F.col("slots")).cast("int"))
-            self.hubs = hubs
-        self.placed = Placed(hops.withColumn("slot", slot).drop("slots"), ["f", "slot"], self.buckets)
+            self.placed = Placed(hops, ["f"], self.buckets)
+            return
+        self.hubs = F.broadcast(self.hubs) if several <= BROADCAST_ROWS else self.hubs
+        slot = F.when(F.col("slots").isNull(), 0).otherwise(F.pmod(F.xxhash64("t"), F.col("slots")).cast("int"))
+        self.placed = Placed(hops.join(self.hubs, "f", "left").withColumn("slot", slot).drop("slots"), ["f", "slot"], self.buckets)
 
     def follow(self, frontier: DataFrame, at: str) -> DataFrame:
         """``frontier`` joined with the edges that leave its node ``at``; ``f`` is that node."""
         ahead = frontier.withColumnRenamed(at, "f")
         if self.hubs is None:
-            ahead = ahead.withColumn("slot", F.lit(0))
-        else:
-            every = F.when(F.col("slots").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("slots") - 1))
-            ahead = ahead.join(self.hubs, "f", "left").withColumn("slot", F.explode(every)).drop("slots")
+            return ahead.join(self.placed.table, "f")
+        every = F.when(F.col("slots").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("slots") - 1))
+        ahead = ahead.join(self.hubs, "f", "left").withColumn("slot", F.explode(every)).drop("slots")
         return ahead.join(self.placed.table, ["f", "slot"]).drop("slot")
 
     def drop(self) -> None:
@@ -105,3 +108,15 @@ class Visited:
         for held in self.levels:
             for table in held:
                 table.drop()
+
+
+def spread_in_buckets(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], buckets: int, most: int | None = None) -> DataFrame:
+    """All rows reached from ``seed`` by ``step``, each ``key`` once, at its first round; met keys stay in their buckets."""
+    frontier, rows = settled_rows(seed)
+    rounds, seen = [frontier], Visited(key, buckets)
+    while rows and (most is None or len(rounds) <= most):
+        seen.add(frontier)
+        frontier, rows = settled_rows(seen.unseen(step(frontier, len(rounds))).select(seed.columns))
+        rounds.append(frontier)
+    seen.drop()
+    return joined_rounds(rounds)

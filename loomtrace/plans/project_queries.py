@@ -193,7 +193,7 @@ _ALL = "select uid from e_entities where kind = 'model' union all select 'model.
 @suite(
     "b16_model_levels",
     f"""with recursive d as (select distinct * from ({_CYCLIC})), l as (select uid, 0 as level from ({_ALL}) where uid not like '%.x_' union select d.model, l.level + 1 from l join d on d.upstream = l.uid),
-    m as (select a.uid, max(l.level) as level from ({_ALL}) a left join l on l.uid = a.uid group by a.uid) select uid, level, cast(row_number() over (order by level nulls last, uid) as int) as place from m""",
+    m as (select a.uid, max(l.level) as level from ({_ALL}) a left join l on l.uid = a.uid group by a.uid) select uid, level, row_number() over (order by level nulls last, uid) as place from m""",
 )
 def _(e: Estate) -> DataFrame:
     return dbt.model_levels(e.sql(_ALL), e.sql(_CYCLIC))
@@ -274,12 +274,12 @@ def _(e: Estate) -> DataFrame:
     return dbt.relationship_tests(e.sql(_TESTS), e.sql(_TWINS))
 
 
-_DECL = "select d.model, d.col, t.model as to_model, d.col as to_column, d.ordinal, case when d.ordinal % 6 = 5 then 'ambiguous' end as error, 'x' as target from e_declared d join e_declared t on t.ordinal <> d.ordinal and (t.ordinal % 5 = d.ordinal % 5 or t.ordinal = 0)"
+_DECL = "select d.model, d.col, t.model as to_model, d.col as to_column, d.ordinal, case when d.ordinal % 6 = 5 then 'ambiguous' end as error, 'x' as target, case when d.ordinal % 3 = 0 then 'constraint' else 'meta' end as source, case when d.ordinal % 2 = 0 then 'many_to_one' when d.ordinal % 7 = 1 then 'one_to_one' end as arity from e_declared d join e_declared t on t.ordinal <> d.ordinal and (t.ordinal % 5 = d.ordinal % 5 or t.ordinal = 0)"
 _TST = "select c.owner_id as model, c.name as col, t.owner_id as to_model, t.name as to_column from e_columns c join e_columns t on t.name = c.name and c.k is null and t.owner_id > c.owner_id and c.owner_id like '%e1%'"
-_ENDS = f"p as (select model || '::' || lower(col) as f, to_model || '::' || lower(to_column) as t, false as tested from ({_DECL}) union all select model || '::' || col, to_model || '::' || to_column, true from ({_TST}))"
+_ENDS = f"p as (select model || '::' || lower(col) as f, to_model || '::' || lower(to_column) as t, false as tested, ordinal::bigint as ordinal, source, arity from ({_DECL}) union all select model || '::' || col, to_model || '::' || to_column, true, 0, 'test', null from ({_TST}))"
 
 
-@suite("b24_relates_to_edges", f"with {_ENDS} select f, t, 'relates_to' as edge_type, case when bool_or(tested) then 'validated' else 'declared' end as confidence from p where f in (select node_id from e_columns) and t in (select node_id from e_columns) group by f, t")
+@suite("b24_relates_to_edges", f"with {_ENDS} select f, t, 'relates_to' as edge_type, case when bool_or(tested) then 'validated' else 'declared' end as confidence, arg_min(struct_pack(s := source), (tested, ordinal)).s as source, arg_min(struct_pack(a := arity), (tested, ordinal)).a as arity from p where f in (select node_id from e_columns) and t in (select node_id from e_columns) group by f, t")
 def _(e: Estate) -> DataFrame:
     return dbt.relates_to_edges(e.sql(_DECL), e.sql(_TST), e.columns)
 
@@ -365,12 +365,14 @@ def _(e: Estate) -> DataFrame:
 
 _GUESS = "select node_id, 'GUESS' as data_type from e_columns where k % 8 = 0"
 _TYPED = f"""b as (select e.f as node_id, min_by(coalesce(nullif(trim(d.database_type), ''), d.base_type), e.t) as t from e_binds e join e_fields d on d.node_id = e.t where e.confidence = 'exact' group by e.f),
-    ty as (select c.node_id, coalesce(c.data_type, b.t, g.data_type) as data_type, case when c.data_type is not null then 'catalog' when b.t is not null then 'metabase' when g.data_type is not null then 'inferred' end as source from e_columns c left join b on b.node_id = c.node_id left join ({_GUESS}) g on g.node_id = c.node_id)"""
+    ty as (select c.node_id, coalesce(c.data_type, b.t, g.data_type) as data_type, case when c.data_type is not null then 'catalog' when b.t is not null then 'metabase' when g.data_type is not null then 'inferred' end as source,
+      case when coalesce(c.data_type, b.t, g.data_type) is null then 'no catalog entry for ' || c.name end as unknown_type_reason from e_columns c left join b on b.node_id = c.node_id left join ({_GUESS}) g on g.node_id = c.node_id)"""
 
 
 def _typed(e: Estate) -> DataFrame:
     bound = e.binds.select(F.col("f").alias("col_id"), F.col("t").alias("field"), "confidence")
-    return bind.type_waterfall(e.columns, bound, e.fields, e.sql(_GUESS))
+    columns = e.columns.withColumn("unknown_type_reason", F.when(F.col("data_type").isNull(), F.concat(F.lit("no catalog entry for "), "name")))
+    return bind.type_waterfall(columns, bound, e.fields, e.sql(_GUESS))
 
 
 @suite("e1_type_waterfall", f"with {_TYPED} select * from ty")

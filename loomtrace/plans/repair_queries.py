@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.operators import bi, graph, repair, staging
+from loomtrace.operators.walk import card_dependencies
 from loomtrace.plans.bi_queries import _REFS
 from loomtrace.plans.estate import Estate
-from loomtrace.plans.graph_queries import _DIFF
+from loomtrace.plans.graph_queries import _DIFF, READS, VIA, layers_sql
 from loomtrace.plans.suite import Suite
 
 suite = Suite()
@@ -50,7 +51,7 @@ def _(e: Estate) -> DataFrame:
     return staging.drop_staged(e.sql(_STATE), e.sql("select id from e_staged where id like '%.error'"))
 
 
-_ENTRIES = """select c.k as id, m.name as from_model, c.name as from_column, case when c.k % 9 = 0 then 'nobody' when c.k % 10 = 1 then 'twin' when c.k % 5 = 2 then m.name else t.name end as to_model, case when c.k % 5 = 2 then c.name when c.k % 7 = 0 then 'none' else 'e' || t.k || '_id' end as to_column,
+_ENTRIES = """select c.k as id, case when c.k % 23 = 4 then '  ' when c.k % 23 = 5 then null else m.name end as from_model, c.name as from_column, case when c.k % 9 = 0 then 'nobody' when c.k % 10 = 1 then 'twin' when c.k % 5 = 2 then m.name else t.name end as to_model, case when c.k % 5 = 2 then c.name when c.k % 7 = 0 then 'none' else 'e' || t.k || '_id' end as to_column,
     case when c.k % 11 = 0 then 'some' else 'many_to_one' end as cardinality from e_columns c join e_models m on m.node_id = c.owner_id join e_models t on t.k = c.k % 25"""
 _MODELS = "select node_id, name from e_models union all select node_id || 'x', 'twin' from e_models where k < 2"
 
@@ -59,12 +60,25 @@ _MODELS = "select node_id, name from e_models union all select node_id || 'x', '
     "m5_validate_staged",
     f"""with en as ({_ENTRIES}), ms as ({_MODELS}), mn as (select lower(name) as low, count(*) as n, min(node_id) as uid from ms group by 1),
     x as (select en.*, a.n as an, b.n as bn, exists (select 1 from e_columns c where c.owner_id = a.uid and lower(c.name) = lower(from_column)) as ah, exists (select 1 from e_columns c where c.owner_id = b.uid and lower(c.name) = lower(to_column)) as bh from en left join mn a on a.low = lower(from_model) left join mn b on b.low = lower(to_model))
-    select id, from_model, from_column, to_model, to_column, cardinality, case when an is null or bn is null then 'unknown model' when an > 1 or bn > 1 then 'ambiguous model' when not ah or not bh then 'column not on model' when cardinality <> 'many_to_one' then 'bad cardinality' when from_model = to_model and from_column = to_column then 'identical ends' end as reason from x""",
+    select id, from_model, from_column, to_model, to_column, cardinality, case when trim(coalesce(from_model, '')) = '' then 'malformed entry' when an is null or bn is null then 'unknown model' when an > 1 or bn > 1 then 'ambiguous model' when not ah or not bh then 'column not on model' when cardinality <> 'many_to_one' then 'bad cardinality' when from_model = to_model and from_column = to_column then 'identical ends' end as reason from x""",
 )
 def _(e: Estate) -> DataFrame:
     return staging.validate_staged(e.sql(_ENTRIES), e.sql(_MODELS), e.columns)
 
 
+_TEXTS = "select c.k as id, case when c.k % 9 = 0 then 'nobody' when c.k % 10 = 1 then 'twin' when c.k % 31 = 7 then null else m.name end as entity, case when c.k % 3 = 0 then null when c.k % 7 = 0 then 'none' else upper(c.name) end as column, case when c.k % 8 = 0 then ' ' || chr(10) when c.k % 13 = 5 then null else 'text ' || c.k end as body from e_columns c join e_models m on m.node_id = c.owner_id where c.k is not null"
+
+
+@suite(
+    "m5_validate_descriptions",
+    f"""with en as ({_TEXTS}), mn as (select lower(name) as low, count(*) as n, min(node_id) as uid from ({_MODELS}) group by 1)
+    select en.id, en.entity, en.column, en.body, case when entity is null then 'malformed entry' when trim(replace(coalesce(body, ''), chr(10), '')) = '' then 'blank text' when n is null then 'unknown model' when n > 1 then 'ambiguous model'
+      when en.column is not null and not exists (select 1 from e_columns c where c.owner_id = uid and lower(c.name) = lower(en.column)) then 'column not on model' end as reason from en left join mn on low = lower(entity)""",
+)
+def _(e: Estate) -> DataFrame:
+    return staging.validate_descriptions(e.sql(_TEXTS), e.sql(_MODELS), e.columns)
+
+
 _ROUTE = "select k as id, case when k % 2 = 0 then 'viz_' || name when k % 3 = 0 then 'viz_gone' else name end as model from e_models"
 
 
@@ -241,16 +255,16 @@ def _(e: Estate) -> DataFrame:
     return repair.dead_refs(e.sql(_HITS))
 
 
-_DEPS = "select card_id, source_card_id as upstream from e_cards where source_card_id is not null"
 _FEW = "select card_id, 'strip' as action from e_cards where card_id % 4 = 0 union all select -1, 'strip'"
 
 
 @suite(
     "n13_order_plan",
-    f"with recursive d as (select card_id, 0 as depth from e_cards union select c.card_id, d.depth + 1 from d join e_cards c on c.source_card_id = d.card_id), m as (select card_id, max(depth)::int as depth from d group by 1) select p.card_id, action, depth, cast(row_number() over (order by depth, p.card_id) as int) as place from ({_FEW}) p join m on m.card_id = p.card_id join e_cards k on k.card_id = p.card_id where not k.archived",
+    f"""with recursive {layers_sql('select card_id as node_id from e_cards', READS)}
+    select p.card_id, action, layer::int as depth, row_number() over (order by layer, p.card_id) as place from ({_FEW}) p join layered m on m.node_id = p.card_id join e_cards k on k.card_id = p.card_id where not k.archived""",
 )
 def _(e: Estate) -> DataFrame:
-    return repair.order_plan(e.sql(_FEW), e.cards, e.sql(_DEPS))
+    return repair.order_plan(e.sql(_FEW), e.cards, card_dependencies(e.sql(VIA)))
 
 
 _OLD = "select card_id, case when card_id % 5 = 0 then 'notify' else 'strip' end as action, 'v' || (card_id % 3) as updated_at from e_cards"
@@ -276,7 +290,7 @@ _REP = "select card_id, case card_id % 4 when 0 then 'strip' when 1 then 'archiv
 @suite(
     "n16_plan_report",
     f"""with p as (select *, list_position(['strip', 'archive', 'repoint', 'notify'], action) as p from ({_REP})), l as (select p, -1 as card_id, any_value(action) || ': ' || count(*) as line from p group by p union all select p, card_id, '  #' || card_id || ' ' || reason from p)
-    select cast(row_number() over (order by p, card_id) as int) as line_no, line from l""",
+    select row_number() over (order by p, card_id) as line_no, line from l""",
 )
 def _(e: Estate) -> DataFrame:
     return repair.plan_report(e.sql(_REP))

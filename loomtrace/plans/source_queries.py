@@ -11,7 +11,7 @@ from loomtrace.operators import staging
 from loomtrace.plans.closure import run_folder
 from loomtrace.plans.estate import Estate
 from loomtrace.plans.suite import Suite
-from loomtrace.sources import artifacts
+from loomtrace.sources import artifacts, history
 
 suite = Suite()
 
@@ -117,6 +117,40 @@ def _(e: Estate) -> DataFrame:
     return _both(*artifacts.read_graph(e.spark, path))
 
 
+#: Twenty-five snapshots of two estates, each without other columns, and one of them stored once more as another.
+_SNAPS = """select 'e' || (coalesce(c.k, 0) % 2) as estate_id, 's' || n.n_nationkey as snapshot_id, c.node_id, 'column' as node_type, c.data_type from e_columns c cross join nation n where coalesce(c.k, 1) % 25 <> n.n_nationkey"""
+_LINES = """select 'e0' as estate_id, 's' || n.n_nationkey as snapshot_id, r.f, r.t, r.edge_type, r.confidence from e_references r cross join nation n"""
+_HEADS = "select 'e' || (r_regionkey) as estate_id, 's' || n_nationkey as snapshot_id, n_nationkey as seq, n_name as sha, '2024-01-01' as generated_at from nation cross join region where r_regionkey < 2"
+_AGAIN = """select 'e' || (coalesce(c.k, 0) % 2) as estate_id, 's7' as snapshot_id, c.node_id, 'column' as node_type, c.data_type from e_columns c where coalesce(c.k, 0) % 3 = 0"""
+_HEAD7 = "select 'e' || r_regionkey as estate_id, 's7' as snapshot_id, 99 as seq, 'again' as sha, '2024-02-01' as generated_at from region where r_regionkey < 2"
+
+
+@suite(
+    "a5_history",
+    f"""with n as (select * from ({_SNAPS}) where snapshot_id <> 's7' union all select * from ({_AGAIN})), m as (select * from ({_LINES}) where snapshot_id <> 's7'),
+    h as (select * from ({_HEADS}) where snapshot_id <> 's7' union all select * from ({_HEAD7})),
+    b as (select h.*, (select count(*) from n where n.estate_id = h.estate_id and n.snapshot_id = h.snapshot_id) as nodes, (select count(*) from m where m.estate_id = h.estate_id and m.snapshot_id = h.snapshot_id) as edges from h),
+    r as (select *, row_number() over (partition by estate_id order by seq desc) as slot from b)
+    select estate_id, snapshot_id, seq::bigint as seq, sha, generated_at, nodes, edges, 0::bigint as traced, nodes as total, slot::int as slot, lead(snapshot_id) over (partition by estate_id order by slot) as previous from r where slot <= 20""",
+)
+def _(e: Estate) -> DataFrame:
+    path = _folder(e, "history")
+    history.store(e.sql(_SNAPS), e.sql(_LINES), e.sql(_HEADS), path)
+    history.store(e.sql(_AGAIN), e.sql(_LINES).limit(0), e.sql(_HEAD7), path)
+    history.drop_old(e.spark, path)
+    return history.ranked(history.read_builds(e.spark, path))
+
+
+@suite(
+    "f7_read_previous",
+    f"select node_id, node_type, data_type from ({_SNAPS}) where snapshot_id = 's23' and estate_id = 'e1'",
+)
+def _(e: Estate) -> DataFrame:
+    path = _folder(e, "previous")
+    history.store(e.sql(_SNAPS), e.sql(_LINES), e.sql(_HEADS), path)
+    return history.read_previous(e.spark, path, "e1", "s24")[0].select("node_id", "node_type", "data_type")
+
+
 @suite("a6_export_jsonl", _GRAPH)
 def _(e: Estate) -> DataFrame:
     path = _folder(e, "jsonl")

@@ -24,7 +24,7 @@ _NAMING = f"""{_GRAINS}, mc as (select m.name as model, c.name as name from e_co
 _DECLARED = "select m.name as from_model, c.name as from_column, tm.name as to_model, t.name as to_column from e_relates r join e_columns c on c.node_id = r.f join e_columns t on t.node_id = r.t join e_models m on m.node_id = c.owner_id join e_models tm on tm.node_id = t.owner_id"
 _ALL = f"""{_IMPLICIT}, {_NAMING}, pr as (select * from ij union all select * from np where to_column is not null), pi as (select *, left(sha256(lower(from_model || '.' || from_column || '->' || to_model || '.' || to_column)), 12) as id from pr),
     de as ({_DECLARED}), xp as (select * from pi p where not exists (select 1 from de d where (lower(d.from_model || '.' || d.from_column), lower(d.to_model || '.' || d.to_column)) in ((lower(p.from_model || '.' || p.from_column), lower(p.to_model || '.' || p.to_column)), (lower(p.to_model || '.' || p.to_column), lower(p.from_model || '.' || p.from_column)))) and id not like 'a%'),
-    bs as (select * from xp qualify row_number() over (partition by id order by score desc, source) = 1), sg as (select *, cast(row_number() over (order by score desc, lower(from_model), lower(from_column), lower(to_model), lower(to_column), id) as int) as place from bs)"""
+    bs as (select * from xp qualify row_number() over (partition by id order by score desc, source) = 1), sg as (select *, row_number() over (order by score desc, lower(from_model), lower(from_column), lower(to_model), lower(to_column), id) as place from bs)"""
 
 
 def _models(e: Estate) -> DataFrame:

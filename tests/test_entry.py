@@ -1,12 +1,26 @@
-"""The driver contract, and queries against their SQL twins at the smallest scale."""
+"""The driver contract, and every query against its SQL twin at the smallest scale, all over the same views."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomtrace.plans.estate import TABLES
+from loomtrace.plans.estate import TABLES, Estate
 
-CHECKED = ["a5_write_graph", "b12_trace_reasons", "b24_relates_to_edges", "c12_resolve_refs_by_name", "c16_inline_snippets", "d3_bind_fuzzy", "e1_type_waterfall", "f4_diff_columns", "f8_resolve_baseline", "j6_suggest", "k1_search", "l15_model_star", "m5_validate_staged", "n9_strip_elements", "o5_derive_table_prefix"]
+RUNS = {name: run for suite in entry.SUITES for name, run in suite.runs.items()}
+SQL = {name: text for suite in entry.SUITES for name, text in suite.sql.items()}
+
+
+@pytest.fixture(scope="module")
+def estate(spark, sf):
+    return Estate(spark, sf)
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    return con
 
 
 def test_every_sql_has_a_query():
@@ -17,14 +31,11 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", CHECKED)
-def test_query_equals_its_sql(spark, sf, name):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
-    want = con.execute(entry.oracle_sql()[name])
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(estate, duck, name):
+    want = duck.execute(SQL[name])
     names = [c[0] for c in want.description]
-    df = entry.queries()[name](spark, sf)
+    df = RUNS[name](estate)
     assert sorted(df.columns) == sorted(names)
     close = lambda v: round(v, 9) if isinstance(v, float) else v
     got = sorted(repr(tuple(close(r[c]) for c in names)) for r in df.collect())

@@ -69,7 +69,7 @@ def test_subgraph_and_radius_of_every_column(small):
             want |= {(s, f, t, k) for f, t, k, _ in rows if f in side and t in side}
     assert {tuple(r) for r in RUNS["g6_lineage_subgraph"](e).select("start", "f", "t", "edge_type").collect()} == want
     size = lambda s: tuple(len(below(found, s, k)) for k in "cfkd")
-    assert {r.start: (r.columns, r.fields, r.cards, r.dashboards) for r in RUNS["h8_blast_radius"](e).collect()} == {s: size(s) for s in columns}
+    assert {r.start: (r.n_columns, r.n_fields, r.n_cards, r.n_dashboards) for r in RUNS["h8_blast_radius"](e).collect()} == {s: size(s) for s in columns}
     assert {r.start: (r.down_columns, r.fields, r.cards, r.dashboards) for r in RUNS["l1_column_detail"](e).collect()} == {s: size(s) for s in columns}
 
 
