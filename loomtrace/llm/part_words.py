@@ -24,7 +24,7 @@ from loomtrace.plans.closure import settled_rows
 #: Rows of a part at most, as a power of two.
 PART_ROWS = 16
 #: Bytes of text after which a task sends the counts that it holds.
-HELD_BYTES = 96 << 20
+HELD_BYTES = 48 << 20
 _OUT = 200_000
 
 
@@ -68,16 +68,17 @@ def count_words(rows: DataFrame, words: Callable[[bytes], list[bytes]]) -> DataF
 
 
 class Lookup:
-    """What was dealt to a part: ``lookup(part)`` is a table of ``columns``, read when the part changes."""
+    """What was dealt to a part: ``lookup(part)`` is a table of ``columns``, to be read when the part changes."""
 
     def __init__(self, names: dict[int, str], files: int, columns: list[str]):
         self.names, self.files, self.columns = names, files, columns
 
-    def __call__(self, part: int) -> pa.Table | None:
+    def __call__(self, part: int, where: ds.Expression | None = None) -> pa.Table | None:
         if not (name := self.names.get((part >> (33 - PART_ROWS)) % self.files)):
             return None
         system, path = opened(name)
-        return ds.dataset(path, filesystem=system, format="parquet").to_table(columns=self.columns, filter=ds.field("part") == part)
+        here = ds.field("part") == part
+        return ds.dataset(path, filesystem=system, format="parquet").to_table(columns=self.columns, filter=here if where is None else here & where)
 
 
 def dealt(answers: DataFrame) -> Lookup:
