@@ -126,26 +126,28 @@ def _rooted(rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left").withColumn(node, F.coalesce("_root", node)).drop("_root")
 
 
-def peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, layer): the longest way from a node without inputs, over ``edges(f, t, hops)`` without cycles.
+def peeled(nodes: DataFrame, edges: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
+    """(done, left, n): (node, layer) by the longest way from a node without inputs, over ``edges(f, t, hops)``.
 
-    Each round takes the nodes all of whose inputs are gone.
+    ``nodes(node, layer)`` bring the least layer that they may have. Each round takes the
+    nodes all of whose inputs are gone. ``left`` are the ``n`` on a cycle or behind one,
+    with the layer that what was taken gives them.
     """
     spark, folder = nodes.sparkSession, new_folder(nodes.sparkSession, "open")
     inputs = edges.groupBy(F.col("t").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     zero = F.lit(0).cast("long")
-    state = nodes.join(inputs, "node", "left").select("node", F.coalesce("n", zero).alias("n"), zero.alias("layer"))
-    state, open_ = settled_with(state, F.count_if(F.col("n") == 0), folder)
+    tally = F.struct(F.count_if(F.col("n") == 0).alias("open"), F.count(F.lit(1)).alias("all"))
+    state, count = settled_with(nodes.join(inputs, "node", "left").select("node", F.coalesce("n", zero).alias("n"), "layer"), tally, folder)
     done = []
-    while open_:
+    while count["open"]:
         taken = settled(state.where("n = 0").select("node", "layer"))
         done.append(taken)
         ahead = taken.join(edges, F.col("node") == F.col("f")).groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("layer") + F.col("hops")).alias("least")).withColumnRenamed("t", "node")
         held, folder = folder, new_folder(spark, "open")
         rest = state.where("n > 0").join(ahead, "node", "left").select("node", (F.col("n") - F.coalesce("m", zero)).alias("n"), F.greatest("layer", F.coalesce("least", zero)).alias("layer"))
-        state, open_ = settled_with(rest, F.count_if(F.col("n") == 0), folder)
+        state, count = settled_with(rest, tally, folder)
         discard(spark, held)
-    return joined_rounds(done) if done else nodes.select("node", zero.alias("layer")).limit(0)
+    return done, state.select("node", "layer"), count["all"]
 
 
 def longest_layers(nodes: DataFrame, edges: DataFrame, cycles: bool = True) -> DataFrame:
@@ -157,14 +159,17 @@ def longest_layers(nodes: DataFrame, edges: DataFrame, cycles: bool = True) -> D
     """
     hops = simple_hops(nodes, edges)
     cut = chains(hops)
-    if cycles:
-        roots = strong_groups(cut.edges)
-        between = _rooted(_rooted(cut.edges, roots, "f"), roots, "t").where("f <> t").groupBy("f", "t").agg(F.max("hops").alias("hops"))
-    else:
-        # A loop is an input that is never gone.
-        roots, between = cut.edges.select(F.col("f").alias("node"), F.col("t").alias("root")).limit(0), cut.edges
     outer = nodes.select(F.col("node_id").alias("node")).distinct().join(cut.inner.select("node").union(cut.rings.select("node")), "node", "left_anti")
-    layers = settled(peeled(_rooted(outer, roots, "node").distinct(), settled(between)))
+    start = outer.withColumn("layer", F.lit(0).cast("long"))
+    # A loop is an input that is never gone: whoever has one is left for the groups.
+    done, left, n = peeled(start, cut.edges)
+    roots = cut.edges.select(F.col("f").alias("node"), F.col("t").alias("root")).limit(0)
+    if cycles and n:
+        among = settled(cut.edges.join(left.select(F.col("node").alias("f")), "f", "left_semi").join(left.select(F.col("node").alias("t")), "t", "left_semi"))
+        roots = strong_groups(among)
+        between = _rooted(_rooted(among, roots, "f"), roots, "t").where("f <> t").groupBy("f", "t").agg(F.max("hops").alias("hops"))
+        done += peeled(_rooted(left, roots, "node").groupBy("node").agg(F.max("layer").alias("layer")), settled(between))[0]
+    layers = settled(joined_rounds(done) if done else start.limit(0))
     level: Column = F.col("layer")
     how = "inner" if cycles else "left"
     plain = _rooted(outer.withColumn("at", F.col("node")), roots, "at").join(layers.toDF("at", "layer"), "at", how).select("node", level)

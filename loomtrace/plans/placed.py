@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomtrace.plans.closure import FOLD, discard, joined_rounds, new_folder, settled_rows
@@ -30,7 +29,8 @@ class Placed:
     """A table in the shared folder, bucketed and sorted by ``keys``. ``drop`` deletes it."""
 
     def __init__(self, df: DataFrame, keys: list[str], buckets: int):
-        self.spark, self.name, self.folder = df.sparkSession, f"placed_{uuid.uuid4().hex}", new_folder(df.sparkSession, "placed")
+        self.spark, self.folder = df.sparkSession, new_folder(df.sparkSession, "placed")
+        self.name = f"placed_{self.folder.rsplit('-', 1)[1]}"
         # Dealt by the buckets' own hash, so each is one file.
         dealt = df.repartition(buckets, *keys)
         dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", self.folder).saveAsTable(self.name)
@@ -81,42 +81,34 @@ class Visited:
 
     def __init__(self, keys: list[str], buckets: int):
         self.keys, self.buckets = keys, buckets
-        self.levels: list[list[Placed]] = []
+        self.levels: list[list[DataFrame]] = []
 
-    def add(self, keys: DataFrame, level: int = 0) -> None:
+    def add(self, rows: DataFrame, level: int = 0) -> DataFrame:
+        """``rows`` as a table in the buckets; their keys are met from now on."""
         if level == len(self.levels):
             self.levels.append([])
         held = self.levels[level]
-        held.append(Placed(keys.select(self.keys), self.keys, self.buckets))
+        table = Placed(rows, self.keys, self.buckets).table
+        held.append(table.select(self.keys))
         if len(held) == FOLD:
-            union = held[0].table
-            for more in held[1:]:
-                union = union.union(more.table)
-            self.add(union, level + 1)
-            for old in held:
-                old.drop()
+            self.add(joined_rounds(held), level + 1)
             held.clear()
+        return table
 
     def unseen(self, rows: DataFrame) -> DataFrame:
         """``rows`` whose key is new: one join for each table, all on the same buckets."""
         for held in self.levels:
             for table in held:
-                rows = rows.join(table.table, self.keys, "left_anti")
+                rows = rows.join(table, self.keys, "left_anti")
         return rows
 
-    def drop(self) -> None:
-        for held in self.levels:
-            for table in held:
-                table.drop()
-
 
 def spread_in_buckets(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], buckets: int, most: int | None = None) -> DataFrame:
     """All rows reached from ``seed`` by ``step``, each ``key`` once, at its first round; met keys stay in their buckets."""
-    frontier, rows = settled_rows(seed)
-    rounds, seen = [frontier], Visited(key, buckets)
-    while rows and (most is None or len(rounds) <= most):
-        seen.add(frontier)
-        frontier, rows = settled_rows(seen.unseen(step(frontier, len(rounds))).select(seed.columns))
-        rounds.append(frontier)
-    seen.drop()
-    return joined_rounds(rounds)
+    seen, rounds, rows = Visited(key, buckets), [], seed
+    while True:
+        count = Observation()
+        rounds.append(seen.add(rows.observe(count, F.count(F.lit(1)).alias("n"))))
+        if not count.get["n"] or (most is not None and len(rounds) > most):
+            return joined_rounds(rounds)
+        rows = seen.unseen(step(rounds[-1], len(rounds))).select(seed.columns)

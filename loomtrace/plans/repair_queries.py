@@ -66,17 +66,17 @@ def _(e: Estate) -> DataFrame:
     return staging.validate_staged(e.sql(_ENTRIES), e.sql(_MODELS), e.columns)
 
 
-_TEXTS = "select c.k as id, case when c.k % 9 = 0 then 'nobody' when c.k % 10 = 1 then 'twin' when c.k % 31 = 7 then null else m.name end as entity, case when c.k % 3 = 0 then null when c.k % 7 = 0 then 'none' else upper(c.name) end as column, case when c.k % 8 = 0 then ' ' || chr(10) when c.k % 13 = 5 then null else 'text ' || c.k end as body from e_columns c join e_models m on m.node_id = c.owner_id where c.k is not null"
+_DESCRIBED = "select c.k as id, case when c.k % 9 = 0 then 'nobody' when c.k % 10 = 1 then 'twin' when c.k % 31 = 7 then null else m.name end as entity, case when c.k % 3 = 0 then null when c.k % 7 = 0 then 'none' else upper(c.name) end as column, case when c.k % 8 = 0 then ' ' || chr(10) when c.k % 13 = 5 then null else 'text ' || c.k end as body from e_columns c join e_models m on m.node_id = c.owner_id where c.k is not null"
 
 
 @suite(
     "m5_validate_descriptions",
-    f"""with en as ({_TEXTS}), mn as (select lower(name) as low, count(*) as n, min(node_id) as uid from ({_MODELS}) group by 1)
+    f"""with en as ({_DESCRIBED}), mn as (select lower(name) as low, count(*) as n, min(node_id) as uid from ({_MODELS}) group by 1)
     select en.id, en.entity, en.column, en.body, case when entity is null then 'malformed entry' when trim(replace(coalesce(body, ''), chr(10), '')) = '' then 'blank text' when n is null then 'unknown model' when n > 1 then 'ambiguous model'
       when en.column is not null and not exists (select 1 from e_columns c where c.owner_id = uid and lower(c.name) = lower(en.column)) then 'column not on model' end as reason from en left join mn on low = lower(entity)""",
 )
 def _(e: Estate) -> DataFrame:
-    return staging.validate_descriptions(e.sql(_TEXTS), e.sql(_MODELS), e.columns)
+    return staging.validate_descriptions(e.sql(_DESCRIBED), e.sql(_MODELS), e.columns)
 
 
 _ROUTE = "select k as id, case when k % 2 = 0 then 'viz_' || name when k % 3 = 0 then 'viz_gone' else name end as model from e_models"
