@@ -14,7 +14,7 @@ from loomtrace.functions.numbering import numbered
 from loomtrace.functions.text import last_segment
 from loomtrace.operators.condense import longest_layers
 from loomtrace.operators.graph import EDGE_KEY
-from loomtrace.plans.closure import relax
+from loomtrace.plans.closure import relax, settled
 
 #: Characters of a defining expression that are kept.
 SHOWN = 240
@@ -181,8 +181,9 @@ def column_origin(pointers: DataFrame) -> DataFrame:
     ``pointers(id, upstream)``: null upstream marks an end. Pointers double, so
     rounds grow with the logarithm of the depth; cycles and pointers to unknown ids give a null origin.
     """
+    pointers = settled(pointers, "pointers")
     state = pointers.select("id", F.coalesce("upstream", "id").alias("at"), F.when(F.col("upstream").isNull(), 0).otherwise(1).alias("hops"), F.col("upstream").isNull().alias("done"))
-    limit = settled(pointers).count()
+    limit = pointers.count()
 
     def step(s: DataFrame) -> DataFrame:
         ahead = s.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("done").alias("end"))
