@@ -25,7 +25,8 @@ from loomtrace.plans.closure import settled_rows
 PART_ROWS = 16
 #: Bytes of text after which a task sends the counts that it holds.
 HELD_BYTES = 48 << 20
-_OUT = 200_000
+#: Rows of a batch that a task sends.
+OUT = 200_000
 
 
 def laid(docs: DataFrame, *cols: Column) -> DataFrame:
@@ -44,8 +45,8 @@ def count_words(rows: DataFrame, words: Callable[[bytes], list[bytes]]) -> DataF
     def sent(held: dict[tuple[int, str], Counter]) -> Iterator[pa.RecordBatch]:
         for (part, grp), found in held.items():
             keys, counts = list(found), list(found.values())
-            for at in range(0, len(keys), _OUT):
-                word, n = pa.array(keys[at : at + _OUT], pa.binary()), pa.array(counts[at : at + _OUT], pa.int64())
+            for at in range(0, len(keys), OUT):
+                word, n = pa.array(keys[at : at + OUT], pa.binary()), pa.array(counts[at : at + OUT], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int64()), pa.array([grp] * len(n), pa.string()), word, n], ["part", "grp", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
