@@ -70,95 +70,120 @@ def vocabulary(seen: DataFrame, least: int, budget: int) -> DataFrame:
     return found.withColumns({"slots": slots.cast("int"), "base": F.when(heavy, split).otherwise(packed)}).select("grp", "word", "c", "number", "base", "slots")
 
 
-def _leaves(first: np.ndarray, rest: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (first, rest) in order, with the sums of their counts."""
+def _leaves(first: np.ndarray, rest: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (first, rest) in order, with the sums of their counts, which are 1 if not given."""
     order = np.lexsort((rest, first))
-    first, rest, n = first[order], rest[order], n[order]
+    first, rest, n = first[order], rest[order], None if n is None else n[order]
+    size = len(order)
+    del order
     starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]))
-    return first[starts], rest[starts], np.add.reduceat(n, starts)
+    return first[starts], rest[starts], np.diff(starts, append=size) if n is None else np.add.reduceat(n, starts)
 
 
 def suffixes(rows: DataFrame, lookup: Lookup, held: int = HELD) -> DataFrame:
-    """(grp_id, whole, first, rest, n): packed suffixes of each group; ``rest`` holds the second word and the third, plus one, or 0."""
-    kinds = (("first", np.int64), ("rest", np.int64), ("n", np.int64))
+    """(grp_id, whole, first, rest, n): packed suffixes of each group; ``rest`` (eight bytes, others four) holds the second word and the third, plus one, or 0."""
+    names = ["grp_id", "whole", "first", "rest", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tables = None, {}
+        at, spots, number, base, slots = None, {}, *(np.zeros(0, np.int64),) * 3
+        # Texts as places of their words in the part's table: four bytes a word, the rest is looked up for distinct suffixes alone.
         fresh: list[np.ndarray] = []
         size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            path, base, slots = (np.concatenate(x) for x in zip(*fresh))
-            one, two, three = path[:-2], path[1:-1], path[2:]
-            live = np.flatnonzero((one >= 0) & (two >= 0))
-            first, rest, n = _leaves(one[live], two[live] << 32 | (three[live] + 1), np.ones(len(live), np.int64)) if len(live) else (np.zeros(0, np.int64),) * 3
-            # Base and slots of each distinct first word, by its place in the path.
-            order = np.argsort(one[live], kind="stable")
-            spot = live[order][np.searchsorted(one[live], first, sorter=order)] if len(live) else live
+            path = np.concatenate(fresh)
+            fresh.clear()
+            live = np.flatnonzero((path[:-2] >= 0) & (path[1:-1] >= 0)).astype(np.int32)
+            if not len(live):
+                return
+            first, third = path[live], path[live + 2]
+            second = number[path[live + 1]]
+            del path, live
+            second <<= 32
+            going = np.flatnonzero(third >= 0)
+            second[going] |= number[third[going]] + 1
+            del third, going
+            first, rest, n = _leaves(first, second)
+            del second
             mixed = (rest.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-            group = base[spot] + (mixed % slots[spot].astype(np.uint64)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            group, whole, columns = group[order], (slots[spot] == 1)[order], [x[order] for x in (first, rest, n)]
-            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+            group = base[first] + (mixed % slots[first].astype(np.uint64)).astype(np.int64)
+            del mixed
+            order = np.argsort(group, kind="stable").astype(np.int32)
+            group, first, rest, n = group[order], first[order], rest[order], n[order]
+            del order
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             ends = np.append(starts[1:], len(group))
             for low in range(0, len(starts), 4_096):
-                mine = range(low, min(low + 4_096, len(starts)))
-                blobs = [pa.array([x[starts[i] : ends[i]].tobytes() for i in mine], pa.binary()) for x in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(group[starts[low : low + 4_096]]), pa.array(whole[starts[low : low + 4_096]]), *blobs], ["grp_id", "whole", *(c for c, _ in kinds)])
+                mine = slice(low, low + 4_096)
+                bounds = list(zip(starts[mine].tolist(), ends[mine].tolist()))
+                blobs = [[number[first[i:j]].astype(np.int32).tobytes() for i, j in bounds], [rest[i:j].tobytes() for i, j in bounds], [n[i:j].astype(np.int32).tobytes() for i, j in bounds]]
+                yield pa.RecordBatch.from_arrays([pa.array(group[starts[mine]]), pa.array(slots[first[starts[mine]]] == 1), *(pa.array(x, pa.binary()) for x in blobs)], names)
 
         for batch in batches:
             for part, grp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                 if part != at:
-                    table, at, tables = lookup(part), part, {}
-                    for name in set(table["grp"].to_pylist()) if table is not None else ():
-                        mine = table.filter(pa.compute.equal(table["grp"], name))
-                        spots = dict(zip(mine["word"].to_pylist(), range(mine.num_rows)))
-                        tables[name] = spots, *(np.append(mine[c].to_numpy(), x) for c, x in (("number", -1), ("base", 0), ("slots", 1)))
-                if grp not in tables:
+                    if fresh:
+                        yield from sent()
+                    size, at, spots = 0, part, {}
+                    table = lookup(part)
+                    if table is not None:
+                        for i, (name, word) in enumerate(zip(table["grp"].to_pylist(), table["word"].to_pylist())):
+                            spots.setdefault(name, {})[word] = i
+                        number, base, slots = (table[c].to_numpy() for c in ("number", "base", "slots"))
+                        table = None
+                if grp not in spots:
                     continue
-                spots, number, base, slots = tables[grp]
+                here = spots[grp]
                 mine = words(text.as_py())
                 # Two ends behind each text, so no suffix runs into the next.
-                found = np.fromiter((spots.get(w, -1) for w in mine), np.int64, len(mine))
-                found = np.append(found, [-1, -1])
-                fresh.append((number[found], base[found], slots[found]))
+                found = np.full(len(mine) + 2, -1, np.int32)
+                found[:-2] = np.fromiter((here.get(w, -1) for w in mine), np.int32, len(mine))
+                fresh.append(found)
                 size += len(found)
                 if size > held:
                     yield from sent()
-                    fresh, size = [], 0
+                    size = 0
         if fresh:
             yield from sent()
 
     return rows.select("part", "grp", "text").mapInArrow(run, "grp_id long, whole boolean, first binary, rest binary, n binary")
 
 
-def subtrees(packed: DataFrame, least: int) -> DataFrame:
-    """(i, j, k, f): counts of two words (``k`` is -1) and of three, at least ``least``; counts of two under a split word in several rows."""
+def subtrees(packed: DataFrame, least: int, total: int = 0) -> DataFrame:
+    """(i, j, k, f): counts of two words (``k`` is -1) and of three, at least ``least``; counts of two under a split word in several rows.
 
-    def tree(blobs: list[tuple[bytes, bytes, bytes]], whole: bool) -> pa.RecordBatch:
-        first, rest, n = _leaves(*(np.concatenate([np.frombuffer(b, np.int64) for b in x]) for x in zip(*blobs)))
-        second, third = rest >> 32, (rest & 0xFFFFFFFF) - 1
-        starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+    ``total`` is the number of suffixes at most.
+    """
+
+    def tree(blobs: list[tuple[pa.Buffer, pa.Buffer, pa.Buffer]], whole: bool) -> pa.RecordBatch:
+        first, rest, n = (np.concatenate([np.frombuffer(b[c], kind) for b in blobs]) for c, kind in enumerate((np.int32, np.int64, np.int32)))
+        blobs.clear()
+        first, rest, n = _leaves(first, rest, n.astype(np.int64))
+        starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (rest[1:] >> 32 != rest[:-1] >> 32)]))
         node = np.add.reduceat(n, starts)
-        keep, leaf = (node >= least) | (not whole), (third >= 0) & (n >= least)
-        i, j = (np.concatenate([x[starts][keep], x[leaf]]) for x in (first, second))
-        k, f = np.concatenate([np.full(keep.sum(), -1), third[leaf]]), np.concatenate([node[keep], n[leaf]])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (i, j, k, f)], ["i", "j", "k", "f"])
+        keep = (node >= least) | (not whole)
+        two, three = starts[keep], np.flatnonzero((n >= least) & (rest & 0xFFFFFFFF > 0))
+        at = np.concatenate([two, three])
+        k, f = np.concatenate([np.full(len(two), -1), (rest[three] & 0xFFFFFFFF) - 1]), np.concatenate([node[keep], n[three]])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (first[at], rest[at] >> 32, k, f)], ["i", "j", "k", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, whole, blobs = None, True, []
         for batch in batches:
-            for group, entire, *blob in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            # Blobs are views of the batch, so a group is copied once, for its sort.
+            groups, entire, packs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [batch.column(c) for c in range(2, 5)]
+            for row, group in enumerate(groups):
                 if group != at and blobs:
                     yield tree(blobs, whole)
                     blobs = []
-                at, whole = group, entire
-                blobs.append(blob)
+                at, whole = group, entire[row]
+                blobs.append(tuple(x[row].as_buffer() for x in packs))
         if blobs:
             yield tree(blobs, whole)
 
-    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt_ = packed.repartition(n, "grp_id").sortWithinPartitions("grp_id")
+    # An Arrow batch may hold all that a task gets, so a task gets a quarter of the budget on average.
+    tasks = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * total // BUDGET)
+    dealt_ = packed.repartition(tasks, "grp_id").sortWithinPartitions("grp_id")
     return dealt_.mapInArrow(run, "i long, j long, k long, f long")
 
 
@@ -182,7 +207,8 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     totals = written(seen.groupBy(F.col("grp").alias("lang")).agg(F.sum("c").alias("n")), "totals")
     known = written(vocabulary(seen, least, budget), "numbers")
     lookup = dealt(parts.select("part", "grp", "word").join(known.drop("c"), ["grp", "word"]).select("part", "grp", "word", "number", "base", "slots"))
-    found = written(subtrees(suffixes(rows, lookup, held), least), "nodes")
+    total = known.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    found = written(subtrees(suffixes(rows, lookup, held), least, total), "nodes")
     two = written(found.where("k < 0").groupBy("i", "j").agg(F.sum("f").alias("a")).where(F.col("a") >= least), "two")
     three = written(found.where("k >= 0").select("i", "j", "k", F.col("f").alias("a")), "three")
     names = known.select("number", "grp", F.col("word").cast("string").alias("w"), "c")
