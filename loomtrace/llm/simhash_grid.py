@@ -238,20 +238,26 @@ def drop_groups(docs: DataFrame, printed: Callable[[DataFrame], DataFrame], link
     rows = written(printed(hashed.select(F.spark_partition_id().alias("part"), "k1", "k2", id_.alias("id"), text.alias("text"))), "prints")
     total = rows.count()
 
-    def dealt(keys: DataFrame, company: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """(near, alone): rows that meet their written ``keys(k1, k2, ..)``, and those that need no shuffle since ``company(part, k1)`` lacks them."""
+    def dealt(keys: DataFrame, company: DataFrame, apart: bool = True) -> tuple[DataFrame, DataFrame | None]:
+        """(near, alone): rows that meet their written ``keys(k1, k2, ..)``, and those that need no shuffle since ``company(part, k1)`` lacks them.
+
+        Without ``apart`` the latter are left out, and nothing is written.
+        """
         if small_enough(keys, 32):
             return hashed.join(F.broadcast(keys), ["k1", "k2"], "left"), None
         # Only rows in company, or in a part that was cut another way, meet the keys in a shuffle.
         told_ = rows.groupBy("part", F.col("k1").alias("key")).agg(F.count_distinct("k2").alias("ways")).join(company.select("part", F.col("k1").alias("key"), F.lit(True).alias("in")).distinct(), ["part", "key"], "left")
         verdicts = told_.where("ways = 1").select("part", "key", F.coalesce("in", F.lit(False)).alias("verdict"))
-        marked = written(told(hashed, F.col("k1"), verdicts, total, "company"), "marked")
+        marked = told(hashed, F.col("k1"), verdicts, total, "company")
+        if not apart:
+            return marked.where("company is null or company").join(keys, ["k1", "k2"]), None
+        marked = written(marked, "marked")
         return marked.where("company is null or company").join(keys, ["k1", "k2"], "left"), marked.where("not company")
 
     def texts(nodes: DataFrame) -> DataFrame:
         least = rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("k1", "k2", "part")).alias("k"))
         keys = written(least.select("k.k1", "k.k2", "k.part", "fp"), "asked")
-        near, _ = dealt(keys.drop("part"), keys)
+        near, _ = dealt(keys.drop("part"), keys, apart=False)
         # Repeated rows share both keys.
         return near.where("fp is not null").select("fp", text.alias("text")).dropDuplicates(["fp"])
 

@@ -5,7 +5,9 @@ from itertools import combinations
 
 import pytest
 
+from loomtrace.llm import common, simhash_grid
 from loomtrace.llm import simhash_wide as wide
+from loomtrace.plans import closure
 
 SCHEMA = "doc_id long, text string, fp string, judge string, cell string"
 
@@ -89,3 +91,53 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == sorted((i is None, i) for i in [3, 6, 8, 9, 11, 12, 13, None])
     assert {(r.fp, r.judge, r.cell) for r in left.collect()} == {("x", "y", "z")}
     assert wide.drop_similar(table(spark, ["a"]).limit(0)).count() == 0
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """(what, folder, rows) of each table that the near stage writes."""
+    found = []
+
+    def written(df, what, folder=None):
+        folder = folder or closure.new_folder(df.sparkSession, what)
+        out = closure.settled(df, what, folder)
+        found.append((what, folder, out.count()))
+        return out
+
+    monkeypatch.setattr(wide, "written", written)
+    monkeypatch.setattr(simhash_grid, "written", written)
+    return found
+
+
+def there(spark, folder):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_cells_of_two_are_done_with_their_head(spark, tables):
+    texts = planted(random.Random(5), groups=30, copies=2)
+    left = wide.drop_similar(table(spark, texts)).count()
+    assert left < len(texts)
+    rows, folder = {what: n for what, _, n in tables}, {what: folder for what, folder, _ in tables}
+    prints = spark.read.parquet(folder["distinct"])
+    sizes = [r["count"] for r in wide._cells(prints, wide.choices(prints.count())).groupBy("cell").count().collect()]
+    # Only cells of three and more are left to be joined with all of the cell, without their heads.
+    assert sizes.count(2) > sum(n - 1 for n in sizes if n > 2) == rows["labelled"]
+    assert next(n for what, _, n in tables if what == "company") == sum(n - 1 for n in sizes)
+
+
+def test_spent_tables_are_deleted(spark, tables):
+    wide.drop_similar(table(spark, planted(random.Random(6), groups=10))).count()
+    cells = [(what, folder) for what, folder, _ in tables if what in ("candidates", "grams", "heads", "labelled", "taken", "mixed")]
+    assert len(cells) >= 10 and not [what for what, folder in cells if there(spark, folder)]
+
+
+def test_texts_of_candidates_are_not_written_with_all_others(spark, tables, monkeypatch):
+    texts = planted(random.Random(7), groups=15) + [f"only {i} here {i * i} alone {i + 7}" for i in range(200)]
+    docs = table(spark, texts)
+    want = sorted(r.doc_id for r in wide.drop_similar(docs).select("doc_id").collect())
+    tables.clear()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(r.doc_id for r in wide.drop_similar(docs).select("doc_id").collect()) == want
+    # Once for the result, never for what is verified.
+    assert [n for what, _, n in tables if what == "marked"] == [len(texts)]
