@@ -137,7 +137,8 @@ def _pairs(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
     a = left.select("cell", F.col("fp").alias("fp_a"), F.col("root").alias("a"))
     b = right.select("cell", F.col("fp").alias("fp_b"), F.col("root").alias("b"))
     order = F.col("a") < F.col("b") if left is right else F.col("a") != F.col("b")
-    return a.join(b, (a.cell == b.cell) & order & _near("fp_a", "fp_b", limit)).select("a", "b").distinct()
+    # Spark sizes a table as if an explode added no rows, and would broadcast cells.
+    return a.join(b.hint("merge"), (a.cell == b.cell) & order & _near("fp_a", "fp_b", limit)).select("a", "b").distinct()
 
 
 def _first(cells: DataFrame, limit: int) -> DataFrame:
@@ -145,7 +146,7 @@ def _first(cells: DataFrame, limit: int) -> DataFrame:
     heads = cells.groupBy("cell").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.min_by("fp", F.xxhash64("fp")).alias("any")).where("least <> most")
     near = [(F.col("fp") != F.col(head)) & _near("fp", head, limit) for head in ("least", "most", "any")]
     # Most who share a cell are far apart, so distances are part of the join.
-    found = cells.join(heads.withColumnRenamed("cell", "c"), (F.col("cell") == F.col("c")) & (near[0] | near[1] | near[2]))
+    found = cells.join(heads.withColumnRenamed("cell", "c").hint("merge"), (F.col("cell") == F.col("c")) & (near[0] | near[1] | near[2]))
     linked = (F.when(test, F.col(head)) for test, head in zip(near, ("least", "most", "any")))
     return found.select(F.col("fp").alias("a"), F.explode(F.array_compact(F.array(*linked))).alias("b"))
 
@@ -171,7 +172,7 @@ def _second(cells: DataFrame, choices: list[tuple[int, tuple[int, ...]]], limit:
     keys = F.transform(F.element_at(finer, F.col("k") + 1), lambda m, j: F.xxhash64(F.col("cell"), j, _vector().bitwiseAND(m)))
     cut = written(rows.select("fp", "root", F.explode(keys).alias("cell")), "cells")
     taken = cut.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", F.xxhash64("fp")).alias("taken")).where("r0 <> r1").select("cell", "taken")
-    cut = written(cut.join(taken, "cell"), "cells")
+    cut = written(cut.join(taken.hint("merge"), "cell"), "cells")
     return found.union(_pairs(cut.where("root <> taken"), cut, limit))
 
 
